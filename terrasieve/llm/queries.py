@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, packing, rules, shards
+from . import crf, mixing, neardup, packing, rules, shards
 
 QUERIES = {
     "op1_rendezvous_sharding": shards.op1_rendezvous_sharding,
     "op3_quality_rules": rules.op3_quality_rules,
+    "op5_crf_quality": crf.op5_crf_quality,
     "op6_bottom_k_near_duplicates": neardup.op6_bottom_k_near_duplicates,
     "op7_length_packing": packing.op7_length_packing,
     "op9_source_mixing": mixing.op9_source_mixing,
