@@ -96,7 +96,7 @@ def mix(
     share: float = 1.5,
     most: float = 2.0,
     seed: int = 9,
-    rows_per_chunk: int = 4096,
+    rows_per_chunk: int = 1024,
     fan_in: int = 1024,
 ) -> DataFrame:
     """Whole copies of each document so that sources meet their targets.
@@ -106,7 +106,7 @@ def mix(
     null last; they weigh ``weights``, repeating. A document's expected copies
     are target / source size, at most ``most``; the fractional parts are
     rounded so that each source's words stay at its target but for one
-    document. The rounding is a reduction tree: hashed chunks of about
+    document. The rounding is a reduction tree: each source's hashed chunks of about
     ``rows_per_chunk`` rows are rounded apart, each leaves one fractional
     residual at most, and ``fan_in`` chunks' residuals meet at the next level.
 
@@ -129,17 +129,17 @@ def mix(
     sizes = [r["s"] for r in by_source]
     aims = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), most)
     catalogue = rows.sparkSession.createDataFrame(
-        [(r["source"], s, a, a / s if s else 0.0) for r, s, a in zip(by_source, sizes, aims)],
-        "c_source string, source_size long, target double, expected double",
+        [(r["source"], s, a, a / s if s else 0.0, math.ceil(r["n"] / rows_per_chunk)) for r, s, a in zip(by_source, sizes, aims)],
+        "c_source string, source_size long, target double, expected double, chunks int",
     )
-    n_chunks = max(1, math.ceil(sum(r["n"] for r in by_source) / rows_per_chunk))
+    n_chunks = max([1, *(math.ceil(r["n"] / rows_per_chunk) for r in by_source)])
     expected = F.col("expected") * F.col("n_rows")
     state = rows.join(catalogue, rows["source"].eqNullSafe(catalogue["c_source"])).select(
         "doc_id",
         "source",
         "size",
         "n_rows",
-        F.pmod(F.xxhash64("doc_id", "size"), F.lit(n_chunks)).alias("chunk"),
+        F.pmod(F.xxhash64("doc_id", "size"), F.col("chunks")).cast("long").alias("chunk"),
         F.floor(expected).cast("long").alias("whole"),
         F.when(F.col("size") > 0, expected - F.floor(expected)).otherwise(0.0).alias("part"),
     )
