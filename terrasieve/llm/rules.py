@@ -132,6 +132,16 @@ def apply_rules(df: DataFrame, text: str = "text", rules=RULES, min_words: int =
     return out.withColumns({"base_failed": base, "broken_rules": verdict(rules)}).withColumn("kept", ~F.col("base_failed") & (F.size("broken_rules") == 0))
 
 
+def passing(df: DataFrame, **options) -> DataFrame:
+    """The rows that ``apply_rules`` keeps, columns as they were.
+
+    The row id keeps Catalyst from moving the filter below the projections,
+    which would evaluate each expression once for every use.
+    """
+    judged = apply_rules(df, **options).select(*df.columns, "kept", F.monotonically_increasing_id().alias("_row"))
+    return judged.where("kept and _row >= 0").select(*df.columns)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document; empty and null texts fail the base."""
     return apply_rules(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select(
