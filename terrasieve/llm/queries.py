@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import crf, mixing, neardup, packing, rules, shards
+from . import ann, crf, langid, lattice, licenses, mixing, neardup, packing, rules, shards
 
 QUERIES = {
     "op1_rendezvous_sharding": shards.op1_rendezvous_sharding,
+    "op2_fuzzy_license_scan": licenses.op2_fuzzy_license_scan,
     "op3_quality_rules": rules.op3_quality_rules,
+    "op4_inverted_multi_index": ann.op4_inverted_multi_index,
     "op5_crf_quality": crf.op5_crf_quality,
     "op6_bottom_k_near_duplicates": neardup.op6_bottom_k_near_duplicates,
     "op7_length_packing": packing.op7_length_packing,
+    "op8_hyperdimensional_language": langid.op8_hyperdimensional_language,
     "op9_source_mixing": mixing.op9_source_mixing,
+    "op10_subword_lattice": lattice.op10_subword_lattice,
 }
 
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for words in rules.STOP_WORDS.values() for w in words.split()}))
