@@ -120,6 +120,15 @@ def line_features(texts: list[str]) -> Lines:
     return Lines(x[keep], np.maximum(chars[keep], 1), doc[keep])
 
 
+def _all_lines(texts: list[str]) -> Lines:
+    """``line_features`` slice by slice, to hold few bytes at a time."""
+    parts = []
+    for a, b in in_slices(texts):
+        part = line_features(texts[a:b])
+        parts.append(Lines(part.x, part.length, part.doc + a))
+    return Lines(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("x", "length", "doc")))
+
+
 def with_neighbours(lines: Lines) -> np.ndarray:
     """Each line's features, those of the line before and of the line after
     (zeros at a document's ends)."""
@@ -183,7 +192,7 @@ def marginals(score: np.ndarray, move: np.ndarray, doc: np.ndarray, pairs: bool
 def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> Model:
     """Penalised likelihood by Adam, lines taking their document's label, each
     line weighing one; then the logistic map of documents by Newton steps."""
-    lines = line_features(texts)
+    lines = _all_lines(texts)
     x, doc = with_neighbours(lines), lines.doc
     y = np.asarray(labels, dtype=float)[doc]
     weight, move = np.zeros(x.shape[1]), np.zeros((2, 2))
