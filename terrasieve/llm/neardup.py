@@ -19,6 +19,13 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: Up to so many ids (some 16 MB) are broadcast to pick their texts; beyond
+#: that, texts and ids are shuffled.
+BROADCAST_IDS = 500_000
+#: Edges (16 bytes each) that one task takes by itself.
+ONE_TASK = 200_000
+
+
 @lru_cache
 def least_shared(k: int, similarity: float, miss: float) -> int:
     """The most c such that a pair at ``similarity`` shares fewer than c of
@@ -49,20 +56,25 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of an edge reaches.
 
     Large-star and small-star steps in turn, each settled, until nothing
-    changes; only two numbers a round come to the driver.
+    changes; only two numbers a round come to the driver. A round of up to
+    ``ONE_TASK`` edges runs in one task without a shuffle.
     """
     cols = [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
-    now = common.settled(edges.select(*cols).where("u <> v").distinct())
     mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    now = common.settled(edges.select(*cols).where("u <> v").distinct())
     last = mark(now)
     while last[0]:
+        if last[0] <= ONE_TASK:
+            now = now.coalesce(1)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = both.coalesce(1) if last[0] <= ONE_TASK else both
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
-        small = joined.select("u", F.col("m").alias("v")).union(joined.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
-        now = common.settled(small)
+        small = joined.select("u", F.col("m").alias("v")).union(joined.select(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = small.coalesce(1) if last[0] <= ONE_TASK else small
+        now = common.settled(small.where("u <> v").distinct())
         new = mark(now)
         if new == last:
             break
@@ -132,7 +144,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, k: int = 64, miss: float = 1e-9, longest_list: int = 24
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, k: int = 48, miss: float = 1e-9, longest_list: int = 24
 ) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of shingle sets.
 
@@ -189,14 +201,14 @@ def near_duplicates(
     pairs = pairs_short.union(pairs_long).distinct()
     likely = common.settled(pairs.join(sketches["a"], "a").join(sketches["b"], "b").where(_estimate_passes(k, percent, miss)).select("a", "b"))
 
-    def full_sets(ids: DataFrame) -> DataFrame:
-        chosen = source.join(ids.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        return shingle_hashes(chosen, "text", width, "h").select(F.col("doc_id").alias("rep"), F.size("h").cast("long").alias("n"), "h")
-
-    ends = likely.select(F.explode(F.array("a", "b")).alias("rep"))
-    links = common.settled(_verified(likely, common.settled(full_sets(ends)), percent))
+    ids = common.settled(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).union(long.select("rep")).distinct())
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    chosen = source.join(ids, "doc_id", "left_semi")
+    sets = common.settled(shingle_hashes(chosen, "text", width, "h").select(F.col("doc_id").alias("rep"), F.size("h").cast("long").alias("n"), "h"))
+    links = common.settled(_verified(likely, sets, percent))
     if not long.isEmpty():
-        links = common.settled(links.union(_rest_of_long_lists(long, links, full_sets, percent)))
+        links = common.settled(links.union(_rest_of_long_lists(long, links, sets, percent)))
     found = components(links)
     by_class = reps.join(found, reps["rep"] == found["node"], "left").select("f1", "f2", F.col("n").alias("cn"), F.coalesce("component", "rep").alias("component"))
     own = by_class.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "cn", "component")
@@ -205,7 +217,7 @@ def near_duplicates(
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _rest_of_long_lists(long: DataFrame, links: DataFrame, full_sets, percent: int, block: int = 256) -> DataFrame:
+def _rest_of_long_lists(long: DataFrame, links: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
     """Links between members of long lists that are still in different components.
 
     Lists that share members make one cluster; its members are dealt into
@@ -223,7 +235,7 @@ def _rest_of_long_lists(long: DataFrame, links: DataFrame, full_sets, percent: i
     sizes = nodes.groupBy("cluster", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = common.settled(
         nodes.join(sizes, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
-        .join(common.settled(full_sets(nodes)), "rep")
+        .join(sets, "rep")
     )
     blocks = placed.groupBy("cluster", "band", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     left, right = (blocks.select("cluster", F.col("band").alias(f"band_{x}"), F.col("block").alias(f"block_{x}"), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}")) for x in "ab")
