@@ -54,5 +54,26 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
          AND n_exclamations / n_words <= 0.10::DOUBLE AND n_stop_words / n_words >= 0.03::DOUBLE
          AND n_dup_lines / n_lines <= 0.50::DOUBLE AND n_repeat_words / n_words <= 0.45::DOUBLE, true) AS kept
 FROM v
+""",
+    "op6_bottom_k_near_duplicates": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w
+), n AS (
+  SELECT w.doc_id, count(sh) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), e AS (
+  SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)
+), both_ways AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r(id, c) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT b, r.c FROM r JOIN both_ways ON r.id = a WHERE r.c < b
+), m AS (
+  SELECT id, min(c) AS component_id FROM r GROUP BY id
+)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m ON doc_id = id
 """,
 }
