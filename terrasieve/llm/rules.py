@@ -100,6 +100,9 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         F.transform(places, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1) - p, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x
     )
     out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_words", "_windows", "_sorted", "_places")
+    # a row id that is used keeps Catalyst from moving a caller's filter below
+    # these projections, where it would evaluate each expression at every use
+    out = out.withColumn("_row", F.monotonically_increasing_id()).where("_row >= 0").drop("_row")
     per = lambda n, d: F.try_divide(F.col(n).cast("double"), F.col(d))
     return out.withColumns(
         {
@@ -133,13 +136,8 @@ def apply_rules(df: DataFrame, text: str = "text", rules=RULES, min_words: int =
 
 
 def passing(df: DataFrame, **options) -> DataFrame:
-    """The rows that ``apply_rules`` keeps, columns as they were.
-
-    The row id keeps Catalyst from moving the filter below the projections,
-    which would evaluate each expression once for every use.
-    """
-    judged = apply_rules(df, **options).select(*df.columns, "kept", F.monotonically_increasing_id().alias("_row"))
-    return judged.where("kept and _row >= 0").select(*df.columns)
+    """The rows that ``apply_rules`` keeps, columns as they were."""
+    return apply_rules(df, **options).where("kept").select(*df.columns)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
