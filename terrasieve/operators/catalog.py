@@ -140,3 +140,14 @@ def concept_columns(concepts: Sequence[dict], scaled: dict[str, Column], raw: di
         values = [-scaled[f] if f in c.get("reverse", ()) else scaled[f] for f in c["features"]]
         out[c["concept"]] = S.row_max(values) if c["role"] in MAX_ROLES else S.row_median(values)
     return out
+
+
+def dataset_profile(df: DataFrame, label: str, region: str, key: str) -> DataFrame:
+    """One row: rows, columns, classes, regions, different keys, repeated keys
+    and the mean over columns of their missing rates."""
+    rest = [c for c in df.columns if c not in (label, region, key)]
+    missing = sum((F.avg(F.col(f"`{c}`").isNull().cast("double")) for c in rest), F.lit(0.0)) / max(len(rest), 1)
+    return df.agg(
+        F.count("*").alias("n_rows"), F.lit(len(df.columns)).cast("long").alias("n_columns"), F.count_if(F.col(label) == 1).alias("n_positive"), F.count_if(F.col(label) == 0).alias("n_negative"),
+        F.count_distinct(region).alias("n_regions"), F.count_distinct(key).alias("n_keys"), (F.count(key) - F.count_distinct(key)).alias("n_repeated_keys"), missing.alias("mean_missing_rate"),
+    )

@@ -77,3 +77,17 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def align(left: DataFrame, right: DataFrame, key: str, position: str = "row_index") -> DataFrame:
+    """Right rows for left ones: by ``key`` where both sides hold it once and
+    the left is covered, else by ``position``, which must then cover it."""
+    by_key = duplicate_keys(left, [key]).isEmpty() and duplicate_keys(right, [key]).isEmpty() and left.join(right, key, "left_anti").isEmpty()
+    return contract_join(left, right.drop(position), [key]) if by_key else contract_join(left, right.drop(key), [position], contract="one_to_one", complete=True)
+
+
+def expect_metric(metrics: DataFrame, model: str, column: str, expected: float, tolerance: float = 1e-10) -> None:
+    """The mean over folds of a model's metric must be what was published."""
+    got = metrics.where(F.col("model") == model).agg(F.avg(column).alias("m")).first()["m"]
+    if got is None or abs(got - expected) > tolerance:
+        raise ContractError(f"{model} {column}: {got} is not {expected}")

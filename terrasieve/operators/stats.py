@@ -61,6 +61,56 @@ def auc_by(df: DataFrame, by: Sequence[str], label: str = "y", value: str = "val
     return out.select(*by, "n_pos", "n_neg", F.try_divide(F.col("_won"), F.col("n_pos") * F.col("n_neg")).alias("auc"))
 
 
+def weighted_auc_by(df: DataFrame, by: Sequence[str], weight: str, label: str = "y", value: str = "value") -> DataFrame:
+    """``auc_by`` with rows counted ``weight`` times, as resamples need."""
+    clean = df.where(F.col(label).isNotNull() & F.col(value).isNotNull() & (F.col(weight) > 0))
+    counts = clean.groupBy(*by, value).agg(F.sum(F.when(F.col(label) == 1, F.col(weight)).otherwise(0)).alias("_p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(F.col(weight))).alias("_n"))
+    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = counts.withColumn("_won", F.col("_p") * (below + F.col("_n") / 2))
+    out = won.groupBy(*by).agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"), F.sum("_won").alias("_won"))
+    return out.select(*by, "n_pos", "n_neg", F.try_divide(F.col("_won"), F.col("n_pos") * F.col("n_neg")).alias("auc"))
+
+
+def poisson_weight(iteration: Column, *key: Column, seed: int = 0) -> Column:
+    """Times that a row is drawn in a resample: Poisson of mean 1 by a hash of
+    iteration and key. It stands for draws with replacement where the rows of
+    a class are too many to draw in one place."""
+    u = F.pmod(F.xxhash64(iteration, *key, F.lit(seed)), F.lit(1_000_003)) / 1_000_003
+    steps, total, p = [], 0.0, math.exp(-1)
+    for k in range(8):
+        total += p
+        steps.append(F.lit(total))
+        p /= k + 1
+    return sum(((u >= t).cast("int") for t in steps), F.lit(0))
+
+
+def selection_rates(df: DataFrame, env: str, label: str, columns: Sequence[str], weight, iterations: int = 100, top_k: int = 12, min_class: int = 10) -> DataFrame:
+    """How often each column is among the ``top_k`` strongest (2 |AUC - 1/2|,
+    ties by name) in resamples of each environment.
+
+    ``weight(iteration)`` gives a row's times in a resample. Environments with
+    fewer than ``min_class`` rows of a class are left out. Rows meet by value
+    before they are multiplied out over iterations."""
+    counts = df.groupBy(F.col(env).alias("env")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
+    able = counts.where((F.col("p") >= min_class) & (F.col("n") >= min_class)).select("env")
+    drawn = df.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("times", weight(F.col("iteration"))).where("times > 0")
+    long = long_form(drawn.select(F.col(env).alias("env"), F.col(label).alias("y"), "iteration", "times", *columns), ["env", "y", "iteration", "times"], columns)
+    auc = weighted_auc_by(long.join(F.broadcast(able), "env"), ["env", "iteration", "concept"], "times")
+    strength = F.coalesce(F.round(F.abs(F.col("auc") - 0.5), 12), F.lit(-1.0))
+    place = F.row_number().over(Window.partitionBy("env", "iteration").orderBy(strength.desc(), "concept"))
+    return auc.withColumn("_place", place).groupBy("env", "concept").agg(F.avg((F.col("_place") <= top_k).cast("double")).alias("selection_rate"), F.count("*").alias("n_iterations"))
+
+
+def mean_feature_spearman(df: DataFrame, pairs: dict[str, str], min_pairs: int = 30) -> DataFrame:
+    """Mean Spearman correlation of recovered columns with their references
+    {recovered: reference}; pairs too few or constant are left out."""
+    found = [spearman_pairs(df, [a], [b], min_pairs) for a, b in pairs.items()]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.agg(F.avg("spearman").alias("mean_spearman"), F.count("spearman").alias("n_features"))
+
+
 def cohen_d(n1: Column, m1: Column, v1: Column, n0: Column, m0: Column, v0: Column) -> Column:
     """Pooled (ddof 1); null for fewer than 2 in a class, 0 without variance."""
     pooled = ((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)

@@ -93,3 +93,8 @@ def smote_like(df: DataFrame, features: Sequence[str], label: str, key: str, k:
     made = times.withColumn("_x", F.zip_with("_a", pick, lambda x, y: x + (y - x) * (h(2) / 1_000_003))).orderBy("_i", "_ka").limit(need)
     new = made.select(F.lit(None).cast(dict(df.dtypes)[key]).alias(key), F.lit(small).alias(label), *[F.col("_x")[i].alias(c) for i, c in enumerate(features)])
     return df.select(key, label, *[F.col(c).cast("double").alias(c) for c in features]).unionByName(new)
+
+
+def l1_selected(model, features: Sequence[str], floor: float = 1e-9) -> list[str]:
+    """Features that a sparse logistic model gives a coefficient."""
+    return [f for f, c in zip(features, model.stages[-1].coefficients.toArray()) if abs(c) > floor]

@@ -645,6 +645,43 @@ def group_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {ITEMS} SELECT count(*) AS n_rows, 8::BIGINT AS n_columns, count(*) FILTER (y = 1) AS n_positive, count(*) FILTER (y = 0) AS n_negative, count(DISTINCT state) AS n_regions, count(DISTINCT row_index) AS n_keys, count(row_index) - count(DISTINCT row_index) AS n_repeated_keys,
+       {r('(avg((qty IS NULL)::INT) + avg((price IS NULL)::INT) + avg((disc IS NULL)::INT) + avg((tax IS NULL)::INT) + avg((env IS NULL)::INT)) / 5', 'mean_missing_rate')} FROM it"""
+)
+def dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(catalog.dataset_profile(items(spark, sf_dir), "y", "state", "row_index"))
+
+
+@query(
+    f"""WITH {ITEMS}, dr AS (SELECT it.*, i, (row_index * 7 + i * 13) % 3 AS times FROM it, range(4) a(i)), rp AS (SELECT dr.* FROM dr, range(times)),
+lg AS ({' UNION ALL '.join(f"SELECT env, i, y, '{c}' AS concept, {c}::DOUBLE AS v FROM rp WHERE {c} IS NOT NULL" for c in ('qty', 'price', 'disc', 'tax'))}),
+rk AS (SELECT env, i, concept, y, rank() OVER w + (count(*) OVER (PARTITION BY env, i, concept, v) - 1) / 2.0 AS rk FROM lg WINDOW w AS (PARTITION BY env, i, concept ORDER BY v)),
+au AS (SELECT env, i, concept, (sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) AS auc FROM rk GROUP BY env, i, concept),
+pl AS (SELECT env, concept, row_number() OVER (PARTITION BY env, i ORDER BY round(abs(auc - 0.5), 12) DESC, concept) AS nth FROM au)
+SELECT env, concept, {r('avg((nth <= 2)::INT)', 'selection_rate')}, count(*) AS n_iterations FROM pl GROUP BY env, concept"""
+)
+def selection_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resamples by a fixed table of weights, so that both engines draw alike."""
+    times = lambda i: (F.col("row_index") * 7 + i * 13) % 3
+    return rounded(stats.selection_rates(items(spark, sf_dir), "env", "y", Z_COLUMNS, times, iterations=4, top_k=2))
+
+
+@query(
+    f"""WITH {SPEARMAN_SQL} SELECT {r("avg(spearman)", 'mean_spearman')}, count(spearman) AS n_features FROM sp WHERE (target, covariate) IN (('price', 'disc'), ('qty', 'tax'))"""
+)
+def mean_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.mean_feature_spearman(items(spark, sf_dir), {"price": "disc", "qty": "tax"}))
+
+
+@query()
+def discovered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial-correlation and sparse-model edges of each region; the sparse
+    solver is the engine's own, so there is no SQL."""
+    groups = {"qty": "geochemistry", "price": "geochemistry", "disc": "climate", "tax": "climate", "y": "target"}
+    return experiments.discover_edges(settled(items(spark, sf_dir)), "env", "y", ["qty", "price", "disc", "tax"], groups)
+
+
 @query()
 def forest_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recipes with a forest in grouped folds; learners differ by engine, so

@@ -297,3 +297,25 @@ def test_scalars(spark):
     m = spark.createDataFrame([(1.0, None, 3.0), (None, None, None)], "a double, b double, c double").select(S.row_median([F.col(c) for c in "abc"]).alias("m")).collect()
     assert [x["m"] for x in m] == [2.0, None]
     assert spark.range(1).select(S.pair_key(F.lit("b"), F.lit("a"), F.lit(False)), S.padded("top", F.lit(5))).first()[:] == ("a -- b", "top05")
+
+
+def test_selection_and_poisson_weights(spark):
+    w = spark.range(20_000).select(stats.poisson_weight(F.lit(3), F.col("id")).alias("w")).agg(F.avg("w").alias("m"), F.var_pop("w").alias("v")).first()
+    assert w["m"] == pytest.approx(1, abs=0.05) and w["v"] == pytest.approx(1, abs=0.1)
+    df = spark.range(400).select("id", F.lit("e").alias("env"), (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 2 + F.rand(1)).alias("good"), F.rand(2).alias("bad"))
+    out = {r["concept"]: r["selection_rate"] for r in stats.selection_rates(df, "env", "y", ["bad", "good"], lambda i: stats.poisson_weight(i, F.col("id")), iterations=10, top_k=1).collect()}
+    assert out == {"good": 1.0, "bad": 0.0}
+    few = stats.selection_rates(df.limit(8), "env", "y", ["bad", "good"], lambda i: F.lit(1), iterations=2)
+    assert few.count() == 0
+
+
+def test_align_and_published_metric(spark):
+    left = spark.createDataFrame([("a", 0), ("b", 1)], "k string, row_index int")
+    right = spark.createDataFrame([("b", 0, 20), ("a", 1, 10)], "k string, row_index int, v int")
+    assert {r["k"]: r["v"] for r in guards.align(left, right, "k").collect()} == {"a": 10, "b": 20}
+    twice = right.withColumn("k", F.lit("a"))
+    assert {r["k"]: r["v"] for r in guards.align(left, twice, "k").collect()} == {"a": 20, "b": 10}
+    m = spark.createDataFrame([("M2", 0.5), ("M2", 0.7)], "model string, ap double")
+    guards.expect_metric(m, "M2", "ap", 0.6)
+    with pytest.raises(guards.ContractError):
+        guards.expect_metric(m, "M2", "ap", 0.61)
