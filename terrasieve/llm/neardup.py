@@ -223,6 +223,8 @@ def _rest_of_long_lists(long: DataFrame, links: DataFrame, sets: DataFrame, perc
     Lists that share members make one cluster; its members are dealt into
     bands of sizes a factor of 100 / percent apart, where only equal or
     neighbouring bands can hold a link, and into blocks of about ``block``.
+    Members of a cluster's largest component have blocks of their own, so that
+    two of those are not compared again.
     """
     clusters = components(long.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
     found = components(links)
@@ -232,9 +234,11 @@ def _rest_of_long_lists(long: DataFrame, links: DataFrame, sets: DataFrame, perc
         found.select(F.col("node").alias("rep"), "component"), "rep", "left"
     )
     nodes = common.settled(nodes.select("rep", "cluster", F.coalesce("component", "rep").alias("component"), band.alias("band")))
-    sizes = nodes.groupBy("cluster", "band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    largest = nodes.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    nodes = nodes.join(largest, "cluster").withColumn("part", (F.col("component") != F.col("main")).cast("int")).drop("main")
+    sizes = nodes.groupBy("cluster", "band", "part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     placed = common.settled(
-        nodes.join(sizes, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
+        nodes.join(sizes, ["cluster", "band", "part"]).withColumn("block", F.struct("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("nth"))).drop("blocks", "part")
         .join(sets, "rep")
     )
     blocks = placed.groupBy("cluster", "band", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
@@ -247,7 +251,7 @@ def _rest_of_long_lists(long: DataFrame, links: DataFrame, sets: DataFrame, perc
     keys = ["cluster", "band_a", "block_a", "band_b", "block_b"]
     sides = [
         meet.join(placed.select("cluster", F.col("band").alias(f"band_{x}"), F.col("block").alias(f"block_{x}"), "rep", "component", "n", "h"), ["cluster", f"band_{x}", f"block_{x}"])
-        .select(*[F.col(k).alias(f"{x}_{k}") for k in keys], *[F.col(v).alias(v) for v in ("rep", "component", "n", "h")])
+        .select(*[F.to_json(k).alias(f"{x}_{k}") if k.startswith("block") else F.col(k).alias(f"{x}_{k}") for k in keys], *[F.col(v).alias(v) for v in ("rep", "component", "n", "h")])
         .groupBy(*[f"{x}_{k}" for k in keys])
         for x in "ab"
     ]
