@@ -5,6 +5,7 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from terrasieve import queries as q
@@ -22,7 +23,7 @@ def duck():
 
 def rows(df):
     def cell(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         return round(float(v), 5) + 0.0 if isinstance(v, float) else v
 
