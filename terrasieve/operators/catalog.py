@@ -86,9 +86,13 @@ def role_catalog(df: DataFrame, rules: Sequence[RoleRule] = SAMPLE_ROLES) -> Dat
     return stats.select(F.inline(F.array(*rows)))
 
 
+#: Yearly ratios that adjust although their names do not say so.
+ADJUSTER_RATIOS = frozenset({"climate_water_balance_annual_mm", "climate_ppt_pet_ratio_annual", "climate_aet_pet_ratio_annual"})
+
+
 def is_adjuster(name: str) -> bool:
     """Climate columns that adjust others: yearly values and their ratios."""
-    return name.startswith(("env_climate_", "env_aridity")) or "_annual_" in name or name.endswith(("_annual_sum", "_annual_mean"))
+    return name in ADJUSTER_RATIOS or name.startswith(("env_climate_", "env_aridity")) or "_annual_" in name or name.endswith(("_annual_sum", "_annual_mean"))
 
 
 def columns_where(catalog: DataFrame, condition: str) -> list[str]:
@@ -122,8 +126,17 @@ def resolve_first_match(features: DataFrame, rules: DataFrame, feature: str = "f
     return features.join(first, feature, "left").withColumn("mapped", F.col("rule_no").isNotNull())
 
 
-#: Roles whose concepts take the row maximum of scaled features.
-MAX_ROLES = frozenset({"mineralization_signal", "pathfinder", "proximity"})
+#: Roles whose concepts take the row maximum of scaled features.
+MAX_ROLES = frozenset(
+    {"mineralization_signal", "pathfinder_signal", "geochemical_background", "structural_control", "geophysical_source_density", "geophysical_source_strength"}
+)
+#: Concepts of 0 and 1, which take the row maximum of raw features.
+BINARY_CONCEPTS = frozenset(
+    {
+        "carbonate_geology", "felsic_intermediate_geology", "igneous_geology", "intrusive_geology", "mafic_geology", "metamorphic_geology", "sedimentary_geology",
+        "unconsolidated_cover",
+    }
+)
 
 
 def concept_columns(concepts: Sequence[dict], scaled: dict[str, Column], raw: dict[str, Column]) -> dict[str, Column]:
@@ -134,7 +147,7 @@ def concept_columns(concepts: Sequence[dict], scaled: dict[str, Column], raw: di
     maximum of scaled values, all others the row median."""
     out = {}
     for c in concepts:
-        if c.get("binary"):
+        if c.get("binary", c["concept"] in BINARY_CONCEPTS):
             out[c["concept"]] = S.row_max([raw[f] for f in c["features"]])
             continue
         values = [-scaled[f] if f in c.get("reverse", ()) else scaled[f] for f in c["features"]]

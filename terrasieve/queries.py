@@ -332,7 +332,7 @@ def robust_z(spark: SparkSession, sf_dir: str) -> DataFrame:
 def concept_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = stats.with_robust_z(items(spark, sf_dir), Z_COLUMNS)
     concepts = (
-        {"concept": "concept_signal", "features": ["qty", "price"], "role": "pathfinder"},
+        {"concept": "concept_signal", "features": ["qty", "price"], "role": "pathfinder_signal"},
         {"concept": "concept_context", "features": ["disc", "tax", "price"], "role": "context", "reverse": ["disc"]},
         {"concept": "concept_flag", "features": ["y", "odd"], "role": "context", "binary": True},
     )
@@ -366,7 +366,7 @@ def environment_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {EFFECTS_SQL}, vt AS (SELECT *, auc_strength >= 0.01 OR coalesce(rank() OVER (PARTITION BY env ORDER BY round(abs(cohen_d), 9) DESC NULLS LAST) <= 1, false) AS sel FROM ef),
 g AS (SELECT concept, count(*) FILTER (sel) AS n_selected, coalesce(array_to_string(list_sort(list_distinct(list(env::VARCHAR) FILTER (sel))), ';'), '') AS environments, avg(auc) AS mean_auc, count(DISTINCT CASE WHEN sel THEN direction END) AS dirs FROM vt GROUP BY concept)
 SELECT concept, n_selected, environments, {r('mean_auc', 'mean_auc')}, {r('n_selected / 5', 'stable_score')}, dirs = 1 AS direction_consistent,
-       CASE WHEN n_selected >= 5 AND dirs = 1 THEN 'stable_all' WHEN n_selected / 5 >= 2 / 3 AND dirs = 1 THEN 'stable_most' WHEN n_selected > 0 AND dirs <> 1 THEN 'direction_varies' WHEN n_selected > 0 THEN 'local' ELSE 'none' END AS signal_class,
+       CASE WHEN n_selected >= 5 AND dirs = 1 THEN 'cross_environment_stable_signal' WHEN n_selected / 5 >= 2 / 3 AND dirs = 1 THEN 'mostly_stable_signal' WHEN n_selected > 0 AND dirs <> 1 THEN 'environment_sensitive_or_direction_conflict' WHEN n_selected > 0 THEN 'environment_specific_signal' ELSE 'not_selected_in_main_environments' END AS signal_class,
        n_selected >= 2 AS is_candidate FROM g"""
 )
 def signal_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -566,9 +566,9 @@ def edge_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {EDGES_SQL}, k AS (SELECT *, CASE WHEN target_group = 'target' AND source_group = 'geochemistry' AND env_count = 5 AND sign_consistent THEN 'stable_mineralization_signal_edge' WHEN target_group = 'target' AND env_count >= 2 AND sign_consistent THEN 'mostly_stable_direct_signal_edge'
-  WHEN target_group = 'target' AND source_group IN ('climate', 'terrain') THEN 'environment_or_exposure_sensitive_target_edge' WHEN source_group = target_group THEN 'within_variable_family_association' WHEN target_group = 'geochemistry' THEN 'candidate_control_edge' WHEN NOT directed THEN 'undirected_cross_environment_association' ELSE 'other_edge' END AS edge_class FROM cs)
-SELECT source, CASE edge_class WHEN 'stable_mineralization_signal_edge' THEN 'stably_indicates' WHEN 'mostly_stable_direct_signal_edge' THEN 'indicates' WHEN 'within_variable_family_association' THEN 'covaries_within_family' WHEN 'candidate_control_edge' THEN 'may_control' ELSE 'related_to' END AS relation, target, edge_class, environments,
-  {r('stable_edge_score', 'stable_edge_score')}, {r('mean_edge_weight', 'mean_edge_weight')}, CASE WHEN edge_class IN ('within_variable_family_association', 'undirected_cross_environment_association') THEN 'context' WHEN stable_edge_score >= 1 AND sign_consistent THEN 'high' ELSE 'medium' END AS confidence FROM k"""
+  WHEN target_group = 'target' AND source_group IN ('climate', 'terrain') THEN 'environment_or_exposure_sensitive_target_edge' WHEN source_group = target_group THEN 'within_variable_family_edge' WHEN target_group = 'geochemistry' THEN 'candidate_control_on_geochemical_expression' WHEN NOT directed THEN 'undirected_cross_environment_association' ELSE 'other_candidate_edge' END AS edge_class FROM cs)
+SELECT source, CASE edge_class WHEN 'stable_mineralization_signal_edge' THEN 'stable_signal_for' WHEN 'mostly_stable_direct_signal_edge' THEN 'mostly_stable_signal_for' WHEN 'within_variable_family_edge' THEN 'covaries_with' WHEN 'candidate_control_on_geochemical_expression' THEN 'candidate_modulates' ELSE 'associated_with' END AS relation, target, edge_class, environments,
+  {r('stable_edge_score', 'stable_edge_score')}, {r('mean_edge_weight', 'mean_edge_weight')}, CASE WHEN edge_class IN ('within_variable_family_edge', 'undirected_cross_environment_association') THEN 'context' WHEN stable_edge_score >= 1 AND sign_consistent THEN 'high' ELSE 'medium' END AS confidence FROM k"""
 )
 def knowledge_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.knowledge_triples(graph.edge_consensus(region_edges(spark, sf_dir), 5), 5))
