@@ -33,8 +33,7 @@ def group_kfold(df: DataFrame, group: str, k: int = 5, fold: str = "fold") -> Da
 def stratified_kfold(df: DataFrame, label: str, order: Sequence[Column | str], k: int = 5, fold: str = "fold") -> DataFrame:
     """Folds of even class counts: rows of a class are dealt in ``order``
     (a pseudo-random key; give a total order)."""
-    w = Window.partitionBy(label).orderBy(*order)
-    return df.withColumn(fold, ((F.row_number().over(w) - 1) % k).cast("int"))
+    return guards.number_within(df, [label], order, "_nth").withColumn(fold, (F.col("_nth") % k).cast("int")).drop("_nth")
 
 
 def leave_one_group_out(df: DataFrame, group: str, fold: str = "fold") -> DataFrame:
@@ -66,9 +65,12 @@ def train_test(df: DataFrame, folds: Sequence[int], fold: str = "fold") -> DataF
 
 def stratified_half(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first half (rounded down) of each stratum in a pseudo-random order."""
-    w = Window.partitionBy(*by)
-    numbered = df.withColumns({"_nth": F.row_number().over(w.orderBy(*order)), "_n": F.count("*").over(w)})
-    return numbered.where(F.col("_nth") <= F.floor(F.col("_n") / 2)).drop("_nth", "_n")
+    numbered = guards.number_within(df, by, order, "_nth")
+    sizes = numbered.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(F.floor(F.count("*") / 2).alias("_half"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    return numbered.join(sizes, same).where(F.col("_nth") < F.col("_half")).select(*df.columns)
 
 
 def negative_schemes(positives: DataFrame, hard: DataFrame, background: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settled
+from ..operators import guards, neighbours
 from ..operators.guards import ContractError
 
 
@@ -69,30 +71,33 @@ def importances(model, features: Sequence[str]) -> list[tuple[str, float]]:
 
 def smote_like(df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5, seed: int = 0) -> DataFrame:
     """The minority class filled up to balance by points between a row and one
-    of its ``k`` nearest of the class (squared distance on scaled features).
-
-    Minority rows are a bounded table: their block is broadcast to itself."""
-    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
-    small = min(counts, key=lambda c: (counts[c], c))
-    need = max(counts.values()) - counts[small]
-    rows = df.where(F.col(label) == small)
-    if counts[small] > 50_000:
-        raise ContractError("over 50,000 minority rows: too many for the broadcast neighbour search")
-    if need == 0 or counts[small] < 2:
-        return df.select(key, label, *features)
-    spread = rows.agg(*[F.stddev_pop(c).alias(c) for c in features]).first()
-    a = rows.select(F.col(key).alias("_ka"), F.array(*[F.col(c).cast("double") for c in features]).alias("_a"))
-    b = rows.select(F.col(key).alias("_kb"), F.array(*[F.col(c).cast("double") for c in features]).alias("_b"))
-    scale = F.array(*[F.lit(float(spread[c] or 1.0) or 1.0) for c in features])
-    d = F.aggregate(F.zip_with(F.zip_with("_a", "_b", lambda x, y: x - y), scale, lambda x, s: x / s), F.lit(0.0), lambda s, x: s + x * x)
-    near = a.join(F.broadcast(b), F.col("_ka") != F.col("_kb")).groupBy("_ka", "_a").agg(F.slice(F.sort_array(F.collect_list(F.struct(d.alias("d"), "_kb", "_b"))), 1, k).alias("near"))
-    n = counts[small]
-    times = near.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(-(-need // n) - 1))))
-    h = lambda salt: F.pmod(F.xxhash64("_ka", "_i", F.lit(seed), F.lit(salt)), F.lit(1_000_003))
-    pick = F.get("near", (h(1) % F.size("near")).cast("int"))["_b"]
-    made = times.withColumn("_x", F.zip_with("_a", pick, lambda x, y: x + (y - x) * (h(2) / 1_000_003))).orderBy("_i", "_ka").limit(need)
+    of its ``k`` nearest of the class (distance on scaled features).
+
+    New rows have a null key and are dealt evenly over the rows of the class.
+    Rows with equal features count as one neighbour; a row without any
+    neighbour is repeated. Rows with a null feature are kept but not used, and
+    rows without a label fill no class."""
+    counts = {r[label]: r["count"] for r in df.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
+    kept = df.select(key, label, *[F.col(c).cast("double").alias(c) for c in features])
+    small = min(counts, key=lambda c: (counts[c], c), default=None)
+    need = max(counts.values(), default=0) - counts.get(small, 0)
+    rows = settled(kept.where(F.col(label) == small).dropna(subset=list(features)).select(F.col(key).alias("_k"), F.array(*features).alias("_a")))
+    n = rows.count()
+    if not need or not n:
+        return kept
+    spread = rows.agg(*[F.stddev_pop(F.col("_a")[i]).alias(c) for i, c in enumerate(features)]).first()
+    values = settled(rows.groupBy("_a").agg(F.min("_k").alias("_rep")))
+    near = neighbours.k_nearest(values, "_rep", "_a", k, [spread[c] for c in features])
+    lists = near.groupBy("_rep").agg(F.sort_array(F.collect_list(F.struct("nth", "near_vector"))).alias("_near"))
+    numbered = guards.with_row_index(rows, ["_k"], "_nth")
+    times = F.lit(need // n) + (F.col("_nth") < need % n).cast("long")
+    made = numbered.withColumn("_times", times).where("_times > 0").withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    made = made.join(values.join(lists, "_rep", "left"), "_a")
+    h = lambda salt: F.pmod(F.xxhash64("_k", "_i", F.lit(seed), F.lit(salt)), F.lit(1_000_003))
+    pick = F.coalesce(F.get("_near", (h(1) % F.size("_near")).cast("int"))["near_vector"], F.col("_a"))
+    made = made.withColumn("_x", F.zip_with("_a", pick, lambda x, y: x + (y - x) * (h(2) / 1_000_003)))
     new = made.select(F.lit(None).cast(dict(df.dtypes)[key]).alias(key), F.lit(small).alias(label), *[F.col("_x")[i].alias(c) for i, c in enumerate(features)])
-    return df.select(key, label, *[F.col(c).cast("double").alias(c) for c in features]).unionByName(new)
+    return kept.unionByName(new)
 
 
 def l1_selected(model, features: Sequence[str], floor: float = 1e-9) -> list[str]:

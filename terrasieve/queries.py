@@ -608,10 +608,10 @@ def period_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT CASE WHEN c_custkey IS NULL THEN 'left_only' WHEN o_custkey IS NULL THEN 'right_only' ELSE 'both' END AS side, count(*) AS n FROM orders FULL JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey GROUP BY 1"""
+    """SELECT CASE WHEN c_custkey IS NULL THEN 'left_only' WHEN o_custkey IS NULL THEN 'right_only' ELSE 'both' END AS side, count(*) AS n FROM orders FULL JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey GROUP BY 1"""
 )
 def match_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, c = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"))
+    o, c = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
     return guards.match_report(o, c, ["k"])
 
 
@@ -686,8 +686,7 @@ def discovered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forest_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recipes with a forest in grouped folds; learners differ by engine, so
     there is no SQL: the tests hold coverage and leakage instead."""
-    li = items(spark, sf_dir).where("row_index % 8 = 1")
-    folds = settled(splits.group_kfold(li, "state", 3))
+    folds = settled(splits.group_kfold(items(spark, sf_dir), "state", 3))
     sets = {"full": ["qty", "price", "disc", "tax"], "no_climate": ["qty", "price"], "core_geo": ["qty", "price"], "climate_adjusters": ["disc", "tax"], "geochemistry": ["qty", "price"]}
     oof = experiments.out_of_fold(folds, sets, ["Full", "NoClimate", "M3_Broad"], "y", "row_index", learner="forest", trees=10)
     return experiments.coverage(oof, folds, "row_index").join(evaluate.classification_metrics(oof, ["model"]), "model")
@@ -695,5 +694,5 @@ def forest_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def balanced_by_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pt = points(spark, sf_dir).select("id", "y", "lat", "lon").where("state < 3")
+    pt = points(spark, sf_dir).select("id", "y", "lat", "lon")
     return learners.smote_like(pt, ["lat", "lon"], "y", "id")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from terrasieve.functions import scalars as S
 from terrasieve.functions.lineage import settled
-from terrasieve.operators import catalog, evaluate, graph, guards, series, spatial, splits, stats
+from terrasieve.operators import catalog, evaluate, graph, guards, neighbours, series, spatial, splits, stats
 from terrasieve.plans import learners, recipe
 from terrasieve.sources import audit, readers, sinks
 
@@ -319,3 +319,46 @@ def test_align_and_published_metric(spark):
     guards.expect_metric(m, "M2", "ap", 0.6)
     with pytest.raises(guards.ContractError):
         guards.expect_metric(m, "M2", "ap", 0.61)
+
+
+def test_nearest_rows_are_exact_in_dense_and_sparse_places(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (150, 3)), rng.normal(0, 1e-4, (150, 3)), [[500.0, -40.0, 7.0]]])
+    x[:, 2] = np.round(x[:, 2])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, v array<double>")
+    scale = [2.0, 0.5, 3.0]
+    d = np.sqrt((((x[:, None] - x[None]) / scale) ** 2).sum(-1))
+    got = {}
+    for r in neighbours.k_nearest(df, "id", "v", 4, scale).orderBy("id", "nth").collect():
+        got.setdefault(r["id"], []).append(r["distance"])
+    assert len(got) == len(x)
+    for i, found in got.items():
+        assert found == pytest.approx(np.sort(np.delete(d[i], i))[:4].tolist(), rel=1e-9)
+
+
+def test_nearest_rows_of_few(spark):
+    one = spark.createDataFrame([(1, [0.0])], "id long, v array<double>")
+    assert neighbours.k_nearest(one, "id", "v").count() == neighbours.k_nearest(one.where("false"), "id", "v").count() == 0
+    two = spark.createDataFrame([(1, [0.0]), (2, [3.0])], "id long, v array<double>")
+    assert sorted(tuple(r)[:3] for r in neighbours.k_nearest(two, "id", "v").collect()) == [(1, 1, 2), (2, 1, 1)]
+
+
+def test_interpolation_balances_within_the_class(spark):
+    rows = [(i, 0, float(i % 7), 1.0) for i in range(50)] + [(100 + i, 1, float(i), float(i * i)) for i in range(9)] + [(200 + i, 1, 2.0, 4.0) for i in range(9)] + [(300, 1, None, 1.0), (301, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, y int, a double, b double")
+    out = learners.smote_like(df, ["a", "b"], "y", "id").collect()
+    new = [r for r in out if r["id"] is None]
+    assert len(out) - len(new) == len(rows) and len(new) == 50 - 19 and all(r["y"] == 1 for r in new)
+    assert all(0 <= r["a"] <= 8 and r["a"] ** 2 - 1e-9 <= r["b"] <= 64 for r in new)  # chords of a parabola lie above it
+    alone = spark.createDataFrame([(1, 1, 2.0), (2, 0, 1.0), (3, 0, 1.5), (4, 0, 0.5)], "id long, y int, a double")
+    assert sorted(r["a"] for r in learners.smote_like(alone, ["a"], "y", "id").where("id is null").collect()) == [2.0, 2.0]
+    assert learners.smote_like(df.where("false"), ["a", "b"], "y", "id").count() == 0
+
+
+def test_numbers_within_groups_over_many_ranges(spark):
+    df = spark.range(0, 5000, 1, 7).select("id", F.when(F.col("id") % 10 < 7, "hot").when(F.col("id") % 10 < 9, "cold").alias("g"), F.repeat(F.lit("x"), 30).alias("pad"))
+    got = guards.number_within(df, ["g"], [F.col("id") * 7919 % 10007, "id"], rows_per_range=300).toPandas()
+    assert len(got) == 5000 and list(got.columns) == ["id", "g", "pad", "row_index"]
+    for _, part in got.groupby("g", dropna=False):
+        part = part.assign(o=part["id"] * 7919 % 10007).sort_values(["o", "id"])
+        assert part["row_index"].tolist() == list(range(len(part)))
