@@ -46,7 +46,8 @@ def r(expr: str, name: str) -> str:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as samples: key row_index, label y, four features, env, state."""
+    """Line items as samples: row_index (repeated where the table repeats an
+    order's line), label y, four features, env, state."""
     li, su, na = (table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation"))
     places = su.join(F.broadcast(na), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("env"), F.col("s_nationkey").alias("state"))
     return li.join(places, F.col("l_suppkey") == F.col("s_suppkey")).select(
