@@ -266,6 +266,34 @@ def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.bootstrap_interval(m, "base", "candidate", "roc_auc"))
 
 
+ALL_DRAWS = "dr AS (SELECT i AS iteration, ((i * i + 3 * i + 7) * k * k * k + (5 * i + 1) * k * k + 11 * k + i) % 101 * 7 % 25 AS state, count(*) AS times FROM range(20) a(i), range(25) b(k) GROUP BY ALL)"
+
+
+def state_draws(spark: SparkSession) -> DataFrame:
+    """25 draws with repeats from the 25 states in each of 20 iterations."""
+    i, k = F.col("iteration"), F.col("k")
+    grid = spark.range(20).select(F.col("id").alias("iteration"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("k"))
+    state = ((i * i + 3 * i + 7) * k * k * k + (5 * i + 1) * k * k + 11 * k + i) % 101 * 7 % 25
+    return grid.groupBy("iteration", state.cast("int").alias("state")).agg(F.count("*").alias("times"))
+
+
+@query(
+    f"""WITH {ITEMS}, {ALL_DRAWS}, sc AS (
+  SELECT iteration, model, y, p, times FROM dr JOIN (SELECT state, 'base' AS model, y, qty / 50.0::DOUBLE AS p FROM it UNION ALL SELECT state, 'candidate', y, coalesce(disc, 0.05::DOUBLE) * 10 FROM it) s ON s.state = dr.state
+), rp AS (SELECT iteration, model, y, p FROM sc, range(times)), {metrics_sql('rp', 'iteration, model')}, df AS (
+  SELECT iteration, max(CASE WHEN model = 'candidate' THEN roc_auc END) - max(CASE WHEN model = 'base' THEN roc_auc END) AS d FROM mx GROUP BY iteration
+)
+SELECT 'roc_auc' AS metric, {r('avg(d)', 'mean_delta')}, {r('quantile_cont(d, 0.025)', 'low')}, {r('quantile_cont(d, 0.975)', 'high')}, {r('avg((d > 0)::INT)', 'share_above_0')}, count(d) AS iterations FROM df"""
+)
+def cluster_bootstrap_all_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired differences over resamples of all states. ``cluster_bootstrap``
+    and its SQL draw 7 of them, alike in every iteration."""
+    it = items(spark, sf_dir)
+    scores = it.select("state", "y", F.inline(F.array(F.struct(F.lit("base").alias("model"), (F.col("qty") / 50.0).alias("p")), F.struct(F.lit("candidate").alias("model"), (F.coalesce("disc", F.lit(0.05)) * 10).alias("p")))))
+    m = evaluate.cluster_bootstrap(scores, state_draws(spark), "state", ["base", "candidate"])
+    return rounded(evaluate.bootstrap_interval(m, "base", "candidate", "roc_auc"))
+
+
 @query(
     f"""WITH {ITEMS}, cc AS (SELECT row_index % 97 AS repeat, avg(qty) AS v FROM it GROUP BY 1), ob AS (SELECT avg(qty) + 0.05 AS o FROM it)
 SELECT {r('max(o)', 'observed')}, count(*) AS repeats, {r('avg(v)', 'control_mean')}, {r('quantile_cont(v, 0.95)', 'control_p95')}, {r('(1.0 + count(*) FILTER (v >= o)) / (1.0 + count(*))', 'empirical_p')}, {r('avg((v < o)::INT)', 'percentile')} FROM cc, ob"""
