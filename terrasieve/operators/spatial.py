@@ -44,19 +44,23 @@ def within(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lon:
     return l.join(r, ["_row", "_col"]).drop("_row", "_col").withColumn("km_apart", d).where(F.col("km_apart") <= km)
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, start_km: float = 50.0, lat: str = "lat", lon: str = "lon") -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, start_km: float = 50.0, lat: str = "lat", lon: str = "lon", fold: str | None = None) -> DataFrame:
     """For each left row the nearest right one: key, r_<right_key>, km_apart
-    (ties to the smaller right key).
+    (ties to the smaller right key). With ``fold``, the nearest right row of
+    another fold, and the left row's fold first.
 
     Rings of doubling radius: rows without a partner go on with twice the
     radius, and only those. Past half the globe all rows have been met."""
     from ..operators.guards import union_all
 
-    found, rest, km = [], left.select(key, lat, lon), start_km
+    folds = [fold] if fold else []
+    found, rest, km = [], left.select(*folds, key, lat, lon), start_km
     first = Window.partitionBy(key).orderBy("km_apart", f"r_{right_key}")
-    points = right.select(right_key, lat, lon)
+    points = right.select(*folds, right_key, lat, lon)
     while True:
-        near = within(rest, points, km, lat, lon).withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(key, f"r_{right_key}", "km_apart")
+        near = within(rest, points, km, lat, lon)
+        near = near.where(F.col(fold) != F.col(f"r_{fold}")) if fold else near
+        near = near.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*folds, key, f"r_{right_key}", "km_apart")
         found.append(near)
         if km > math.pi * S.EARTH_RADIUS_KM:
             break
@@ -75,6 +79,19 @@ def remove_buffer(train: DataFrame, test: DataFrame, key: str, km: float, lat: s
     return train.join(close, key, "left_anti")
 
 
+def remove_buffers(df: DataFrame, fold: str, key: str, km: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """``remove_buffer`` for every fold as the test fold: (fold, key) of the
+    rows of other folds farther than ``km`` from its rows. Folds are a small
+    table."""
+    folds = df.select(F.col(fold).alias("_test")).distinct()
+    train = df.crossJoin(F.broadcast(folds)).where(F.col(fold) != F.col("_test")).select(F.col("_test").alias(fold), key)
+    if km <= 0:
+        return train
+    points = df.select(fold, key, lat, lon)
+    close = within(points, points, km, lat, lon).where(F.col(fold) != F.col(f"r_{fold}")).select(F.col(f"r_{fold}").alias(fold), key).distinct()
+    return train.join(close, [fold, key], "left_anti")
+
+
 def connected(edges: DataFrame, settle, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable. Labels spread and jump
     (a node takes its label's label) until none changes; ``settle`` cuts the

@@ -500,6 +500,26 @@ def buffer_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.remove_buffer(pt.where("state % 5 <> 0"), pt.where("state % 5 = 0"), "id", 20.0).select("id")
 
 
+def folded_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with their fold; those without a state are a fold of their own."""
+    return points(spark, sf_dir).select(F.coalesce(F.col("state") % 5, F.lit(5)).cast("int").alias("fold"), "id", "lat", "lon")
+
+
+@query()
+def nearest_neighbours_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest customer of another fold for every customer. An SQL cross
+    join of all customers is slow, so the tests hold it against brute force."""
+    pt = folded_points(spark, sf_dir)
+    return rounded(spatial.nearest(pt, pt, "id", "id", fold="fold"), 4)
+
+
+@query()
+def buffer_removal_by_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training customers left by a buffer of 20 km around each test fold;
+    held against brute force, as ``nearest_neighbours_by_fold`` is."""
+    return spatial.remove_buffers(folded_points(spark, sf_dir), "fold", "id", 20.0)
+
+
 @query(
     f"""WITH RECURSIVE {POINTS}, e AS (SELECT a.id AS a, b.id AS b FROM pt a, pt b WHERE a.id <> b.id AND abs(a.lat - b.lat) < 0.3 AND {km_sql('a', 'b')} <= 25),
 rc(id, c) AS (SELECT id, id FROM pt UNION SELECT e.b, rc.c FROM rc JOIN e ON rc.id = e.a WHERE rc.c < e.b)

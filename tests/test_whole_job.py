@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from terrasieve import queries as q
 
 SF = "/root/testdata/sf0.001"
@@ -17,3 +19,27 @@ def test_bootstrap_draws_every_state_and_varies(spark):
     assert len({tuple(sorted(x)) for x in resamples.values()}) == 20
     got = q.cluster_bootstrap_all_states(spark, SF).first()
     assert got["low"] < got["high"] and got["iterations"] == 20
+
+
+def test_neighbours_and_buffers_of_every_fold(spark):
+    pt = q.folded_points(spark, SF).toPandas()
+    lat, lon = np.radians(pt["lat"].to_numpy()), np.radians(pt["lon"].to_numpy())
+    h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+    km = 2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(h, 1)))
+    fold, ids = pt["fold"].to_numpy(), pt["id"].to_numpy()
+    assert set(fold) == set(range(5))
+    apart = np.where(fold[:, None] != fold, km, np.inf)
+
+    got = q.nearest_neighbours_by_fold(spark, SF).toPandas().set_index("id")
+    assert sorted(got.index) == sorted(ids)
+    assert (got.loc[ids, "fold"].to_numpy() == fold).all()
+    assert np.allclose(got.loc[ids, "km_apart"], apart.min(axis=1), atol=1e-3)
+    at = {x: i for i, x in enumerate(ids)}
+    met = apart[np.arange(len(ids)), [at[x] for x in got.loc[ids, "r_id"]]]
+    assert np.allclose(met, apart.min(axis=1), atol=1e-3)
+
+    want = {(f, int(i)) for f in range(5) for i in ids[(fold != f) & (km[:, fold == f].min(axis=1) > 20)]}
+    rows = [tuple(r) for r in q.buffer_removal_by_fold(spark, SF).select("fold", "id").collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    one = {r["id"] for r in q.buffer_removal(spark, SF).collect()}
+    assert one == {i for f, i in want if f == 0}
