@@ -166,15 +166,73 @@ def _long_word(word: bytes, units: Units) -> float:
     return alpha[-1]
 
 
+def _steps(word: bytes, a: int, b: int, units: Units) -> list[list[tuple[int, int, float]]]:
+    """For each end a + 1 to b the (size, unit, log-probability) of the pieces
+    that stop there, shortest first."""
+    start = max(0, a - units.lengths[-1])
+    out: list[list[tuple[int, int, float]]] = [[] for _ in range(b - a)]
+    for size, unit, logp in units.edges(np.frombuffer(word, dtype=np.uint8)[start:b][None, :]):
+        for i in np.flatnonzero(unit[0] >= 0).tolist():
+            if (end := start + i + size) > a:
+                out[end - a - 1].append((size, int(unit[0, i]), float(logp[0, i])))
+    return out
+
+
+def _extend(alpha: list[float], steps: list[list[tuple[int, int, float]]]) -> None:
+    """Add the forward value of each end to ``alpha``."""
+    for here in steps:
+        if len(here) == 1:
+            size, _, p = here[0]
+            alpha.append(alpha[-size] + p)
+            continue
+        terms = [alpha[-size] + p for size, _, p in here]
+        top = max(terms)
+        alpha.append(top + math.log(sum([math.exp(t - top) for t in terms])))
+
+
+def _long_counts(word: bytes, weight: float, units: Units, total: np.ndarray, block: int = 8192) -> None:
+    """Add the expected uses of each unit in one long word to ``total``.
+
+    Forward by blocks of which only the last values are kept, then backward
+    from the last block, whose forward values are found again from those."""
+    n, longest = len(word), units.lengths[-1]
+    cuts = list(range(0, n, block))
+    before, alpha, steps = [], [0.0], []
+    for a in cuts:
+        before.append(alpha[-longest:])
+        alpha = list(before[-1])
+        steps = _steps(word, a, min(n, a + block), units)
+        _extend(alpha, steps)
+    whole = alpha[-1]
+    beta = {n: 0.0}  # by start; those before the block are yet partial
+    for k in range(len(cuts) - 1, -1, -1):
+        a, b = cuts[k], min(n, cuts[k] + block)
+        if k < len(cuts) - 1:
+            steps, alpha = _steps(word, a, b, units), list(before[k])
+            _extend(alpha, steps)
+        offset = a - len(before[k]) + 1  # alpha[j - offset] is that of j bytes
+        hits, shares = [], []
+        for j in range(b, a, -1):
+            after = beta.pop(j)
+            for size, unit, p in steps[j - a - 1]:
+                i = j - size
+                hits.append(unit)
+                shares.append(alpha[i - offset] + p + after - whole)
+                old, t = beta.get(i), p + after
+                beta[i] = t if old is None else max(old, t) + math.log1p(math.exp(-abs(old - t)))
+        total += np.bincount(hits, weights=weight * np.exp(shares), minlength=len(total))
+
+
 def expected_counts(words: list[bytes], weights: np.ndarray, units: Units) -> np.ndarray:
-    """Expected uses of each unit over the weighted words (E step). A word
-    beyond the bound for batches counts its bytes alone."""
+    """Expected uses of each unit over the weighted words (E step). Words
+    beyond the bound for batches are taken one at a time."""
     total = np.zeros(len(units.pieces))
     marked = [WORD_MARK + w for w in words]
     for at, rows in _by_length(marked):
         m, n = rows.shape
         if n > _SHORT:
-            np.add.at(total, rows.ravel(), np.repeat(weights[at], n))  # units 0 to 255 are the bytes
+            for k in at:
+                _long_counts(marked[k], float(weights[k]), units, total)
             continue
         edges = units.edges(rows)
         alpha, beta = forward(edges, m, n), backward(edges, m, n)
