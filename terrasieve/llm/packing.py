@@ -11,8 +11,8 @@ from . import common
 
 def length_bin(length: Column) -> Column:
     """Upper edge of a length's bin: exact below 128, else 64 to 128 bins an
-    octave. One rule for all sizes, so the histogram has at most some 4,000
-    rows however many documents there are."""
+    octave. One rule for all sizes, so a histogram has at most some 4,000 rows
+    however many documents there are. ``pack`` does not use it."""
     width = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 6, F.lit(0))).cast("long")
     return (F.ceil(length / width) * width).cast("long")
 
@@ -24,6 +24,7 @@ def best_boundaries(longest: np.ndarray, counts: np.ndarray, sums: np.ndarray, n
     the sum of lengths of each. ``best[k][j]``, the least padding of the first
     j bins in k buckets, follows from ``best[k-1]`` by the choice of the last
     bucket's first bin; ties take the fewest and then the lowest boundaries.
+    That bin does not fall as j grows, so halving the rows j takes n log n steps.
     """
     n = len(longest)
     if not n:
@@ -34,12 +35,20 @@ def best_boundaries(longest: np.ndarray, counts: np.ndarray, sums: np.ndarray, n
     best, choice = cost, []
     totals = [int(best[-1])]
     for k in range(1, min(n_buckets, n)):
-        new, cut = np.empty(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        for j in range(n):  # bins i..j form the last bucket
-            i = np.arange(1, j + 1)
-            padded = best[i - 1] + longest[j] * (rows[j + 1] - rows[i]) - (tokens[j + 1] - tokens[i]) if j else np.array([], dtype=np.int64)
-            at = int(padded.argmin()) if len(padded) else -1
-            new[j], cut[j] = (padded[at], i[at]) if at >= 0 and padded[at] < best[j] else (best[j], -1)
+        new, cut = best.copy(), np.full(n, -1, dtype=np.int64)
+        spans = [(1, n - 1, 1, n - 1)]  # rows j and the first bins i that they may choose
+        while spans:
+            a, b, lo, hi = spans.pop()
+            j = (a + b) // 2
+            i = np.arange(lo, min(hi, j) + 1)  # bins i..j form the last bucket
+            padded = best[i - 1] + longest[j] * (rows[j + 1] - rows[i]) - (tokens[j + 1] - tokens[i])
+            at = int(padded.argmin())
+            if padded[at] < best[j]:
+                new[j], cut[j] = padded[at], i[at]
+            if a < j:
+                spans.append((a, j - 1, lo, int(i[at])))
+            if j < b:
+                spans.append((j + 1, b, int(i[at]), hi))
         choice.append(cut)
         best = new
         totals.append(int(best[-1]))
@@ -57,9 +66,9 @@ def best_boundaries(longest: np.ndarray, counts: np.ndarray, sums: np.ndarray, n
 def pack(df: DataFrame, length: str, order: list[str], n_buckets: int = 16, token_budget: int = 65_536) -> DataFrame:
     """Give each row a length bucket and a batch within it.
 
-    The histogram of all rows (at most some 4,000 bins, see ``length_bin``)
-    is all that reaches the driver; dynamic programming over it chooses the
-    boundaries. Rows are padded to their bucket's boundary, and
+    The exact histogram (a row for each different length) is all that reaches
+    the driver; dynamic programming over it chooses the boundaries of least
+    padding. Rows are padded to their bucket's boundary, and
     ``max(1, token_budget // boundary)`` of them make a batch, so only a row
     that is itself over the budget makes a batch over it. Null lengths count
     as 0; lengths 0 fall into the first bucket. Adds bucket, boundary,
@@ -68,13 +77,9 @@ def pack(df: DataFrame, length: str, order: list[str], n_buckets: int = 16, toke
     rows apart; give a unique row id for rows that may repeat.
     """
     rows = common.settled(df.withColumn(length, F.coalesce(F.col(length), F.lit(0)).cast("long")))
-    bins = (
-        rows.groupBy(length_bin(F.col(length)).alias("bin"))
-        .agg(F.max(length).alias("longest"), F.count("*").alias("n"), F.sum(length).alias("tokens"))
-        .orderBy("bin")
-        .collect()
-    )
-    bounds, _ = best_boundaries(*(np.array([r[c] for r in bins], dtype=np.int64) for c in ("longest", "n", "tokens")), n_buckets)
+    bins = rows.groupBy(length).agg(F.count("*").alias("n")).orderBy(length).collect()
+    longest, n = (np.array([r[c] for r in bins], dtype=np.int64) for c in (length, "n"))
+    bounds, _ = best_boundaries(longest, n, longest * n, n_buckets)
     edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array(F.lit(0).cast("long"))
     bucketed = rows.withColumn("bucket", F.size(F.filter(edges, lambda b: b < F.col(length))).cast("int")).withColumn(
         "boundary", F.get(edges, F.col("bucket"))
