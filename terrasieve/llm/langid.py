@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Symbols: 0 stands for a run of what is no letter, 1 to 26 for a to z, the
-#: rest for all other letters by their code point.
+#: Symbols: 0 stands for a run of what is no letter, 1 to 26 for a to z, and
+#: any other letter's code point for itself. Trigrams of symbols below
+#: N_SYMBOLS are numbered below N_TABLED and tabulated.
 N_SYMBOLS = 40
+N_TABLED = N_SYMBOLS**3
 
 
 @dataclass(frozen=True)
@@ -36,10 +39,39 @@ class Space:
         return (pairs[:, None, :] * one[None, :, :]).reshape(N_SYMBOLS**3, self.dims)
 
 
+class Vectors:
+    """Trigram vectors of a space: tabulated where all letters are of a to z,
+    else bound on demand from the letters' own seeded vectors."""
+
+    def __init__(self, space: Space):
+        self.space, self.table = space, space.grams()
+        self.one = dict(enumerate(space.letters()))
+
+    def letter(self, symbol: int) -> np.ndarray:
+        if symbol not in self.one:
+            bits = np.random.default_rng((self.space.seed, symbol)).integers(0, 2, self.space.dims, dtype=np.int8)
+            self.one[symbol] = 2 * bits - 1
+        return self.one[symbol]
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero(grams >= N_TABLED)
+        if not len(at):
+            return self.table[grams]
+        out = np.empty((len(grams), self.space.dims), dtype=np.int8)
+        rest = np.flatnonzero(grams < N_TABLED)
+        out[rest] = self.table[grams[rest]]
+        abc = (grams[at] - N_TABLED)[None, :] >> np.array([[42], [21], [0]]) & 0x1FFFFF
+        found, where = np.unique(abc, return_inverse=True)
+        a, b, c = where.reshape(abc.shape)
+        one = np.stack([self.letter(int(x)) for x in found])
+        out[at] = np.roll(one, 2, axis=1)[a] * np.roll(one, 1, axis=1)[b] * one[c]
+        return out
+
+
 def symbol_table() -> np.ndarray:
     """The symbol of each code point of the Basic Multilingual Plane; code
     points beyond it are looked up by ``_beyond``."""
-    table = np.zeros(0x10000, dtype=np.uint8)
+    table = np.zeros(0x10000, dtype=np.uint32)
     for cp in range(0x10000):
         if chr(cp).isalpha():
             table[cp] = _symbol(cp)
@@ -47,7 +79,7 @@ def symbol_table() -> np.ndarray:
 
 
 def _symbol(cp: int) -> int:
-    return cp - 96 if 97 <= cp <= 122 else 27 + (cp * 2654435761 >> 7) % (N_SYMBOLS - 27)
+    return cp - 96 if 97 <= cp <= 122 else cp
 
 
 def _beyond(cp: int) -> int:
@@ -67,8 +99,11 @@ def gram_counts(text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s = s[(s > 0) | np.concatenate([[True], s[:-1] > 0])]
     if s[-1] > 0:
         s = np.append(s, 0)
-    grams = (s[:-2] * N_SYMBOLS + s[1:-1]) * N_SYMBOLS + s[2:]
-    if len(grams) > 20_000:
+    a, b, c = s[:-2], s[1:-1], s[2:]
+    grams = (a * N_SYMBOLS + b) * N_SYMBOLS + c
+    if (other := np.maximum(np.maximum(a, b), c) >= N_SYMBOLS).any():
+        grams = np.where(other, N_TABLED + (a << 42 | b << 21 | c), grams)
+    elif len(grams) > 20_000:
         counts = np.bincount(grams, minlength=N_SYMBOLS**3)
         found = np.flatnonzero(counts)
         return found, counts[found]
@@ -85,21 +120,42 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang", space: Spa
     """
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, vectors = symbol_table(), space.grams()
+        table, vectors = symbol_table(), Vectors(space)
         totals: dict[str, np.ndarray] = {}
+        others: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        waiting: Counter[str] = Counter()
+        sums: dict[str, np.ndarray] = {}
+
+        def add(name: str, found: np.ndarray, n: np.ndarray) -> None:
+            summed = sums.setdefault(name, np.zeros(space.dims))
+            for i in range(0, len(found), 4096):
+                summed += n[i : i + 4096].astype(np.float64) @ vectors.of(found[i : i + 4096])
+
+        def add_others(name: str) -> None:
+            grams, counts = (np.concatenate(x) for x in zip(*others.pop(name)))
+            found, at = np.unique(grams, return_inverse=True)
+            add(name, found, np.bincount(at, weights=counts))
+            waiting[name] = 0
+
         for batch in batches:
             for name, t in zip(batch["lang"], batch["text"]):
                 grams, counts = gram_counts(t, table)
-                if len(grams):
-                    total = totals.setdefault(name, np.zeros(N_SYMBOLS**3, dtype=np.int64))
-                    total[grams] += counts
+                if not len(grams):
+                    continue
+                cut = int(np.searchsorted(grams, N_TABLED))  # grams ascend
+                total = totals.setdefault(name, np.zeros(N_TABLED, dtype=np.int64))
+                total[grams[:cut]] += counts[:cut]
+                if cut < len(grams):
+                    others.setdefault(name, []).append((grams[cut:], counts[cut:]))
+                    waiting[name] += len(grams) - cut
+                    if waiting[name] > 200_000:
+                        add_others(name)
         for name, total in totals.items():
             found = np.flatnonzero(total)
-            summed = np.zeros(space.dims)
-            for i in range(0, len(found), 4096):
-                part = found[i : i + 4096]
-                summed += total[part].astype(np.float64) @ vectors[part]
-            yield pd.DataFrame({"lang": name, "dim": np.arange(space.dims, dtype=np.int32), "value": summed})
+            add(name, found, total[found])
+            if name in others:
+                add_others(name)
+            yield pd.DataFrame({"lang": name, "dim": np.arange(space.dims, dtype=np.int32), "value": sums[name]})
 
     labelled = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     sums = labelled.mapInPandas(bundle, "lang string, dim int, value double").groupBy("lang", "dim").agg(F.sum("value").alias("value"))
@@ -121,7 +177,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
     matrix = np.stack([prototypes[n] for n in names]).astype(np.float32) if names else np.zeros((0, space.dims), dtype=np.float32)
 
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        table, vectors = symbol_table(), space.grams()
+        table, vectors = symbol_table(), Vectors(space)
         for batch in batches:
             langs, scores = [], []
             for t in batch:
@@ -132,7 +188,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
                     continue
                 vector = np.zeros(space.dims, dtype=np.float32)
                 for i in range(0, len(grams), 512):
-                    vector += counts[i : i + 512].astype(np.float32) @ vectors[grams[i : i + 512]].astype(np.float32)
+                    vector += counts[i : i + 512].astype(np.float32) @ vectors.of(grams[i : i + 512]).astype(np.float32)
                 cosines = matrix @ vector / max(float(np.linalg.norm(vector)), 1e-30)
                 best = int(cosines.argmax())
                 langs.append(names[best])
