@@ -25,15 +25,15 @@ class RoleRule:
 SAMPLE_ROLES = tuple(
     RoleRule(kind, pattern, role)
     for role, kind, patterns in (
-        ("target", "exact", "Y_label"),
-        ("metadata", "exact", "sample_id sample_type negative_type state latitude longitude dep_id mrds_id site_name"),
-        ("geochemistry", "prefix", "geochem1_ geochem2_"),
-        ("climate", "prefix", "climate_ env_climate_ env_aridity env_water_deficit env_snow_influence"),
-        ("environment_group", "prefix", "env_causal_group env_weathering_regime env_relief_class"),
-        ("geo_structure", "prefix", "gravity_ terrain_ fault_ geology_"),
-        ("environment_group", "prefix", "env_"),
+        ("target", "exact", ("Y_label",)),
+        ("metadata", "exact", ("sample_id", "sample_type", "negative_type", "state", "latitude", "longitude", "dep_id", "mrds_id", "site_name")),
+        ("geochemistry", "prefix", ("geochem1_", "geochem2_")),
+        ("climate", "prefix", ("climate_", "env_climate_", "env_aridity", "env_water_deficit", "env_snow_influence")),
+        ("environment_group", "prefix", ("env_causal_group", "env_weathering_regime", "env_relief_class")),
+        ("geo_structure", "prefix", ("gravity_", "terrain_", "fault_", "geology_")),
+        ("environment_group", "prefix", ("env_",)),
     )
-    for pattern in patterns.split()
+    for pattern in patterns
 )
 
 NUMERIC = (T.NumericType, T.BooleanType)

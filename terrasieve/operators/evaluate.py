@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import stats
+from . import guards, ranges, stats
 
 FRACTIONS = (0.01, 0.05, 0.10, 0.20)
 TOP_METRICS = ("precision", "recall", "f1", "lift", "ndcg")
@@ -17,13 +17,13 @@ def classification_metrics(df: DataFrame, by: Sequence[str], y: str = "y", p: st
     """ROC-AUC and average precision (null for one class), balanced accuracy,
     precision, recall and F1 at 0.5, and the confusion counts, for each group.
 
-    Windows run over a group's different scores (counts by class), which
-    pre-aggregate; equal scores share a threshold. ``weight`` counts a row so
-    many times, as bootstraps need."""
+    Rows of a group with equal scores are counted by class first and share a
+    threshold; counts above each score are summed by ranges, so no task sorts
+    a group. ``weight`` counts a row so many times, as bootstraps need."""
     one = F.col(weight) if weight else F.lit(1)
-    cells = df.groupBy(*by, p).agg(F.sum(F.when(F.col(y) == 1, one).otherwise(0)).alias("_p"), F.sum(F.when(F.col(y) == 1, 0).otherwise(one)).alias("_n"))
-    down = Window.partitionBy(*by).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.withColumns({"_tp": F.sum("_p").over(down), "_fp": F.sum("_n").over(down)})
+    cells = df.groupBy(*by, p).agg(F.sum(F.when(F.col(y) == 1, one).otherwise(0)).cast("long").alias("_p"), F.sum(F.when(F.col(y) == 1, 0).otherwise(one)).cast("long").alias("_n"))
+    cells = ranges.running_sums(cells, by, [F.desc(p)], {"_tp": "_p", "_fp": "_n"})
+    cells = cells.withColumns({"_tp": F.col("_tp") + F.col("_p"), "_fp": F.col("_fp") + F.col("_n")})
     hit = F.col(p) >= 0.5
     out = cells.groupBy(*by).agg(
         F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"),
@@ -54,8 +54,10 @@ def top_metrics(df: DataFrame, by: Sequence[str], order: str = "row_index", y: s
     group, by score descending and ``order`` ascending: long rows
     (by, fraction, k, hits, ...). Lift is null for a base rate of 0, NDCG for
     an ideal of 0."""
-    w = Window.partitionBy(*by)
-    ranked = df.select(*by, F.col(y).cast("int").alias("y"), F.row_number().over(w.orderBy(F.desc(p), order)).alias("rn"), F.count("*").over(w).alias("n"), F.sum(F.col(y).cast("int")).over(w).alias("n_pos"))
+    rows = df.select(*by, F.col(y).cast("int").alias("y"), F.col(p).alias("_p"), F.col(order).alias("_o"))
+    totals = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("y").alias("n_pos"))
+    ranked = ranges.join_groups(guards.number_within(rows, by, [F.desc("_p"), "_o"], "rn"), totals, by).withColumn("rn", F.col("rn") + 1)
+    ranked = ranked.where(F.col("rn") <= top_size(F.col("n"), max(fractions)))
     long = ranked.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions]))).withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("fraction"))).cast("long"))
     gain = 1 / F.log2(F.col("rn") + 1)
     sums = long.where("rn <= k").groupBy(*by, "fraction", "k", "n", "n_pos").agg(
@@ -141,8 +143,9 @@ def random_control(control: DataFrame, observed: DataFrame, value: str) -> DataF
 def distinct_top(df: DataFrame, by: Sequence[str], cluster: str, budget: float, order: str = "row_index", y: str = "y", p: str = "p") -> DataFrame:
     """Different positive clusters in the top rows of each group, beside the
     positive rows and the duplicates among them."""
-    w = Window.partitionBy(*by)
-    r = df.withColumns({"_rn": F.row_number().over(w.orderBy(F.desc(p), order)), "_n": F.count("*").over(w)}).withColumn("_top", F.col("_rn") <= top_size(F.col("_n"), budget))
+    rows = df.select(*by, F.col(cluster).alias(cluster), F.col(y).alias(y), F.col(p).alias("_p"), F.col(order).alias("_o"))
+    totals = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    r = ranges.join_groups(guards.number_within(rows, by, [F.desc("_p"), "_o"], "_rn"), totals, by).withColumn("_top", F.col("_rn") < top_size(F.col("_n"), budget))
     hit = (F.col(y) == 1) & F.col("_top")
     out = r.groupBy(*by).agg(
         F.count_if("_top").alias("candidate_rows"), F.count_if(hit).alias("positive_rows"), F.count_distinct(F.when(hit, F.col(cluster))).alias("clusters_hit"),
@@ -151,6 +154,13 @@ def distinct_top(df: DataFrame, by: Sequence[str], cluster: str, budget: float,
     return out.withColumns({"duplicates": F.col("positive_rows") - F.col("clusters_hit"), "cluster_recall": F.try_divide(F.col("clusters_hit"), F.col("clusters"))})
 
 
+def pooled_foldwise(folds: DataFrame, by: Sequence[str], sums: Sequence[str], ratios: dict[str, tuple[str, str]]) -> DataFrame:
+    """Ratios of sums over folds {name: (numerator, denominator)}, another
+    estimand than means of the folds' ratios; null where nothing is summed."""
+    total = folds.groupBy(*by).agg(*[F.sum(c).alias(c) for c in sums])
+    return total.withColumns({n: F.try_divide(F.col(a), F.col(b)) for n, (a, b) in ratios.items()})
+
+
 def duplicate_audit(df: DataFrame, kinds: dict[str, Column], label: str, region: str) -> DataFrame:
     """For each kind of key the groups of more than one row, their rows, and
     how many mix labels or regions. Null keys are no key."""
@@ -162,27 +172,30 @@ def duplicate_audit(df: DataFrame, kinds: dict[str, Column], label: str, region:
     )
 
 
-def perturbation_effect(df: DataFrame, original: str, scenarios: dict[str, str]) -> DataFrame:
+def perturbation_effect(df: DataFrame, original: str, scenarios: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
     """Changes of a score under scenarios {name: column}: mean, and of the
     absolute change mean, median, 95 % point, maximum and share over 0.05."""
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("scenario"), (F.col(c) - F.col(original)).alias("d")) for n, c in scenarios.items()])))
-    a = F.abs("d")
-    return long.groupBy("scenario").agg(
-        F.avg("d").alias("mean_delta"), F.avg(a).alias("mean_abs_delta"), F.median(a).alias("median_abs_delta"), F.percentile(a, F.lit(0.95)).alias("p95_abs_delta"), F.max(a).alias("max_abs_delta"),
-        F.avg((a > 0.05).cast("double")).alias("share_over_005"),
-    )
-
-
-def perturbed(columns: Sequence[str], scenario: str, medians: dict[str, float]) -> dict[str, Column]:
-    """Climate columns under plus, minus or train_median: temperatures move by
-    one degree, all others by a tenth."""
-    warm = ("tmean", "tmax", "tmin", "dtr", "temperature")
-    out = {}
-    for c in columns:
-        step = 1.0 if any(t in c for t in warm) else None
-        sign = {"plus": 1, "minus": -1}.get(scenario)
-        if sign is None:
-            out[c] = F.lit(float(medians[c]))
-        else:
-            out[c] = F.col(c) + sign * step if step else F.col(c) * (1 + 0.1 * sign)
-    return out
+    long = df.select(*by, F.inline(F.array(*[F.struct(F.lit(n).alias("scenario"), (F.col(c) - F.col(original)).alias("d")) for n, c in scenarios.items()]))).withColumn("a", F.abs("d"))
+    keys, a = [*by, "scenario"], F.col("a")
+    plain = long.groupBy(*keys).agg(F.avg("d").alias("mean_delta"), F.avg(a).alias("mean_abs_delta"), F.max(a).alias("max_abs_delta"), F.avg((a > 0.05).cast("double")).alias("share_over_005"))
+    q = ranges.quantiles(long, keys, "a", (0.5, 0.95))
+    return ranges.join_groups(plain, q, keys).select(*keys, "mean_delta", "mean_abs_delta", F.col("q")[0].alias("median_abs_delta"), F.col("q")[1].alias("p95_abs_delta"), "max_abs_delta", "share_over_005")
+
+
+#: Parts of a column's name, in any case, that tell a temperature.
+TEMPERATURE = ("tmean", "tmax", "tmin", "dtr", "temperature")
+#: By how much a scenario moves temperatures, and all others by
+#: factor.
+SHIFTS = {"original": (0.0, 1.0), "plus": (1.0, 1.1), "minus": (-1.0, 0.9)}
+
+
+def perturbed(columns: Sequence[str], scenario: str, medians: dict[str, float] | None = None) -> dict[str, Column]:
+    """Climate columns under original, plus, minus or train_median: plus and
+    minus move temperatures by a degree and all others by a tenth."""
+    if scenario == "train_median":
+        return {c: F.lit(float((medians or {})[c])) for c in columns}
+    if scenario not in SHIFTS:
+        raise ValueError(f"unknown scenario {scenario}")
+    step, factor = SHIFTS[scenario]
+    warm = lambda c: any(t in c.lower() for t in TEMPERATURE)
+    return {c: F.col(c) if scenario == "original" else F.col(c) + step if warm(c) else F.col(c) * factor for c in columns}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lineage import settled
+from . import ranges
 
 
 class ContractError(ValueError):
@@ -54,30 +54,30 @@ def match_report(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
     return l.join(r, list(keys), "full").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
 
 
-def number_within(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str = "row_index", rows_per_range: int = 1_000_000) -> DataFrame:
+def number_within(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str = "row_index", rows_per_range: int = ranges.ROWS_PER_RANGE) -> DataFrame:
     """Positions from 0 within each group of ``by`` (nulls are one group) in
-    the order of ``order`` (a total order), without one task sorting a group:
-    rows are range-partitioned and settled, each range is numbered apart and
-    shifted by its group's counts in the ranges before it."""
-    ranges = max(1, -(-df.count() // rows_per_range))
-    # settled, as a second sample would draw other bounds of the ranges
-    dealt = settled(df.repartitionByRange(ranges, *by, *order).withColumn("_range", F.spark_partition_id()))
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy(*by, "_range").count().select(
-        F.col("_range").alias("_r"), *[F.col(c).alias(f"_g_{c}") for c in by], F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start")
-    )
-    same = F.col("_range") == F.col("_r")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
-    within = Window.partitionBy("_range", *by).orderBy(*order)
-    return dealt.join(starts, same).withColumn(name, F.row_number().over(within) - 1 + F.col("_start")).drop("_range", "_r", "_start", *[f"_g_{c}" for c in by])
-
-
-def with_row_index(df: DataFrame, order: Sequence[Column | str], name: str = "row_index", rows_per_range: int = 1_000_000) -> DataFrame:
+    the order of ``order`` (a total order); no task sorts a whole group."""
+    return ranges.running_sums(df, by, order, {name: F.lit(1).cast("long")}, rows_per_range)
+
+
+def with_row_index(df: DataFrame, order: Sequence[Column | str], name: str = "row_index", rows_per_range: int = ranges.ROWS_PER_RANGE) -> DataFrame:
     """Positions from 0 in the order of ``order`` (a key) over all rows."""
     return number_within(df, [], order, name, rows_per_range)
 
 
+def expect_no_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Every row must hold a value in each of the columns."""
+    missing = [c for c, n in df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first().asDict().items() if n]
+    if missing:
+        raise ContractError(f"missing values in {missing}")
+    return df
+
+
+def expect_subset(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every key of ``left`` must be one of ``right``."""
+    return expect_all_matched(left.select(*keys).distinct(), right.select(*keys), keys)
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     """One row for each key: the first in a total order."""
     w = Window.partitionBy(*keys).orderBy(*order)

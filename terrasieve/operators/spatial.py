@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.lineage import settled
+from .components import connected
+from .guards import union_all
 
 KM_PER_DEGREE = math.pi * S.EARTH_RADIUS_KM / 180
 
@@ -44,33 +47,59 @@ def within(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lon:
     return l.join(r, ["_row", "_col"]).drop("_row", "_col").withColumn("km_apart", d).where(F.col("km_apart") <= km)
 
 
-def nearest(left: DataFrame, right: DataFrame, key: str, right_key: str, start_km: float = 50.0, lat: str = "lat", lon: str = "lon", fold: str | None = None) -> DataFrame:
+#: Rings start so small that a cell of the grid has about so many rows at most.
+CROWD = 512
+
+
+def _first_ring(points: DataFrame, km: float, lat: str, lon: str) -> float:
+    """``km``, halved until no grid cell of that size is crowded."""
+    while km > 1e-3:
+        most = _cells(points.select(lat, lon), km, lat, lon, around=False).groupBy("_row", "_col").count().agg(F.max("count")).first()[0]
+        if not most or most <= CROWD:
+            break
+        km /= 2
+    return km
+
+
+def nearest(
+    left: DataFrame, right: DataFrame, key: str, right_key: str, start_km: float = 50.0, lat: str = "lat", lon: str = "lon", fold: str | None = None, label: str | None = None, alike: bool | None = None
+) -> DataFrame:
     """For each left row the nearest right one: key, r_<right_key>, km_apart
     (ties to the smaller right key). With ``fold``, the nearest right row of
-    another fold, and the left row's fold first.
+    another fold, and the left row's fold first. With ``label``, one of the
+    same label (``alike``) or of another.
 
     Rings of doubling radius: rows without a partner go on with twice the
-    radius, and only those. Past half the globe all rows have been met."""
-    from ..operators.guards import union_all
-
-    folds = [fold] if fold else []
-    found, rest, km = [], left.select(*folds, key, lat, lon), start_km
-    first = Window.partitionBy(key).orderBy("km_apart", f"r_{right_key}")
-    points = right.select(*folds, right_key, lat, lon)
+    radius, and only those. Past half the globe all rows have been met. Every
+    ring is settled, so that the next one does not repeat it."""
+    folds, more = [fold] if fold else [], [label] if label else []
+    points = settled(right.select(*folds, *more, right_key, lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull()))
+    found, rest, km = [], settled(left.select(*folds, *more, key, lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull())), _first_ring(points, start_km, lat, lon)
+    place = Window.partitionBy(key).orderBy("km_apart", f"r_{right_key}")
     while True:
         near = within(rest, points, km, lat, lon)
         near = near.where(F.col(fold) != F.col(f"r_{fold}")) if fold else near
-        near = near.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*folds, key, f"r_{right_key}", "km_apart")
+        near = near.where((F.col(label) == F.col(f"r_{label}")) == F.lit(bool(alike))) if label else near
+        near = settled(near.withColumn("_nth", F.row_number().over(place)).where("_nth = 1").select(*folds, key, f"r_{right_key}", "km_apart"))
         found.append(near)
         if km > math.pi * S.EARTH_RADIUS_KM:
             break
-        rest = rest.join(near.select(key), key, "left_anti")
+        rest = settled(rest.join(near.select(key), key, "left_anti"))
         if rest.isEmpty():
             break
         km *= 2
     return union_all(found)
 
 
+def label_neighbours(df: DataFrame, fold: str, key: str, label: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Distances of each row to the nearest row of other folds: any_km, of the
+    same label and of the other; null where there is none."""
+    out = df.select(fold, key)
+    for name, options in (("any_km", {}), ("same_label_km", {"label": label, "alike": True}), ("opposite_label_km", {"label": label, "alike": False})):
+        out = out.join(nearest(df, df, key, key, lat=lat, lon=lon, fold=fold, **options).select(key, F.col("km_apart").alias(name)), key, "left")
+    return out
+
+
 def remove_buffer(train: DataFrame, test: DataFrame, key: str, km: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Training rows farther than ``km`` from every test row; 0 keeps all."""
     if km <= 0:
@@ -92,29 +121,42 @@ def remove_buffers(df: DataFrame, fold: str, key: str, km: float, lat: str = "la
     return train.join(close, [fold, key], "left_anti")
 
 
-def connected(edges: DataFrame, settle, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable. Labels spread and jump
-    (a node takes its label's label) until none changes; ``settle`` cuts the
-    lineage of each round."""
-    both = settle(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct())
-    labels = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")))
-    while True:
-        near = both.join(labels.select(F.col("u").alias("v"), "c"), "v").groupBy("u").agg(F.min("c").alias("m"))
-        spread = labels.join(near, "u").select("u", F.col("c").alias("old"), F.least("c", "m").alias("c"))
-        jump = spread.join(labels.select(F.col("u").alias("c"), F.col("c").alias("cc")), "c", "left")
-        new = settle(jump.select("u", "old", F.least("c", F.coalesce("cc", "c")).alias("c")))
-        if new.where("c <> old").isEmpty():
-            return new.select(F.col("u").alias("node"), F.col("c").alias("component"))
-        labels = new.select("u", "c")
+def _tight_cells(km: float, lat: str, lon: str) -> list[Column]:
+    """Grid cell of a point (row, column) so small that any two points of a
+    cell are at most ``km`` apart: its sides are those of a square whose
+    diagonal is the chord of ``km``, measured at its widest latitude."""
+    side = 2 * S.EARTH_RADIUS_KM * math.sin(min(km / (2 * S.EARTH_RADIUS_KM), math.pi / 2)) / math.sqrt(2) / KM_PER_DEGREE * 0.9999
+    row = F.floor((F.col(lat) + 90) / side)
+    low, high = row * side - 90, (row + 1) * side - 90
+    widest = F.when((low < 0) & (high > 0), 0.0).otherwise(F.least(F.abs(low), F.abs(high), F.lit(90.0)))
+    n = F.greatest(F.ceil(360 * F.cos(F.radians(widest)) / side), F.lit(1))
+    return [row.cast("long").alias("_trow"), F.pmod(F.floor((F.col(lon) + 180) / (360 / n)), n).cast("long").alias("_tcol")]
 
 
-def eps_components(df: DataFrame, key: str, km: float, settle, lat: str = "lat", lon: str = "lon") -> DataFrame:
+def eps_components(df: DataFrame, key: str, km: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Each point's cluster under links of at most ``km``: (key, cluster), the
-    smallest key of the cluster; a point without a link is its own."""
-    p = df.select(key, lat, lon)
-    pairs = within(p, p, km, lat, lon).where(F.col(key) < F.col(f"r_{key}")).select(F.col(key).alias("a"), F.col(f"r_{key}").alias("b"))
-    found = connected(pairs, settle).select(F.col("node").alias(key), "component")
-    return df.select(key).join(found, key, "left").select(key, F.coalesce("component", key).alias("cluster"))
+    smallest key of the cluster; a point without a link or place is its own.
+
+    Points of one small cell are linked by construction, so cells, not points,
+    are joined: first by their least keys, then by the points of cells that
+    are near and still apart. A crowded place costs its cells, not its pairs.
+    """
+    p = settled(df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(key).alias("id"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), *_tight_cells(km, lat, lon)))
+    cells = settled(p.groupBy("_trow", "_tcol").agg(F.min_by(F.struct("id", "lat", "lon"), "id").alias("b"), F.count("*").alias("n")).select("_trow", "_tcol", F.col("b.id").alias("rep"), F.col("b.lat").alias("lat"), F.col("b.lon").alias("lon"), "n"))
+    reps = cells.select("rep", "lat", "lon", "n")
+    # points of two cells within km have least points within three times that
+    near = settled(within(reps, reps, 3 * km).where("rep < r_rep").select("rep", "r_rep", "n", "r_n", "km_apart"))
+    found = connected(near.where(F.col("km_apart") <= km).select(F.col("rep").alias("a"), F.col("r_rep").alias("b")))
+    named = settled(cells.join(found, cells["rep"] == found["node"], "left").select("_trow", "_tcol", "rep", F.coalesce("component", "rep").alias("part")))
+    sides = [named.select(F.col("rep").alias(r), F.col("part").alias(q)) for r, q in (("rep", "part"), ("r_rep", "r_part"))]
+    apart = near.where((F.col("n") > 1) | (F.col("r_n") > 1)).join(sides[0], "rep").join(sides[1], "r_rep").where("part <> r_part").select("rep", "r_rep", "part", "r_part")
+    points = p.join(named, ["_trow", "_tcol"]).select("rep", "lat", "lon")
+    other = points.select(F.col("rep").alias("r_rep"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
+    met = apart.join(points, "rep").join(other, "r_rep").where(S.haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")) <= km)
+    last = connected(met.select(F.col("part").alias("a"), F.col("r_part").alias("b")).distinct())
+    whole = named.join(last, named["part"] == last["node"], "left").select("_trow", "_tcol", F.coalesce("component", "part").alias("cluster"))
+    placed = p.join(whole, ["_trow", "_tcol"]).select(F.col("id").alias("_id"), "cluster")
+    return df.select(key).join(placed, F.col(key) == F.col("_id"), "left").select(key, F.coalesce("cluster", key).alias("cluster"))
 
 
 def grid_cell(points: DataFrame, cells: DataFrame, key: str, half: float = 0.25, slack: float = 1e-6, lat: str = "lat", lon: str = "lon") -> DataFrame:

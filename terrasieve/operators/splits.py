@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from . import guards
 
 
+#: Groups that a split may have.
+MOST_GROUPS = 1_000_000
+
+
 def lightest_fold(sizes: Sequence[tuple[str, int]], k: int) -> dict[str, int]:
     """Groups, largest first and equal ones by name descending, go one by one
     to the lightest fold (ties to the first)."""
@@ -23,8 +27,11 @@ def lightest_fold(sizes: Sequence[tuple[str, int]], k: int) -> dict[str, int]:
 
 def group_kfold(df: DataFrame, group: str, k: int = 5, fold: str = "fold") -> DataFrame:
     """Add ``fold`` (from 0) so that no group is split and folds are even.
-    Groups are a bounded catalogue: one count each reaches the driver."""
-    sizes = [(r[group], r["count"]) for r in df.groupBy(group).count().collect()]
+    Groups are a catalogue of ``MOST_GROUPS`` at most: one count each reaches
+    the driver, more raise."""
+    sizes = [(r[group], r["count"]) for r in df.groupBy(group).count().limit(MOST_GROUPS + 1).collect()]
+    if len(sizes) > MOST_GROUPS:
+        raise guards.ContractError(f"more than {MOST_GROUPS} groups")
     named = lightest_fold([(str(g), n) for g, n in sizes], k)
     table = df.sparkSession.createDataFrame([(g, named[str(g)]) for g, _ in sizes], f"_g {dict(df.dtypes)[group]}, {fold} int")
     return df.join(F.broadcast(table), df[group].eqNullSafe(table["_g"])).drop("_g")
@@ -37,9 +44,10 @@ def stratified_kfold(df: DataFrame, label: str, order: Sequence[Column | str], k
 
 
 def leave_one_group_out(df: DataFrame, group: str, fold: str = "fold") -> DataFrame:
-    """One fold for each group, in order of name; groups are a small table."""
-    names = df.select(group).distinct().withColumn(fold, F.dense_rank().over(Window.orderBy(group)) - 1)
-    return df.join(F.broadcast(names), group)
+    """One fold for each group, in order of name; rows without a group are
+    in none."""
+    names = guards.with_row_index(df.where(F.col(group).isNotNull()).select(group).distinct(), [group], fold)
+    return df.join(names.withColumn(fold, F.col(fold).cast("int")), group)
 
 
 def frozen_folds(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,14 +89,14 @@ def negative_schemes(positives: DataFrame, hard: DataFrame, background: DataFram
     return guards.union_all([guards.union_all([positives, negatives]).withColumn("scheme", F.lit(name)) for name, negatives in parts.items()])
 
 
-def matched_columns(catalog: DataFrame, selected: Sequence[str], order: Column) -> DataFrame:
-    """For the selected columns as many others, without replacement, from the
-    same quartile of missing rate: rows (column, quartile)."""
+def matched_columns(catalog: DataFrame, selected: Sequence[str], order: Column, others_only: bool = False) -> DataFrame:
+    """For the selected columns as many of all (or of the others only), without
+    replacement, from the same quartile of missing rate: rows (column, quartile)."""
     q = catalog.agg(F.percentile("missing_rate", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])).alias("q"))
     placed = catalog.crossJoin(F.broadcast(q)).withColumn("quartile", F.size(F.filter("q", lambda x: x < F.col("missing_rate"))))
     chosen = F.col("column").isin(list(selected))
     wanted = placed.where(chosen).groupBy("quartile").agg(F.count("*").alias("wanted"))
-    pool = placed.where(~chosen).withColumn("_nth", F.row_number().over(Window.partitionBy("quartile").orderBy(order, "column")))
+    pool = (placed.where(~chosen) if others_only else placed).withColumn("_nth", F.row_number().over(Window.partitionBy("quartile").orderBy(order, "column")))
     return pool.join(wanted, "quartile").where("_nth <= wanted").select("column", "quartile")
 
 

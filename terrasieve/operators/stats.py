@@ -3,25 +3,28 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..functions.lineage import settled
+from . import ranges
 
 TINY = 1e-12
 
 
-def robust_z_stats(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Median, quartiles, mean and sample deviation of each column, one pass."""
-    aggs = []
-    for c in columns:
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggs += [q.alias(f"q_{c}"), F.avg(c).alias(f"avg_{c}"), F.stddev_samp(c).alias(f"sd_{c}")]
-    return df.groupBy(*by).agg(*aggs)
+def robust_z_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: quartiles, mean and sample deviation of each column. Quartiles
+    come from counts of different values, summed by ranges."""
+    plain = df.agg(*[a for c in columns for a in (F.avg(c).alias(f"avg_{c}"), F.stddev_samp(c).alias(f"sd_{c}"))])
+    q = ranges.quantiles(long_form(df, [], columns), ["concept"], "value", (0.25, 0.5, 0.75))
+    wide = q.agg(*[F.max(F.when(F.col("concept") == c, F.col("q"))).alias(f"q_{c}") for c in columns])
+    return plain.crossJoin(wide)
 
 
 def robust_z(column: str) -> Column:
@@ -41,41 +44,34 @@ def with_robust_z(df: DataFrame, columns: Sequence[str], suffix: str = "_z") ->
     return df.crossJoin(F.broadcast(stats)).withColumns({f"{c}{suffix}": robust_z(c) for c in columns}).drop(*extra)
 
 
-def average_rank(value: Column, by: Sequence[str | Column]) -> Column:
-    """Rank from 1 with ties at their mean, ascending, within ``by``."""
-    low = F.rank().over(Window.partitionBy(*by).orderBy(value))
-    return low + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+def class_cells(df: DataFrame, by: Sequence[str], label: str, value: str, weight: str | None = None) -> DataFrame:
+    """One row for each different value of a group with its counts by class,
+    _p and _n, and the counts of smaller values, _pb and _nb."""
+    one = F.col(weight) if weight else F.lit(1)
+    clean = df.where(F.col(label).isNotNull() & F.col(value).isNotNull() & (one > 0))
+    counts = clean.groupBy(*by, value).agg(F.sum(F.when(F.col(label) == 1, one).otherwise(0)).cast("long").alias("_p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(one)).cast("long").alias("_n"))
+    return ranges.running_sums(counts, by, [value], {"_pb": "_p", "_nb": "_n"})
 
 
-def auc_by(df: DataFrame, by: Sequence[str], label: str = "y", value: str = "value") -> DataFrame:
-    """by, n_pos, n_neg, auc: rank-sum AUC over non-null pairs of a long
-    table; null without both classes.
-
-    Ranks come from one row for each different value (counts by class), so a
-    group's window holds its different values, not its rows."""
-    clean = df.where(F.col(label).isNotNull() & F.col(value).isNotNull())
-    counts = clean.groupBy(*by, value).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) != 1).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("_won", F.col("_p") * (below + F.col("_n") / 2))
-    out = won.groupBy(*by).agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"), F.sum("_won").alias("_won"))
-    return out.select(*by, "n_pos", "n_neg", F.try_divide(F.col("_won"), F.col("n_pos") * F.col("n_neg")).alias("auc"))
+def won_pairs() -> Column:
+    """Aggregate over ``class_cells``: pairs of a positive and a negative row
+    that the positive one wins, ties half."""
+    return F.sum(F.col("_p") * (F.col("_nb") + F.col("_n") / 2))
 
 
-def weighted_auc_by(df: DataFrame, by: Sequence[str], weight: str, label: str = "y", value: str = "value") -> DataFrame:
-    """``auc_by`` with rows counted ``weight`` times, as resamples need."""
-    clean = df.where(F.col(label).isNotNull() & F.col(value).isNotNull() & (F.col(weight) > 0))
-    counts = clean.groupBy(*by, value).agg(F.sum(F.when(F.col(label) == 1, F.col(weight)).otherwise(0)).alias("_p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(F.col(weight))).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("_won", F.col("_p") * (below + F.col("_n") / 2))
-    out = won.groupBy(*by).agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"), F.sum("_won").alias("_won"))
+def auc_by(df: DataFrame, by: Sequence[str], label: str = "y", value: str = "value", weight: str | None = None) -> DataFrame:
+    """by, n_pos, n_neg, auc: rank-sum AUC over non-null pairs of a long
+    table; null without both classes. ``weight`` counts a row so many times,
+    as resamples need."""
+    out = class_cells(df, by, label, value, weight).groupBy(*by).agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"), won_pairs().alias("_won"))
     return out.select(*by, "n_pos", "n_neg", F.try_divide(F.col("_won"), F.col("n_pos") * F.col("n_neg")).alias("auc"))
 
 
-def poisson_weight(iteration: Column, *key: Column, seed: int = 0) -> Column:
+def poisson_weight(iteration: Column | int, *key: Column, seed: int = 0) -> Column:
     """Times that a row is drawn in a resample: Poisson of mean 1 by a hash of
     iteration and key. It stands for draws with replacement where the rows of
     a class are too many to draw in one place."""
-    u = F.pmod(F.xxhash64(iteration, *key, F.lit(seed)), F.lit(1_000_003)) / 1_000_003
+    u = F.pmod(F.xxhash64(F.lit(iteration), *key, F.lit(seed)), F.lit(1_000_003)) / 1_000_003
     steps, total, p = [], 0.0, math.exp(-1)
     for k in range(8):
         total += p
@@ -86,18 +82,23 @@ def poisson_weight(iteration: Column, *key: Column, seed: int = 0) -> Column:
 
 def selection_rates(df: DataFrame, env: str, label: str, columns: Sequence[str], weight, iterations: int = 100, top_k: int = 12, min_class: int = 10) -> DataFrame:
     """How often each column is among the ``top_k`` strongest (2 |AUC - 1/2|,
-    ties by name) in resamples of each environment.
+    ties in the order of ``columns``) in resamples of each environment.
 
-    ``weight(iteration)`` gives a row's times in a resample. Environments with
-    fewer than ``min_class`` rows of a class are left out. Rows meet by value
-    before they are multiplied out over iterations."""
+    ``weight(iteration)``, of an iteration's number, gives a row's times in
+    that resample. Environments with fewer than ``min_class`` rows of a class
+    are left out. Rows of equal environment, column, value and class meet in
+    one cell with a sum for each resample, so a cell, not a row, is multiplied
+    out over the iterations."""
     counts = df.groupBy(F.col(env).alias("env")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
     able = counts.where((F.col("p") >= min_class) & (F.col("n") >= min_class)).select("env")
-    drawn = df.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("times", weight(F.col("iteration"))).where("times > 0")
-    long = long_form(drawn.select(F.col(env).alias("env"), F.col(label).alias("y"), "iteration", "times", *columns), ["env", "y", "iteration", "times"], columns)
-    auc = weighted_auc_by(long.join(F.broadcast(able), "env"), ["env", "iteration", "concept"], "times")
+    named = df.withColumns({"_env": F.col(env), "_y": F.col(label)})
+    long = long_form(named, [c for c in named.columns if c not in columns], columns).where("value is not null and _y is not null")
+    keyed = long.groupBy(F.col("_env").alias("env"), "concept", "value", F.col("_y").alias("y"))
+    cells = keyed.agg(*[F.sum(weight(i).cast("long")).alias(f"_t{i}") for i in range(iterations)]).join(able, "env", "left_semi")
+    drawn = cells.select("env", "concept", "value", "y", F.posexplode(F.array(*[f"_t{i}" for i in range(iterations)])).alias("iteration", "times"))
+    auc = auc_by(drawn, ["env", "iteration", "concept"], weight="times")
     strength = F.coalesce(F.round(F.abs(F.col("auc") - 0.5), 12), F.lit(-1.0))
-    place = F.row_number().over(Window.partitionBy("env", "iteration").orderBy(strength.desc(), "concept"))
+    place = F.row_number().over(Window.partitionBy("env", "iteration").orderBy(strength.desc(), F.array_position(F.array(*[F.lit(c) for c in columns]), F.col("concept"))))
     return auc.withColumn("_place", place).groupBy("env", "concept").agg(F.avg((F.col("_place") <= top_k).cast("double")).alias("selection_rate"), F.count("*").alias("n_iterations"))
 
 
@@ -123,17 +124,25 @@ def long_form(df: DataFrame, keep: Sequence[str], columns: Sequence[str], name:
 
 def feature_effects(df: DataFrame, env: str, label: str, columns: Sequence[str]) -> DataFrame:
     """Effects of each column in each environment: class sizes, differences of
-    mean and median, Cohen's d, AUC and its strength, direction, missing rate."""
+    mean and median, Cohen's d, AUC and its strength, direction, missing rate.
+
+    Medians and AUC come from one table of counts of different values."""
+    keys = ["env", "concept"]
     long = long_form(df.select(F.col(env).alias("env"), F.col(label).alias("y"), *columns), ["env", "y"], columns)
     pos, neg = F.col("y") == 1, F.col("y") == 0
     of = lambda c: F.when(c, F.col("value"))
-    sums = long.groupBy("env", "concept").agg(
+    sums = long.groupBy(*keys).agg(
         F.count(of(pos)).alias("n1"), F.count(of(neg)).alias("n0"), F.avg(of(pos)).alias("m1"), F.avg(of(neg)).alias("m0"),
-        F.var_samp(of(pos)).alias("v1"), F.var_samp(of(neg)).alias("v0"), F.median(of(pos)).alias("d1"), F.median(of(neg)).alias("d0"),
-        F.avg(F.col("value").isNull().cast("double")).alias("missing_rate"),
+        F.var_samp(of(pos)).alias("v1"), F.var_samp(of(neg)).alias("v0"), F.avg(F.col("value").isNull().cast("double")).alias("missing_rate"),
+    )
+    cells = class_cells(long, keys, "y", "value")
+    cells = ranges.join_groups(cells, cells.groupBy(*keys).agg(F.sum("_p").alias("_np"), F.sum("_n").alias("_nn")), keys)
+    ranked = cells.groupBy(*keys).agg(
+        F.try_divide(won_pairs(), F.max(F.col("_np") * F.col("_nn"))).alias("auc"),
+        ranges.interpolated("_pb", "_p", "value", F.col("_np"), 0.5).alias("d1"), ranges.interpolated("_nb", "_n", "value", F.col("_nn"), 0.5).alias("d0"),
     )
-    auc = auc_by(long, ["env", "concept"]).select("env", "concept", "auc")
-    joined = sums.join(auc, ["env", "concept"], "left")
+    # environments without any value of a column still have their row
+    joined = sums.join(ranked.select(F.col("env").alias("_e"), F.col("concept").alias("_k"), "auc", "d1", "d0"), F.col("env").eqNullSafe(F.col("_e")) & (F.col("concept") == F.col("_k")), "left")
     diff = F.col("m1") - F.col("m0")
     return joined.select(
         "env", "concept", F.col("n1").alias("n_positive"), F.col("n0").alias("n_negative"), diff.alias("mean_difference"), (F.col("d1") - F.col("d0")).alias("median_difference"),
@@ -153,12 +162,11 @@ def spearman_pairs(df: DataFrame, targets: Sequence[str], covariates: Sequence[s
     pairs = [F.struct(F.lit(t).alias("target"), F.lit(c).alias("covariate"), F.col(t).cast("double").alias("a"), F.col(c).cast("double").alias("b")) for t in targets for c in covariates if t != c]
     long = df.select(*by, F.inline(F.array(*pairs))).where("a is not null and b is not null")
     key = [*by, "target", "covariate"]
-    cells = long.groupBy(*key, "a", "b").agg(F.count("*").alias("n"))
+    cells = settled(long.groupBy(*key, "a", "b").agg(F.count("*").alias("n")))
 
     def ranked(side: str) -> DataFrame:
         counts = cells.groupBy(*key, side).agg(F.sum("n").alias("c"))
-        below = F.coalesce(F.sum("c").over(Window.partitionBy(*key).orderBy(side).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counts.select(*key, side, (below + (F.col("c") + 1) / 2).alias(f"r_{side}"))
+        return ranges.running_sums(counts, key, [side], {"_below": "c"}).select(*key, side, (F.col("_below") + (F.col("c") + 1) / 2).alias(f"r_{side}"))
 
     joined = cells.join(ranked("a"), [*key, "a"]).join(ranked("b"), [*key, "b"])
     n, ra, rb = F.col("n"), F.col("r_a"), F.col("r_b")
@@ -171,11 +179,13 @@ def spearman_pairs(df: DataFrame, targets: Sequence[str], covariates: Sequence[s
     return sums.select(*key, "n_pairs", rho.alias("spearman"))
 
 
-def spearman_screen(pairs: DataFrame, threshold: float = 0.30, by: Sequence[str] = ()) -> DataFrame:
-    """For each target the covariate of largest absolute correlation (ties to
-    the first name), and whether it reaches ``threshold``."""
+def spearman_screen(pairs: DataFrame, threshold: float = 0.30, by: Sequence[str] = (), covariates: Sequence[str] = ()) -> DataFrame:
+    """For each target the covariate of largest absolute correlation, and
+    whether it reaches ``threshold``. Ties go to the first in ``covariates``
+    (the order of the columns), those not in it last and by name."""
     size = F.abs("spearman")
-    w = Window.partitionBy(*by, "target").orderBy(F.desc_nulls_last(size), "covariate")
+    place = F.nullif(F.array_position(F.array(*[F.lit(c) for c in covariates]).cast("array<string>"), F.col("covariate")), F.lit(0).cast("long"))
+    w = Window.partitionBy(*by, "target").orderBy(F.desc_nulls_last(size), F.asc_nulls_last(place), "covariate")
     best = pairs.withColumn("_nth", F.row_number().over(w)).where("_nth = 1")
     return best.select(
         *by, F.col("target").alias("target_column"), F.when(size.isNotNull(), F.col("covariate")).alias("best_climate_column"), "spearman", size.alias("spearman_abs_max"),
@@ -237,25 +247,81 @@ class Gram:
     cov: np.ndarray  # population covariance
 
 
+#: Up to so many different products are plain aggregates; more are matrix
+#: products of row blocks, as a plan of thousands of expressions compiles badly.
+MOST_PRODUCTS = 120
+
+
+def _block_products(frame: DataFrame, by: Sequence[str], names: Sequence[str], mean: dict[tuple, np.ndarray]) -> dict[tuple, np.ndarray]:
+    """Sums of products of centred columns of each group: every task adds up
+    its batches and gives one row for each group and column, which are summed
+    column by column. Means and sums are k and k x k numbers a group."""
+    k = len(names)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for key, part in batch.groupby(list(by), dropna=False) if by else [((), batch)]:
+                x = part[list(names)].to_numpy(float) - mean[tuple(None if v != v else v for v in key)]
+                total[key] = total.get(key, 0) + x.T @ x
+        for key, m in total.items():
+            yield pd.DataFrame({**dict(zip(by, ([v] * k for v in key))), "_i": np.arange(k), "_row": list(m)})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1].assign(_row=[np.sum(pdf["_row"].tolist(), axis=0)])
+
+    types = "".join(f"{c} {t}, " for c, t in frame.select(*by).dtypes) + "_i int, _row array<double>"
+    out: dict[tuple, np.ndarray] = {}
+    for r in frame.mapInPandas(work, types).groupBy(*by, "_i").applyInPandas(add, types).collect():
+        out.setdefault(tuple(r[c] for c in by), np.zeros((k, k)))[r["_i"]] = r["_row"]
+    return out
+
+
+def gram_by(df: DataFrame, by: Sequence[str], columns: Sequence[Column], names: Sequence[str]) -> dict[tuple, Gram]:
+    """``Gram`` of each group of ``by`` (a bounded catalogue). A first pass
+    gives the means, a second the centred products, so that large means cost
+    no precision; what reaches the driver is k x k numbers a group."""
+    k = len(columns)
+    frame = df.select(*by, *[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    first = frame.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(f"c{i}").alias(f"m{i}") for i in range(k)]).collect()
+    counts = {tuple(r[c] for c in by): float(r["n"]) for r in first}
+    means = {tuple(r[c] for c in by): np.array([r[f"m{i}"] or 0.0 for i in range(k)]) for r in first}
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    if len(pairs) > MOST_PRODUCTS:
+        sums = _block_products(frame, by, [f"c{i}" for i in range(k)], means)
+        return {key: Gram(list(names), n, means[key], sums[key] / n if n else np.zeros((k, k))) for key, n in counts.items()}
+    table = df.sparkSession.createDataFrame(
+        [(*key, *map(float, m)) for key, m in means.items()], ", ".join([*[f"_g_{c} {t}" for c, t in frame.select(*by).dtypes], *[f"_m{i} double" for i in range(k)]])
+    )
+    centred = frame.join(F.broadcast(table), ranges.same_group(frame, by, "_g_")) if by else frame.crossJoin(F.broadcast(table))
+    d = lambda i: F.col(f"c{i}") - F.col(f"_m{i}")
+    out = {key: Gram(list(names), n, means[key], np.zeros((k, k))) for key, n in counts.items()}
+    for r in centred.groupBy(*by).agg(*[F.avg(d(i) * d(j)).alias(f"p{x}") for x, (i, j) in enumerate(pairs)]).collect():
+        for x, (i, j) in enumerate(pairs):
+            g = out[tuple(r[c] for c in by)]
+            g.cov[i, j] = g.cov[j, i] = r[f"p{x}"] or 0.0
+    return out
+
+
 def gram(df: DataFrame, columns: Sequence[Column], names: Sequence[str]) -> Gram:
-    """One aggregation gives the means, a second the centred products (so that
-    large means cost no precision); what reaches the driver is k x k."""
-    frame = df.select(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    first = frame.agg(F.count("*").alias("n"), *[F.avg(f"c{i}").alias(f"m{i}") for i in range(len(columns))]).first()
-    mean = np.array([first[f"m{i}"] or 0.0 for i in range(len(columns))])
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    n = float(first["n"])
-    cov = np.zeros((len(columns), len(columns)))
-    if n:
-        row = frame.agg(*[F.avg((F.col(f"c{i}") - float(mean[i])) * (F.col(f"c{j}") - float(mean[j]))).alias(f"p{k}") for k, (i, j) in enumerate(pairs)]).first()
-        for k, (i, j) in enumerate(pairs):
-            cov[i, j] = cov[j, i] = row[f"p{k}"]
-    return Gram(list(names), n, mean, cov)
+    """``gram_by`` over all rows."""
+    k = len(columns)
+    return gram_by(df, [], columns, names).get((), Gram(list(names), 0.0, np.zeros(k), np.zeros((k, k))))
+
+
+def medians_by(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> dict[tuple, dict[str, float]]:
+    """Medians of each group of ``by`` (a bounded catalogue); columns without
+    a value count as 0."""
+    if not columns:
+        return {}
+    out: dict[tuple, dict[str, float]] = {}
+    for r in ranges.quantiles(long_form(df, by, columns), [*by, "concept"], "value", (0.5,)).collect():
+        out.setdefault(tuple(r[c] for c in by), dict.fromkeys(columns, 0.0))[r["concept"]] = float(r["q"][0])
+    return out
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    row = df.agg(*[F.median(c).alias(c) for c in columns]).first() if columns else {}
-    return {c: float(row[c]) if row[c] is not None else 0.0 for c in columns}
+    return medians_by(df, [], columns).get((), dict.fromkeys(columns, 0.0))
 
 
 @dataclass
@@ -369,11 +435,19 @@ def held_out_r2(pairs: Sequence[tuple[Column, Column]]) -> Column:
     return 1 - F.try_divide(sse, sst)
 
 
-def min_max(col: Column, over: Window | None = None) -> Column:
-    """Scaled to 0..1 over the window; all null gives 0, a constant 1."""
-    w = over or Window.partitionBy()
-    lo, hi = F.min(col).over(w), F.max(col).over(w)
-    return F.when(lo.isNull(), 0.0).when(hi - lo <= TINY, F.when(col.isNotNull(), 1.0).otherwise(0.0)).otherwise(F.coalesce((col - lo) / F.nullif(hi - lo, F.lit(0.0)), F.lit(0.0)))
+def min_max_scaled(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``df`` with {name: column} scaled to 0..1 over all rows: 0 where no row
+    has a value, 1 where all values are alike (to 9 digits); a missing value
+    stays missing otherwise. One aggregation gives a row of bounds."""
+    spans = df.agg(*[f(c).cast("double").alias(f"_{side}_{n}") for n, c in columns.items() for side, f in (("lo", F.min), ("hi", F.max))])
+
+    def scaled(name: str, column: str) -> Column:
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        alike = F.abs(hi - lo) <= 1e-9 * F.greatest(F.abs(lo), F.abs(hi))
+        return F.when(lo.isNull(), 0.0).when(alike, 1.0).otherwise((F.col(column) - lo) / F.nullif(hi - lo, F.lit(0.0)))
+
+    out = df.crossJoin(F.broadcast(spans))
+    return out.withColumns({n: scaled(n, c) for n, c in columns.items()}).drop(*spans.columns)
 
 
 def empirical_p(observed: Column, draw: Column) -> Column:

@@ -62,14 +62,15 @@ def coverage(oof: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 def discover_edges(df: DataFrame, env: str, label: str, columns: Sequence[str], groups: dict[str, str], most: int = 45, sparse: bool = True) -> DataFrame:
     """Edges of each environment: partial correlations of all pairs, and the
     columns that a sparse logistic model of the label selects. Environments
-    are a bounded catalogue; each takes one pass for its products."""
-    rows, names = [], [*columns, label]
-    for value in [r[env] for r in df.select(env).distinct().orderBy(env).collect()]:
+    are a bounded catalogue."""
+    names, chosen = [*columns, label], {}
+    for value in [r[env] for r in df.select(env).distinct().orderBy(env).collect()] if sparse else []:
         part = df.where(F.col(env).eqNullSafe(F.lit(value)))
-        chosen: set[str] = set()
-        if sparse and part.select(label).distinct().count() == 2:
-            chosen = set(learners.l1_selected(learners.fit(part, columns, label, "logistic_l1"), columns))
-        for e, a, b, r, p, ok in graph.partial_edges(df, env, names, value):
-            rows.append((str(e), a, b, groups.get(a, "unknown"), groups.get(b, "unknown"), r, p, ok, b == label and a in chosen))
+        if part.select(label).distinct().count() == 2:
+            chosen[value] = set(learners.l1_selected(learners.fit(part, columns, label, "logistic_l1"), columns))
+    rows = [
+        (str(e), a, b, groups.get(a, "unknown"), groups.get(b, "unknown"), r, p, ok, b == label and a in chosen.get(e, ()))
+        for e, a, b, r, p, ok in graph.partial_edges(df, env, names)
+    ]
     schema = "environment string, a string, b string, group_a string, group_b string, partial_corr double, partial_p double, selected_by_partial_corr boolean, selected_by_target_logistic boolean"
     return graph.strongest_edges(graph.orient(df.sparkSession.createDataFrame(rows, schema)), most)

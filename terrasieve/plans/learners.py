@@ -25,23 +25,32 @@ def class_weights(df: DataFrame, label: str, kind: str) -> dict[int, float]:
     return {1: n / p, 0: 1.0} if kind == "ratio" else {1: (p + n) / (2 * p), 0: (p + n) / (2 * n)}
 
 
-def estimator(name: str, seed: int, trees: int | None = None):
+#: Inverse strengths of the penalties of the linear learners.
+STRENGTH = {"logistic_l2": 1.0, "logistic_l1": 0.25}
+
+
+def estimator(name: str, seed: int, trees: int | None = None, rows: int = 1):
+    """A learner by name. The penalty of a linear one is 1 / (C rows): weights
+    are balanced, so they sum to the rows, and a mean loss is what is
+    penalised here."""
     common = {"featuresCol": "features", "labelCol": "_y", "weightCol": "_w"}
     if name == "boosted":
         return GBTClassifier(**common, maxIter=trees or 400, stepSize=0.03, maxDepth=3, subsamplingRate=0.85, seed=seed)
     if name == "forest":
         return RandomForestClassifier(**common, numTrees=trees or 300, minInstancesPerNode=3, featureSubsetStrategy="sqrt", seed=seed)
     if name == "logistic_l2":
-        return LogisticRegression(**common, regParam=1e-3, elasticNetParam=0.0, maxIter=100)
+        return LogisticRegression(**common, regParam=1 / (STRENGTH[name] * max(rows, 1)), elasticNetParam=0.0, maxIter=100, standardization=False)
     if name == "logistic_l1":
-        return LogisticRegression(**common, regParam=1e-2, elasticNetParam=1.0, maxIter=100)
+        return LogisticRegression(**common, regParam=1 / (STRENGTH[name] * max(rows, 1)), elasticNetParam=1.0, maxIter=100, standardization=False)
+    if name == "hist_boosted":
+        return GBTClassifier(**common, maxIter=trees or 200, stepSize=0.05, maxDepth=4, seed=seed)
     raise ValueError(f"unknown learner {name}")
 
 
 def fit(train: DataFrame, features: Sequence[str], label: str, learner: str = "boosted", seed: int = 20260622, trees: int | None = None):
     """A fitted pipeline: median imputation, assembly, scaling for the linear
     learners, and the learner with class weights of the training rows."""
-    weights = class_weights(train, label, "ratio" if learner == "boosted" else "balanced")
+    weights = class_weights(train, label, "ratio" if learner in ("boosted", "hist_boosted") else "balanced")
     data = train.withColumns(
         {"_y": F.col(label).cast("double"), "_w": F.when(F.col(label) == 1, weights[1]).otherwise(weights[0]), **{c: F.col(c).cast("double") for c in features}}
     )
@@ -50,7 +59,7 @@ def fit(train: DataFrame, features: Sequence[str], label: str, learner: str = "b
     stages = [Imputer(strategy="median", inputCols=list(features), outputCols=filled), VectorAssembler(inputCols=filled, outputCol="_raw" if linear else "features")]
     if linear:
         stages.append(StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True))
-    return Pipeline(stages=[*stages, estimator(learner, seed, trees)]).fit(data)
+    return Pipeline(stages=[*stages, estimator(learner, seed, trees, data.count() if linear else 1)]).fit(data)
 
 
 def score(model, df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:

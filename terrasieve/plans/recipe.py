@@ -42,7 +42,7 @@ class FeatureRecipe:
 
 def sensitive_columns(train: DataFrame, targets: Sequence[str], climate: Sequence[str], threshold: float = 0.30) -> list[str]:
     """Targets that the rank screen of the training rows finds sensitive."""
-    screen = stats.spearman_screen(stats.spearman_pairs(train, targets, climate), threshold)
+    screen = stats.spearman_screen(stats.spearman_pairs(train, targets, climate), threshold, covariates=climate)
     found = {r["target_column"] for r in screen.where("is_spearman_sensitive").collect()}
     return [t for t in targets if t in found]
 

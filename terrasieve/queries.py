@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
@@ -526,7 +526,7 @@ rc(id, c) AS (SELECT id, id FROM pt UNION SELECT e.b, rc.c FROM rc JOIN e ON rc.
 SELECT id, min(c) AS cluster FROM rc GROUP BY id"""
 )
 def distance_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.eps_components(points(spark, sf_dir), "id", 25.0, settled)
+    return spatial.eps_components(points(spark, sf_dir), "id", 25.0)
 
 
 @query(
@@ -588,14 +588,22 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select(F.inline(F.array(*[F.struct(F.lit(g).alias("gamma"), F.col(f"g{i}").alias("standardized_rmse")) for i, g in enumerate((0.0, 0.5, 1.0, 2.0))]))))
 
 
+#: The name of a sign: zeros are left out, and what is left must be one.
+SIGN_SQL = """CASE WHEN count(partial_corr) = 0 THEN 'unknown' WHEN count(*) FILTER (partial_corr <> 0) = 0 THEN 'zero_or_unknown'
+  WHEN count(DISTINCT sign(partial_corr)) FILTER (partial_corr <> 0) > 1 THEN 'mixed' WHEN max(partial_corr) > 0 THEN 'positive' ELSE 'negative' END"""
+
 EDGES_SQL = f"""{ITEMS}, ed AS (
   {' UNION ALL '.join(f"SELECT env::VARCHAR AS environment, '{a}' AS source, '{b}' AS target, '{ga}' AS source_group, '{gb}' AS target_group, {'true' if d else 'false'} AS directed, corr({a}::DOUBLE, {b}::DOUBLE) AS partial_corr FROM it WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY env" for a, b, ga, gb, d in (('qty', 'price', 'geochemistry', 'geochemistry', False), ('tax', 'price', 'climate', 'geochemistry', True), ('disc', 'price', 'climate', 'geochemistry', True), ('qty', 'y', 'geochemistry', 'target', True)))}
-), kept AS (SELECT *, least(abs(partial_corr) + 0.10, 1.0) AS edge_weight FROM ed WHERE abs(partial_corr) >= 0.002), cs AS (
+), kept AS (SELECT *, row_number() OVER (PARTITION BY environment ORDER BY edge_weight DESC, source, target) AS rank_in_environment FROM (SELECT *, least(abs(partial_corr) + 0.10, 1.0) AS edge_weight, false AS logistic FROM ed WHERE abs(partial_corr) >= 0.002)), cs AS (
   SELECT CASE WHEN directed THEN source || ' -> ' || target ELSE least(source, target) || ' -- ' || greatest(source, target) END AS edge_key, any_value(source) AS source, any_value(target) AS target, any_value(source_group) AS source_group, any_value(target_group) AS target_group, bool_or(directed) AS directed,
-         count(DISTINCT environment) AS env_count, array_to_string(list_sort(list(DISTINCT environment)), ';') AS environments, avg(edge_weight) AS mean_edge_weight, max(edge_weight) AS max_edge_weight, avg(partial_corr) AS mean_partial_corr, count(DISTINCT sign(partial_corr)) <= 1 AS sign_consistent, count(DISTINCT environment) / 5 AS stable_edge_score FROM kept GROUP BY 1
+         count(DISTINCT environment) AS env_count, array_to_string(list_sort(list(DISTINCT environment)), ';') AS environments, avg(edge_weight) AS mean_edge_weight, max(edge_weight) AS max_edge_weight, avg(partial_corr) AS mean_partial_corr, avg(abs(partial_corr)) AS mean_abs_partial_corr, {SIGN_SQL} AS partial_corr_sign, {SIGN_SQL} IN ('positive', 'negative') AS sign_consistent,
+         count(DISTINCT environment) / 5 AS stable_edge_score, bool_or(coalesce(logistic, false)) AS logistic_any, count(*) FILTER (logistic) AS logistic_count, avg(rank_in_environment) AS mean_rank, min(rank_in_environment) AS min_rank FROM kept GROUP BY 1
 )"""
 
 
+NOTE_SQL = "CASE edge_class " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in graph.NOTES.items()) + f" ELSE '{graph.OTHER_NOTE}' END"
+
+
 def region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of four column pairs in each region, by correlation."""
     groups = {"qty": "geochemistry", "price": "geochemistry", "tax": "climate", "disc": "climate", "y": "target"}
@@ -607,7 +615,7 @@ def region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {EDGES_SQL} SELECT edge_key, source, target, source_group, target_group, directed, env_count, environments, {', '.join(r(c, c) for c in ('mean_edge_weight', 'max_edge_weight', 'mean_partial_corr'))}, sign_consistent, {r('stable_edge_score', 'stable_edge_score')} FROM cs"""
+    f"""WITH {EDGES_SQL} SELECT edge_key, source, target, source_group, target_group, directed, env_count, environments, {', '.join(r(c, c) for c in ('mean_edge_weight', 'max_edge_weight', 'mean_partial_corr', 'mean_abs_partial_corr', 'mean_rank'))}, partial_corr_sign, sign_consistent, {r('stable_edge_score', 'stable_edge_score')}, logistic_any, logistic_count, min_rank FROM cs"""
 )
 def edge_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.edge_consensus(region_edges(spark, sf_dir), 5))
@@ -617,7 +625,7 @@ def edge_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {EDGES_SQL}, k AS (SELECT *, CASE WHEN target_group = 'target' AND source_group = 'geochemistry' AND env_count = 5 AND sign_consistent THEN 'stable_mineralization_signal_edge' WHEN target_group = 'target' AND env_count >= 2 AND sign_consistent THEN 'mostly_stable_direct_signal_edge'
   WHEN target_group = 'target' AND source_group IN ('climate', 'terrain') THEN 'environment_or_exposure_sensitive_target_edge' WHEN source_group = target_group THEN 'within_variable_family_edge' WHEN target_group = 'geochemistry' THEN 'candidate_control_on_geochemical_expression' WHEN NOT directed THEN 'undirected_cross_environment_association' ELSE 'other_candidate_edge' END AS edge_class FROM cs)
 SELECT source, CASE edge_class WHEN 'stable_mineralization_signal_edge' THEN 'stable_signal_for' WHEN 'mostly_stable_direct_signal_edge' THEN 'mostly_stable_signal_for' WHEN 'within_variable_family_edge' THEN 'covaries_with' WHEN 'candidate_control_on_geochemical_expression' THEN 'candidate_modulates' ELSE 'associated_with' END AS relation, target, edge_class, environments,
-  {r('stable_edge_score', 'stable_edge_score')}, {r('mean_edge_weight', 'mean_edge_weight')}, CASE WHEN edge_class IN ('within_variable_family_edge', 'undirected_cross_environment_association') THEN 'context' WHEN stable_edge_score >= 1 AND sign_consistent THEN 'high' ELSE 'medium' END AS confidence FROM k"""
+  {r('stable_edge_score', 'stable_edge_score')}, {r('mean_edge_weight', 'mean_edge_weight')}, CASE WHEN edge_class IN ('within_variable_family_edge', 'undirected_cross_environment_association') THEN 'context' WHEN stable_edge_score >= 1 AND sign_consistent THEN 'high' ELSE 'medium' END AS confidence, 'cross_environment_causal_graph_comparison' AS evidence_type, {NOTE_SQL} AS note FROM k"""
 )
 def knowledge_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.knowledge_triples(graph.edge_consensus(region_edges(spark, sf_dir), 5), 5))
@@ -634,10 +642,19 @@ def fold_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.fold_summary(stats.spearman_screen(pairs, 0.01, by=["env"])))
 
 
+def fusion_sql() -> str:
+    """The end of a fusion of j(climate, target, g, m, c): missing m and c are
+    0 before each column is scaled, a constant column is 1 everywhere."""
+    scaled = lambda c: f"CASE WHEN count({c}) OVER () = 0 THEN 0.0 WHEN max({c}) OVER () = min({c}) OVER () THEN 1.0 ELSE ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) END"
+    return f"""z AS (SELECT climate, target, g::DOUBLE AS g, coalesce(m, 0)::DOUBLE AS m, coalesce(c, 0)::DOUBLE AS c FROM j),
+k AS (SELECT *, {scaled('g')} AS gs, {scaled('m')} AS ms, {scaled('c')} AS cs FROM z)
+SELECT climate, target, {r('gs', 'global_score')}, {r('ms', 'm4_score')}, {r('cs', 'causal_score')}, {r('0.45 * gs + 0.35 * ms + 0.20 * cs', 'combined_score')},
+       coalesce(0.45 * gs + 0.35 * ms + 0.20 * cs >= 0.5, false) AS selected, {r('g', 'global_abs')}, {r('m', 'sensitive_rate')}, {r('c', 'causal_raw')} FROM k"""
+
+
 @query(
     f"""WITH {SPEARMAN_SQL}, m4 AS (SELECT covariate, target, (abs(spearman) >= 0.002)::INT AS s FROM sp), j AS (SELECT sp.covariate AS climate, sp.target, abs(spearman) AS g, s AS m, CASE WHEN sp.target = 'price' THEN (CASE WHEN sp.covariate = 'tax' THEN 0.8 ELSE 0.4 END)::DOUBLE END AS c FROM sp JOIN m4 ON sp.covariate = m4.covariate AND sp.target = m4.target),
-k AS (SELECT climate, target, (g - min(g) OVER ()) / (max(g) OVER () - min(g) OVER ()) AS gs, CASE WHEN max(m) OVER () = min(m) OVER () THEN 1.0 ELSE (m - min(m) OVER ()) / (max(m) OVER () - min(m) OVER ()) END AS ms, coalesce((c - min(c) OVER ()) / (max(c) OVER () - min(c) OVER ()), 0.0) AS cs FROM j)
-SELECT climate, target, {r('gs', 'global_score')}, {r('ms', 'm4_score')}, {r('cs', 'causal_score')}, {r('0.45 * gs + 0.35 * ms + 0.20 * cs', 'combined_score')}, 0.45 * gs + 0.35 * ms + 0.20 * cs >= 0.5 AS selected FROM k"""
+{fusion_sql()}"""
 )
 def sensitivity_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = stats.spearman_pairs(items(spark, sf_dir), ["price", "qty"], ["disc", "tax"]).select(F.col("covariate").alias("climate"), "target", F.abs("spearman").alias("global_abs"))
@@ -646,6 +663,82 @@ def sensitivity_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.fuse_sensitivity(pairs, m4, causal))
 
 
+@query(
+    f"""WITH {SPEARMAN_SQL}, j AS (
+  SELECT covariate AS climate, target, CASE WHEN covariate = 'disc' OR target = 'price' THEN abs(spearman) END AS g, CASE WHEN target = 'price' THEN 0.6 WHEN covariate = 'tax' THEN 1.0 END AS m,
+         CASE WHEN covariate = 'tax' AND target = 'price' THEN 0.4 WHEN covariate = 'tax' THEN 0.8 END AS c FROM sp
+), {fusion_sql()}"""
+)
+def sensitivity_fusion_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fusion where a pair has no global correlation and others no evidence."""
+    known = (F.col("covariate") == "disc") | (F.col("target") == "price")
+    pairs = stats.spearman_pairs(items(spark, sf_dir), ["price", "qty"], ["disc", "tax"]).select(F.col("covariate").alias("climate"), "target", F.when(known, F.abs("spearman")).alias("global_abs"))
+    m4 = spark.createDataFrame([("tax", "price", 0.6), ("disc", "price", 0.6), ("tax", "qty", 1.0)], "climate string, target string, sensitive_rate double")
+    causal = spark.createDataFrame([("tax", "price", 0.4), ("tax", "qty", 0.8)], "climate string, target string, causal_score double")
+    return rounded(graph.fuse_sensitivity(pairs, m4, causal))
+
+
+@query(
+    f"""WITH {SPEARMAN_SQL}, j AS (SELECT covariate AS climate, target, abs(spearman) AS g, CASE WHEN target = 'price' THEN 0.6 ELSE 1.0 END AS m, NULL::DOUBLE AS c FROM sp), f AS ({'WITH ' + fusion_sql()})
+SELECT target, min_by(climate, (combined_score IS NULL, -combined_score, climate)) AS best_climate, max(global_abs) AS max_global_abs, max(sensitive_rate) AS max_sensitive_rate, max(causal_raw) AS max_causal_score,
+       max(combined_score) AS max_combined_score, bool_or(selected) AS selected FROM f GROUP BY target"""
+)
+def fused_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of a fused graph in which no pair has causal evidence."""
+    pairs = stats.spearman_pairs(items(spark, sf_dir), ["price", "qty"], ["disc", "tax"]).select(F.col("covariate").alias("climate"), "target", F.abs("spearman").alias("global_abs"))
+    m4 = pairs.select("climate", "target", F.when(F.col("target") == "price", 0.6).otherwise(1.0).alias("sensitive_rate"))
+    causal = spark.createDataFrame([], "climate string, target string, causal_score double")
+    return rounded(graph.target_summary(graph.fuse_sensitivity(pairs, m4, causal)))
+
+
+ROUGH_EDGES_SQL = f"""{ITEMS}, ed AS (
+  {' UNION ALL '.join(f"SELECT env, env::VARCHAR AS environment, '{a}' AS source, '{b}' AS target, '{ga}' AS source_group, '{gb}' AS target_group, {d} AS directed, corr({a}::DOUBLE, {b}::DOUBLE) AS pc FROM it WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY env" for a, b, ga, gb, d in (('qty', 'price', 'geochemistry', 'geochemistry', 'false'), ('tax', 'price', 'climate', 'geochemistry', 'true'), ('disc', 'price', 'climate', 'geochemistry', 'true'), ('qty', 'y', 'geochemistry', 'target', 'true')))}
+), rough AS (SELECT *, CASE WHEN source = 'tax' THEN 0.0 WHEN source = 'disc' AND env <> 2 THEN NULL WHEN source = 'disc' THEN 0.0 ELSE CASE WHEN env = 1 THEN 0.0 ELSE pc END END AS partial_corr, source = 'tax' AND env < 2 AS logistic FROM ed),
+kept AS (SELECT *, least(coalesce(abs(partial_corr), 0.0) + 0.10 + CASE WHEN logistic THEN 0.05 ELSE 0.0 END, 1.0) AS edge_weight FROM rough),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY environment ORDER BY edge_weight DESC, source, target) AS rk FROM kept)"""
+
+
+def rough_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of each region of which some have no partial correlation or 0."""
+    groups = {"qty": "geochemistry", "price": "geochemistry", "tax": "climate", "disc": "climate", "y": "target"}
+    pairs = (("qty", "price"), ("price", "tax"), ("price", "disc"), ("qty", "y"))
+    sums = items(spark, sf_dir).groupBy("env").agg(*[stats.pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(groups[a]).alias("group_a"), F.lit(groups[b]).alias("group_b"), F.col(f"c{i}").alias("pc")) for i, (a, b) in enumerate(pairs)])
+    e = graph.orient(sums.select("env", F.col("env").cast("string").alias("environment"), F.inline(rows)))
+    disc = F.when(F.col("env") == 2, 0.0)
+    pc = F.when(F.col("source") == "tax", 0.0).when(F.col("source") == "disc", disc).when(F.col("env") == 1, 0.0).otherwise(F.col("pc"))
+    logistic = (F.col("source") == "tax") & (F.col("env") < 2)
+    weight = F.least(F.coalesce(F.abs("partial_corr"), F.lit(0.0)) + 0.10 + F.when(logistic, 0.05).otherwise(0.0), F.lit(1.0))
+    w = Window.partitionBy("environment").orderBy(F.desc("edge_weight"), "source", "target")
+    return e.withColumn("partial_corr", pc).withColumns({"selected_by_target_logistic": logistic, "edge_weight": weight}).withColumn("rank_in_environment", F.row_number().over(w))
+
+
+@query(
+    f"""WITH {ROUGH_EDGES_SQL} SELECT source, target, count(DISTINCT environment) AS env_count, {r('avg(abs(partial_corr))', 'mean_abs_partial_corr')}, {SIGN_SQL} AS partial_corr_sign, {SIGN_SQL} IN ('positive', 'negative') AS sign_consistent,
+  bool_or(logistic) AS logistic_any, count(*) FILTER (logistic) AS logistic_count, {r('avg(rk)', 'mean_rank')}, min(rk) AS min_rank,
+  max(CASE WHEN environment = '0' THEN rk END) AS rank_0, bool_or(environment = '9') AS in_9 FROM ranked GROUP BY source, target"""
+)
+def edge_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consensus columns of edges with missing, zero and mixed signs."""
+    c = graph.edge_consensus(rough_edges(spark, sf_dir), 5, environments=("0", "9"))
+    return rounded(
+        c.select(
+            "source", "target", "env_count", "mean_abs_partial_corr", "partial_corr_sign", "sign_consistent", "logistic_any", "logistic_count", "mean_rank", "min_rank",
+            F.col("0_rank").alias("rank_0"), F.col("appears_in_9").alias("in_9"),
+        )
+    )
+
+
+@query(
+    f"""WITH {SPEARMAN_SQL}, t AS (SELECT target, max(CASE WHEN covariate = 'tax' THEN spearman END) AS s, max(CASE WHEN covariate = 'tax' THEN n_pairs END) AS n FROM sp GROUP BY target)
+SELECT target AS target_column, 'zz' AS best_climate_column, {r('s', 'spearman')}, {r('abs(s)', 'spearman_abs_max')}, n AS n_pair_at_best, abs(s) >= 0.005 AS is_spearman_sensitive FROM t"""
+)
+def spearman_screen_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two covariates of equal correlation: the first column wins, not the first name."""
+    it = items(spark, sf_dir).withColumns({"zz": F.col("tax"), "aa": F.col("tax")})
+    return rounded(stats.spearman_screen(stats.spearman_pairs(it, ["price", "qty"], ["zz", "aa"]), 0.005, covariates=["zz", "aa"]))
+
+
 @query(
     f"""WITH v AS (SELECT user_id % 10 AS cell, dayofyear(ts)::INT AS yr, CASE WHEN event_id % 9 <> 0 THEN value END AS value FROM events), p AS (SELECT unnest([1, 31, 100]) AS a, unnest([30, 120, 366]) AS b)
 SELECT cell, a AS first_year, b AS last_year, count(*) AS n_years, count(value) AS n_valid, {r('count(value) / count(*)', 'valid_fraction')}, {r('avg(value)', 'mean')}, {r('stddev_pop(value)', 'std')} FROM v JOIN p ON yr BETWEEN a AND b GROUP BY cell, a, b"""

@@ -6,13 +6,15 @@ import csv
 import json
 import re
 from collections.abc import Sequence
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import files
+
+#: Encodings in the order in which they are tried, and delimiters.
 ENCODINGS = ("utf-8-sig", "utf-8", "gb18030", "latin-1")
 DELIMITERS = ",\t;|"
 
@@ -38,10 +40,9 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def sniff_csv(spark: SparkSession, path: str, sample_bytes: int = 65_536) -> dict[str, str]:
-    """Encoding and delimiter of a CSV from the bytes at its head, read by
-    Spark's binary source so that any store works."""
-    head = spark.read.format("binaryFile").load(path).orderBy("path").select(F.expr(f"substring(content, 1, {int(sample_bytes)})").alias("head")).first()
-    data = bytes(head["head"]) if head else b""
+    """Encoding and delimiter of a CSV from the bytes at its head; only those
+    are read, from any store."""
+    data = files.head(spark, path, sample_bytes)
     for encoding in ENCODINGS:
         try:
             text = data.decode(encoding)
@@ -62,6 +63,12 @@ def read_sniffed_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("encoding", form["encoding"]).option("sep", form["delimiter"]).csv(path)
 
 
+def read_csv_rows(spark: SparkSession, path: str, most: int = 1000) -> list[dict[str, str]]:
+    """The first rows of a CSV as dictionaries of text, ``most`` at most; for
+    whole tables read a DataFrame."""
+    return [r.asDict() for r in read_sniffed_csv(spark, path).limit(most).collect()]
+
+
 def count_csv_rows(spark: SparkSession, path: str) -> int:
     """Physical rows of a CSV, its header included."""
     return spark.read.option("header", False).csv(path).count()
@@ -88,19 +95,24 @@ def melt_years(df: DataFrame, year: str = "year") -> DataFrame:
     return df.unpivot([year], cells, "cell", "value")
 
 
-def discover_dataset(run_dir: str | Path, manifest: str = "run_manifest.json") -> str:
-    """The manifest's input_path where it exists, else the first Parquet file
+def datasets_below(spark: SparkSession, root: str, suffix: str) -> list[str]:
+    """Files of a suffix below a folder; a table that is a folder counts once."""
+    found = [m[1] for f in files.files_below(spark, root) if (m := re.match(rf"(.*?{re.escape(suffix)})(/|$)", f))]
+    return sorted(set(found))
+
+
+def discover_dataset(spark: SparkSession, run_dir: str, manifest: str = "run_manifest.json") -> str:
+    """The manifest's input_path where it exists, else the first Parquet table
     below the folder, else the first CSV."""
-    root = Path(run_dir)
-    listed = root / manifest
-    if listed.exists():
-        path = json.loads(listed.read_text()).get("input_path")
-        if path and Path(path).exists():
+    root = str(run_dir).rstrip("/")
+    if files.exists(spark, f"{root}/{manifest}"):
+        path = json.loads(files.read_text(spark, f"{root}/{manifest}")).get("input_path")
+        if path and files.exists(spark, path):
             return str(path)
-    for pattern in ("*.parquet", "*.csv"):
-        found = sorted(root.rglob(pattern))
+    for suffix in (".parquet", ".csv"):
+        found = datasets_below(spark, root, suffix)
         if found:
-            return str(found[0])
+            return found[0]
     raise FileNotFoundError(f"no dataset below {root}")
 
 
@@ -110,9 +122,10 @@ def ratio_label(path: Column) -> Column:
     return F.when(n != "", F.concat(F.lit("1:"), n))
 
 
-def ratio_datasets(root: str | Path, ratios: Sequence[int]) -> dict[int, str]:
+def ratio_datasets(spark: SparkSession, root: str, ratios: Sequence[int]) -> dict[int, str]:
     """The dataset of each ratio below ``root``; all must exist."""
-    found = {int(m[1]): str(p) for p in sorted(Path(root).rglob("*")) if p.suffix in (".parquet", ".csv") and (m := re.search(r"ratio_1_(\d+)", str(p)))}
+    paths = sorted(p for suffix in (".parquet", ".csv") for p in datasets_below(spark, root, suffix))
+    found = {int(m[1]): p for p in paths if (m := re.search(r"ratio_1_(\d+)", p))}
     missing = [r for r in ratios if r not in found]
     if missing:
         raise FileNotFoundError(f"no dataset of ratio {missing}")
@@ -128,9 +141,9 @@ def flatten_paths(tree: dict[str, Any], prefix: str = "") -> dict[str, Any]:
     return out
 
 
-def load_config(path: str | Path) -> dict[str, Any]:
+def load_config(spark: SparkSession, path: str) -> dict[str, Any]:
     """A JSON configuration, or YAML where a YAML library is installed."""
-    text = Path(path).read_text()
+    text = files.read_text(spark, path)
     if str(path).endswith(".json"):
         return json.loads(text)
     try:

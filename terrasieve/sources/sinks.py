@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import math
-from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import files
+
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Parquet or CSV (with a header) by suffix, as a folder of part files."""
@@ -19,12 +20,12 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         df.write.mode(mode).parquet(path)
 
 
-def write_small_csv(df: DataFrame, path: str | Path, most_rows: int = 100_000) -> None:
+def write_small_csv(df: DataFrame, path: str, most_rows: int = 100_000) -> None:
     """One CSV file with a byte order mark, for reports of bounded size."""
     rows = df.limit(most_rows + 1).toPandas()
     if len(rows) > most_rows:
         raise ValueError(f"more than {most_rows} rows; use write_table")
-    rows.to_csv(path, index=False, encoding="utf-8-sig")
+    files.write_text(df.sparkSession, str(path), "\ufeff" + rows.to_csv(index=False))
 
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -32,13 +33,17 @@ def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
-def write_manifest(manifest: dict[str, Any], path: str | Path) -> None:
+def write_manifest(spark: SparkSession, manifest: dict[str, Any], path: str) -> None:
     """Strict JSON: NaN and infinities are refused."""
-    Path(path).write_text(json.dumps(manifest, indent=2, ensure_ascii=False, allow_nan=False) + "\n")
+    files.write_text(spark, str(path), json.dumps(manifest, indent=2, ensure_ascii=False, allow_nan=False) + "\n")
 
 
 def markdown_table(df: DataFrame, most_rows: int = 200, digits: int = 4) -> str:
-    """A Markdown table of a small result; pipes are escaped."""
+    """A Markdown table of a small result; pipes are escaped. One of more than
+    ``most_rows`` rows raises."""
+    rows = df.limit(most_rows + 1).collect()
+    if len(rows) > most_rows:
+        raise ValueError(f"more than {most_rows} rows; use write_table")
 
     def cell(v: Any) -> str:
         if v is None or isinstance(v, float) and math.isnan(v):
@@ -46,7 +51,7 @@ def markdown_table(df: DataFrame, most_rows: int = 200, digits: int = 4) -> str:
         return (f"{v:.{digits}f}" if isinstance(v, float) else str(v)).replace("|", "\\|").replace("\n", " ")
 
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in df.limit(most_rows).collect()])
+    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in rows])
 
 
 def mermaid_flowchart(edges: DataFrame, source: str = "source", target: str = "target", weight: str = "edge_weight", most: int = 24) -> str:

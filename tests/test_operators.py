@@ -136,8 +136,10 @@ def test_folds_cover_rows_once_and_do_not_split_groups(spark):
 
 def test_matched_columns_keep_the_quartile(spark):
     cat = spark.createDataFrame([(f"c{i}", i / 20) for i in range(20)], "column string, missing_rate double")
-    got = splits.matched_columns(cat, ["c0", "c1", "c19"], F.xxhash64("column")).collect()
+    got = splits.matched_columns(cat, ["c0", "c1", "c19"], F.xxhash64("column"), others_only=True).collect()
     assert len(got) == 3 and len({r["column"] for r in got}) == 3 and not {r["column"] for r in got} & {"c0", "c1", "c19"}
+    every = splits.matched_columns(cat, [f"c{i}" for i in range(5)], F.xxhash64("column")).collect()
+    assert {r["column"] for r in every} == {f"c{i}" for i in range(5)}
 
 
 def test_guards(spark):
@@ -225,15 +227,16 @@ def test_within_and_nearest_against_all_pairs(spark):
 
 def test_clusters_of_a_chain(spark):
     df = spark.createDataFrame([(i, 40.0, -110 + i * 0.01) for i in range(12)] + [(50, 10.0, 0.0)], "id long, lat double, lon double")
-    out = {r["id"]: r["cluster"] for r in spatial.eps_components(df, "id", 1.0, settled).collect()}
+    out = {r["id"]: r["cluster"] for r in spatial.eps_components(df, "id", 1.0).collect()}
     assert out == {**{i: 0 for i in range(12)}, 50: 50}
 
 
 def test_graph_fusion_min_max_edges(spark):
     df = spark.createDataFrame([(1, None), (2, None)], "k int, v double")
-    assert [r[0] for r in df.select(stats.min_max(F.col("v"))).collect()] == [0.0, 0.0]
-    one = spark.createDataFrame([(3.0,), (3.0,)], "v double")
-    assert [r[0] for r in one.select(stats.min_max(F.col("v"))).collect()] == [1.0, 1.0]
+    scaled = lambda d: [r["s"] for r in stats.min_max_scaled(d, {"s": "v"}).collect()]
+    assert scaled(df) == [0.0, 0.0]
+    assert scaled(spark.createDataFrame([(3.0,), (3.0,), (None,)], "v double")) == [1.0, 1.0, 1.0]
+    assert scaled(spark.createDataFrame([(1.0,), (None,), (3.0,)], "v double").coalesce(1)) == [0.0, None, 1.0]
     e = spark.createDataFrame([("y", "g", "target", "geochemistry"), ("g", "c", "geochemistry", "climate"), ("g", "h", "geochemistry", "geochemistry")], "a string, b string, group_a string, group_b string")
     got = {(r["source"], r["target"]): r["directed"] for r in graph.orient(e).collect()}
     assert got == {("g", "y"): True, ("c", "g"): True, ("g", "h"): False}
@@ -270,19 +273,119 @@ def test_readers_and_sinks(spark, tmp_path):
     assert back.where("x is null").count() == 1
     sinks.write_json_lines(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
-    sinks.write_manifest({"a": 1}, tmp_path / "m.json")
+    sinks.write_manifest(spark, {"a": 1}, str(tmp_path / "m.json"))
     with pytest.raises(ValueError):
-        sinks.write_manifest({"a": float("nan")}, tmp_path / "m2.json")
+        sinks.write_manifest(spark, {"a": float("nan")}, str(tmp_path / "m2.json"))
     (tmp_path / "run").mkdir()
     (tmp_path / "run" / "d.csv").write_text("a\n1\n")
-    assert readers.discover_dataset(tmp_path / "run").endswith("d.csv")
+    assert readers.discover_dataset(spark, str(tmp_path / "run")).endswith("d.csv")
     (tmp_path / "run" / "run_manifest.json").write_text(json.dumps({"input_path": str(bom)}))
-    assert readers.discover_dataset(tmp_path / "run") == str(bom)
+    assert readers.discover_dataset(spark, str(tmp_path / "run")) == str(bom)
     assert readers.flatten_paths({"a": {"b": 1}, "c": 2}) == {"a.b": 1, "c": 2}
     e = spark.createDataFrame([("a b", "c", 0.5)], "source string, target string, edge_weight double")
     assert sinks.mermaid_flowchart(e).splitlines()[1].strip() == 'a_b["a b"] -->|0.500| c["c"]'
 
 
+def test_small_files_and_refusals(spark, tmp_path):
+    df = spark.range(201).toDF("n")
+    for write in (lambda: sinks.markdown_table(df), lambda: sinks.write_small_csv(df, str(tmp_path / "c.csv"), most_rows=200)):
+        with pytest.raises(ValueError):
+            write()
+    sinks.write_small_csv(df, str(tmp_path / "c.csv"))
+    assert (tmp_path / "c.csv").read_bytes()[:3] == b"\xef\xbb\xbf" and readers.read_table(spark, str(tmp_path / "c.csv")).agg(F.sum("n")).first()[0] == 20100
+    for n in (5, 20):
+        df.write.parquet(str(tmp_path / f"runs/ratio_1_{n}/d.parquet"))
+    found = readers.ratio_datasets(spark, str(tmp_path / "runs"), [5, 20])
+    assert spark.read.parquet(found[20]).count() == 201 and spark.createDataFrame([(found[5],)], "p string").select(readers.ratio_label(F.col("p"))).first()[0] == "1:5"
+    with pytest.raises(FileNotFoundError):
+        readers.ratio_datasets(spark, str(tmp_path / "runs"), [7])
+    with pytest.raises(FileNotFoundError):
+        readers.discover_dataset(spark, str(tmp_path / "nothing"))
+    (tmp_path / "c.json").write_text('{"a": {"b": 2}}')
+    assert readers.flatten_paths(readers.load_config(spark, str(tmp_path / "c.json"))) == {"a.b": 2}
+    assert readers.read_csv_rows(spark, str(tmp_path / "c.csv"), most=2) == [{"n": "0"}, {"n": "1"}]
+
+
+def test_scenarios_of_a_perturbation(spark):
+    from terrasieve.operators import evaluate
+
+    df = spark.createDataFrame([(20.0, 50.0)], "a_TMEAN double, rain double")
+    got = {s: df.select(*[c.alias(k) for k, c in evaluate.perturbed(df.columns, s, {"a_TMEAN": 1.0, "rain": 2.0}).items()]).first()[:] for s in ("original", "plus", "minus", "train_median")}
+    assert got == {"original": (20.0, 50.0), "plus": (21.0, pytest.approx(55.0)), "minus": (19.0, 45.0), "train_median": (1.0, 2.0)}
+    with pytest.raises(ValueError):
+        evaluate.perturbed(["rain"], "climate_plus")
+
+
+def test_consensus_signs(spark):
+    from terrasieve.operators import graph
+
+    rows = [("0", 0.0), ("1", None)]
+    e = spark.createDataFrame([(env, "a", "b", "geochemistry", "target", True, 0.1, pc, False, 1) for env, pc in rows], "environment string, source string, target string, source_group string, target_group string, directed boolean, edge_weight double, partial_corr double, selected_by_target_logistic boolean, rank_in_environment int")
+    got = graph.edge_consensus(e, 2).first()
+    assert got["partial_corr_sign"] == "zero_or_unknown" and not got["sign_consistent"]
+    assert graph.knowledge_triples(graph.edge_consensus(e, 2), 2).first()["confidence"] == "medium"
+
+
+def test_running_sums_of_one_group_over_many_ranges(spark):
+    from terrasieve.operators import ranges
+
+    df = spark.range(0, 3000, 1, 5).select((F.col("id") * 7919 % 3001).alias("v"), (F.col("id") % 3).alias("w"))
+    got = ranges.running_sums(df, [], [F.desc("v")], {"before": "w"}, rows_per_range=100).toPandas().sort_values("v", ascending=False)
+    assert got["before"].tolist() == (got["w"].cumsum() - got["w"]).tolist()
+    x = df.select(F.lit("g").alias("g"), F.sqrt("v").alias("v"))
+    q = ranges.quantiles(x, ["g"], "v", (0.0, 0.25, 0.5, 0.95, 1.0), rows_per_range=100).first()
+    assert q["q"] == pytest.approx(np.quantile(x.toPandas()["v"], [0, 0.25, 0.5, 0.95, 1]).tolist(), rel=1e-12) and q["n"] == 3000
+
+
+def test_components_of_a_long_chain(spark):
+    from terrasieve.operators.components import connected
+
+    names = np.random.default_rng(2).permutation(5000).tolist()
+    edges = spark.createDataFrame(list(zip(names, names[1:])) + [(7000, 7000), (8001, 8000)], "a long, b long")
+    got = {r["node"]: r["component"] for r in connected(edges).collect()}
+    assert got == {**dict.fromkeys(names, 0), 7000: 7000, 8000: 8000, 8001: 8000}
+
+
+def test_clusters_of_dense_places_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    lat = np.concatenate([rng.uniform(10, 10.2, 300), rng.normal(-80, 0.3, 100), rng.uniform(-0.1, 0.1, 100)])
+    lon = np.concatenate([rng.uniform(20, 20.2, 300), rng.uniform(-180, 180, 100), np.where(rng.random(100) < 0.5, 179.9, -179.9)])
+    for km in (2.0, 30.0):
+        df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(lat, lon))], "id long, lat double, lon double")
+        got = {r["id"]: r["cluster"] for r in spatial.eps_components(df, "id", km).collect()}
+        p, q = np.radians(lat), np.radians(lon)
+        h = np.sin((p[:, None] - p) / 2) ** 2 + np.cos(p[:, None]) * np.cos(p) * np.sin((q[:, None] - q) / 2) ** 2
+        near, label = 2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(h, 1))) <= km, np.arange(500)
+        while True:
+            new = np.where(near, label[None], 500).min(axis=1)
+            if (new == label).all():
+                break
+            label = new
+        assert got == dict(enumerate(label.tolist()))
+
+
+def test_many_columns_are_residualised(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 400)).cumsum(axis=1)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], [f"c{i}" for i in range(400)])
+    fitted = stats.Residualizer([f"c{i}" for i in range(20, 400)], [f"c{i}" for i in range(20)]).fit(df)
+    got = fitted.transform(df).select("c399_climate_resid", "c20_climate_resid").toPandas().to_numpy()
+    z = (x[:, :20] - x[:, :20].mean(0)) / x[:, :20].std(0)
+    w = np.linalg.solve(z.T @ z + 10 * np.eye(20), z.T @ (x[:, [399, 20]] - x[:, [399, 20]].mean(0)))
+    want = x[:, [399, 20]] - x[:, [399, 20]].mean(0) - z @ w
+    assert np.allclose(np.sort(got, axis=0), np.sort(want, axis=0), atol=1e-6)
+
+
+def test_grams_by_group_agree_in_both_forms(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 3 if i % 7 else None, float(i % 5), float(i * i % 11), 1e9 + i) for i in range(200)], "g int, a double, b double, c double")
+    one = stats.gram_by(df, ["g"], [F.col(c) for c in "abc"], list("abc"))
+    monkeypatch.setattr(stats, "MOST_PRODUCTS", 0)
+    two = stats.gram_by(df, ["g"], [F.col(c) for c in "abc"], list("abc"))
+    assert set(one) == set(two) == {(0,), (1,), (2,), (None,)}
+    for k in one:
+        assert np.allclose(one[k].cov, two[k].cov, rtol=1e-9) and one[k].n == two[k].n
+
+
 def test_series(spark):
     v = spark.createDataFrame([(0, 1700, 1.0), (0, 1701, None), (0, 1800, 3.0)], "cell int, year int, value double")
     out = {(r["first_year"], r["last_year"]): r for r in series.period_summary(v, [(1700, 1750), (1700, 1850), (1900, 1950)]).collect()}
