@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import settled
 
+#: Up to so many different edges (16 bytes each) are finished in one task.
+ONE_TASK = 500_000
+
 
 def _stars(edges: DataFrame) -> DataFrame:
     """One round over different edges (u > v): every larger neighbour of a
@@ -21,22 +28,53 @@ def _stars(edges: DataFrame) -> DataFrame:
     return small.where("u <> v").distinct()
 
 
-def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges in order, and the least node each one reaches."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (a, b):
+            np.minimum.at(new, side, low)
+            np.minimum.at(new, label[side], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, label):
+            return nodes, nodes[label]
+        label = new
+
+
+def _finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held = list(batches)
+    if held:
+        edges = pd.concat(held)
+        node, component = least_reached(edges["u"].to_numpy(), edges["v"].to_numpy())
+        yield pd.DataFrame({"node": node, "component": component})
+
+
+def connected(edges: DataFrame, a: str = "a", b: str = "b", one_task: int = ONE_TASK, settle: Callable[[DataFrame], DataFrame] = settled) -> DataFrame:
     """(node, component): the smallest node that each node of an edge reaches.
 
-    Rounds go on until no edge changes; each is settled, and a count and a sum
-    of hashes are all that reaches the driver. The distance to a component's
-    least node shrinks by half or better each round. Null ends are no edge."""
+    Nodes are whole numbers; an edge with a null end is none. Rounds of stars
+    go on until no edge changes; each is settled, and a count and a sum of
+    hashes are all that reaches the driver. The distance to a component's
+    least node shrinks by half or better each round. Up to ``one_task`` edges
+    (a checked bound of some 8 MB) are finished by one task instead, whose
+    rows are dealt out again."""
     mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    loops = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("node")).distinct()
-    now = settled(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).toDF("u", "v", "ok").where("ok").select("u", "v").distinct())
+    ends = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a is not null and b is not null")
+    now = settle(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())  # a loop is a node alone
     last = mark(now)
+    if last[0] <= one_task:
+        return now.coalesce(1).mapInPandas(_finished, "node long, component long").repartition("node")
+    loops, now = now.where("u = v").select(F.col("u").alias("node")), now.where("u <> v")
     while last[0]:
-        now = settled(_stars(now))
+        now = settle(_stars(now))
         new = mark(now)
         if new == last:
             break
         last = new
-    pairs = now.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))))
-    alone = loops.join(pairs.select("node").distinct(), "node", "left_anti").select("node", F.col("node").alias("component"))
-    return pairs.unionByName(alone).distinct()
+    pairs = now.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component"))))).distinct()
+    return pairs.unionByName(loops.join(pairs, "node", "left_anti").select("node", F.col("node").alias("component")))

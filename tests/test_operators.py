@@ -340,10 +340,13 @@ def test_running_sums_of_one_group_over_many_ranges(spark):
 def test_components_of_a_long_chain(spark):
     from terrasieve.operators.components import connected
 
-    names = np.random.default_rng(2).permutation(5000).tolist()
-    edges = spark.createDataFrame(list(zip(names, names[1:])) + [(7000, 7000), (8001, 8000)], "a long, b long")
-    got = {r["node"]: r["component"] for r in connected(edges).collect()}
-    assert got == {**dict.fromkeys(names, 0), 7000: 7000, 8000: 8000, 8001: 8000}
+    for n, options in ((5000, {}), (300, {"one_task": 0})):
+        names = np.random.default_rng(2).permutation(n).tolist()
+        edges = spark.createDataFrame(list(zip(names, names[1:])) + [(7000, 7000), (0, 0), (8001, 8000), (None, 1)], "a long, b long")
+        rows = connected(edges, **options).collect()
+        got = {r["node"]: r["component"] for r in rows}
+        assert len(rows) == len(got) and got == {**dict.fromkeys(names, 0), 7000: 7000, 8000: 8000, 8001: 8000}
+    assert connected(edges.where("false")).count() == connected(edges.where("false"), one_task=-1).count() == 0
 
 
 def test_clusters_of_dense_places_against_all_pairs(spark):
