@@ -71,34 +71,36 @@ def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def fit_index(unit: np.ndarray, n_rows: int, neighbours: int, recall: float, seed: int = 4) -> MultiIndex:
-    """Centroids from a bounded sample of unit vectors; the share to visit is
-    the smallest that gives ``recall`` on the sample itself, where the true
-    neighbours of some of its rows are known. Neighbours in a sample lie
-    farther than in the whole table, so the share errs to the high side."""
-    k = int(min(256, max(4, math.sqrt(n_rows) / 8)))
-    cut = unit.shape[1] // 2
+def centroids_for(n_rows: int) -> int:
+    """Centroids a half: they grow with the table, so that the pairs' lists
+    do not; 512 at most (262,144 pairs)."""
+    return int(min(512, max(4, math.sqrt(n_rows) / 8)))
+
+
+def fit_index(unit: np.ndarray, n_rows: int, seed: int = 4) -> MultiIndex:
+    """Centroids of both halves from a bounded sample of unit vectors. It has
+    no counts yet and visits everything."""
+    k, cut = centroids_for(n_rows), unit.shape[1] // 2
     halves = (_kmeans(unit[:, :cut], k, seed), _kmeans(unit[:, cut:], k, seed + 1))
-    index = MultiIndex(halves, np.zeros((len(halves[0]), len(halves[1])), dtype=np.int64), 1.0)
-    a, b = index.codes(unit)
-    np.add.at(index.counts, (a, b), 1)
-    asked = np.random.default_rng(seed).choice(len(unit), size=min(256, len(unit)), replace=False)
-    cosine = unit[asked] @ unit.T
-    cosine[np.arange(len(asked)), asked] = -np.inf
-    n = min(neighbours, len(unit) - 1)
-    if n < 1:
-        return index
-    true = np.argpartition(-cosine, n - 1, axis=1)[:, :n]
-    needed = []
-    d1, d2 = half_distances(unit[asked], halves)
-    for q in range(len(asked)):
-        have, reached = 0, {}
-        for pair in traverse(d1[q], d2[q], index.counts, np.inf):
+    return MultiIndex(halves, np.zeros((len(halves[0]), len(halves[1])), dtype=np.int64), 1.0)
+
+
+def share_needed(index: MultiIndex, asked: np.ndarray, true: list[list[tuple[int, int]]], recall: float) -> float:
+    """The smallest share of all rows that gives ``recall`` of the ``true``
+    neighbours, known by their centroid pairs, of the unit vectors ``asked``."""
+    total, needed = index.counts.sum(), []
+    d1, d2 = half_distances(asked, index.halves)
+    for a, b, pairs in zip(d1, d2, true):
+        have, open_, reached = 0, set(pairs), {}
+        for pair in traverse(a, b, index.counts, np.inf):
             have += int(index.counts[pair])
-            reached[pair] = have
-        needed += [reached[int(a[t]), int(b[t])] / len(unit) for t in true[q]]
-    index.share = float(np.quantile(needed, recall, method="higher"))
-    return index
+            if pair in open_:
+                reached[pair] = have
+                open_.discard(pair)
+                if not open_:
+                    break
+        needed += [reached[p] / total for p in pairs]
+    return float(np.quantile(needed, recall, method="higher")) if needed else 1.0
 
 
 def _valid(vector: Column) -> Column:
@@ -152,6 +154,32 @@ def _search_block(rows: pd.DataFrame, queries: pd.DataFrame, neighbours: int) ->
     return pd.DataFrame({"query_id": cols[0].astype(np.int64), "vec_id": cols[1].astype(np.int64), "score": cols[2].astype(np.float64)})
 
 
+def _true_neighbours(coded: DataFrame, ids: np.ndarray, unit: np.ndarray, neighbours: int) -> list[list[tuple[int, int]]]:
+    """Centroid pairs of the nearest rows of a few unit vectors among all
+    rows: each task keeps its best for each of them, which meet in one row
+    for each."""
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in (b for b in batches if len(b)):
+            m = _matrix(batch["vector"])
+            score = unit @ (m / _norms(m)[:, None]).T
+            score[ids[:, None] == batch["vec_id"].to_numpy()[None, :]] = -np.inf
+            n = min(neighbours, len(batch))
+            at = np.argpartition(-score, n - 1, axis=1)[:, :n]
+            near = np.take_along_axis(score, at, axis=1).ravel()
+            rows = pd.DataFrame({"asked": np.repeat(np.arange(len(ids)), n), "score": near, "first": batch["first"].to_numpy()[at.ravel()], "second": batch["second"].to_numpy()[at.ravel()]})
+            held = [pd.concat([*held, rows[np.isfinite(near)]]).sort_values("score", ascending=False, kind="stable").groupby("asked").head(neighbours)]
+        yield from held
+
+    found = coded.select("vec_id", "vector", "first", "second").mapInPandas(best, "asked int, score double, first int, second int")
+    place = Window.partitionBy("asked").orderBy(F.desc("score"), "first", "second")
+    out: list[list[tuple[int, int]]] = [[] for _ in ids]
+    for r in found.withColumn("_nth", F.row_number().over(place)).where(F.col("_nth") <= neighbours).collect():
+        out[r["asked"]].append((r["first"], r["second"]))
+    return out
+
+
 def search(
     vectors: DataFrame,
     queries: Column,
@@ -160,17 +188,21 @@ def search(
     neighbours: int = 5,
     recall: float = 0.97,
     sample: int = 8192,
+    measured: int = 256,
     block: int = 16_384,
 ) -> DataFrame:
     """The ``neighbours`` nearest rows by cosine of the rows that ``queries``
     picks, without the query's own id: query_id, rank, vec_id and score.
 
     Unit vectors are cut in halves, each quantised to its nearest centroid
-    (fitted on ``sample`` rows of least hash at most; every row is indexed).
-    A query visits centroid pairs by summed distance from a heap until they
-    hold the share of rows that gave ``recall`` on the sample, and reranks
-    what they list by exact cosine. Work is dealt by first-half centroid,
-    blocks of rows and blocks of queries, so a crowded pair is split.
+    (fitted on ``sample`` rows of least hash, or 16 for each centroid where
+    those are more; every row is indexed). The true neighbours among all rows
+    of ``measured`` rows of the sample tell which share of the rows must be
+    visited for ``recall``. A query visits centroid pairs by summed distance
+    from a heap until they hold that share, and reranks what they list by
+    exact cosine. Work is dealt by first-half centroid, blocks of its rows and
+    blocks of the queries that visit it, so a crowded list is split, and a
+    list that few queries visit is not sent out again and again.
 
     Vectors null, zero, empty, with null or non-finite components, or of
     another length than most have no part, nor have rows without id. Ties go
@@ -186,9 +218,10 @@ def search(
         return spark.createDataFrame([], schema)
     dims, n_rows = lengths["dims"], lengths["count"]
     data = data.where(F.size("vector") == dims)
-    chosen = data.select("vec_id", "vector").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    chosen = data.select("vec_id", "vector").orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(sample, 16 * centroids_for(n_rows))).collect()
     known = np.array([r["vector"] for r in chosen], dtype=np.float64)
-    index = fit_index(known / _norms(known)[:, None], n_rows, neighbours, recall)
+    known /= _norms(known)[:, None]
+    index = fit_index(known, n_rows)
 
     @F.pandas_udf("first int, second int")
     def encode(column: pd.Series) -> pd.DataFrame:
@@ -197,12 +230,13 @@ def search(
         return pd.DataFrame({"first": a, "second": b})
 
     coded = common.settled(data.withColumn("code", encode("vector")).select("vec_id", "vector", "asked", "code.first", "code.second"))
-    index.counts[:] = 0
-    for row in coded.groupBy("first", "second").count().collect():  # at most 256 x 256 pairs
-        index.counts[row["first"], row["second"]] = row["count"]
+    counted = coded.groupBy("first", "second").count().toPandas()  # at most 512 x 512 pairs
+    index.counts[counted["first"], counted["second"]] = counted["count"]
+    ids, at = np.unique([r["vec_id"] for r in chosen[: 4 * measured]], return_index=True)
+    ids, unit = ids[:measured], known[at[:measured]]
+    index.share = share_needed(index, unit, _true_neighbours(coded, ids, unit, neighbours), recall)
     row_blocks = np.maximum(1, np.ceil(index.counts.sum(axis=1) / block)).astype(int).tolist()
     asking = coded.where("asked").groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    query_blocks = max(1, math.ceil(n_rows / block / 16))
 
     @F.pandas_udf("array<struct<first:int,seconds:array<int>>>")
     def plan(column: pd.Series) -> pd.Series:
@@ -215,20 +249,23 @@ def search(
             out.append([{"first": a, "seconds": b} for a, b in sorted(by_first.items())])
         return pd.Series(out)
 
-    blocks_of = F.array(*[F.lit(b) for b in row_blocks])
-    q_block = F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")
-    wanted = (
-        asking.select(F.col("vec_id").alias("query_id"), "vector", q_block.alias("q_block"), F.explode(plan("vector")).alias("v"))
-        .select("query_id", "vector", "q_block", F.col("v.first").alias("q_first"), F.col("v.seconds").alias("seconds"))
-        .withColumn("q_row_block", F.explode(F.sequence(F.lit(0), F.get(blocks_of, F.col("q_first")) - 1)))
+    wanted = asking.select(F.col("vec_id").alias("query_id"), "vector", F.explode(plan("vector")).alias("v"))
+    wanted = common.settled(wanted.select("query_id", "vector", F.col("v.first").alias("q_first"), F.col("v.seconds").alias("seconds")))
+    visitors = np.zeros(len(row_blocks), dtype=np.int64)
+    for r in wanted.groupBy("q_first").count().collect():  # a row for each centroid of the first half
+        visitors[r["q_first"]] = r["count"]
+    of = lambda numbers, c: F.get(F.array(*[F.lit(int(x)) for x in numbers]), c)
+    query_blocks = np.ceil(visitors / block).astype(int)  # none where no query comes
+    wanted = wanted.withColumn("q_block", F.pmod(F.xxhash64("query_id"), of(query_blocks, F.col("q_first"))).cast("int")).withColumn(
+        "q_row_block", F.explode(F.sequence(F.lit(0), of(row_blocks, F.col("q_first")) - 1))
     )
-    entries = coded.select(
+    entries = coded.where(of(query_blocks, F.col("first")) > 0).select(
         "vec_id",
         "vector",
         "first",
         "second",
-        F.pmod(F.xxhash64("vec_id", "vector"), F.get(blocks_of, F.col("first"))).cast("int").alias("row_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("e_block"),
+        F.pmod(F.xxhash64("vec_id", "vector"), of(row_blocks, F.col("first"))).cast("int").alias("row_block"),
+        F.explode(F.sequence(F.lit(0), of(query_blocks, F.col("first")) - 1)).alias("e_block"),
     )
 
     def work(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

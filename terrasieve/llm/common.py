@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import lineage
+
 #: ASCII white space, which parts words everywhere but in the licence scan.
 SPACES = " \t\n\x0b\x0c\r"
 GAP = r"[\x20\x09-\x0D]+"
@@ -38,14 +39,9 @@ def crc_bucket(col: Column, modulus: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % modulus
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, so that later reads see
-    the same rows and a lost executor costs no recomputation. A temporary
-    folder serves only where the session names none, as in tests."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrasieve-"))
-    return df.checkpoint()
+#: ``df`` checkpointed to the session's shared folder, so that later reads see
+#: the same rows and a lost executor costs no recomputation.
+settled = lineage.checkpointed
 
 
 def number_slots(df: DataFrame, group: str, order: list[str], slot: str = "slot", rows_per_bucket: int = 100_000) -> DataFrame:
@@ -71,3 +67,16 @@ def number_slots(df: DataFrame, group: str, order: list[str], slot: str = "slot"
         .withColumn(slot, (F.row_number().over(within) - 1 + F.col("_start")).cast("long"))
         .drop("_bucket", "_group", "_b", "_start")
     )
+
+
+def join_by_class(df: DataFrame, classes: DataFrame, keys: list[str], size: str, rows: int, how: str = "inner", most: int = 4096) -> DataFrame:
+    """``df`` joined with ``classes`` (unique by ``keys``, whose column
+    ``size`` tells how many rows of ``df`` hold the key).
+
+    Classes of at least ``rows`` / ``most`` rows, of which there are ``most``
+    at most, are broadcast, so that the rows of a hot class stay where they
+    are; all others meet by shuffle."""
+    big = F.col(size) * most >= rows
+    hot, cold = classes.where(big).drop(size), classes.where(~big).drop(size)
+    rest = df.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return df.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys, how))

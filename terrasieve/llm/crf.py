@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,12 +41,34 @@ class Lines:
     doc: np.ndarray
 
 
-def line_features(texts: list[str]) -> Lines:
-    """Features of every line with a word; a text without one has one empty line.
+@dataclass
+class Counts:
+    """What is counted in each line of some texts (columns as ``COUNTED``),
+    its last byte (0 for an empty line), and its document."""
 
-    All bytes of the texts are handled at once: class counts of a line are
-    differences of running sums, and a word is known by a polynomial hash.
-    """
+    of: np.ndarray
+    last: np.ndarray
+    doc: np.ndarray
+
+
+COUNTED = ("chars", "words", "twins", "repeats", "marks", "bangs", "pipes", "upper", "lower", "digits", "stops")
+
+
+@dataclass
+class Held:
+    """What a text cut in pieces carries from one to the next: the hash of its
+    last word (none yet: None), whether that word's line goes on, and the
+    pairs of words so far, in order."""
+
+    word: np.uint64 | None = None
+    same_line: bool = False
+    pairs: np.ndarray | None = None
+
+
+def count_lines(texts: list[str], held: Held | None = None) -> Counts:
+    """Counts of every line. All bytes of the texts are handled at once: class
+    counts of a line are differences of running sums, and a word is known by a
+    polynomial hash. ``held`` goes with one text at a time and is renewed."""
     raw = [t.encode("utf-8", "surrogatepass") + b"\n" for t in texts]
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
     kind = _CLASS[data]
@@ -64,7 +87,9 @@ def line_features(texts: list[str]) -> Lines:
     chars = per_line((kind != TAIL) & ~gap)
     word_at = np.flatnonzero(first)
     word_line = np.searchsorted(ends, word_at, side="right")
+    word_doc = doc[word_line] if len(word_at) else np.array([], dtype=np.int64)
     n_words = np.bincount(word_line, minlength=len(ends)).astype(np.float64)
+    twin, seen = np.zeros(len(word_at)), np.zeros(len(word_at))
     if len(word_at):
         # a word's bytes weighted by powers of an odd number, modulo 2**64
         index = np.cumsum(first) - 1
@@ -72,30 +97,38 @@ def line_features(texts: list[str]) -> Lines:
         powers = np.cumprod(np.full(int(offset[~gap].max()) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
         weighted = np.where(gap, np.uint64(0), (data.astype(np.uint64) + np.uint64(1)) * powers[np.where(gap, 0, np.minimum(offset, len(powers) - 1))])
         hashes = np.add.reduceat(weighted, word_at)
-    else:
-        hashes = np.array([], dtype=np.uint64)
-    twin = np.zeros(len(word_at))
-    if len(word_at) > 1:
         twin[1:] = (hashes[1:] == hashes[:-1]) & (word_line[1:] == word_line[:-1])
-    twins = np.bincount(word_line, weights=twin, minlength=len(ends))
-    # words of a line that its document has already held in another place
-    word_doc = doc[word_line] if len(word_at) else np.array([], dtype=np.int64)
-    pair = hashes.copy()
-    if len(pair) > 1:
-        pair[1:] = hashes[:-1] * np.uint64(31) + hashes[1:]
-    seen = np.zeros(len(word_at))
-    if len(word_at):
+        # pairs of words that their document has already held in another place
+        begins = np.concatenate([[True], word_doc[1:] != word_doc[:-1]])
+        pair = np.concatenate([[np.uint64(0)], hashes[:-1]]) * np.uint64(31) + hashes
+        pair[begins] = ~hashes[begins]
+        if held is not None and held.word is not None:
+            twin[0] = float(held.same_line and word_line[0] == 0 and held.word == hashes[0])
+            pair[:1] = np.array([held.word]) * np.uint64(31) + hashes[:1]
         order = np.lexsort((np.arange(len(pair)), pair, word_doc))
         again = (pair[order][1:] == pair[order][:-1]) & (word_doc[order][1:] == word_doc[order][:-1])
         seen[order[1:][again]] = 1
-    repeats = np.bincount(word_line, weights=seen, minlength=len(ends))
-    marks, bangs, pipes = per_line(kind == MARK), per_line(kind == BANG), per_line(kind == PIPE)
-    upper, lower, digits, stops = (per_line(kind == k) for k in (UPPER, LOWER, DIGIT, STOP))
+        if held is not None:
+            if held.pairs is not None:
+                seen = np.maximum(seen, np.isin(pair, held.pairs))
+            held.pairs = np.unique(pair) if held.pairs is None else np.union1d(held.pairs, pair)
+            held.word, held.same_line = hashes[-1], bool(word_line[-1] == len(ends) - 1)
+        twins, repeats = (np.bincount(word_line, weights=w, minlength=len(ends)) for w in (twin, seen))
+    else:
+        twins = repeats = np.zeros(len(ends))
+        if held is not None:
+            held.same_line &= len(ends) == 1
+    of = [chars, n_words, twins, repeats, *[per_line(kind == k) for k in (MARK, BANG, PIPE, UPPER, LOWER, DIGIT, STOP)]]
+    return Counts(np.stack(of, axis=1), np.where(ends > starts, data[np.maximum(ends - 1, 0)], 0), doc)
+
+
+def as_features(counts: Counts) -> np.ndarray:
+    """Features of lines from their counts."""
+    chars, n_words, twins, repeats, marks, bangs, pipes, upper, lower, digits, stops = counts.of.T
     safe, many = np.maximum(chars, 1), np.maximum(n_words, 1)
-    last_byte = data[np.maximum(ends - 1, 0)]
-    x = np.stack(
+    return np.stack(
         [
-            np.ones(len(ends)),
+            np.ones(len(chars)),
             np.minimum(marks / many, 3),
             np.minimum(bangs / many, 3),
             np.minimum(pipes / many, 2),
@@ -109,15 +142,86 @@ def line_features(texts: list[str]) -> Lines:
             np.minimum(np.log1p(n_words), 6) / 3,
             (upper > 0.5 * safe).astype(float),
             (pipes > 0).astype(float),
-            np.isin(last_byte, np.frombuffer(b".!?", dtype=np.uint8)).astype(float),
+            np.isin(counts.last, np.frombuffer(b".!?", dtype=np.uint8)).astype(float),
         ],
         axis=1,
     )
-    full = n_words > 0
-    empty = np.setdiff1d(np.arange(len(texts)), doc[full])
+
+
+def line_features(texts: list[str]) -> Lines:
+    """Features of every line with a word; a text without one has one empty line."""
+    counts = count_lines(texts)
+    chars, full, doc = counts.of[:, 0], counts.of[:, 1] > 0, counts.doc
     keep = full.copy()
-    keep[np.searchsorted(doc, empty)] = True
-    return Lines(x[keep], np.maximum(chars[keep], 1), doc[keep])
+    keep[np.searchsorted(doc, np.setdiff1d(np.arange(len(texts)), doc[full]))] = True
+    return Lines(as_features(counts)[keep], np.maximum(chars[keep], 1), doc[keep])
+
+
+#: Texts of more characters are taken in pieces of about so many.
+LONG = 1_000_000
+
+
+def pieces(text: str, most: int = LONG) -> Iterator[tuple[str, bool]]:
+    """A text in pieces, and whether a line ends with each (its newline is
+    left out): cut at the last newline in reach, else after the last ASCII
+    space, else anywhere (a word longer than a piece counts as several)."""
+    at = 0
+    while len(text) - at > most:
+        cut = text.rfind("\n", at, at + most)
+        if cut >= 0:
+            yield text[at:cut], True
+            at = cut + 1
+            continue
+        cut = max(text.rfind(c, at, at + most) for c in common.SPACES)
+        cut = cut + 1 if cut >= 0 else at + most
+        yield text[at:cut], False
+        at = cut
+    yield text[at:], True
+
+
+def long_marginal(text: str, model: Model, most: int = LONG) -> float:
+    """``document_marginal`` of one long text. Pieces are counted one by one;
+    of a line only three sums and its length stay."""
+    held, open_, open_last = Held(), np.zeros(len(COUNTED)), 0
+    parts = []
+    weights = model.weight.reshape(3, N_FEATURES).T  # of a line, the one before and the one after
+    for piece, ended in pieces(text, most):
+        c = count_lines([piece], held)
+        c.of[0] += open_
+        c.last[0] = c.last[0] or open_last
+        stop = len(c.of) if ended else len(c.of) - 1
+        open_, open_last = (np.zeros(len(COUNTED)), 0) if ended else (c.of[-1], c.last[-1])
+        held.same_line = held.same_line and not ended
+        keep = np.flatnonzero(c.of[:stop, 1] > 0)
+        done = Counts(c.of[keep], c.last[keep], c.doc[keep])
+        parts.append((as_features(done) @ weights, np.maximum(done.of[:, 0], 1)))
+    sums, length = (np.concatenate(p) for p in zip(*parts))
+    if not len(sums):  # no word at all: one empty line
+        return float(document_marginal(line_features([""]), with_neighbours(line_features([""])), model, 1)[0])
+    score = sums[:, 0].copy()
+    score[1:] += sums[:-1, 1]
+    score[:-1] += sums[1:, 2]
+    (bb, bg), (gb, gg) = np.exp(model.move).tolist()
+
+    def step(odds: float, a: float, b: float, c: float, d: float) -> float:
+        """log((a + b x) / (c + d x)) of the log of x."""
+        if odds > 0:
+            x = math.exp(-odds)
+            return math.log((a * x + b) / (c * x + d))
+        x = math.exp(odds)
+        return math.log((a + b * x) / (c + d * x))
+
+    s = score.tolist()
+    odds = np.empty(len(s))
+    now = odds[0] = s[0]
+    for t in range(1, len(s)):
+        now = odds[t] = s[t] + step(now, bg, gg, bb, gb)
+    now = 0.0
+    for t in range(len(s) - 2, -1, -1):
+        now = step(now + s[t + 1], gb, gg, bb, bg)
+        odds[t] += now
+    good = np.exp(-np.logaddexp(0, -odds))
+    return float((good * length).sum() / length.sum())
 
 
 def _all_lines(texts: list[str]) -> Lines:
@@ -229,8 +333,12 @@ def document_marginal(lines: Lines, x: np.ndarray, model: Model, n: int) -> np.n
 
 
 def score_texts(texts: list[str], model: Model) -> np.ndarray:
-    lines = line_features(texts)
-    z = _logit(document_marginal(lines, with_neighbours(lines), model, len(texts)))
+    short = [i for i, t in enumerate(texts) if len(t) <= LONG]
+    mean = np.array([0.0 if len(t) <= LONG else long_marginal(t, model) for t in texts])
+    if short:
+        lines = line_features([texts[i] for i in short])
+        mean[short] = document_marginal(lines, with_neighbours(lines), model, len(short))
+    z = _logit(mean)
     return 1 / (1 + np.exp(-(model.slope * z + model.shift)))
 
 
@@ -246,15 +354,26 @@ def in_slices(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, in
         yield begin, len(texts)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, longest: int = 200_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, longest: int = 200_000, most_chars: int = 32_000_000) -> Model:
     """A model from at most ``most_rows`` labelled documents (those of least
-    hash of doc_id) of at most ``longest`` characters; that is the documented
-    bound of the sample. Without any, every document scores 0.5."""
+    hash of doc_id) of at most ``longest`` characters, and of those in that
+    order only as many as hold ``most_chars`` together; that is the documented
+    bound of the sample. Without any, every document scores 0.5.
+
+    Rows that repeat a doc_id are one document, the least text of them."""
+    order = F.xxhash64("doc_id")
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    chosen = chosen.orderBy(order, "doc_id").limit(most_rows)
     # at most most_rows narrow rows: a bounded broadcast
     pairs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").where(F.length("text") <= longest)
-    rows = sorted(pairs.select("doc_id", "text", "quality").collect())
+    pairs = common.settled(pairs.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality")))
+    total, fit_in = 0, []
+    for r in pairs.select("doc_id", F.length("text").alias("n"), order.alias("h")).orderBy("h", "doc_id").collect():
+        total += r["n"]
+        if total > most_chars:
+            break
+        fit_in.append(r["doc_id"])
+    rows = sorted(pairs.where(F.col("doc_id").isin(fit_in)).select("doc_id", "text", "quality").collect()) if fit_in else []
     if not rows:
         return Model(np.zeros(3 * N_FEATURES), np.zeros((2, 2)))
     return fit([r["text"] for r in rows], np.array([r["quality"] for r in rows]))

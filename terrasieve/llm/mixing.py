@@ -8,7 +8,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -180,16 +180,30 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each_row(mix(docs)).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
+def mix_documents(docs: DataFrame, block: int = 1000) -> DataFrame:
     """Documents repeated or left out as ``mix`` decides; columns unchanged.
 
     Decisions are made on a narrow table and met again with the texts by a
-    hash of the whole row and the number of the row among its equals.
+    hash of the whole row, its source and its size. Equal rows are taken alike
+    often, which needs no numbers: each one's whole share, and what then lacks
+    of their copies from one of them, dealt out in blocks of ``block``. A row
+    that makes more than 1 / 4,096 of the table stays where it is.
     """
-    row = F.xxhash64(*docs.columns)
-    narrow = docs.select(row.alias("_row"), "source", common.word_count(F.col("text")).alias("size"))
-    mixed = mix(narrow, doc_id="_row").where("copies > 0").select(F.col("doc_id").alias("_row"), "n_rows", "copies")
-    equals = Window.partitionBy("_row").orderBy("_row")
-    whole = docs.withColumn("_row", row).withColumn("_nth", F.row_number().over(equals))
-    times = F.sequence(F.lit(1), _copies_of(F.col("_nth")).cast("int"))
-    return whole.join(mixed, "_row").where(_copies_of(F.col("_nth")) > 0).select(*docs.columns, F.explode(times).alias("_copy")).drop("_copy")
+    key = ["_row", "_source", "_size"]
+    keyed = docs.withColumns({"_row": F.xxhash64(*docs.columns), "_source": F.coalesce(F.col("source").cast("string"), F.lit("")), "_size": common.word_count(F.col("text"))})
+    mixed = mix(keyed.select("_row", "source", "_size"), doc_id="_row", size="_size").select(
+        F.col("doc_id").alias("_row"), F.coalesce("source", F.lit("")).alias("_source"), F.col("size").alias("_size"), "n_rows", "copies"
+    )
+    mixed = common.settled(mixed.where("copies > 0").select(*key, "n_rows", F.floor(F.col("copies") / F.col("n_rows")).alias("_each"), (F.col("copies") % F.col("n_rows")).alias("_more")))
+    total = mixed.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n")).first()["n"]
+    times = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("_copy")
+    met = common.join_by_class(keyed, mixed.where("_each > 0").select(*key, "_each", "n_rows"), key, "n_rows", total)
+    whole = met.select(*docs.columns, times(F.col("_each"))).drop("_copy")
+    lacking = mixed.where("_more > 0")
+    if lacking.isEmpty():
+        return whole
+    met = common.join_by_class(keyed, lacking.select(*key, "_more", "n_rows"), key, "n_rows", total)
+    one = met.groupBy(*key, "_more").agg(F.first(F.struct(*docs.columns)).alias("_doc"))
+    dealt = one.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_more") - 1, F.lit(block).cast("long")))).repartition(F.xxhash64("_row", "_from"))
+    extra = dealt.select("_doc", times(F.least(F.lit(block).cast("long"), F.col("_more") - F.col("_from")))).select("_doc.*")
+    return whole.unionByName(extra)

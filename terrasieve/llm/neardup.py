@@ -13,16 +13,17 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import connected
 from . import common
 
-
 #: Up to so many ids (some 16 MB) are broadcast to pick their texts; beyond
 #: that, texts and ids are shuffled.
 BROADCAST_IDS = 500_000
-#: Edges (16 bytes each) that one task takes by itself.
+#: Edges (16 bytes each) that one task finishes by itself; what it finds is
+#: dealt out again.
 ONE_TASK = 200_000
 
 
@@ -53,34 +54,8 @@ def shingle_hashes(df: DataFrame, text: str, width: int, out: str) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node that each node of an edge reaches.
-
-    Large-star and small-star steps in turn, each settled, until nothing
-    changes; only two numbers a round come to the driver. A round of up to
-    ``ONE_TASK`` edges runs in one task without a shuffle.
-    """
-    cols = [F.greatest(a, b).alias("u"), F.least(a, b).alias("v")]
-    mark = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    now = common.settled(edges.select(*cols).where("u <> v").distinct())
-    last = mark(now)
-    while last[0]:
-        if last[0] <= ONE_TASK:
-            now = now.coalesce(1)
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        both = both.coalesce(1) if last[0] <= ONE_TASK else both
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select("u", F.col("m").alias("v")).union(joined.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        small = small.coalesce(1) if last[0] <= ONE_TASK else small
-        now = common.settled(small.where("u <> v").distinct())
-        new = mark(now)
-        if new == last:
-            break
-        last = new
-    roots = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    """(node, component): the smallest node that each node of an edge reaches."""
+    return connected(edges, a, b, ONE_TASK, common.settled)
 
 
 def _similar(shared: Column, size_a: Column, size_b: Column, percent: int) -> Column:
@@ -173,8 +148,8 @@ def near_duplicates(
         hashed.select("doc_id", F.size("h").cast("long").alias("n"), F.slice("h", 1, k).alias("sk"), F.xxhash64("h").alias("f1"), F.hash("h").alias("f2"))
     )
     known = base.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("sk").alias("sk"))
-    reps = common.settled(classes.select("rep", "n", "sk", "f1", "f2"))
+    classes = known.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.first("sk").alias("sk"), F.count("*").alias("m"))
+    reps = common.settled(classes.select("rep", "n", "sk", "f1", "f2", "m"))
 
     entries = reps.select("rep", F.explode("sk").alias("value"))
     met = entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
@@ -210,10 +185,12 @@ def near_duplicates(
     if not long.isEmpty():
         links = common.settled(links.union(_rest_of_long_lists(long, links, sets, percent)))
     found = components(links)
-    by_class = reps.join(found, reps["rep"] == found["node"], "left").select("f1", "f2", F.col("n").alias("cn"), F.coalesce("component", "rep").alias("component"))
-    own = by_class.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "cn", "component")
-    out = base.join(own, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n") == F.col("cn")), "left")
-    component = F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id"))
+    # texts without words are no class; rows of hot classes stay where they are
+    own = reps.join(found, reps["rep"] == found["node"], "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"), "m")
+    narrow = base.select("doc_id", "n", "f1", "f2")
+    filled = common.join_by_class(narrow.where("n > 0"), own, ["f1", "f2", "n"], "m", base.count(), "left")
+    out = filled.unionByName(narrow.where("n = 0").withColumn("component", F.lit(None).cast("long")))
+    component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -269,8 +246,15 @@ def op6_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The documents with one of each group kept; columns unchanged. Of rows
-    that repeat a doc_id one stays; rows without doc_id stay."""
+    that repeat a doc_id the one of least hash stays; rows without doc_id stay.
+
+    Rows of a repeated doc_id are cut to one for each task before they meet."""
     kept = near_duplicates(docs, **options).where("kept and doc_id is not null").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    named = docs.where("doc_id is not null").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
+    named = docs.where("doc_id is not null")
+    repeated = common.settled(named.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not repeated.isEmpty():
+        again = named.join(repeated, "doc_id", "left_semi").select("doc_id", F.xxhash64(*docs.columns).alias("_h"), F.struct(*docs.columns).alias("_row"))
+        one = again.groupBy("doc_id").agg(F.min_by("_row", "_h").alias("_row")).select("_row.*")
+        named = named.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
     return named.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
