@@ -7,12 +7,9 @@ the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from terrasieve.functions import lineage
 from terrasieve.llm import common, crf, mixing, neardup, packing, rules
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -55,9 +52,8 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; tables between them go to the shared
-    checkpoint folder (a temporary one where the session names none)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrasieve-")
-    home = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    checkpoint folder."""
+    home = lineage.scratch(spark, "pipeline")
     docs = common.table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         path = f"{home}/{i}-{name}"
