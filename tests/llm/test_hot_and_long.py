@@ -37,7 +37,7 @@ def test_scores_do_not_depend_on_the_batch():
 
 
 def test_the_sample_of_the_classifier_is_bounded(spark):
-    docs = spark.range(400).select((F.col("id") % 20).alias("doc_id"), F.repeat(F.lit("word "), 20).alias("text"))
+    docs = spark.range(400).select((F.col("id") % 20).alias("doc_id"), F.concat(F.repeat(F.lit("word "), 20), F.when(F.col("id") % 2 == 1, "END!").otherwise("end")).alias("text"))
     labels = spark.range(20).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
     assert crf.train(docs, labels, most_chars=50).slope == 1.0  # no text fits: the plain model
     assert np.abs(crf.train(docs, labels).weight).sum() > 0
