@@ -51,12 +51,12 @@ def head(spark: SparkSession, path: str, n: int) -> bytes:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One UTF-8 file, replaced where it exists."""
+def write_text(spark: SparkSession, path: str, text: str, encoding: str = "utf-8") -> None:
+    """One file, replaced where it exists."""
     fs, p = _open(spark, path)
     stream = fs.create(p, True)
     try:
-        stream.write(bytearray(text.encode()))
+        stream.write(bytearray(text.encode(encoding)))
     finally:
         stream.close()
 

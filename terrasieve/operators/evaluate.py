@@ -120,11 +120,10 @@ def bootstrap_interval(metrics: DataFrame, baseline: str, candidate: str, column
     )
 
 
-def fold_bootstrap(deltas: DataFrame, iterations: int, seed: int) -> DataFrame:
-    """Means of fold differences (fold, delta) drawn with replacement."""
-    from .splits import draws
-
-    d = deltas.join(F.broadcast(draws(deltas, "fold", iterations, seed)), "fold")
+def fold_bootstrap(deltas: DataFrame, times: DataFrame) -> DataFrame:
+    """Means of fold differences (fold, delta) in resamples of the folds, by a
+    table of draws (iteration, fold, times) such as ``splits.draws`` gives."""
+    d = deltas.join(times, "fold")
     means = d.groupBy("iteration").agg((F.sum(F.col("delta") * F.col("times")) / F.sum("times")).alias("m"))
     return means.agg(F.avg("m").alias("mean_delta"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 

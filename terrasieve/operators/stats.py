@@ -387,7 +387,8 @@ def ridge_partial_corr(g: Gram, a: str, b: str, alpha: float = 1.0) -> tuple[flo
 @dataclass
 class ClimateScore:
     """First principal component of scaled covariates, itself scaled by the
-    training mean and deviation; the largest loading is positive."""
+    training mean and deviation; the first of the largest loadings (to nine
+    digits) is positive."""
 
     columns: list[str]
     medians: dict[str, float] = field(default_factory=dict)
@@ -403,7 +404,7 @@ class ClimateScore:
         self.mean, self.scale = g.mean, np.where(sd > TINY, sd, 1.0)
         values, vectors = np.linalg.eigh(g.cov / np.outer(self.scale, self.scale))
         v = vectors[:, -1]
-        self.loading = v * (1 if v[np.argmax(np.abs(v))] > 0 else -1)
+        self.loading = v * np.sign(v[np.argmax(np.abs(v) >= np.abs(v).max() - 1e-9)])
         self.deviation = math.sqrt(max(values[-1], 0.0)) or 1.0
         return self
 

@@ -42,6 +42,24 @@ def out_of_fold(
     return guards.union_all(parts)
 
 
+def baselines(df: DataFrame, features: Sequence[str], label: str, key: str, names: Sequence[str] = ("dummy", "logistic_l2", "hist_boosted", "forest"), fold: str = "fold", trees: int | None = None) -> DataFrame:
+    """Metrics of plain learners by fold: (model, fold, ...). The dummy draws
+    1 with the training rate."""
+    parts = []
+    for f in [r[fold] for r in df.select(fold).distinct().orderBy(fold).collect()]:
+        train, test = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
+        rate = train.agg(F.avg(F.col(label).cast("double"))).first()[0]
+        if rate is None or not 0 < rate < 1:
+            continue
+        for name in names:
+            if name == "dummy":
+                out = learners.dummy_scores(test, float(rate), [key, label, fold], key)
+            else:
+                out = learners.score(learners.fit(train, features, label, name, trees=trees), test, features, [key, label, fold])
+            parts.append(out.select(F.lit(name).alias("model"), F.col(fold).alias("fold"), F.col(label).cast("int").alias("y"), "p"))
+    return evaluate.classification_metrics(guards.union_all(parts), ["model", "fold"])
+
+
 def fold_report(oof: DataFrame, key: str) -> dict[str, DataFrame]:
     """Metrics by fold, their means, and pooled metrics (another estimand)."""
     folds = evaluate.classification_metrics(oof, ["model", "fold"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -13,6 +13,9 @@ from ..operators import stats
 #: finds sensitive, those of a graph, their union, or all geochemistry.
 RECIPES = ("Full", "CoreGeo", "NoClimate", "M3_Broad", "M4_Spearman", "M4_GraphGuided", "M4_GraphUnion")
 
+#: Controls of the selection itself, without residuals.
+SELECTIONS = ("DropSelected", "SelectedRawOnly")
+
 
 @dataclass
 class FeatureRecipe:
@@ -47,18 +50,33 @@ def sensitive_columns(train: DataFrame, targets: Sequence[str], climate: Sequenc
     return [t for t in targets if t in found]
 
 
-def make_recipe(name: str, train: DataFrame, sets: dict[str, list[str]], graph: Sequence[str] = (), threshold: float = 0.30) -> FeatureRecipe:
-    """A recipe by name, unfitted, its columns chosen on training rows only."""
-    if name not in RECIPES:
+def columns_of(name: str, sets: Mapping[str, Sequence[str]], sensitive: Collection[str] = (), graph: Collection[str] = ()) -> tuple[list[str], list[str]]:
+    """The raw and the residualised columns of a recipe, in catalogue order.
+
+    Besides ``RECIPES``: DropSelected leaves the sensitive columns out,
+    SelectedRawOnly keeps nothing else."""
+    if name not in (*RECIPES, *SELECTIONS):
         raise ValueError(f"unknown recipe {name}")
     if name in ("Full", "CoreGeo", "NoClimate"):
-        return FeatureRecipe(name, list(sets[{"Full": "full", "CoreGeo": "core_geo", "NoClimate": "no_climate"}[name]]))
+        return list(sets[{"Full": "full", "CoreGeo": "core_geo", "NoClimate": "no_climate"}[name]]), []
+    base = sets["no_climate"]
+    if name == "SelectedRawOnly":
+        return [c for c in base if c in sensitive], []
+    if name == "DropSelected":
+        return [c for c in base if c not in sensitive], []
     chosen: set[str] = set()
     if name == "M3_Broad":
         chosen |= set(sets["geochemistry"])
     if name in ("M4_Spearman", "M4_GraphUnion"):
-        chosen |= set(sensitive_columns(train, sets["geochemistry"], sets["climate_adjusters"], threshold))
+        chosen |= set(sensitive)
     if name in ("M4_GraphGuided", "M4_GraphUnion"):
         chosen |= set(graph)
-    base = sets["no_climate"]
-    return FeatureRecipe(name, [c for c in base if c not in chosen], [c for c in base if c in chosen], list(sets["climate_adjusters"]))
+    return [c for c in base if c not in chosen], [c for c in base if c in chosen]
+
+
+def make_recipe(name: str, train: DataFrame, sets: dict[str, list[str]], graph: Sequence[str] = (), threshold: float = 0.30) -> FeatureRecipe:
+    """A recipe by name, unfitted, its columns chosen on training rows only."""
+    screened = name in ("M4_Spearman", "M4_GraphUnion", *SELECTIONS)
+    sensitive = sensitive_columns(train, sets["geochemistry"], sets["climate_adjusters"], threshold) if screened else ()
+    raw, residual = columns_of(name, sets, sensitive, graph)
+    return FeatureRecipe(name, raw, residual, list(sets["climate_adjusters"]) if name.startswith("M") else [])

@@ -8,6 +8,7 @@ import re
 from collections.abc import Sequence
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,8 +60,23 @@ def sniff_csv(spark: SparkSession, path: str, sample_bytes: int = 65_536) -> dic
 
 
 def read_sniffed_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV in whatever encoding and delimiter its head shows, all text.
+
+    Spark's CSV reader knows no GB18030. Its line feeds are plain bytes,
+    though, so lines are read as bytes, decoded in batches and then parsed."""
     form = sniff_csv(spark, path)
-    return spark.read.option("header", True).option("encoding", form["encoding"]).option("sep", form["delimiter"]).csv(path)
+    if form["encoding"] != "gb18030":
+        return spark.read.option("header", True).option("encoding", form["encoding"]).option("sep", form["delimiter"]).csv(path)
+    header = files.head(spark, path, 65_536).split(b"\n")[0].decode("gb18030").rstrip("\r")
+    names = next(csv.reader([header], delimiter=form["delimiter"]))
+
+    @F.pandas_udf("string")
+    def decoded(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda b: bytes(b).decode("gb18030", "replace"))
+
+    lines = spark.read.text(path).select(decoded(F.col("value").cast("binary")).alias("line")).where((F.col("line") != header) & (F.trim("line") != ""))
+    schema = ", ".join(f"`{n or f'_c{i}'}` string" for i, n in enumerate(names))
+    return lines.select(F.from_csv("line", schema, {"sep": form["delimiter"]}).alias("r")).select("r.*")
 
 
 def read_csv_rows(spark: SparkSession, path: str, most: int = 1000) -> list[dict[str, str]]:

@@ -259,6 +259,7 @@ def test_readers_and_sinks(spark, tmp_path):
     assert readers.read_sniffed_csv(spark, str(bom)).columns == ["name", "v"]
     (tmp_path / "gb.csv").write_bytes("名,v\n值,1\n".encode("gb18030"))
     assert readers.sniff_csv(spark, str(tmp_path / "gb.csv"))["encoding"] == "gb18030"
+    assert [tuple(r) for r in readers.read_sniffed_csv(spark, str(tmp_path / "gb.csv")).collect()] == [("值", "1")]
     assert readers.count_csv_rows(spark, str(bom)) == 3
     grid = tmp_path / "grid.txt"
     grid.write_text("1700 1.5 -99.999\n\n1701  2.5 3\n")

@@ -8,6 +8,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from terrasieve import model_queries, table_queries  # noqa: F401  (they add their queries)
 from terrasieve import queries as q
 
 SF = "/root/testdata/sf0.001"
