@@ -211,12 +211,14 @@ def _rest_of_long_lists(long: DataFrame, links: DataFrame, sets: DataFrame, perc
         found.select(F.col("node").alias("rep"), "component"), "rep", "left"
     )
     nodes = common.settled(nodes.select("rep", "cluster", F.coalesce("component", "rep").alias("component"), band.alias("band")))
-    largest = nodes.groupBy("cluster", "component").count().groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    nodes = nodes.join(largest, "cluster").withColumn("part", (F.col("component") != F.col("main")).cast("int")).drop("main")
-    sizes = nodes.groupBy("cluster", "band", "part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    total, tally = nodes.count(), nodes.groupBy("cluster", "component").count()
+    largest = tally.groupBy("cluster").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("m"))
+    # rows of a hot cluster stay where they are
+    nodes = common.join_by_class(nodes, common.settled(largest), ["cluster"], "m", total).withColumn("part", (F.col("component") != F.col("main")).cast("int")).drop("main")
+    sizes = nodes.groupBy("cluster", "band", "part").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("m"))
+    dealt = common.join_by_class(nodes, common.settled(sizes), ["cluster", "band", "part"], "m", total)
     placed = common.settled(
-        nodes.join(sizes, ["cluster", "band", "part"]).withColumn("block", F.struct("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("nth"))).drop("blocks", "part")
-        .join(sets, "rep")
+        dealt.withColumn("block", F.struct("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("nth"))).drop("blocks", "part").join(sets, "rep")
     )
     blocks = placed.groupBy("cluster", "band", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     left, right = (blocks.select("cluster", F.col("band").alias(f"band_{x}"), F.col("block").alias(f"block_{x}"), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}")) for x in "ab")
