@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.lineage import settled
-from .operators import evaluate, guards, splits, stats
+from .operators import catalog, evaluate, guards, spatial, splits, stats
 from .plans import linear
-from .queries import ITEMS, METRICS, items, metrics_sql, points, query, r, rounded
+from .queries import ITEMS, METRICS, POINTS, Z_COLUMNS, Z_SQL, items, metrics_sql, points, query, r, rounded
 
 FEATURES = ("qty", "price", "disc", "tax")
 SETS = {"full": ["qty", "price", "disc", "tax"], "no_climate": ["qty", "price"], "core_geo": ["qty", "price"], "climate_adjusters": ["disc", "tax"], "geochemistry": ["qty", "price"]}
@@ -42,21 +42,32 @@ def solved_sql(src: str, keys: str, n: int, out: str) -> str:
     return ", ".join([*ctes, f"{out} AS (SELECT {keys}, {', '.join(f'g_{i}_{n} AS w{i}' for i in range(n))} FROM {last})"])
 
 
-BASE = f"""{ITEMS}, b AS (SELECT row_index, y, env AS fold, state, qty::DOUBLE AS qty, price::DOUBLE AS price, disc::DOUBLE AS disc, tax::DOUBLE AS tax FROM it),
+ITEM_ROWS = f"{ITEMS}, b AS (SELECT row_index, y, env AS fold, state, qty::DOUBLE AS qty, price::DOUBLE AS price, disc::DOUBLE AS disc, tax::DOUBLE AS tax FROM it)"
+
+
+def folds_sql(rows: str = ITEM_ROWS) -> str:
+    """What models need of the training rows of each fold of b(row_index, y,
+    fold, state, features): medians, means, scales, residual weights on both
+    climate columns and on each alone, and sensitive columns."""
+    return f"""{rows},
 tr AS (SELECT f.fold AS tf, b.* FROM b, (SELECT DISTINCT fold FROM b) f WHERE b.fold <> f.fold),
 md AS (SELECT tf, {', '.join(f'median({c}) AS m_{c}' for c in FEATURES)} FROM tr GROUP BY tf),
 fl AS (SELECT tf, y, {', '.join(f'coalesce({c}, m_{c}) AS {c}' for c in FEATURES)} FROM tr JOIN md USING (tf)),
 st AS (SELECT tf, avg(y) AS a_y, {', '.join(f'avg({c}) AS a_{c}, stddev_pop({c}) AS s_{c}' for c in FEATURES)} FROM fl GROUP BY tf),
 cg AS (SELECT tf, u, v, q, p FROM (SELECT tf, (disc - a_disc) / s_disc AS u, (tax - a_tax) / s_tax AS v, qty - a_qty AS q, price - a_price AS p FROM fl JOIN st USING (tf))),
-cw AS (SELECT tf, (uq * vv - vq * uv) / (uu * vv - uv * uv) AS wq_u, (vq * uu - uq * uv) / (uu * vv - uv * uv) AS wq_v, (up * vv - vp * uv) / (uu * vv - uv * uv) AS wp_u, (vp * uu - up * uv) / (uu * vv - uv * uv) AS wp_v
+cw AS (SELECT tf, (uq * vv - vq * uv) / (uu * vv - uv * uv) AS wq_u, (vq * uu - uq * uv) / (uu * vv - uv * uv) AS wq_v, (up * vv - vp * uv) / (uu * vv - uv * uv) AS wp_u, (vp * uu - up * uv) / (uu * vv - uv * uv) AS wp_v, uq / uu AS oq_u, vq / vv AS oq_v, up / uu AS op_u, vp / vv AS op_v
   FROM (SELECT tf, sum(u * u) + 10 AS uu, sum(v * v) + 10 AS vv, sum(u * v) AS uv, sum(u * q) AS uq, sum(v * q) AS vq, sum(u * p) AS up, sum(v * p) AS vp FROM cg GROUP BY tf)),
 pr AS ({' UNION ALL '.join(f"SELECT tf, '{t}' AS target, '{c}' AS covariate, {t} AS a, {c} AS b FROM tr WHERE {t} IS NOT NULL AND {c} IS NOT NULL" for t in ('qty', 'price') for c in ('disc', 'tax'))}),
 rk AS (SELECT tf, target, covariate, rank() OVER (PARTITION BY tf, target, covariate ORDER BY a) + (count(*) OVER (PARTITION BY tf, target, covariate, a) - 1) / 2.0 AS ra,
   rank() OVER (PARTITION BY tf, target, covariate ORDER BY b) + (count(*) OVER (PARTITION BY tf, target, covariate, b) - 1) / 2.0 AS rb FROM pr),
-se AS (SELECT tf, coalesce(bool_or(rho >= {SENSITIVE}) FILTER (target = 'qty'), false) AS s_q, coalesce(bool_or(rho >= {SENSITIVE}) FILTER (target = 'price'), false) AS s_p
+se AS (SELECT tf, {', '.join(f"coalesce(bool_or(rho >= {SENSITIVE}) FILTER (target = '{t}'{more}), false) AS s_{t[0]}{x}" for t in ('qty', 'price') for x, more in (('', ''), ('_d', " AND covariate = 'disc'"), ('_t', " AND covariate = 'tax'")))}
   FROM (SELECT tf, target, covariate, abs(corr(ra, rb)) AS rho FROM rk GROUP BY ALL) GROUP BY tf)"""
 
-#: model: how quantity, price, discount and tax enter (0 not, 1 raw, 2 residual).
+
+BASE = folds_sql()
+
+#: model: how quantity, price, discount and tax enter (0 not, 1 raw, 2 residual
+#: on both climate columns, 3 on discount, 4 on tax alone).
 RECIPE_MODES = {
     "Full": ("1", "1", "1", "1"),
     "CoreGeo": ("1", "1", "0", "0"),
@@ -84,8 +95,8 @@ def models_sql(modes: dict[str, tuple[str, ...]], test: str = "SELECT 'original'
 
     def made(src: str, keep: str) -> str:
         u, v = "(disc - a_disc) / s_disc", "(tax - a_tax) / s_tax"
-        f0 = f"CASE k0 WHEN 1 THEN qty WHEN 2 THEN qty - a_qty - ({u}) * wq_u - ({v}) * wq_v ELSE 0 END"
-        f1 = f"CASE k1 WHEN 1 THEN price WHEN 2 THEN price - a_price - ({u}) * wp_u - ({v}) * wp_v ELSE 0 END"
+        f0 = f"CASE k0 WHEN 1 THEN qty WHEN 2 THEN qty - a_qty - ({u}) * wq_u - ({v}) * wq_v WHEN 3 THEN qty - a_qty - ({u}) * oq_u WHEN 4 THEN qty - a_qty - ({v}) * oq_v ELSE 0 END"
+        f1 = f"CASE k1 WHEN 1 THEN price WHEN 2 THEN price - a_price - ({u}) * wp_u - ({v}) * wp_v WHEN 3 THEN price - a_price - ({u}) * op_u WHEN 4 THEN price - a_price - ({v}) * op_v ELSE 0 END"
         return f"SELECT model, {keep}, {f0} AS f0, {f1} AS f1, CASE k2 WHEN 1 THEN disc ELSE 0 END AS f2, CASE k3 WHEN 1 THEN tax ELSE 0 END AS f3 FROM {src} x JOIN st USING (tf) JOIN cw USING (tf) JOIN cf USING (tf)"
 
     z = lambda i: f"(f{i} - b{i}) / CASE WHEN d{i} > 1e-9 THEN d{i} ELSE 1 END"
@@ -215,7 +226,7 @@ UNION ALL SELECT 'mixed', row_index, y, fold, state, qty, price, disc, tax FROM
 
 def scheme_models_sql() -> str:
     """The recipes' SQL with every row set and statistic by scheme too."""
-    base = BASE.replace("b AS (SELECT row_index", "all_b AS (SELECT row_index")
+    base = BASE.replace(" b AS (SELECT row_index", " all_b AS (SELECT row_index")
     head, rest = base.split(",\ntr AS (", 1)
     schemes = SCHEME_SQL.replace("FROM b", "FROM all_b b")
     text = head + f",\nb AS (SELECT row_index, y, scheme || '/' || fold AS fold, state, qty, price, disc, tax, scheme, fold AS own FROM ({schemes})),\ntr AS (" + rest
@@ -322,6 +333,122 @@ def pooled_foldwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.crossJoin(top.agg(F.avg("cluster_recall").alias("mean_cluster_recall"))))
 
 
+CONCEPT_ROWS = f"""{Z_SQL}, b AS (SELECT row_index, y, env AS fold, state, greatest(qty_z, price_z) AS qty, price_z AS price, -disc_z AS disc, list_median(list_filter([disc_z, tax_z], lambda x: x IS NOT NULL)) AS tax FROM zs)"""
+CONCEPT_MODES = {"M1": ("1", "1", "1", "1"), "M2": RECIPE_MODES["NoClimate"], "M3": RECIPE_MODES["M3_Broad"], "M4": RECIPE_MODES["M4_Spearman"]}
+
+
+@query(f"WITH {folds_sql(CONCEPT_ROWS)}, {models_sql(CONCEPT_MODES)}, {metrics_sql('of_', 'model, fold')} SELECT model, fold, n_pos, n_neg, {metric_columns(SHOWN)} FROM mx")
+def concept_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 to M4 on concepts (row maxima and medians of scaled features)."""
+    z = stats.with_robust_z(items(spark, sf_dir), Z_COLUMNS)
+    concepts = (
+        {"concept": "qty", "features": ["qty", "price"], "role": "pathfinder_signal"},
+        {"concept": "price", "features": ["price"], "role": "pathfinder_signal"},
+        {"concept": "disc", "features": ["disc"], "role": "context", "reverse": ["disc"]},
+        {"concept": "tax", "features": ["disc", "tax"], "role": "context"},
+    )
+    cols = catalog.concept_columns(concepts, {c: F.col(f"{c}_z") for c in Z_COLUMNS}, {})
+    rows = settled(z.select("row_index", "y", F.col("env").alias("fold"), "state", *[c.alias(k) for k, c in cols.items()]))
+    models, sensitive = linear.fit_folds(rows, list(FEATURES), "y"), linear.sensitive_by_fold(rows, SETS["geochemistry"], SETS["climate_adjusters"], SENSITIVE)
+    for name, recipe_name in (("M1", "Full"), ("M2", "NoClimate"), ("M3", "M3_Broad"), ("M4", "M4_Spearman")):
+        before = len(models.solved)
+        linear.with_recipes(models, SETS, [recipe_name], sensitive)
+        models.solved[before:] = [(name, *rest) for _, *rest in models.solved[before:]]
+    m = evaluate.classification_metrics(scored(models, rows), ["model", "fold"])
+    return rounded(m.select("model", "fold", "n_pos", "n_neg", *SHOWN))
+
+
+def chosen(x: str, mode: int) -> tuple[str, str, str, str]:
+    return (f"CASE WHEN s_q{x} THEN {mode} ELSE 1 END", f"CASE WHEN s_p{x} THEN {mode} ELSE 1 END", "0", "0")
+
+
+#: Discount stands for today's climate, tax for another age's.
+CLIMATE_MODES = {
+    "m1_modern_full": ("1", "1", "1", "0"),
+    "m1_modern_plus_other": ("1", "1", "1", "1"),
+    "m2_no_climate": ("1", "1", "0", "0"),
+    "m4_modern": chosen("_d", 3),
+    "m4_other": chosen("_t", 4),
+    "m4_both": chosen("", 2),
+}
+CLIMATE_CONTRASTS = (
+    ("modern", "m2_no_climate", "m4_modern"),
+    ("other", "m2_no_climate", "m4_other"),
+    ("both", "m2_no_climate", "m4_both"),
+    ("other - modern", "m4_modern", "m4_other"),
+    ("raw other", "m1_modern_full", "m1_modern_plus_other"),
+)
+
+
+def with_climate_sets(models: linear.FoldModels, rows: DataFrame) -> linear.FoldModels:
+    sets = {"m4_modern": ["disc"], "m4_other": ["tax"], "m4_both": ["disc", "tax"]}
+    found = {k: linear.sensitive_by_fold(rows, SETS["geochemistry"], c, SENSITIVE) for k, c in sets.items()}
+    for f in models.grams:
+        models.add("m1_modern_full", f, ["qty", "price", "disc"])
+        models.add("m1_modern_plus_other", f, list(FEATURES))
+        models.add("m2_no_climate", f, ["qty", "price"])
+        for k, c in sets.items():
+            s = found[k].get(f, set())
+            models.add(k, f, [x for x in ("qty", "price") if x not in s], [x for x in ("qty", "price") if x in s], c)
+    return models
+
+
+@query(f"WITH {BASE}, {models_sql(CLIMATE_MODES)}, {metrics_sql('of_', 'model, fold')} " + " UNION ALL ".join(contrast_sql("mx", a, b, n) for n, a, b in CLIMATE_CONTRASTS))
+def climate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models adjusted for one set of climate columns, another, or both."""
+    rows, models, _ = fitted(spark, sf_dir)
+    return contrasts(evaluate.classification_metrics(scored(with_climate_sets(models, rows), rows), ["model", "fold"]), CLIMATE_CONTRASTS)
+
+
+#: The tax is a block of further features, discount the climate.
+ENHANCED_MODES = {f"{m}{plus}": (q, p, "0", "1" if plus else "0") for m, (q, p) in {"M2": ("1", "1"), "M3": ("3", "3"), "M4": chosen("_d", 3)[:2]}.items() for plus in ("", "+block")}
+ENHANCED_CONTRASTS = tuple((f"{m}: block", m, f"{m}+block") for m in ("M2", "M3", "M4")) + (("M4 - M2 with block", "M2+block", "M4+block"),)
+
+
+@query(f"WITH {BASE}, {models_sql(ENHANCED_MODES)}, {metrics_sql('of_', 'model, fold')} " + " UNION ALL ".join(contrast_sql("mx", a, b, n) for n, a, b in ENHANCED_CONTRASTS))
+def enhanced_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a further block of features adds to M2, M3 and M4, in folds of a
+    published table that every row must find."""
+    rows = settled(samples(spark, sf_dir))
+    published = rows.select("state", F.col("fold").alias("_published")).distinct()
+    rows = settled(splits.frozen_folds(rows.drop("fold"), published, ["state"]).withColumnRenamed("_published", "fold"))
+    models, s = linear.fit_folds(rows, list(FEATURES), "y"), linear.sensitive_by_fold(rows, SETS["geochemistry"], ["disc"], SENSITIVE)
+    for f in models.grams:
+        for m, taken in (("M2", set()), ("M3", {"qty", "price"}), ("M4", s.get(f, set()))):
+            for plus in ("", "+block"):
+                models.add(m + plus, f, [x for x in ("qty", "price") if x not in taken] + (["tax"] if plus else []), [x for x in ("qty", "price") if x in taken], ["disc"])
+    return contrasts(evaluate.classification_metrics(scored(models, rows), ["model", "fold"]), ENHANCED_CONTRASTS)
+
+
+def block_rows_sql(degrees: int) -> str:
+    return f"""{POINTS}, pb AS (SELECT id AS row_index, y, state, '{degrees}deg_' || floor((lon + 180) / {degrees})::BIGINT || '_' || floor((lat + 90) / {degrees})::BIGINT AS g, bal AS qty, lat AS price, lon AS disc, (id % 53)::DOUBLE AS tax FROM pt),
+gs AS (SELECT g, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, g DESC) AS k FROM pb GROUP BY g),
+lpt(k, g, fold, load) AS (
+  SELECT 0::BIGINT, NULL::VARCHAR, NULL::INT, [0, 0, 0, 0, 0]::BIGINT[]
+  UNION ALL SELECT gs.k, gs.g, (list_position(load, list_min(load)) - 1)::INT, list_transform(load, lambda x, i: CASE WHEN i = list_position(load, list_min(load)) THEN x + gs.n ELSE x END) FROM lpt JOIN gs ON gs.k = lpt.k + 1
+), b AS (SELECT row_index, y, fold, state, qty::DOUBLE AS qty, price, disc, tax FROM pb JOIN lpt USING (g))"""
+
+
+def block_sql(degrees: int) -> str:
+    modes = {k: RECIPE_MODES[k] for k in ("NoClimate", "M3_Broad")}
+    return f"SELECT * FROM (WITH RECURSIVE {folds_sql(block_rows_sql(degrees))}, {models_sql(modes)}, {metrics_sql('of_', 'model, fold')} SELECT {degrees} AS degrees, model, fold, n_pos, n_neg, {metric_columns(SHOWN)} FROM mx)"
+
+
+@query(block_sql(2) + " UNION ALL " + block_sql(3))
+def block_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two recipes in folds that split no grid block, of two widths."""
+    parts = []
+    for degrees in (2, 3):
+        pt = points(spark, sf_dir).withColumn("block", spatial.block_id(F.col("lon"), F.col("lat"), degrees))
+        folds = splits.group_kfold(pt, "block", 5)
+        named = {"qty": F.col("bal").cast("double"), "price": F.col("lat"), "disc": F.col("lon"), "tax": (F.col("id") % 53).cast("double")}
+        rows = settled(folds.select(F.col("id").alias("row_index"), "y", "fold", "state", *[c.alias(k) for k, c in named.items()]))
+        models = linear.with_recipes(linear.fit_folds(rows, list(FEATURES), "y"), SETS, ["NoClimate", "M3_Broad"], {})
+        m = evaluate.classification_metrics(scored(models, rows), ["model", "fold"])
+        parts.append(m.select(F.lit(degrees).alias("degrees"), "model", "fold", "n_pos", "n_neg", *SHOWN))
+    return rounded(guards.union_all(parts))
+
+
 @query()
 def baseline_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dummy and a linear learner in stratified and in grouped folds. The

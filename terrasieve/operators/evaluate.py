@@ -106,7 +106,7 @@ def cluster_bootstrap(scores: DataFrame, times: DataFrame, cluster: str, models:
     times) is small. Rows are weighted by times, never repeated; scores of
     equal value and class meet before they are multiplied out."""
     cells = scores.where(F.col("model").isin(list(models))).groupBy("model", cluster, "y", "p").agg(F.count("*").alias("c"))
-    drawn = cells.join(F.broadcast(times), cluster).withColumn("w", F.col("c") * F.col("times"))
+    drawn = cells.join(times, cluster).withColumn("w", F.col("c") * F.col("times"))
     return classification_metrics(drawn, ["iteration", "model"], weight="w")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.lineage import settled
 from .components import connected
-from .guards import union_all
+from .guards import ContractError, union_all
 
 KM_PER_DEGREE = math.pi * S.EARTH_RADIUS_KM / 180
 
@@ -108,12 +108,19 @@ def remove_buffer(train: DataFrame, test: DataFrame, key: str, km: float, lat: s
     return train.join(close, key, "left_anti")
 
 
+#: Folds that buffers may be drawn around at once.
+MOST_FOLDS = 1000
+
+
 def remove_buffers(df: DataFrame, fold: str, key: str, km: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """``remove_buffer`` for every fold as the test fold: (fold, key) of the
-    rows of other folds farther than ``km`` from its rows. Folds are a small
-    table."""
-    folds = df.select(F.col(fold).alias("_test")).distinct()
-    train = df.crossJoin(F.broadcast(folds)).where(F.col(fold) != F.col("_test")).select(F.col("_test").alias(fold), key)
+    rows of other folds farther than ``km`` from its rows. Folds are a bounded
+    catalogue."""
+    folds = [r[fold] for r in df.select(fold).distinct().limit(MOST_FOLDS + 1).collect() if r[fold] is not None]
+    if len(folds) > MOST_FOLDS:
+        raise ContractError(f"more than {MOST_FOLDS} folds")
+    tests = F.explode(F.array(*[F.lit(f) for f in folds]).cast(f"array<{dict(df.dtypes)[fold]}>"))
+    train = df.select(fold, key, tests.alias("_test")).where(F.col(fold) != F.col("_test")).select(F.col("_test").alias(fold), key)
     if km <= 0:
         return train
     points = df.select(fold, key, lat, lon)

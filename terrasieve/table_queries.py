@@ -14,7 +14,7 @@ from .functions import scalars as S
 from .functions.lineage import scratch
 from .operators import catalog, evaluate, graph, guards, spatial, splits, stats
 from .plans import recipe
-from .queries import ITEMS, POINTS, items, km_sql, points, query, r, rounded, table
+from .queries import EFFECTS_SQL, ITEMS, POINTS, items, km_sql, points, query, r, rounded, table
 from .sources import audit, readers, sinks
 
 
@@ -329,3 +329,60 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = folds.where("model = 'M2'").agg(F.avg("m")).first()[0]
     guards.expect_metric(folds, "M2", "m", float(mean))
     return experiments.coverage(two, it, "row_index")
+
+
+@query(
+    f"""WITH {ITEMS}, lg AS ({' UNION ALL '.join(f"SELECT row_index, env, y, '{c}' AS concept, {c}::DOUBLE AS v FROM it WHERE {c} IS NOT NULL" for c in ('qty', 'price', 'disc', 'tax'))}),
+dr AS (SELECT env, concept, v, i, sum(t * y) AS p, sum(t * (1 - y)) AS n FROM (SELECT lg.*, i, (row_index * (2 * i + 7) + i * i) % 101 % 3 AS t FROM lg, range(100) a(i)) GROUP BY env, concept, v, i HAVING sum(t) > 0),
+bl AS (SELECT env, concept, i, p, n, coalesce(sum(n) OVER (PARTITION BY env, concept, i ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM dr),
+au AS (SELECT env, concept, i, sum(p * (nb + n / 2)) / (sum(p) * sum(n)) AS auc FROM bl GROUP BY env, concept, i),
+pl AS (SELECT env, concept, row_number() OVER (PARTITION BY env, i ORDER BY round(abs(auc - 0.5), 12) DESC, list_position(['qty', 'price', 'disc', 'tax'], concept)) AS nth FROM au)
+SELECT env, concept, {r('avg((nth <= 2)::INT)', 'selection_rate')}, count(*) AS n_iterations FROM pl GROUP BY env, concept"""
+)
+def selection_rates_of_100(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator's own number of resamples, all of them different."""
+    times = lambda i: (F.col("row_index") * (2 * i + 7) + i * i) % 101 % 3
+    return rounded(stats.selection_rates(items(spark, sf_dir), "env", "y", ["qty", "price", "disc", "tax"], times, top_k=2))
+
+
+EVIDENCE = (("qty", 0.6, 0.0), ("price", 0.2, 0.4), ("disc", None, None), ("tax", 0.5, 0.0))
+
+
+@query(
+    f"""WITH {EFFECTS_SQL}, ev(concept, rate, coefficient) AS (VALUES {', '.join(f"('{c}', {'NULL' if a is None else a}::DOUBLE, {'NULL' if b is None else b}::DOUBLE)" for c, a, b in EVIDENCE)}),
+vt AS (SELECT ef.*, auc_strength >= 0.9 OR coalesce(rate >= 0.5, false) OR coalesce(coefficient <> 0 AND env <> 2, false) OR coalesce(rank() OVER (PARTITION BY env ORDER BY round(missing_rate, 9) DESC) <= 1, false) AS sel FROM ef JOIN ev USING (concept)),
+g AS (SELECT concept, count(*) FILTER (sel) AS n_selected, coalesce(array_to_string(list_sort(list_distinct(list(env::VARCHAR) FILTER (sel))), ';'), '') AS environments, avg(auc) AS mean_auc, count(DISTINCT CASE WHEN sel THEN direction END) AS dirs FROM vt GROUP BY concept)
+SELECT concept, n_selected, environments, {r('mean_auc', 'mean_auc')}, {r('n_selected / 5', 'stable_score')}, dirs = 1 AS direction_consistent,
+       CASE WHEN n_selected >= 5 AND dirs = 1 THEN 'cross_environment_stable_signal' WHEN n_selected / 5 >= 2 / 3 AND dirs = 1 THEN 'mostly_stable_signal' WHEN n_selected > 0 AND dirs <> 1 THEN 'environment_sensitive_or_direction_conflict' WHEN n_selected > 0 THEN 'environment_specific_signal' ELSE 'not_selected_in_main_environments' END AS signal_class,
+       n_selected >= 2 AS is_candidate FROM g"""
+)
+def signal_votes_of_four(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All four kinds of evidence: AUC, selection rate, importance rank and a
+    sparse model's coefficient, missing ones counting against a concept."""
+    e = stats.feature_effects(items(spark, sf_dir), "env", "y", ["qty", "price", "disc", "tax"])
+    known = spark.createDataFrame(list(EVIDENCE), "concept string, rate double, coefficient double")
+    e = e.join(known, "concept").withColumns({"coefficient": F.when(F.col("env") != 2, F.col("coefficient")), "missing": F.round("missing_rate", 9)})
+    return rounded(graph.vote_signals(e, 5, auc_threshold=0.9, top_rank=1, rate="rate", importance="missing", coefficient="coefficient"))
+
+
+NODES = ("qty", "price", "tax")
+
+
+def partial_sql(a: str, b: str, c: str) -> str:
+    """Partial correlation of two columns given a third, by ridge of 1."""
+    wa, wb = f"(sxy_{a}_{c} / (sxy_{c}_{c} + 1))", f"(sxy_{b}_{c} / (sxy_{c}_{c} + 1))"
+    cross = lambda x, y, wx, wy: f"(sxy_{x}_{y} - {wx} * sxy_{y}_{c} - {wy} * sxy_{x}_{c} + {wx} * {wy} * sxy_{c}_{c})"
+    return f"SELECT env::VARCHAR AS env, '{a}' AS a, '{b}' AS b, n, {cross(a, b, wa, wb)} / sqrt({cross(a, a, wa, wa)} * {cross(b, b, wb, wb)}) AS rho FROM s"
+
+
+@query(
+    f"""WITH {ITEMS}, md AS (SELECT env, {', '.join(f'median({c}) AS m_{c}' for c in NODES)} FROM it GROUP BY env), f AS (SELECT env, {', '.join(f'coalesce({c}, m_{c})::DOUBLE AS {c}' for c in NODES)} FROM it JOIN md USING (env)),
+m AS (SELECT env, {', '.join(f'avg({c}) AS a_{c}' for c in NODES)} FROM f GROUP BY env), s AS (SELECT env, count(*) AS n, {', '.join(f'sum(({x} - a_{x}) * ({y} - a_{y})) AS sxy_{x}_{y}' for x in NODES for y in NODES)} FROM f JOIN m USING (env) GROUP BY env),
+p AS ({partial_sql('qty', 'price', 'tax')} UNION ALL {partial_sql('qty', 'tax', 'price')} UNION ALL {partial_sql('price', 'tax', 'qty')})
+SELECT env, a, b, {r('rho', 'partial_corr')}, abs(rho) >= 0.005 AND abs(rho) * sqrt((n - 3) / (1 - rho * rho)) >= 1.2817 AS selected FROM p"""
+)
+def partial_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial correlations of all pairs in each environment, and which are
+    large and sure enough (a p of 0.2 is a t of 1.28 for so many rows)."""
+    rows = graph.partial_edges(items(spark, sf_dir), "env", NODES, threshold=0.005)
+    return rounded(spark.createDataFrame([(str(e), a, b, rho, ok) for e, a, b, rho, _, ok in rows], "env string, a string, b string, partial_corr double, selected boolean"))
