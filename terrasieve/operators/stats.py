@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -151,15 +151,72 @@ def feature_effects(df: DataFrame, env: str, label: str, columns: Sequence[str])
     )
 
 
+#: Up to so many pairs are ranked pair by pair; of more, those whose columns
+#: lack the same rows share one ranking of each column.
+MOST_PAIRS = 64
+
+
 def spearman_pairs(df: DataFrame, targets: Sequence[str], covariates: Sequence[str], min_pairs: int = 30, by: Sequence[str] = ()) -> DataFrame:
     """Spearman correlation of each target with each covariate over the rows
-    that have both (ranks are taken anew for each pair).
+    that have both (ranks are those among these rows).
 
     Rows: by, target, covariate, n_pairs, spearman (null under ``min_pairs``
-    pairs or for a constant side). A group is a pair of columns: ranks come
-    from counts of different values, which pre-aggregate before the shuffle.
-    """
-    pairs = [F.struct(F.lit(t).alias("target"), F.lit(c).alias("covariate"), F.col(t).cast("double").alias("a"), F.col(c).cast("double").alias("b")) for t in targets for c in covariates if t != c]
+    pairs or for a constant side). Two columns that lack values in the same
+    rows are ranked alike in all their pairs; only other pairs of a wide table
+    are multiplied out. ``by`` is a bounded catalogue."""
+    pairs = [(t, c) for t in targets for c in covariates if t != c]
+    if len(pairs) <= MOST_PAIRS:
+        return _ranked_apart(df, pairs, min_pairs, by)
+    shared = _same_rows(df, pairs)
+    apart = [p for p in pairs if p not in shared]
+    parts = ([_ranked_once(df, sorted(shared), min_pairs, by)] if shared else []) + ([_ranked_apart(df, apart, min_pairs, by)] if apart else [])
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _same_rows(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> set[tuple[str, str]]:
+    """The pairs of columns that have values in the same rows."""
+    names = sorted({c for p in pairs for c in p})
+    g = gram(df, [F.col(c).isNotNull().cast("double") for c in names], names)
+    both = np.rint(g.n * (g.cov + np.outer(g.mean, g.mean)))
+    at = {c: i for i, c in enumerate(names)}
+    return {(a, b) for a, b in pairs if both[at[a], at[b]] == both[at[a], at[a]] == both[at[b], at[b]]}
+
+
+def _ranked_once(df: DataFrame, pairs: Sequence[tuple[str, str]], min_pairs: int, by: Sequence[str]) -> DataFrame:
+    """Each column ranked once, centred, missing values 0, and all products of
+    the ranks summed in blocks of rows."""
+    names = sorted({c for p in pairs for c in p})
+    held = settled(df.select(*by, *[F.col(c).cast("double").alias(c) for c in names], F.monotonically_increasing_id().alias("_id")))
+    key = [*by, "concept"]
+    long = long_form(held, [*by, "_id"], names).where("value is not null")
+    cells = ranges.running_sums(long.groupBy(*key, "value").agg(F.count("*").alias("_c")), key, ["value"], {"_below": "_c"})
+    cells = ranges.join_groups(cells, cells.groupBy(*key).agg(F.sum("_c").alias("_n")), key).withColumn("_x", F.col("_below") + (F.col("_c") - F.col("_n")) / 2)
+    at = F.array_position(F.array(*[F.lit(c) for c in names]), F.col("concept")) - 1
+    met = ranges.join_groups(long, cells.select(*key, "value", "_x"), [*key, "value"])
+    rows = met.groupBy(*by, "_id").agg(F.collect_list(F.struct(at.cast("int").alias("i"), F.col("_x").alias("x"))).alias("_v")).select(*by, F.col("_v.i").alias("_at"), F.col("_v.x").alias("_rank"))
+    k = len(names)
+
+    def matrix(_key: tuple, part: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((len(part), k))
+        out[np.repeat(np.arange(len(part)), part["_at"].map(len)), np.concatenate(part["_at"].tolist())] = np.concatenate(part["_rank"].tolist())
+        return out
+
+    counts = {(*(r[c] for c in by), r["concept"]): r["_n"] for r in cells.groupBy(*key).agg(F.max("_n").alias("_n")).collect()}
+    index, out = {c: i for i, c in enumerate(names)}, []
+    for group, sums in _block_products(rows, by, k, matrix).items():
+        for a, b in pairs:
+            i, j, n = index[a], index[b], counts.get((*group, a), 0)
+            fine = n >= min_pairs and sums[i, i] > TINY and sums[j, j] > TINY
+            if n:
+                out.append((*group, a, b, int(n), float(sums[i, j] / math.sqrt(sums[i, i] * sums[j, j])) if fine else None))
+    types = "".join(f"{c} {t}, " for c, t in df.select(*by).dtypes)
+    return df.sparkSession.createDataFrame(out, types + "target string, covariate string, n_pairs long, spearman double")
+
+
+def _ranked_apart(df: DataFrame, wanted: Sequence[tuple[str, str]], min_pairs: int, by: Sequence[str]) -> DataFrame:
+    """Each pair ranked by itself: rows by pairs, which pre-aggregate to counts
+    of different pairs of values before the shuffle."""
+    pairs = [F.struct(F.lit(t).alias("target"), F.lit(c).alias("covariate"), F.col(t).cast("double").alias("a"), F.col(c).cast("double").alias("b")) for t, c in wanted]
     long = df.select(*by, F.inline(F.array(*pairs))).where("a is not null and b is not null")
     key = [*by, "target", "covariate"]
     cells = settled(long.groupBy(*key, "a", "b").agg(F.count("*").alias("n")))
@@ -168,7 +225,7 @@ def spearman_pairs(df: DataFrame, targets: Sequence[str], covariates: Sequence[s
         counts = cells.groupBy(*key, side).agg(F.sum("n").alias("c"))
         return ranges.running_sums(counts, key, [side], {"_below": "c"}).select(*key, side, (F.col("_below") + (F.col("c") + 1) / 2).alias(f"r_{side}"))
 
-    joined = cells.join(ranked("a"), [*key, "a"]).join(ranked("b"), [*key, "b"])
+    joined = ranges.join_groups(ranges.join_groups(cells, ranked("a"), [*key, "a"]), ranked("b"), [*key, "b"])
     n, ra, rb = F.col("n"), F.col("r_a"), F.col("r_b")
     sums = joined.groupBy(*key).agg(
         F.sum("n").alias("n_pairs"), F.sum(n * ra).alias("sa"), F.sum(n * rb).alias("sb"), F.sum(n * ra * ra).alias("saa"), F.sum(n * rb * rb).alias("sbb"), F.sum(n * ra * rb).alias("sab")
@@ -252,20 +309,21 @@ class Gram:
 MOST_PRODUCTS = 120
 
 
-def _block_products(frame: DataFrame, by: Sequence[str], names: Sequence[str], mean: dict[tuple, np.ndarray]) -> dict[tuple, np.ndarray]:
-    """Sums of products of centred columns of each group: every task adds up
-    its batches and gives one row for each group and column, which are summed
-    column by column. Means and sums are k and k x k numbers a group."""
-    k = len(names)
+def _block_products(frame: DataFrame, by: Sequence[str], k: int, matrix: Callable[[tuple, pd.DataFrame], np.ndarray]) -> dict[tuple, np.ndarray]:
+    """Sums of products of the k columns that ``matrix`` makes of some rows of
+    a group: every task adds up its batches and gives one row for each group
+    and column, which are summed column by column; k x k numbers a group are
+    what the driver gets."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple, np.ndarray] = {}
-        for batch in batches:
+        for batch in (b for b in batches if len(b)):
             for key, part in batch.groupby(list(by), dropna=False) if by else [((), batch)]:
-                x = part[list(names)].to_numpy(float) - mean[tuple(None if v != v else v for v in key)]
+                key = tuple(None if v != v else v for v in key)
+                x = matrix(key, part)
                 total[key] = total.get(key, 0) + x.T @ x
         for key, m in total.items():
-            yield pd.DataFrame({**dict(zip(by, ([v] * k for v in key))), "_i": np.arange(k), "_row": list(m)})
+            yield pd.DataFrame({**{c: pd.Series([v] * k, dtype=object) for c, v in zip(by, key)}, "_i": np.arange(k), "_row": list(m)})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.iloc[:1].assign(_row=[np.sum(pdf["_row"].tolist(), axis=0)])
@@ -288,7 +346,7 @@ def gram_by(df: DataFrame, by: Sequence[str], columns: Sequence[Column], names:
     means = {tuple(r[c] for c in by): np.array([r[f"m{i}"] or 0.0 for i in range(k)]) for r in first}
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     if len(pairs) > MOST_PRODUCTS:
-        sums = _block_products(frame, by, [f"c{i}" for i in range(k)], means)
+        sums = _block_products(frame, by, k, lambda key, part: part[[f"c{i}" for i in range(k)]].to_numpy(float) - means[key])
         return {key: Gram(list(names), n, means[key], sums[key] / n if n else np.zeros((k, k))) for key, n in counts.items()}
     table = df.sparkSession.createDataFrame(
         [(*key, *map(float, m)) for key, m in means.items()], ", ".join([*[f"_g_{c} {t}" for c, t in frame.select(*by).dtypes], *[f"_m{i} double" for i in range(k)]])

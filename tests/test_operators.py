@@ -469,3 +469,85 @@ def test_numbers_within_groups_over_many_ranges(spark):
     for _, part in got.groupby("g", dropna=False):
         part = part.assign(o=part["id"] * 7919 % 10007).sort_values(["o", "id"])
         assert part["row_index"].tolist() == list(range(len(part)))
+
+
+def test_baselines_and_penalties(spark):
+    from terrasieve.plans import experiments
+
+    df = spark.range(600).select("id", (F.col("id") % 4 == 0).cast("int").alias("y"), (F.col("id") % 3).cast("int").alias("fold"), (F.rand(1) + (F.col("id") % 4 == 0).cast("double")).alias("good"), F.rand(2).alias("bad"))
+    out = {(r["model"], r["fold"]): r for r in experiments.baselines(settled(df), ["good", "bad"], "y", "id", ("dummy", "logistic_l2")).collect()}
+    assert len(out) == 6 and all(out["logistic_l2", f]["roc_auc"] > 0.8 for f in range(3))
+    assert all(out["dummy", f]["n_pos"] == 50 and abs(out["dummy", f]["roc_auc"] - 0.5) < 0.15 for f in range(3))
+    dummy = learners.dummy_scores(df, 0.25, ["id"], "id").agg(F.avg("p")).first()[0]
+    assert dummy == pytest.approx(0.25, abs=0.06)
+    assert learners.estimator("logistic_l1", 0, rows=100).getRegParam() == pytest.approx(1 / 25) and learners.estimator("logistic_l2", 0, rows=100).getRegParam() == pytest.approx(1 / 100)
+    with pytest.raises(ValueError):
+        learners.estimator("perceptron", 0)
+    forest = learners.fit(df, ["good", "bad"], "y", "forest", trees=5)
+    assert [f for f, _ in learners.importances(forest, ["bad", "good"][::-1])][0] == "good"
+    sparse = learners.fit(df, ["good", "bad"], "y", "logistic_l1")
+    assert "good" in learners.l1_selected(sparse, ["good", "bad"])
+
+
+def test_split_guards(spark):
+    one = spark.createDataFrame([(1, 1), (2, 0)], "id int, y int")
+    with pytest.raises(guards.ContractError):
+        splits.usable_splits(one, "y")
+    with pytest.raises(guards.ContractError):
+        splits.frozen_folds(one, spark.createDataFrame([(1, 0)], "id int, fold int"), ["id"])
+    with pytest.raises(guards.ContractError):
+        guards.expect_no_missing(spark.createDataFrame([(None,)], "v int"), ["v"])
+    with pytest.raises(guards.ContractError):
+        guards.expect_subset(one, one.where("id = 1"), ["id"])
+    drawn = splits.draws(one, "id", 50, 3).groupBy("iteration").agg(F.sum("times").alias("n")).collect()
+    assert len(drawn) == 50 and all(r["n"] == 2 for r in drawn)
+
+
+def test_linear_folds_against_numpy(spark):
+    from terrasieve.plans import linear
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(120, 4)) @ rng.normal(size=(4, 4)) + 5
+    y = (x[:, 0] - x[:, 3] + rng.normal(size=120) > 0).astype(int)
+    x[::9, 1] = np.nan
+    rows = [(i, i % 3, int(y[i]), *[None if v != v else float(v) for v in x[i]]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, fold int, y int, a double, b double, c double, d double")
+    models = linear.fit_folds(df, list("abcd"), "y")
+    for f in models.grams:
+        models.add("m", f, ["a"], ["b"], ["c", "d"])
+    got = {r["id"]: r["p"] for r in models.score(df, ["id", "fold"]).collect()}
+    for f in range(3):
+        train, test = np.arange(120) % 3 != f, np.arange(120) % 3 == f
+        fill = np.nanmedian(x[train], axis=0)
+        z = np.where(np.isnan(x), fill, x)
+        c = (z[:, 2:] - z[train][:, 2:].mean(0)) / z[train][:, 2:].std(0)
+        w = np.linalg.solve(c[train].T @ c[train] + 10 * np.eye(2), c[train].T @ (z[train, 1] - z[train, 1].mean()))
+        features = np.stack([z[:, 0], z[:, 1] - z[train, 1].mean() - c @ w], axis=1)
+        s = (features - features[train].mean(0)) / features[train].std(0)
+        v = np.linalg.solve(s[train].T @ s[train] + 10 * np.eye(2), s[train].T @ (y[train] - y[train].mean()))
+        assert [got[i] for i in np.flatnonzero(test)] == pytest.approx((y[train].mean() + s[test] @ v).tolist(), abs=1e-9)
+
+
+def test_rank_correlations_of_wide_tables(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame(np.round(rng.normal(size=(150, 6)), 1), columns=list("abcdef"))
+    pdf["b"] = pdf["a"] + pdf["b"]
+    pdf.loc[::5, ["a", "c"]] = np.nan
+    pdf.loc[::7, "d"] = np.nan
+    pdf["e"] = 1.0
+    pdf["g"] = np.where(np.arange(150) % 3 == 0, None, np.arange(150) % 2)
+    df = spark.createDataFrame([[None if v != v else v for v in r] for r in pdf.astype(object).itertuples(index=False)], "a double, b double, c double, d double, e double, f double, g int")
+    args = (df, ["a", "b", "d"], ["c", "e", "f"])
+    monkeypatch.setattr(stats, "MOST_PAIRS", 0)
+    monkeypatch.setattr(stats, "MOST_PRODUCTS", 3)
+    for by, keys in (([], [()]), (["g"], [(0,), (1,), (None,)])):
+        got = {tuple(r[c] for c in (*by, "target", "covariate")): r for r in stats.spearman_pairs(*args, min_pairs=10, by=by).collect()}
+        assert len(got) == 9 * len(keys)
+        for key in keys:
+            part = pdf if not key else pdf[pdf["g"].isna()] if key[0] is None else pdf[pdf["g"] == key[0]]
+            for t in "abd":
+                for c in "cef":
+                    both = part[[t, c]].dropna()
+                    r = got[(*key, t, c)]
+                    assert r["n_pairs"] == len(both)
+                    assert r["spearman"] is None if c == "e" else r["spearman"] == pytest.approx(both[t].rank().corr(both[c].rank()), abs=1e-12)
