@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import shutil
 import subprocess
 import sys
@@ -91,4 +92,6 @@ def test_the_rest_works_without_these_folders(tmp_path):
     root = Path(__file__).resolve().parents[2]
     shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    own = {"PATH": os.environ["PATH"], "HOME": str(tmp_path), "PYTHONPATH": str(tmp_path / "copy"), **{k: os.environ[k] for k in ("JAVA_HOME", "SPARK_HOME") if k in os.environ}}
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests/test_oracle.py", "-k", "entry or group_folds or row_positions"], cwd=tmp_path / "copy", check=True, env=own)
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", check=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path), "PYTHONPATH": str(tmp_path / "copy")})
