@@ -7,12 +7,15 @@ import math
 import re
 import zlib
 from functools import lru_cache
+from pathlib import Path
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from terrasieve.llm import crf, langid, lattice
+from terrasieve.llm import crf, langid, lattice, part_queries
 
 TEXTS = [
     "The cat sat. On the mat!\nTHE cat sat | on # mats\n\nok ok ok",
@@ -38,6 +41,16 @@ def small(spark, tmp_path_factory):
     return str(root), rows
 
 
+@pytest.mark.parametrize("name", sorted(part_queries.ORACLE_SQL))
+def test_plain_columns_match_sql(spark, name):
+    con = duckdb.connect()
+    for p in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        con.execute(f"create view {p.stem} as select * from '{p}'")
+    got, want = part_queries.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), con.execute(part_queries.ORACLE_SQL[name]).df()
+    order = sorted(got.columns)
+    pd.testing.assert_frame_equal(got[order].sort_values(order).reset_index(drop=True), want[order].sort_values(order).reset_index(drop=True), check_dtype=False)
+
+
 def held(doc_id: int, modulus: int, rest: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % modulus == rest
 
