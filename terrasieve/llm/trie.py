@@ -101,16 +101,17 @@ def _with_conversations(path: DataFrame, convs: DataFrame, columns: list[str]) -
     return common.join_by_class(path, told, ["c"], "_m", max(1, convs.agg(F.sum("n")).first()[0] or 0))
 
 
-def _hashed_ends(ends: DataFrame, ids_per_piece: int = IDS_PER_PIECE) -> DataFrame:
+def _hashed_ends(ends: DataFrame, ids_per_piece: int = IDS_PER_PIECE, most_pieces: int = 64) -> DataFrame:
     """(depth, f1, f2, ends_sha256) of nodes at which conversations (c) end.
 
-    Ids are joined piece by piece; a node of several pieces is hashed by a
-    stream over them in order, which holds one of them at a time."""
-    placed = running_sums(ends, _NODE, ["c"], {"before": F.lit(1).cast("long")})
-    joined = placed.groupBy(*_NODE, (F.col("before") / ids_per_piece).cast("long").alias("piece")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("c")), lambda c: c.cast("string")), ",").alias("ids"))
-    joined = settled(joined)
-    longer = settled(joined.where("piece = 1").select(*_NODE))
-    short = joined.join(longer, _NODE, "left_anti").select(*_NODE, F.sha2("ids", 256).alias("ends_sha256"))
+    Ids of a range of ``ids_per_piece`` numbers are joined in one row. A node
+    of more than ``most_pieces`` such rows is hashed by a stream over them in
+    order, which holds one at a time."""
+    written = F.array_join(F.transform(F.sort_array(F.collect_list("c")), lambda c: c.cast("string")), ",")
+    joined = settled(ends.groupBy(*_NODE, F.floor(F.col("c") / ids_per_piece).alias("piece")).agg(written.alias("ids")))
+    longer = settled(joined.groupBy(*_NODE).count().where(F.col("count") > most_pieces).select(*_NODE))
+    pieces = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "ids"))), lambda p: p["ids"]), ",")
+    short = joined.join(longer, _NODE, "left_anti").groupBy(*_NODE).agg(F.sha2(pieces, 256).alias("ends_sha256"))
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         node, state = None, None

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import trie, yinyang
+from . import subspace, trie, yinyang
 
 QUERIES = {
     "op11_yinyang_clusters": yinyang.op11_yinyang_clusters,
+    "op12_subspace_near_duplicates": subspace.op12_subspace_near_duplicates,
     "op13_conversation_trie": trie.op13_conversation_trie,
 }
 
@@ -44,6 +45,23 @@ a3 AS MATERIALIZED (
 SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
        sha256(array_to_string(list_transform(c3.x, lambda e: e::BIGINT), ',')) AS centroid_sha256
 FROM d JOIN c3 ON cluster = j
+""",
+    "op12_subspace_near_duplicates": """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS x,
+         coalesce(vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = len(embedding)
+           AND len(list_filter(embedding, lambda e: e <> 0)) > 0, false) AS valid
+  FROM embeddings
+), e AS MATERIALIZED (
+  SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.valid AND b.valid AND a.r <> b.r AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95
+), n AS (
+  SELECT a AS r, count(*) AS n_links FROM e GROUP BY a
+), reached(r, c) AS (
+  SELECT r, vec_id FROM v UNION SELECT e.b, reached.c FROM reached JOIN e ON reached.r = e.a
+), m AS (
+  SELECT r, min(c) AS component_id FROM reached GROUP BY r
+)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept FROM v JOIN m USING (r) LEFT JOIN n USING (r)
 """,
     "op13_conversation_trie": f"""
 WITH t AS (
