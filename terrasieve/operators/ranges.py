@@ -56,6 +56,19 @@ def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]
     return joined.withColumns({n: before(n, own) + F.col(f"_s_{n}") for n in sums}).select(*given, *sums)
 
 
+def join_by_class(df: DataFrame, classes: DataFrame, keys: Sequence[str], size: str, rows: int, how: str = "inner", most: int = 4096) -> DataFrame:
+    """``df`` joined with ``classes`` (unique by ``keys``, whose column
+    ``size`` tells how many rows of ``df`` hold the key).
+
+    Classes of at least ``rows`` / ``most`` rows, of which there are ``most``
+    at most, are broadcast, so that the rows of a hot class stay where they
+    are; all others meet by shuffle. Null keys meet nothing."""
+    big = F.col(size) * most >= rows
+    hot, cold = classes.where(big).drop(size), classes.where(~big).drop(size)
+    rest = df.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti")
+    return df.join(F.broadcast(hot), list(keys)).unionByName(rest.join(cold, list(keys), how))
+
+
 def at_rank(below: str, count: str, value: str, rank: Column) -> Column:
     """Aggregate: the value whose ``count`` equal rows, after ``below`` smaller
     ones, hold the rank (from 0)."""

@@ -335,6 +335,29 @@ def _block_products(frame: DataFrame, by: Sequence[str], k: int, matrix: Callabl
     return out
 
 
+def fold_products(rows: DataFrame, k: int, n_folds: int) -> np.ndarray:
+    """(n_folds, k, k): sums of products over the rows (_own, _x) outside each
+    fold, where _x holds the fold's values of the first column in all folds,
+    then those of the second, and so on; _own is the row's fold or -1."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((n_folds, k, k))
+        for batch in (b for b in batches if len(b)):
+            x, own = np.array(batch["_x"].tolist()).reshape(len(batch), k, n_folds), batch["_own"].to_numpy()
+            for f in range(n_folds):
+                part = x[own != f, :, f]
+                total[f] += part.T @ part
+        yield pd.DataFrame({"_i": np.arange(n_folds * k), "_row": list(total.reshape(-1, k))})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1].assign(_row=[np.sum(pdf["_row"].tolist(), axis=0)])
+
+    out = np.zeros((n_folds * k, k))
+    for r in rows.mapInPandas(work, "_i int, _row array<double>").groupBy("_i").applyInPandas(add, "_i int, _row array<double>").collect():
+        out[r["_i"]] = r["_row"]
+    return out.reshape(n_folds, k, k)
+
+
 def gram_by(df: DataFrame, by: Sequence[str], columns: Sequence[Column], names: Sequence[str]) -> dict[tuple, Gram]:
     """``Gram`` of each group of ``by`` (a bounded catalogue). A first pass
     gives the means, a second the centred products, so that large means cost

@@ -1,7 +1,8 @@
 """Recipes with a ridge score, all folds and models at once.
 
 All that the recipes of a fold need of its training rows are the medians and
-the products of their columns: one pass each, grouped by fold. Residuals are
+the products of their columns, which ``training`` takes from one pass over all
+rows by subtraction. Residuals are
 linear in the columns they are made of, so every recipe is solved from its
 fold's one table of products, and all scores are one projection of the rows.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, splits, stats
-from . import recipe
+from . import recipe, training
 
 
 @dataclass
@@ -76,27 +77,18 @@ def _scale(variance: np.ndarray) -> np.ndarray:
     return np.where(sd > 1e-9, sd, 1.0)
 
 
-def training_rows(df: DataFrame, fold: str) -> DataFrame:
-    """Each row once for every fold that trains on it, as ``test_fold``. Folds
-    are a bounded catalogue."""
-    folds = [r[fold] for r in df.select(fold).distinct().orderBy(fold).collect() if r[fold] is not None]
-    return splits.train_test(df, folds, fold).where("not is_test")
-
-
 def fit_folds(df: DataFrame, columns: Sequence[str], label: str, fold: str = "fold") -> FoldModels:
     """Medians and products of each fold's training rows with a label."""
-    rows = training_rows(df.where(F.col(label).isNotNull()).select(fold, label, *columns), fold)
-    medians = {k[0]: m for k, m in stats.medians_by(rows, ["test_fold"], columns).items()}
-    table = df.sparkSession.createDataFrame([(f, [m[c] for c in columns]) for f, m in medians.items()], f"test_fold {dict(rows.dtypes)['test_fold']}, _fill array<double>")
-    filled = rows.join(F.broadcast(table), "test_fold")
-    values = [F.coalesce(F.col(c).cast("double"), F.get("_fill", F.lit(i))) for i, c in enumerate(columns)] + [F.col(label).cast("double")]
-    grams = stats.gram_by(filled, ["test_fold"], values, [*columns, label])
-    return FoldModels(list(columns), label, fold, medians, {k[0]: g for k, g in grams.items()})
+    rows = df.where(F.col(label).isNotNull()).select(fold, label, *columns)
+    folds = training.fold_names(rows, fold)
+    fills = training.medians(rows, columns, fold, folds)
+    products = training.grams(rows, columns, label, fold, folds, fills)
+    return FoldModels(list(columns), label, fold, {f: fills.get((f,), dict.fromkeys(columns, 0.0)) for (f,) in products}, {f: g for (f,), g in products.items()})
 
 
 def sensitive_by_fold(df: DataFrame, targets: Sequence[str], climate: Sequence[str], threshold: float = 0.30, fold: str = "fold") -> dict[Any, set[str]]:
     """Targets that the rank screen of each fold's training rows finds sensitive."""
-    pairs = stats.spearman_pairs(training_rows(df.select(fold, *targets, *climate), fold), targets, climate, by=["test_fold"])
+    pairs = training.spearman(df.select(fold, *targets, *climate), targets, climate, fold, training.fold_names(df, fold))
     out: dict[Any, set[str]] = {}
     for r in stats.spearman_screen(pairs, threshold, by=["test_fold"], covariates=climate).where("is_spearman_sensitive").collect():
         out.setdefault(r["test_fold"], set()).add(r["target_column"])
