@@ -44,7 +44,7 @@ def _below(folds: Sequence[Any]) -> dict[str, str]:
 def medians(df: DataFrame, columns: Sequence[str], fold: str, folds: Sequence[Any], by: Sequence[str] = ()) -> dict[tuple, dict[str, float]]:
     """{(fold, *by): medians of its training rows}; a column without a value
     counts as 0. ``by`` is a bounded catalogue."""
-    if not columns:
+    if not columns or not folds:
         return {}
     key = [*by, "concept"]
     long = stats.long_form(df, [fold, *by], columns).where("value is not null")
@@ -102,6 +102,9 @@ def spearman_pairs(df: DataFrame, targets: Sequence[str], covariates: Sequence[s
     The rank of a value among training rows is its rank among all rows less
     that among the fold's own; each different value carries both for every
     fold, and pairs of values are counted before they meet their ranks."""
+    if not folds:
+        types = {"target": "string", "covariate": "string", "n_pairs": "long", "spearman": "double"}
+        return df.limit(0).select(F.col(fold).alias("test_fold"), *by, *[F.lit(None).cast(t).alias(c) for c, t in types.items()])
     pairs = [F.struct(F.lit(t).alias("target"), F.lit(c).alias("covariate"), F.col(t).cast("double").alias("a"), F.col(c).cast("double").alias("b")) for t in targets for c in covariates if t != c]
     long = df.select(fold, *by, F.inline(F.array(*pairs))).where("a is not null and b is not null")
     key, own = [*by, "target", "covariate"], ["_all", *[f"_own{i}" for i in range(len(folds))]]
