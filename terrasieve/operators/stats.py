@@ -325,13 +325,26 @@ def _block_products(frame: DataFrame, by: Sequence[str], k: int, matrix: Callabl
         for key, m in total.items():
             yield pd.DataFrame({**{c: pd.Series([v] * k, dtype=object) for c, v in zip(by, key)}, "_i": np.arange(k), "_row": list(m)})
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.iloc[:1].assign(_row=[np.sum(pdf["_row"].tolist(), axis=0)])
-
     types = "".join(f"{c} {t}, " for c, t in frame.select(*by).dtypes) + "_i int, _row array<double>"
+    # each number is summed apart, so no group holds the rows of all tasks
+    long = frame.mapInPandas(work, types).select(*by, "_i", F.posexplode("_row").alias("_j", "_v"))
+    sums = long.groupBy(*by, "_i", "_j").agg(F.sum("_v").alias("_v"))
     out: dict[tuple, np.ndarray] = {}
-    for r in frame.mapInPandas(work, types).groupBy(*by, "_i").applyInPandas(add, types).collect():
-        out.setdefault(tuple(r[c] for c in by), np.zeros((k, k)))[r["_i"]] = r["_row"]
+    for r in sums.groupBy(*by, "_i").agg(F.collect_list(F.struct("_j", "_v")).alias("_r")).collect():
+        row = out.setdefault(tuple(r[c] for c in by), np.zeros((k, k)))[r["_i"]]
+        for j, v in r["_r"]:
+            row[j] = v
+    return out
+
+
+def added(parts: DataFrame, n: int, k: int) -> np.ndarray:
+    """(n, k): sums of the rows (_i, _row) of a few matrices that each task
+    gives; each number is summed apart, so no group holds all tasks' rows."""
+    long = parts.select("_i", F.posexplode("_row").alias("_j", "_v")).where("_v <> 0")
+    out = np.zeros((n, k))
+    for r in long.groupBy("_i", "_j").agg(F.sum("_v").alias("_v")).groupBy("_i").agg(F.collect_list(F.struct("_j", "_v")).alias("_r")).collect():
+        for j, v in r["_r"]:
+            out[r["_i"], j] = v
     return out
 
 
@@ -349,13 +362,7 @@ def fold_products(rows: DataFrame, k: int, n_folds: int) -> np.ndarray:
                 total[f] += part.T @ part
         yield pd.DataFrame({"_i": np.arange(n_folds * k), "_row": list(total.reshape(-1, k))})
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.iloc[:1].assign(_row=[np.sum(pdf["_row"].tolist(), axis=0)])
-
-    out = np.zeros((n_folds * k, k))
-    for r in rows.mapInPandas(work, "_i int, _row array<double>").groupBy("_i").applyInPandas(add, "_i int, _row array<double>").collect():
-        out[r["_i"]] = r["_row"]
-    return out.reshape(n_folds, k, k)
+    return added(rows.mapInPandas(work, "_i int, _row array<double>"), n_folds * k, k).reshape(n_folds, k, k)
 
 
 def gram_by(df: DataFrame, by: Sequence[str], columns: Sequence[Column], names: Sequence[str]) -> dict[tuple, Gram]:
