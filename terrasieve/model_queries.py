@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.lineage import settled
 from .operators import catalog, evaluate, guards, spatial, splits, stats
-from .plans import linear
+from .plans import fold_graph, linear
 from .queries import ITEMS, METRICS, POINTS, Z_COLUMNS, Z_SQL, items, metrics_sql, points, query, r, rounded
 
 FEATURES = ("qty", "price", "disc", "tax")
@@ -21,7 +21,9 @@ SETS = {"full": ["qty", "price", "disc", "tax"], "no_climate": ["qty", "price"],
 RECIPES = ("Full", "CoreGeo", "NoClimate", "M3_Broad", "M4_Spearman", "M4_GraphGuided", "M4_GraphUnion")
 #: A rank correlation from which a column counts as sensitive on these tables.
 SENSITIVE = 0.004
-GRAPH = {"price"}
+#: The graphs' other thresholds on these tables, and the group of each column.
+GRAPH_RULES = fold_graph.Rules(auc=0.008, partial=0.002, spearman=SENSITIVE)
+GROUPS = {"qty": "geochemistry", "price": "geochemistry", "disc": "climate", "tax": "climate"}
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +68,49 @@ se AS (SELECT tf, {', '.join(f"coalesce(bool_or(rho >= {SENSITIVE}) FILTER (targ
 
 BASE = folds_sql()
 
+
+def graph_sql(zone: str = "state % 3") -> str:
+    """CTEs that end in se2: ``se`` with the targets (g_q, g_p) of a graph
+    discovered in each fold's training rows. Columns vote by their AUC in each
+    zone; candidates of two zones or more are tied to each other by partial
+    correlations (a p of 0.2 is a t of 1.2817 for so many rows)."""
+    nodes = [*FEATURES, "y"]
+    able = ["c0", "c1", "c2", "c3", "true"]
+    cell = lambda i, j: f"CASE WHEN {able[i]} AND {able[j]} THEN r_{min(i, j)}_{max(i, j)} ELSE 0 END"
+    sides = []
+    for a in (0, 1):
+        for b in (2, 3):
+            rest = [k for k in range(5) if k not in (a, b)]
+            for side, x in enumerate((a, b)):
+                cells = [f"{cell(p, q)}{' + 1' if i == j else ''} AS g_{i}_{j}" for i, p in enumerate(rest) for j, q in enumerate(rest)] + [f"{cell(p, x)} AS g_{i}_3" for i, p in enumerate(rest)]
+                others = " + ".join(f"({able[k]})::INT" for k in rest)
+                sides.append(f"SELECT tf, z, '{nodes[a]}' AS target, '{nodes[b]}' AS climate, {side} AS side, n, {others} AS k, {able[a]} AND {able[b]} AS ok, r_{a}_{a} AS own, r_{a}_{b} AS both_, {', '.join(cells)} FROM gs")
+    quad = lambda u, v: " + ".join(f"{u}.w{i} * {v}.w{j} * (a.g_{i}_{j}{' - 1' if i == j else ''})" for i in range(3) for j in range(3))
+    dot = lambda u, v: " + ".join(f"{u}.w{i} * {v}.g_{i}_3" for i in range(3))
+    scaled = lambda c: f"CASE WHEN max({c}) OVER w - min({c}) OVER w <= 1e-9 * greatest(abs(min({c}) OVER w), abs(max({c}) OVER w)) THEN 1.0 ELSE ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) END"
+    return f"""gz AS MATERIALIZED (SELECT tf, {zone} AS z, y, {', '.join(FEATURES)} FROM tr),
+gl AS ({' UNION ALL '.join(f"SELECT tf, z, y, '{c}' AS concept, {c} AS v FROM gz WHERE {c} IS NOT NULL" for c in FEATURES)}),
+gk AS (SELECT tf, z, concept, y, rank() OVER (PARTITION BY tf, z, concept ORDER BY v) + (count(*) OVER (PARTITION BY tf, z, concept, v) - 1) / 2.0 AS rk FROM gl),
+ga AS (SELECT tf, z, concept, (sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) AS auc FROM gk GROUP BY tf, z, concept),
+gv AS (SELECT tf, concept, count(*) FILTER (round(2 * abs(auc - 0.5), 9) >= {GRAPH_RULES.auc}::DOUBLE) >= 2 AS able FROM ga GROUP BY tf, concept),
+gc AS (SELECT tf, {', '.join(f"bool_or(able AND concept = '{c}') AS c{i}" for i, c in enumerate(FEATURES))} FROM gv GROUP BY tf),
+gm AS (SELECT tf, z, {', '.join(f'median({c}) AS m_{c}' for c in FEATURES)} FROM gz GROUP BY tf, z),
+gf AS (SELECT tf, z, y, {', '.join(f'coalesce({c}, m_{c}) AS {c}' for c in FEATURES)} FROM gz JOIN gm USING (tf, z)),
+gs AS MATERIALIZED (SELECT * FROM (SELECT tf, z, count(*) AS n, {', '.join(f'count(*) * coalesce(corr({a}, {b}), 0) AS r_{i}_{j}' for i, a in enumerate(nodes) for j, b in enumerate(nodes) if i <= j)} FROM gf GROUP BY tf, z) JOIN gc USING (tf)),
+sr AS MATERIALIZED ({' UNION ALL '.join(sides)}), {solved_sql('sr', 'tf, z, target, climate, side', 3, 'gw')},
+pc AS (SELECT a.tf, a.z, a.target, a.climate, a.n, a.k, a.both_ - ({dot('u', 'b')}) - ({dot('v', 'a')}) + ({quad('u', 'v')}) AS s_ab, a.own - 2 * ({dot('u', 'a')}) + ({quad('u', 'u')}) AS s_aa, a.n - 2 * ({dot('v', 'b')}) + ({quad('v', 'v')}) AS s_bb
+  FROM sr a JOIN sr b ON a.side = 0 AND b.side = 1 AND (a.tf, a.z, a.target, a.climate) = (b.tf, b.z, b.target, b.climate) AND a.ok
+  JOIN gw u ON u.side = 0 AND (a.tf, a.z, a.target, a.climate) = (u.tf, u.z, u.target, u.climate) JOIN gw v ON v.side = 1 AND (a.tf, a.z, a.target, a.climate) = (v.tf, v.z, v.target, v.climate)),
+ge AS (SELECT tf, climate, target, count(*) / 3 AS c FROM (SELECT *, s_ab / sqrt(s_aa * s_bb) AS rho FROM pc) WHERE abs(rho) >= {GRAPH_RULES.partial}::DOUBLE AND abs(rho) * sqrt((n - k - 2) / (1 - rho * rho)) >= 1.2817 GROUP BY tf, climate, target),
+gp AS (SELECT tf, target, covariate AS climate, abs(corr(ra, rb)) AS g FROM rk GROUP BY ALL),
+gb AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY tf, target ORDER BY g DESC, climate) = 1 AND g >= {SENSITIVE} THEN 1.0 ELSE 0.0 END AS m FROM gp),
+gj AS (SELECT gb.*, coalesce(ge.c, 0.0)::DOUBLE AS c FROM gb LEFT JOIN ge USING (tf, climate, target)),
+gx AS (SELECT tf, target, 0.45 * {scaled('g')} + 0.35 * {scaled('m')} + 0.20 * {scaled('c')} >= 0.5 AS sel FROM gj WINDOW w AS (PARTITION BY tf)),
+gt AS (SELECT tf, bool_or(sel AND target = 'qty') AS g_q, bool_or(sel AND target = 'price') AS g_p FROM gx GROUP BY tf),
+se2 AS (SELECT se.*, g_q, g_p FROM se JOIN gt USING (tf))"""
+
+
+GRAPH_BASE = f"{BASE}, {graph_sql()}"
 #: model: how quantity, price, discount and tax enter (0 not, 1 raw, 2 residual
 #: on both climate columns, 3 on discount, 4 on tax alone).
 RECIPE_MODES = {
@@ -74,8 +119,8 @@ RECIPE_MODES = {
     "NoClimate": ("1", "1", "0", "0"),
     "M3_Broad": ("2", "2", "0", "0"),
     "M4_Spearman": ("CASE WHEN s_q THEN 2 ELSE 1 END", "CASE WHEN s_p THEN 2 ELSE 1 END", "0", "0"),
-    "M4_GraphGuided": ("1", "2", "0", "0"),
-    "M4_GraphUnion": ("CASE WHEN s_q THEN 2 ELSE 1 END", "2", "0", "0"),
+    "M4_GraphGuided": ("CASE WHEN g_q THEN 2 ELSE 1 END", "CASE WHEN g_p THEN 2 ELSE 1 END", "0", "0"),
+    "M4_GraphUnion": ("CASE WHEN s_q OR g_q THEN 2 ELSE 1 END", "CASE WHEN s_p OR g_p THEN 2 ELSE 1 END", "0", "0"),
 }
 VIEW_MODES = {
     f"{view}/{how}": RECIPE_MODES[name] for view in linear.VIEWS for how, name in zip(linear.ADJUSTMENTS, ("NoClimate", "M3_Broad", "M4_Spearman"))
@@ -88,10 +133,10 @@ CONTROL_MODES = {
 }
 
 
-def models_sql(modes: dict[str, tuple[str, ...]], test: str = "SELECT 'original' AS scenario, b.fold AS tf, row_index, y, state, qty, price, disc, tax FROM b") -> str:
+def models_sql(modes: dict[str, tuple[str, ...]], test: str = "SELECT 'original' AS scenario, b.fold AS tf, row_index, y, state, qty, price, disc, tax FROM b", choices: str = "se") -> str:
     """CTEs that end in of_(scenario, model, fold, row_index, y, state, p): the
     scores of the ``test`` rows by the ridge models of their folds."""
-    modes_sql = " UNION ALL ".join(f"SELECT '{m}' AS model, tf, {q} AS k0, {p} AS k1, {d} AS k2, {t} AS k3 FROM se" for m, (q, p, d, t) in modes.items())
+    modes_sql = " UNION ALL ".join(f"SELECT '{m}' AS model, tf, {q} AS k0, {p} AS k1, {d} AS k2, {t} AS k3 FROM {choices}" for m, (q, p, d, t) in modes.items())
 
     def made(src: str, keep: str) -> str:
         u, v = "(disc - a_disc) / s_disc", "(tax - a_tax) / s_tax"
@@ -113,21 +158,30 @@ def metric_columns(names=METRICS) -> str:
     return ", ".join(r(m, m) for m in names)
 
 
-def fitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, linear.FoldModels, dict]:
-    rows = settled(samples(spark, sf_dir))
-    return rows, linear.fit_folds(rows, list(FEATURES), "y"), linear.sensitive_by_fold(rows, SETS["geochemistry"], SETS["climate_adjusters"], SENSITIVE)
+def fitted(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> tuple[DataFrame, linear.FoldModels, dict, DataFrame]:
+    """The rows, their fold models, sensitive columns and rank correlations."""
+    rows = settled(samples(spark, sf_dir)) if rows is None else rows
+    pairs = linear.ranked_pairs(rows, SETS["geochemistry"], SETS["climate_adjusters"])
+    sensitive = linear.sensitive_by_fold(rows, SETS["geochemistry"], SETS["climate_adjusters"], SENSITIVE, pairs=pairs)
+    return rows, linear.fit_folds(rows, list(FEATURES), "y"), sensitive, pairs
 
 
 def scored(models: linear.FoldModels, rows: DataFrame) -> DataFrame:
     return models.score(rows, ["fold", "row_index", "y", "state"]).withColumn("p", F.round("p", 9))
 
 
+def graphs(rows: DataFrame, sparse: bool = False, pairs: DataFrame | None = None) -> fold_graph.FoldGraphs:
+    """The graphs of all folds' training rows; three zones are environments."""
+    zoned = rows.withColumn("zone", F.col("state") % 3)
+    return fold_graph.discover(zoned, FEATURES, "y", GROUPS, SETS["geochemistry"], SETS["climate_adjusters"], "zone", rules=GRAPH_RULES, sparse=sparse, pairs=pairs)
+
+
 def recipe_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, models, sensitive = fitted(spark, sf_dir)
-    return scored(linear.with_recipes(models, SETS, RECIPES, sensitive, dict.fromkeys(models.grams, GRAPH)), rows)
+    rows, models, sensitive, pairs = fitted(spark, sf_dir)
+    return scored(linear.with_recipes(models, SETS, RECIPES, sensitive, graphs(rows, pairs=pairs).targets()), rows)
 
 
-@query(f"WITH {BASE}, {models_sql(RECIPE_MODES)}, {metrics_sql('of_', 'model, fold')} SELECT model, fold, n_pos, n_neg, {metric_columns()} FROM mx")
+@query(f"WITH {GRAPH_BASE}, {models_sql(RECIPE_MODES, choices='se2')}, {metrics_sql('of_', 'model, fold')} SELECT model, fold, n_pos, n_neg, {metric_columns()} FROM mx")
 def recipe_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All seven recipes in every fold: screens, residuals, scales and scores
     of training rows only, and the metrics of the held-out ones."""
@@ -160,16 +214,41 @@ def contrasts(metrics: DataFrame, pairs) -> DataFrame:
     return rounded(guards.union_all(parts))
 
 
-@query(f"WITH {BASE}, {models_sql(RECIPE_MODES)}, {metrics_sql('of_', 'model, fold')} " + " UNION ALL ".join(contrast_sql("mx", a, b, n) for n, a, b in RECIPE_CONTRASTS))
+@query(f"WITH {GRAPH_BASE}, {models_sql(RECIPE_MODES, choices='se2')}, {metrics_sql('of_', 'model, fold')} " + " UNION ALL ".join(contrast_sql("mx", a, b, n) for n, a, b in RECIPE_CONTRASTS))
 def recipe_contrasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each recipe against the one without climate, fold by fold."""
     return contrasts(evaluate.classification_metrics(recipe_scores(spark, sf_dir), ["model", "fold"]), RECIPE_CONTRASTS)
 
 
+@query(
+    f"""WITH {GRAPH_BASE} SELECT tf AS fold, 'qty' AS target, g_q AS selected FROM gt UNION ALL SELECT tf, 'price', g_p FROM gt"""
+)
+def fold_graph_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets of the graph discovered in each fold's training rows."""
+    fused = graphs(settled(samples(spark, sf_dir))).fused
+    return fused.groupBy(F.col("test_fold").alias("fold"), "target").agg(F.bool_or("selected").alias("selected"))
+
+
+@query(
+    f"""WITH {GRAPH_BASE} SELECT tf AS fold, climate, target, {r('g', 'global_abs')}, {r('m', 'sensitive_rate')}, {r('c', 'causal_raw')} FROM gj"""
+)
+def fold_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three raw scores of every climate edge of each fold's graph."""
+    fused = graphs(settled(samples(spark, sf_dir))).fused
+    return rounded(fused.select(F.col("test_fold").alias("fold"), "climate", "target", "global_abs", "sensitive_rate", "causal_raw"))
+
+
+@query()
+def fold_graph_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fold's graph with the votes and edges of the sparse models too, in
+    figures; tests hold these models against a plain solver."""
+    return graphs(settled(samples(spark, sf_dir)), sparse=True).summary()
+
+
 @query(f"WITH {BASE}, {models_sql(VIEW_MODES)}, {metrics_sql('of_', 'model, fold')} " + " UNION ALL ".join(contrast_sql("mx", a, b, n) for n, a, b in VIEW_CONTRASTS))
 def matched_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contrasts of views and adjustments on the same rows and folds."""
-    rows, models, sensitive = fitted(spark, sf_dir)
+    rows, models, sensitive, pairs = fitted(spark, sf_dir)
     m = evaluate.classification_metrics(scored(linear.with_matched_views(models, SETS, sensitive), rows), ["model", "fold"])
     return contrasts(m, VIEW_CONTRASTS)
 
@@ -182,14 +261,14 @@ SCENARIO_ROWS = " UNION ALL ".join(
 
 
 @query(
-    f"""WITH {BASE}, {models_sql(RECIPE_MODES, SCENARIO_ROWS)}, pv AS (SELECT model, fold, row_index, state, {', '.join(f"sum(p) FILTER (scenario = '{s}') AS {s}" for s in ('original', 'plus', 'minus', 'train_median'))} FROM of_ GROUP BY ALL),
+    f"""WITH {GRAPH_BASE}, {models_sql(RECIPE_MODES, SCENARIO_ROWS, 'se2')}, pv AS (SELECT model, fold, row_index, state, {', '.join(f"sum(p) FILTER (scenario = '{s}') AS {s}" for s in ('original', 'plus', 'minus', 'train_median'))} FROM of_ GROUP BY ALL),
 d AS ({' UNION ALL '.join(f"SELECT model, fold, '{s}' AS scenario, {s} - original AS d FROM pv" for s in ('plus', 'minus', 'train_median'))})
 SELECT model, fold, scenario, {r('avg(d)', 'mean_delta')}, {r('avg(abs(d))', 'mean_abs_delta')}, {r('median(abs(d))', 'median_abs_delta')}, {r('quantile_cont(abs(d), 0.95)', 'p95_abs_delta')}, {r('max(abs(d))', 'max_abs_delta')}, {r('avg((abs(d) > 0.05)::INT)', 'share_over_005')} FROM d GROUP BY model, fold, scenario"""
 )
 def recipe_perturbation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every recipe fitted, its held-out rows' climate moved and scored again."""
-    rows, models, sensitive = fitted(spark, sf_dir)
-    linear.with_recipes(models, SETS, RECIPES, sensitive, dict.fromkeys(models.grams, GRAPH))
+    rows, models, sensitive, pairs = fitted(spark, sf_dir)
+    linear.with_recipes(models, SETS, RECIPES, sensitive, graphs(rows, pairs=pairs).targets())
     moved = linear.perturbed_scores(models, rows, ["fold", "row_index", "state"], SETS["climate_adjusters"]).withColumn("p", F.round("p", 9))
     return rounded(linear.perturbation_report(moved, ["row_index", "state"]))
 
@@ -210,7 +289,7 @@ SELECT model, {r('ob.auc', 'observed')}, count(*) AS repeats, {r('avg(rd.auc)',
 def selection_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the selection adds: models without it, with it, without what it
     takes and with that alone, beside random columns residualised instead."""
-    rows, models, sensitive = fitted(spark, sf_dir)
+    rows, models, sensitive, pairs = fitted(spark, sf_dir)
     linear.with_recipes(models, SETS, list(CONTROL_MODES), sensitive)
     linear.with_random_controls(models, SETS, {(f, i): [("qty", "price")[(f + i * i) % 2]] for f in models.grams for i in range(REPEATS)})
     metrics = settled(evaluate.classification_metrics(scored(models, rows), ["model", "fold"]).groupBy("model").agg(F.avg("roc_auc").alias("auc")))
@@ -295,7 +374,7 @@ def contamination_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {BASE}, {models_sql({k: RECIPE_MODES[k] for k in ('NoClimate', 'M4_GraphGuided')})}, {metrics_sql('of_', 'model, fold')}, d AS (
+    f"""WITH {GRAPH_BASE}, {models_sql({k: RECIPE_MODES[k] for k in ('NoClimate', 'M4_GraphGuided')}, choices='se2')}, {metrics_sql('of_', 'model, fold')}, d AS (
   SELECT fold, max(CASE WHEN model = 'M4_GraphGuided' THEN roc_auc END) - max(CASE WHEN model = 'NoClimate' THEN roc_auc END) AS d FROM mx GROUP BY fold),
 dr AS (SELECT i, (i * i * 7 + k * k * (i + 3) + k * 5 + i) % 101 % 5 AS fold FROM range(400) a(i), range(5) b(k)), m AS (SELECT i, avg(d) AS m FROM dr JOIN d USING (fold) GROUP BY i)
 SELECT {r('avg(m)', 'mean_delta')}, {r('quantile_cont(m, 0.025)', 'low')}, {r('quantile_cont(m, 0.975)', 'high')} FROM m"""
@@ -303,10 +382,14 @@ SELECT {r('avg(m)', 'mean_delta')}, {r('quantile_cont(m, 0.025)', 'low')}, {r('q
 def replayed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run replayed with a frozen graph: its folds must be those of the
     frozen table, row by row, and the fold differences are resampled."""
-    rows, models, _ = fitted(spark, sf_dir)
+    rows, models, *_ = fitted(spark, sf_dir)
     frozen = rows.select(F.col("fold").alias("frozen_fold"), F.col("fold")).distinct()
     guards.expect_same_rows(splits.frozen_folds(rows, frozen, ["fold"]).select("row_index", "state", F.col("frozen_fold").alias("fold")), rows.select("row_index", "state", "fold"))
-    linear.with_recipes(models, SETS, ["NoClimate", "M4_GraphGuided"], {}, dict.fromkeys(models.grams, GRAPH))
+    written = settled(graphs(rows).fused.where("selected").select("test_fold", "target").distinct())  # the frozen graph, read again
+    frozen_graph: dict = {}
+    for g in written.collect():  # folds x columns
+        frozen_graph.setdefault(g["test_fold"], set()).add(g["target"])
+    linear.with_recipes(models, SETS, ["NoClimate", "M4_GraphGuided"], {}, frozen_graph)
     m = evaluate.classification_metrics(scored(models, rows), ["model", "fold"])
     of = lambda name: F.max(F.when(F.col("model") == name, F.col("roc_auc")))
     deltas = m.groupBy("fold").agg((of("M4_GraphGuided") - of("NoClimate")).alias("delta"))
@@ -325,7 +408,7 @@ SELECT sum(candidate_rows)::BIGINT AS candidate_rows, sum(positive_rows)::BIGINT
 def pooled_foldwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters among the top tenth of each fold: ratios of sums over folds,
     beside the mean of the folds' own ratios."""
-    rows, models, _ = fitted(spark, sf_dir)
+    rows, models, *_ = fitted(spark, sf_dir)
     linear.with_recipes(models, SETS, ["NoClimate"], {})
     top = evaluate.distinct_top(scored(models, rows).withColumn("o", F.struct("row_index", "state")), ["fold"], "state", 0.1, order="o")
     sums = ("candidate_rows", "positive_rows", "clusters_hit", "clusters")
@@ -380,9 +463,9 @@ CLIMATE_CONTRASTS = (
 )
 
 
-def with_climate_sets(models: linear.FoldModels, rows: DataFrame) -> linear.FoldModels:
+def with_climate_sets(models: linear.FoldModels, rows: DataFrame, pairs: DataFrame) -> linear.FoldModels:
     sets = {"m4_modern": ["disc"], "m4_other": ["tax"], "m4_both": ["disc", "tax"]}
-    found = {k: linear.sensitive_by_fold(rows, SETS["geochemistry"], c, SENSITIVE) for k, c in sets.items()}
+    found = {k: linear.sensitive_by_fold(rows, SETS["geochemistry"], c, SENSITIVE, pairs=pairs) for k, c in sets.items()}
     for f in models.grams:
         models.add("m1_modern_full", f, ["qty", "price", "disc"])
         models.add("m1_modern_plus_other", f, list(FEATURES))
@@ -396,8 +479,8 @@ def with_climate_sets(models: linear.FoldModels, rows: DataFrame) -> linear.Fold
 @query(f"WITH {BASE}, {models_sql(CLIMATE_MODES)}, {metrics_sql('of_', 'model, fold')} " + " UNION ALL ".join(contrast_sql("mx", a, b, n) for n, a, b in CLIMATE_CONTRASTS))
 def climate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models adjusted for one set of climate columns, another, or both."""
-    rows, models, _ = fitted(spark, sf_dir)
-    return contrasts(evaluate.classification_metrics(scored(with_climate_sets(models, rows), rows), ["model", "fold"]), CLIMATE_CONTRASTS)
+    rows, models, _, pairs = fitted(spark, sf_dir)
+    return contrasts(evaluate.classification_metrics(scored(with_climate_sets(models, rows, pairs), rows), ["model", "fold"]), CLIMATE_CONTRASTS)
 
 
 #: The tax is a block of further features, discount the climate.
@@ -422,28 +505,33 @@ def enhanced_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def block_rows_sql(degrees: int) -> str:
     return f"""{POINTS}, pb AS (SELECT id AS row_index, y, state, '{degrees}deg_' || floor((lon + 180) / {degrees})::BIGINT || '_' || floor((lat + 90) / {degrees})::BIGINT AS g, bal AS qty, lat AS price, lon AS disc, (id % 53)::DOUBLE AS tax FROM pt),
-gs AS (SELECT g, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, g DESC) AS k FROM pb GROUP BY g),
+bg AS (SELECT g, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, g DESC) AS k FROM pb GROUP BY g),
 lpt(k, g, fold, load) AS (
   SELECT 0::BIGINT, NULL::VARCHAR, NULL::INT, [0, 0, 0, 0, 0]::BIGINT[]
-  UNION ALL SELECT gs.k, gs.g, (list_position(load, list_min(load)) - 1)::INT, list_transform(load, lambda x, i: CASE WHEN i = list_position(load, list_min(load)) THEN x + gs.n ELSE x END) FROM lpt JOIN gs ON gs.k = lpt.k + 1
+  UNION ALL SELECT bg.k, bg.g, (list_position(load, list_min(load)) - 1)::INT, list_transform(load, lambda x, i: CASE WHEN i = list_position(load, list_min(load)) THEN x + bg.n ELSE x END) FROM lpt JOIN bg ON bg.k = lpt.k + 1
 ), b AS (SELECT row_index, y, fold, state, qty::DOUBLE AS qty, price, disc, tax FROM pb JOIN lpt USING (g))"""
 
 
+BLOCK_RECIPES = ("NoClimate", "M3_Broad", "M4_Spearman", "M4_GraphUnion")
+
+
 def block_sql(degrees: int) -> str:
-    modes = {k: RECIPE_MODES[k] for k in ("NoClimate", "M3_Broad")}
-    return f"SELECT * FROM (WITH RECURSIVE {folds_sql(block_rows_sql(degrees))}, {models_sql(modes)}, {metrics_sql('of_', 'model, fold')} SELECT {degrees} AS degrees, model, fold, n_pos, n_neg, {metric_columns(SHOWN)} FROM mx)"
+    modes = {k: RECIPE_MODES[k] for k in BLOCK_RECIPES}
+    return f"SELECT * FROM (WITH RECURSIVE {folds_sql(block_rows_sql(degrees))}, {graph_sql()}, {models_sql(modes, choices='se2')}, {metrics_sql('of_', 'model, fold')} SELECT {degrees} AS degrees, model, fold, n_pos, n_neg, {metric_columns(SHOWN)} FROM mx)"
 
 
 @query(block_sql(2) + " UNION ALL " + block_sql(3))
 def block_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two recipes in folds that split no grid block, of two widths."""
+    """Four recipes in folds that split no grid block, of two widths, with
+    screens and graphs of each fold's own training rows."""
     parts = []
     for degrees in (2, 3):
         pt = points(spark, sf_dir).withColumn("block", spatial.block_id(F.col("lon"), F.col("lat"), degrees))
         folds = splits.group_kfold(pt, "block", 5)
         named = {"qty": F.col("bal").cast("double"), "price": F.col("lat"), "disc": F.col("lon"), "tax": (F.col("id") % 53).cast("double")}
         rows = settled(folds.select(F.col("id").alias("row_index"), "y", "fold", "state", *[c.alias(k) for k, c in named.items()]))
-        models = linear.with_recipes(linear.fit_folds(rows, list(FEATURES), "y"), SETS, ["NoClimate", "M3_Broad"], {})
+        rows, models, sensitive, pairs = fitted(spark, sf_dir, rows)
+        linear.with_recipes(models, SETS, BLOCK_RECIPES, sensitive, graphs(rows, pairs=pairs).targets())
         m = evaluate.classification_metrics(scored(models, rows), ["model", "fold"])
         parts.append(m.select(F.lit(degrees).alias("degrees"), "model", "fold", "n_pos", "n_neg", *SHOWN))
     return rounded(guards.union_all(parts))

@@ -1,8 +1,9 @@
 """Sums before a row within its group, by ranges, and what follows from them.
 
-A window over a whole group sorts it in one task. Here the rows are dealt into
-ranges of about ``ROWS_PER_RANGE`` rows over all groups, each range is summed
-apart and shifted by its group's sums in the ranges before it.
+A window over a whole group sorts it in one task. Where a group has more than
+``ROWS_PER_RANGE`` rows, the rows are dealt into ranges of about as many over
+all groups, each range is summed apart and shifted by its group's sums in the
+ranges before it.
 """
 
 from __future__ import annotations
@@ -41,7 +42,9 @@ def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[Column | str]
     order of ``order``, which tells a group's rows apart. First rows have 0."""
     given = df.columns
     held = settled(df.select(*given, *[(F.col(c) if isinstance(c, str) else c).alias(f"_v_{n}") for n, c in sums.items()]))
-    ranges = max(1, math.ceil(held.count() / rows_per_range))
+    # rows in all, and in the largest group: groups that are small enough are summed as they are
+    sizes = held.groupBy(*by).count().agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
+    ranges = 1 if sizes[0] <= rows_per_range else math.ceil(sizes[1] / rows_per_range)
     before = lambda n, w: F.coalesce(F.sum(f"_v_{n}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     if ranges == 1:
         w = Window.partitionBy(*by).orderBy(*order)

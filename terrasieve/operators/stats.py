@@ -303,6 +303,16 @@ class Gram:
     mean: np.ndarray
     cov: np.ndarray  # population covariance
 
+    def scaled(self) -> Gram:
+        """The same of columns with mean 0 and deviation 1; constant ones stay 0."""
+        sd = np.sqrt(np.maximum(np.diag(self.cov), 0))
+        s = np.where(sd > TINY, sd, 1.0)
+        return Gram(self.names, self.n, np.zeros(len(s)), self.cov / np.outer(s, s))
+
+    def part(self, names: Sequence[str]) -> Gram:
+        at = [self.names.index(c) for c in names]
+        return Gram(list(names), self.n, self.mean[at], self.cov[np.ix_(at, at)])
+
 
 #: Up to so many different products are plain aggregates; more are matrix
 #: products of row blocks, as a plan of thousands of expressions compiles badly.
@@ -464,7 +474,7 @@ def ridge_partial_corr(g: Gram, a: str, b: str, alpha: float = 1.0) -> tuple[flo
     c = g.cov * g.n
     w = np.linalg.solve(c[np.ix_(rest, rest)] + alpha * np.eye(len(rest)), c[np.ix_(rest, [i, j])]) if rest else np.zeros((0, 2))
     s = c[np.ix_([i, j], [i, j])] - w.T @ c[np.ix_(rest, [i, j])] - c[np.ix_([i, j], rest)] @ w + w.T @ c[np.ix_(rest, rest)] @ w
-    if g.n < 3 or s[0, 0] <= TINY or s[1, 1] <= TINY:
+    if g.n <= (len(rest) + 3 if rest else 2) or s[0, 0] <= TINY or s[1, 1] <= TINY:
         return float("nan"), float("nan")
     r = float(s[0, 1] / math.sqrt(s[0, 0] * s[1, 1]))
     dof = max(g.n - len(rest) - 2, 1)
@@ -524,19 +534,19 @@ def held_out_r2(pairs: Sequence[tuple[Column, Column]]) -> Column:
     return 1 - F.try_divide(sse, sst)
 
 
-def min_max_scaled(df: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """``df`` with {name: column} scaled to 0..1 over all rows: 0 where no row
+def min_max_scaled(df: DataFrame, columns: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with {name: column} scaled to 0..1 over all rows of a group: 0 where no row
     has a value, 1 where all values are alike (to 9 digits); a missing value
-    stays missing otherwise. One aggregation gives a row of bounds."""
-    spans = df.agg(*[f(c).cast("double").alias(f"_{side}_{n}") for n, c in columns.items() for side, f in (("lo", F.min), ("hi", F.max))])
+    stays missing otherwise. One aggregation gives the bounds."""
+    spans = df.groupBy(*by).agg(*[f(c).cast("double").alias(f"_{side}_{n}") for n, c in columns.items() for side, f in (("lo", F.min), ("hi", F.max))])
 
     def scaled(name: str, column: str) -> Column:
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         alike = F.abs(hi - lo) <= 1e-9 * F.greatest(F.abs(lo), F.abs(hi))
         return F.when(lo.isNull(), 0.0).when(alike, 1.0).otherwise((F.col(column) - lo) / F.nullif(hi - lo, F.lit(0.0)))
 
-    out = df.crossJoin(F.broadcast(spans))
-    return out.withColumns({n: scaled(n, c) for n, c in columns.items()}).drop(*spans.columns)
+    out = ranges.join_groups(df, spans, by)
+    return out.withColumns({n: scaled(n, c) for n, c in columns.items()}).drop(*[c for c in spans.columns if c not in by])
 
 
 def empirical_p(observed: Column, draw: Column) -> Column:

@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settled
 from ..operators import evaluate, splits, stats
 from . import recipe, training
 
@@ -86,9 +87,16 @@ def fit_folds(df: DataFrame, columns: Sequence[str], label: str, fold: str = "fo
     return FoldModels(list(columns), label, fold, {f: fills.get((f,), dict.fromkeys(columns, 0.0)) for (f,) in products}, {f: g for (f,), g in products.items()})
 
 
-def sensitive_by_fold(df: DataFrame, targets: Sequence[str], climate: Sequence[str], threshold: float = 0.30, fold: str = "fold") -> dict[Any, set[str]]:
-    """Targets that the rank screen of each fold's training rows finds sensitive."""
-    pairs = training.spearman(df.select(fold, *targets, *climate), targets, climate, fold, training.fold_names(df, fold))
+def ranked_pairs(df: DataFrame, targets: Sequence[str], climate: Sequence[str], fold: str = "fold") -> DataFrame:
+    """Rank correlations of each fold's training rows, settled: screens and
+    graphs both read them."""
+    return settled(training.spearman(df.select(fold, *targets, *climate), targets, climate, fold, training.fold_names(df, fold)))
+
+
+def sensitive_by_fold(df: DataFrame, targets: Sequence[str], climate: Sequence[str], threshold: float = 0.30, fold: str = "fold", pairs: DataFrame | None = None) -> dict[Any, set[str]]:
+    """Targets that the rank screen of each fold's training rows finds
+    sensitive; ``pairs`` may hold the correlations already."""
+    pairs = ranked_pairs(df, targets, climate, fold) if pairs is None else pairs.where(F.col("target").isin(list(targets)) & F.col("covariate").isin(list(climate)))
     out: dict[Any, set[str]] = {}
     for r in stats.spearman_screen(pairs, threshold, by=["test_fold"], covariates=climate).where("is_spearman_sensitive").collect():
         out.setdefault(r["test_fold"], set()).add(r["target_column"])

@@ -184,3 +184,28 @@ def spearman(df: DataFrame, targets: Sequence[str], covariates: Sequence[str], f
         step = max(1, stats.MOST_PAIRS // len(others))
         parts += [spearman_pairs(df, ts[i : i + step], others, fold, folds, min_pairs) for i in range(0, len(ts), step)]
     return guards.union_all(parts)
+
+
+def effects(df: DataFrame, env: str, label: str, columns: Sequence[str], fold: str, folds: Sequence[Any]) -> DataFrame:
+    """Effects of each column in each environment among the training rows of
+    every fold: (test_fold, env, concept, n_positive, n_negative,
+    mean_difference, auc, auc_strength, direction). One table of counts of
+    different values by class and fold gives them all."""
+    names = ["_all", *[f"_own{i}" for i in range(len(folds))]]
+    rows = df.where(F.col(label).isNotNull()).select(F.col(env).alias("env"), F.col(label).alias("_y"), F.col(fold).alias("_fold"), *columns)
+    long = stats.long_form(rows, ["env", "_y", "_fold"], columns).where("value is not null")
+    key, of = ["env", "concept"], {"p": F.when(F.col("_y") == 1, 1).otherwise(0), "n": F.when(F.col("_y") == 1, 0).otherwise(1)}
+    counts = long.groupBy(*key, "value").agg(*[a.alias(f"{side}{n}") for side, one in of.items() for a, n in zip(_own_counts("_fold", folds, one), names)])
+    cells = ranges.running_sums(counts, key, ["value"], {f"b{n}": f"n{n}" for n in names})
+    each = []
+    for i in range(len(folds)):
+        p, n, b = (F.col(f"{x}_all") - F.col(f"{x}_own{i}") for x in "pnb")
+        each.append(F.struct(F.sum(p).alias("p"), F.sum(n).alias("n"), F.sum(p * (b + n / 2)).alias("won"), F.sum(p * F.col("value")).alias("sp"), F.sum(n * F.col("value")).alias("sn")).alias(f"f{i}"))
+    wide = cells.groupBy(*key).agg(*each)
+    out = wide.select(*key, F.inline(F.array(*[F.struct(F.lit(f).alias("test_fold"), *[F.col(f"f{i}")[x].alias(x) for x in ("p", "n", "won", "sp", "sn")]) for i, f in enumerate(folds)])))
+    auc = F.try_divide(F.col("won"), F.col("p") * F.col("n"))
+    diff = F.try_divide("sp", "p") - F.try_divide("sn", "n")
+    return out.where("p + n > 0").select(
+        "test_fold", *key, F.col("p").alias("n_positive"), F.col("n").alias("n_negative"), diff.alias("mean_difference"), auc.alias("auc"), (2 * F.abs(auc - 0.5)).alias("auc_strength"),
+        F.when(diff > 0, "positive_higher").otherwise("negative_higher").alias("direction"),
+    )

@@ -594,14 +594,14 @@ SIGN_SQL = """CASE WHEN count(partial_corr) = 0 THEN 'unknown' WHEN count(*) FIL
 
 EDGES_SQL = f"""{ITEMS}, ed AS (
   {' UNION ALL '.join(f"SELECT env::VARCHAR AS environment, '{a}' AS source, '{b}' AS target, '{ga}' AS source_group, '{gb}' AS target_group, {'true' if d else 'false'} AS directed, corr({a}::DOUBLE, {b}::DOUBLE) AS partial_corr FROM it WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY env" for a, b, ga, gb, d in (('qty', 'price', 'geochemistry', 'geochemistry', False), ('tax', 'price', 'climate', 'geochemistry', True), ('disc', 'price', 'climate', 'geochemistry', True), ('qty', 'y', 'geochemistry', 'target', True)))}
-), kept AS (SELECT *, row_number() OVER (PARTITION BY environment ORDER BY edge_weight DESC, source, target) AS rank_in_environment FROM (SELECT *, least(abs(partial_corr) + 0.10, 1.0) AS edge_weight, false AS logistic FROM ed WHERE abs(partial_corr) >= 0.002)), cs AS (
+), kept AS (SELECT *, row_number() OVER (PARTITION BY environment ORDER BY edge_weight DESC, abs(partial_corr) DESC, source, target) AS rank_in_environment FROM (SELECT *, least(abs(partial_corr) + 0.05, 1.0) AS edge_weight, false AS logistic FROM ed WHERE abs(partial_corr) >= 0.002)), cs AS (
   SELECT CASE WHEN directed THEN source || ' -> ' || target ELSE least(source, target) || ' -- ' || greatest(source, target) END AS edge_key, any_value(source) AS source, any_value(target) AS target, any_value(source_group) AS source_group, any_value(target_group) AS target_group, bool_or(directed) AS directed,
          count(DISTINCT environment) AS env_count, array_to_string(list_sort(list(DISTINCT environment)), ';') AS environments, avg(edge_weight) AS mean_edge_weight, max(edge_weight) AS max_edge_weight, avg(partial_corr) AS mean_partial_corr, avg(abs(partial_corr)) AS mean_abs_partial_corr, {SIGN_SQL} AS partial_corr_sign, {SIGN_SQL} IN ('positive', 'negative') AS sign_consistent,
          count(DISTINCT environment) / 5 AS stable_edge_score, bool_or(coalesce(logistic, false)) AS logistic_any, count(*) FILTER (logistic) AS logistic_count, avg(rank_in_environment) AS mean_rank, min(rank_in_environment) AS min_rank FROM kept GROUP BY 1
 )"""
 
 
-NOTE_SQL = "CASE edge_class " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in graph.NOTES.items()) + f" ELSE '{graph.OTHER_NOTE}' END"
+NOTE_SQL = "source_group || CASE WHEN directed THEN ' -> ' ELSE ' -- ' END || target_group || '; ' || env_count || ' of 5 environments; sign ' || partial_corr_sign || CASE WHEN logistic_any THEN '; chosen by the sparse model' ELSE '' END"
 
 
 def region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -611,7 +611,7 @@ def region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = items(spark, sf_dir).groupBy("env").agg(*[stats.pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(groups[a]).alias("group_a"), F.lit(groups[b]).alias("group_b"), F.col(f"c{i}").alias("partial_corr")) for i, (a, b) in enumerate(pairs)])
     e = graph.orient(sums.select(F.col("env").cast("string").alias("environment"), F.inline(rows)))
-    return graph.strongest_edges(e.withColumns({"selected_by_partial_corr": F.abs("partial_corr") >= 0.002, "selected_by_target_logistic": F.lit(False)}))
+    return graph.strongest_edges(e.withColumns({"selected_by_partial_corr": F.abs("partial_corr") >= 0.002, "selected_by_target_logistic": F.lit(False), "partial_p": F.lit(0.0)}))
 
 
 @query(
@@ -624,7 +624,7 @@ def edge_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {EDGES_SQL}, k AS (SELECT *, CASE WHEN target_group = 'target' AND source_group = 'geochemistry' AND env_count = 5 AND sign_consistent THEN 'stable_mineralization_signal_edge' WHEN target_group = 'target' AND env_count >= 2 AND sign_consistent THEN 'mostly_stable_direct_signal_edge'
   WHEN target_group = 'target' AND source_group IN ('climate', 'terrain') THEN 'environment_or_exposure_sensitive_target_edge' WHEN source_group = target_group THEN 'within_variable_family_edge' WHEN target_group = 'geochemistry' THEN 'candidate_control_on_geochemical_expression' WHEN NOT directed THEN 'undirected_cross_environment_association' ELSE 'other_candidate_edge' END AS edge_class FROM cs)
-SELECT source, CASE edge_class WHEN 'stable_mineralization_signal_edge' THEN 'stable_signal_for' WHEN 'mostly_stable_direct_signal_edge' THEN 'mostly_stable_signal_for' WHEN 'within_variable_family_edge' THEN 'covaries_with' WHEN 'candidate_control_on_geochemical_expression' THEN 'candidate_modulates' ELSE 'associated_with' END AS relation, target, edge_class, environments,
+SELECT row_number() OVER (ORDER BY env_count DESC, edge_class, mean_edge_weight DESC, mean_abs_partial_corr DESC, edge_key)::INT AS position, source, CASE edge_class WHEN 'stable_mineralization_signal_edge' THEN 'stable_signal_for' WHEN 'mostly_stable_direct_signal_edge' THEN 'mostly_stable_signal_for' WHEN 'within_variable_family_edge' THEN 'covaries_with' WHEN 'candidate_control_on_geochemical_expression' THEN 'candidate_modulates' ELSE 'associated_with' END AS relation, target, edge_class, environments,
   {r('stable_edge_score', 'stable_edge_score')}, {r('mean_edge_weight', 'mean_edge_weight')}, CASE WHEN edge_class IN ('within_variable_family_edge', 'undirected_cross_environment_association') THEN 'context' WHEN stable_edge_score >= 1 AND sign_consistent THEN 'high' ELSE 'medium' END AS confidence, 'cross_environment_causal_graph_comparison' AS evidence_type, {NOTE_SQL} AS note FROM k"""
 )
 def knowledge_triples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -377,7 +377,7 @@ def partial_sql(a: str, b: str, c: str) -> str:
 
 @query(
     f"""WITH {ITEMS}, md AS (SELECT env, {', '.join(f'median({c}) AS m_{c}' for c in NODES)} FROM it GROUP BY env), f AS (SELECT env, {', '.join(f'coalesce({c}, m_{c})::DOUBLE AS {c}' for c in NODES)} FROM it JOIN md USING (env)),
-m AS (SELECT env, {', '.join(f'avg({c}) AS a_{c}' for c in NODES)} FROM f GROUP BY env), s AS (SELECT env, count(*) AS n, {', '.join(f'sum(({x} - a_{x}) * ({y} - a_{y})) AS sxy_{x}_{y}' for x in NODES for y in NODES)} FROM f JOIN m USING (env) GROUP BY env),
+s AS (SELECT env, count(*) AS n, {', '.join(f'count(*) * corr({x}, {y}) AS sxy_{x}_{y}' for x in NODES for y in NODES)} FROM f GROUP BY env),
 p AS ({partial_sql('qty', 'price', 'tax')} UNION ALL {partial_sql('qty', 'tax', 'price')} UNION ALL {partial_sql('price', 'tax', 'qty')})
 SELECT env, a, b, {r('rho', 'partial_corr')}, abs(rho) >= 0.005 AND abs(rho) * sqrt((n - 3) / (1 - rho * rho)) >= 1.2817 AS selected FROM p"""
 )
