@@ -63,12 +63,28 @@ class Held:
     word: np.uint64 | None = None
     same_line: bool = False
     pairs: np.ndarray | None = None
+    #: Hash and bytes of a word that the next piece goes on with.
+    open_hash: np.uint64 = np.uint64(0)
+    open_bytes: int = 0
 
 
-def count_lines(texts: list[str], held: Held | None = None) -> Counts:
+#: A word's hash sums its bytes weighted by powers of an odd number, modulo 2**64.
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _word_hashes(data: np.ndarray, gap: np.ndarray, first: np.ndarray, word_at: np.ndarray) -> np.ndarray:
+    index = np.cumsum(first) - 1
+    offset = np.arange(len(data)) - word_at[np.maximum(index, 0)]
+    powers = np.cumprod(np.full(int(offset[~gap].max()) + 1, _BASE, dtype=np.uint64))
+    weighted = np.where(gap, np.uint64(0), (data.astype(np.uint64) + np.uint64(1)) * powers[np.where(gap, 0, np.minimum(offset, len(powers) - 1))])
+    return np.add.reduceat(weighted, word_at)
+
+
+def count_lines(texts: list[str], held: Held | None = None, goes_on: bool = False) -> Counts:
     """Counts of every line. All bytes of the texts are handled at once: class
     counts of a line are differences of running sums, and a word is known by a
-    polynomial hash. ``held`` goes with one text at a time and is renewed."""
+    polynomial hash. ``held`` goes with one text at a time and is renewed; with
+    ``goes_on`` the last word is not complete and counts where it ends."""
     raw = [t.encode("utf-8", "surrogatepass") + b"\n" for t in texts]
     data = np.frombuffer(b"".join(raw), dtype=np.uint8)
     kind = _CLASS[data]
@@ -86,17 +102,21 @@ def count_lines(texts: list[str], held: Held | None = None) -> Counts:
     first[1:] &= gap[:-1]
     chars = per_line((kind != TAIL) & ~gap)
     word_at = np.flatnonzero(first)
+    hashes = _word_hashes(data, gap, first, word_at) if len(word_at) else np.array([], dtype=np.uint64)
+    if held is not None:
+        if held.open_bytes and len(word_at):
+            hashes[:1] = hashes[:1] * np.uint64(pow(_BASE, held.open_bytes, 2**64)) + held.open_hash
+        if goes_on:
+            held.open_bytes = (held.open_bytes if len(word_at) == 1 else 0) + len(data) - 1 - int(word_at[-1])
+            held.open_hash = hashes[-1]
+            word_at, hashes = word_at[:-1], hashes[:-1]
+        else:
+            held.open_bytes = 0
     word_line = np.searchsorted(ends, word_at, side="right")
     word_doc = doc[word_line] if len(word_at) else np.array([], dtype=np.int64)
     n_words = np.bincount(word_line, minlength=len(ends)).astype(np.float64)
     twin, seen = np.zeros(len(word_at)), np.zeros(len(word_at))
     if len(word_at):
-        # a word's bytes weighted by powers of an odd number, modulo 2**64
-        index = np.cumsum(first) - 1
-        offset = np.arange(len(data)) - word_at[np.maximum(index, 0)]
-        powers = np.cumprod(np.full(int(offset[~gap].max()) + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
-        weighted = np.where(gap, np.uint64(0), (data.astype(np.uint64) + np.uint64(1)) * powers[np.where(gap, 0, np.minimum(offset, len(powers) - 1))])
-        hashes = np.add.reduceat(weighted, word_at)
         twin[1:] = (hashes[1:] == hashes[:-1]) & (word_line[1:] == word_line[:-1])
         # pairs of words that their document has already held in another place
         begins = np.concatenate([[True], word_doc[1:] != word_doc[:-1]])
@@ -161,22 +181,22 @@ def line_features(texts: list[str]) -> Lines:
 LONG = 1_000_000
 
 
-def pieces(text: str, most: int = LONG) -> Iterator[tuple[str, bool]]:
-    """A text in pieces, and whether a line ends with each (its newline is
-    left out): cut at the last newline in reach, else after the last ASCII
-    space, else anywhere (a word longer than a piece counts as several)."""
+def pieces(text: str, most: int = LONG) -> Iterator[tuple[str, bool, bool]]:
+    """A text in pieces, whether a line ends with each (its newline is left
+    out), and whether the next one goes on with its last word: cut at the last
+    newline in reach, else after the last ASCII space, else anywhere."""
     at = 0
     while len(text) - at > most:
         cut = text.rfind("\n", at, at + most)
         if cut >= 0:
-            yield text[at:cut], True
+            yield text[at:cut], True, False
             at = cut + 1
             continue
         cut = max(text.rfind(c, at, at + most) for c in common.SPACES)
         cut = cut + 1 if cut >= 0 else at + most
-        yield text[at:cut], False
+        yield text[at:cut], False, text[cut - 1] not in common.SPACES and text[cut] not in common.SPACES
         at = cut
-    yield text[at:], True
+    yield text[at:], True, False
 
 
 def long_marginal(text: str, model: Model, most: int = LONG) -> float:
@@ -185,8 +205,8 @@ def long_marginal(text: str, model: Model, most: int = LONG) -> float:
     held, open_, open_last = Held(), np.zeros(len(COUNTED)), 0
     parts = []
     weights = model.weight.reshape(3, N_FEATURES).T  # of a line, the one before and the one after
-    for piece, ended in pieces(text, most):
-        c = count_lines([piece], held)
+    for piece, ended, goes_on in pieces(text, most):
+        c = count_lines([piece], held, goes_on)
         c.of[0] += open_
         c.last[0] = c.last[0] or open_last
         stop = len(c.of) if ended else len(c.of) - 1
@@ -354,11 +374,13 @@ def in_slices(texts: list[str], most: int = 1_000_000) -> Iterator[tuple[int, in
         yield begin, len(texts)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, longest: int = 200_000, most_chars: int = 32_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, longest: int = 200_000, most_chars: int = 32_000_000, most_lines: int = 300_000) -> Model:
     """A model from at most ``most_rows`` labelled documents (those of least
-    hash of doc_id) of at most ``longest`` characters, and of those in that
-    order only as many as hold ``most_chars`` together; that is the documented
-    bound of the sample. Without any, every document scores 0.5.
+    hash of doc_id) of at most ``longest`` characters and a tenth of
+    ``most_lines`` lines, and of those in that order only as many as hold
+    ``most_chars`` and ``most_lines`` together (a line takes some 0.7 KB while
+    it is fitted); that is the documented bound of the sample. Without any,
+    every document scores 0.5.
 
     Rows that repeat a doc_id are one document, the least text of them."""
     order = F.xxhash64("doc_id")
@@ -366,11 +388,13 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, longest: in
     chosen = chosen.orderBy(order, "doc_id").limit(most_rows)
     # at most most_rows narrow rows: a bounded broadcast
     pairs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").where(F.length("text") <= longest)
-    pairs = common.settled(pairs.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality")))
-    total, fit_in = 0, []
-    for r in pairs.select("doc_id", F.length("text").alias("n"), order.alias("h")).orderBy("h", "doc_id").collect():
-        total += r["n"]
-        if total > most_chars:
+    pairs = pairs.withColumn("lines", F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).where(F.col("lines") <= most_lines // 10)
+    pairs = common.settled(pairs.groupBy("doc_id").agg(F.min_by("lines", "text").alias("lines"), F.min("text").alias("text"), F.max("quality").alias("quality")))
+    chars = lines = 0
+    fit_in = []
+    for r in pairs.select("doc_id", F.length("text").alias("n"), "lines", order.alias("h")).orderBy("h", "doc_id").collect():
+        chars, lines = chars + r["n"], lines + r["lines"]
+        if chars > most_chars or lines > most_lines:
             break
         fit_in.append(r["doc_id"])
     rows = sorted(pairs.where(F.col("doc_id").isin(fit_in)).select("doc_id", "text", "quality").collect()) if fit_in else []

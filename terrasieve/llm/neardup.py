@@ -153,7 +153,9 @@ def near_duplicates(
 
     entries = reps.select("rep", F.explode("sk").alias("value"))
     met = entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    repeated = entries.join(met, "value").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
+    # a value of very many documents is met where its rows are
+    told = common.join_by_class(entries, met.withColumn("m", F.col("df")), ["value"], "m", max(1, reps.count() * k))
+    repeated = told.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
     c = least_shared(k, percent / 100, miss)
     kept_values = F.least(F.col("n"), F.lit(k))
     whole = F.col("n") * 100 < percent * (k + 1)  # too small for a partner with more than k shingles

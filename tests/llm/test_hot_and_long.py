@@ -19,14 +19,16 @@ SF = "/root/testdata/sf0.001"
 def test_a_text_in_pieces_scores_as_a_whole():
     rng = np.random.default_rng(0)
     model = crf.Model(rng.normal(0, 1, 3 * crf.N_FEATURES), rng.normal(0, 1, (2, 2)))
-    words, gaps = ["a", "B!", "cc", "d.", "|", "x#", "yy", "Zz."], [" ", "\n", " ", "\t", "\n\n", " \n"]
+    words, gaps = ["a", "B!", "cc", "d.", "|", "x#", "yy", "Zz.", "longer-Than!1piece", "longer-Than!1piece", "é日本" * 5], [" ", "\n", " ", "\t", "\n\n", " \n"]
     for _ in range(60):
         text = "".join(rng.choice(words) + rng.choice(gaps) for _ in range(rng.integers(0, 60)))
         lines = crf.line_features([text])
         whole = crf.document_marginal(lines, crf.with_neighbours(lines), model, 1)[0]
         for most in (5, 13, 40, 1000):
             assert crf.long_marginal(text, model, most) == pytest.approx(whole, abs=1e-9)
-    assert 0 <= crf.long_marginal("x" * 100, model, 7) <= 1  # a word longer than a piece
+    for text in ("x" * 100, "x" * 21 + " " + "x" * 21 + "\n" + "x" * 14, "ab" * 7 + " \n" + "ab" * 7):  # words of many pieces
+        lines = crf.line_features([text])
+        assert crf.long_marginal(text, model, 7) == pytest.approx(crf.document_marginal(lines, crf.with_neighbours(lines), model, 1)[0], abs=1e-9)
 
 
 def test_scores_do_not_depend_on_the_batch():
@@ -43,6 +45,17 @@ def test_the_sample_of_the_classifier_is_bounded(spark):
     assert np.abs(crf.train(docs, labels).weight).sum() > 0
 
 
+def test_the_sample_of_the_classifier_is_bounded_by_lines_too(spark, monkeypatch):
+    """Texts of very many short lines are what memory goes by."""
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("a\n"), F.when(F.col("id") < 4, 50_000).otherwise(100).cast("int")).alias("text"))
+    labels = spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    seen = []
+    monkeypatch.setattr(crf, "fit", lambda texts, quality, **_: seen.append(sum(t.count("\n") + 1 for t in texts)))
+    crf.train(docs, labels)
+    crf.train(docs, labels, most_lines=2000)
+    assert seen == [36 * 101, 19 * 101]
+
+
 def test_rows_that_repeat_an_id_are_one_query_and_all_candidates(spark):
     rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (7, [1.0, 0.2]), (7, [1.0, 0.1]), (8, [0.5, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
