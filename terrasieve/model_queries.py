@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions.lineage import settled
 from .operators import catalog, evaluate, guards, spatial, splits, stats
 from .plans import fold_graph, linear
-from .queries import ITEMS, METRICS, POINTS, Z_COLUMNS, Z_SQL, items, metrics_sql, points, query, r, rounded
+from .queries import ITEMS, METRICS, POINTS, Z_COLUMNS, Z_SQL, items, km_sql, metrics_sql, points, query, r, rounded
 
 FEATURES = ("qty", "price", "disc", "tax")
 SETS = {"full": ["qty", "price", "disc", "tax"], "no_climate": ["qty", "price"], "core_geo": ["qty", "price"], "climate_adjusters": ["disc", "tax"], "geochemistry": ["qty", "price"]}
@@ -537,6 +537,38 @@ def block_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(guards.union_all(parts))
 
 
+RADII = (10, 20, 30)
+BUFFER_ROWS = f"""{POINTS}, b AS (SELECT id AS row_index, y, (state % 5)::VARCHAR AS fold, state, bal::DOUBLE AS qty, lat AS price, lon AS disc, (id % 53)::DOUBLE AS tax, lat, lon FROM pt),
+rad AS (SELECT unnest([0, {', '.join(map(str, RADII))}]) AS km), nd AS (SELECT a.row_index, o.fold AS other, min({km_sql('a', 'o')}) AS d FROM b a JOIN b o ON a.fold <> o.fold AND abs(a.lat - o.lat) < 0.3 GROUP BY a.row_index, o.fold)"""
+BUFFER_SQL = folds_sql(BUFFER_ROWS).replace(
+    "(SELECT f.fold AS tf, b.* FROM b, (SELECT DISTINCT fold FROM b) f WHERE b.fold <> f.fold)",
+    "(SELECT f.fold || '/' || km AS tf, b.* FROM b CROSS JOIN (SELECT DISTINCT fold FROM b) f CROSS JOIN rad LEFT JOIN nd ON nd.row_index = b.row_index AND nd.other = f.fold WHERE b.fold <> f.fold AND (km = 0 OR coalesce(d, 1e9) > km))",
+)
+
+
+def folded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with a place as samples, in five folds of states."""
+    named = {"qty": F.col("bal").cast("double"), "price": F.col("lat"), "disc": F.col("lon"), "tax": (F.col("id") % 53).cast("double")}
+    return points(spark, sf_dir).select(F.col("id").alias("row_index"), "y", (F.col("state") % 5).cast("int").alias("fold"), "state", "lat", "lon", *[c.alias(k) for k, c in named.items()])
+
+
+@query(
+    f"""WITH {BUFFER_SQL}, {models_sql({k: RECIPE_MODES[k] for k in ('Full', 'NoClimate', 'M3_Broad')}, "SELECT 'original' AS scenario, b.fold || '/' || km AS tf, row_index, y, state, qty, price, disc, tax FROM b, rad")}, {metrics_sql('of_', 'model, fold')},
+nt AS (SELECT tf AS fold, count(*) AS n_train FROM tr GROUP BY tf)
+SELECT model, split_part(fold, '/', 1)::INT AS fold, split_part(fold, '/', 2)::INT AS km, n_train, n_pos, n_neg, {metric_columns(SHOWN)} FROM mx JOIN nt USING (fold)"""
+)
+def buffer_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three recipes with the training rows near the test fold left out, by
+    buffers of none to 30 km, all from one table of products by distance."""
+    rows = settled(folded_rows(spark, sf_dir))
+    models = linear.fit_buffered(rows, list(FEATURES), "y", "row_index", RADII)
+    linear.with_recipes(models, SETS, ["Full", "NoClimate", "M3_Broad"], {})
+    m = evaluate.classification_metrics(scored(models, linear.at_radii(rows, RADII)), ["model", "fold"])
+    sizes = spark.createDataFrame([(f, int(g.n)) for f, g in models.grams.items()], "fold string, n_train long")
+    part = lambda i: F.split("fold", "/")[i].cast("int")
+    return rounded(m.join(F.broadcast(sizes), "fold").select("model", part(0).alias("fold"), part(1).alias("km"), "n_train", "n_pos", "n_neg", *SHOWN))
+
+
 @query()
 def baseline_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dummy and a linear learner in stratified and in grouped folds. The

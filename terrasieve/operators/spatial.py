@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.lineage import settled
 from .components import connected
-from .guards import ContractError, union_all
+from .guards import ContractError
 
 KM_PER_DEGREE = math.pi * S.EARTH_RADIUS_KM / 180
 
@@ -47,48 +47,129 @@ def within(left: DataFrame, right: DataFrame, km: float, lat: str = "lat", lon:
     return l.join(r, ["_row", "_col"]).drop("_row", "_col").withColumn("km_apart", d).where(F.col("km_apart") <= km)
 
 
-#: Rings start so small that a cell of the grid has about so many rows at most.
-CROWD = 512
+#: Cells of the sphere are halved until no one has more different places, or
+#: so often (some 6 m).
+CROWD, DEEPEST = 64, 20
+#: Coarsest cells that are paired without a parent.
+TOP = 3
 
 
-def _first_ring(points: DataFrame, km: float, lat: str, lon: str) -> float:
-    """``km``, halved until no grid cell of that size is crowded."""
-    while km > 1e-3:
-        most = _cells(points.select(lat, lon), km, lat, lon, around=False).groupBy("_row", "_col").count().agg(F.max("count")).first()[0]
-        if not most or most <= CROWD:
-            break
-        km /= 2
-    return km
+def _cube(lat: Column, lon: Column) -> list[Column]:
+    a, o = F.radians(lat), F.radians(lon)
+    return [F.cos(a) * F.cos(o), F.cos(a) * F.sin(o), F.sin(a)]
+
+
+def _code(xyz: Sequence[Column]) -> Column:
+    """The finest cell: bits of the three coordinates in turn, so that a cell
+    of a coarser level is a prefix of its parts."""
+    n = 2**DEEPEST
+    whole = [F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((c + 1) / 2 * n))).cast("long") for c in xyz]
+    out = F.lit(0).cast("long")
+    for bit in range(DEEPEST):
+        for axis, w in enumerate(whole):
+            out = out + F.shiftleft(F.shiftright(w, bit).bitwiseAND(F.lit(1).cast("long")), 3 * bit + axis)
+    return out
+
+
+def _at(level: int, code: str = "code") -> Column:
+    return F.shiftright(code, 3 * (DEEPEST - level))
+
+
+_BOX = [f"{side}{c}" for c in "xyz" for side in ("lo_", "hi_")]
+
+
+def _nodes(places: DataFrame, level: int, group: Sequence[str], more: Sequence[Column] = ()) -> DataFrame:
+    """Cells of a level by group with the box of their places."""
+    box = [f(c).alias(f"{side}{c}") for c in "xyz" for side, f in (("lo_", F.min), ("hi_", F.max))]
+    return places.groupBy(_at(level).alias("cell"), *group).agg(*box, *more)
+
+
+def _bounds(left: str, right: str) -> tuple[Column, Column]:
+    """Squares of the least and the largest distance between two boxes."""
+    least, most = F.lit(0.0), F.lit(0.0)
+    for c in "xyz":
+        lo, hi, rlo, rhi = (F.col(f"{p}{side}{c}") for p in (left, right) for side in ("lo_", "hi_"))
+        least = least + F.pow(F.greatest(rlo - hi, lo - rhi, F.lit(0.0)), 2)
+        most = most + F.pow(F.greatest(rhi - lo, hi - rlo), 2)
+    return least, most
 
 
 def nearest(
-    left: DataFrame, right: DataFrame, key: str, right_key: str, start_km: float = 50.0, lat: str = "lat", lon: str = "lon", fold: str | None = None, label: str | None = None, alike: bool | None = None
-) -> DataFrame:
+    left: DataFrame, right: DataFrame, key: str, right_key: str, lat: str = "lat", lon: str = "lon", fold: str | None = None, label: str | None = None, alike: bool | None = None,
+    each_fold: bool = False, within_km: float | None = None,
+) -> DataFrame:
     """For each left row the nearest right one: key, r_<right_key>, km_apart
     (ties to the smaller right key). With ``fold``, the nearest right row of
-    another fold, and the left row's fold first. With ``label``, one of the
-    same label (``alike``) or of another.
-
-    Rings of doubling radius: rows without a partner go on with twice the
-    radius, and only those. Past half the globe all rows have been met. Every
-    ring is settled, so that the next one does not repeat it."""
-    folds, more = [fold] if fold else [], [label] if label else []
-    points = settled(right.select(*folds, *more, right_key, lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull()))
-    found, rest, km = [], settled(left.select(*folds, *more, key, lat, lon).where(F.col(lat).isNotNull() & F.col(lon).isNotNull())), _first_ring(points, start_km, lat, lon)
-    place = Window.partitionBy(key).orderBy("km_apart", f"r_{right_key}")
-    while True:
-        near = within(rest, points, km, lat, lon)
-        near = near.where(F.col(fold) != F.col(f"r_{fold}")) if fold else near
-        near = near.where((F.col(label) == F.col(f"r_{label}")) == F.lit(bool(alike))) if label else near
-        near = settled(near.withColumn("_nth", F.row_number().over(place)).where("_nth = 1").select(*folds, key, f"r_{right_key}", "km_apart"))
-        found.append(near)
-        if km > math.pi * S.EARTH_RADIUS_KM:
-            break
-        rest = settled(rest.join(near.select(key), key, "left_anti"))
-        if rest.isEmpty():
-            break
-        km *= 2
-    return union_all(found)
+    another fold, and the left row's fold first; with ``each_fold`` that of
+    every other fold, as r_<fold>. With ``label``, one of the same label
+    (``alike``) or of another. With ``within_km`` only those so near.
+
+    Cells of the sphere form a tree, whose nodes know their box and which
+    folds and labels they hold. All levels are descended together: a left cell
+    keeps the right cells that may hold the nearest row of a place in it,
+    judged by the boxes, and only those that hold a fold and label it may
+    meet. So rows of one fold never meet each other, and a crowd costs its
+    cells. Rows without a place, fold or label that is asked for have no
+    partner and are none; rows of one place count once in the search."""
+    own = [F.col(fold) if fold else F.lit(0), F.col(label) if label else F.lit(0)]
+    xyz = [c.alias(n) for c, n in zip(_cube(F.col("_lat"), F.col("_lon")), "xyz")]
+
+    def places(df: DataFrame, k: str) -> DataFrame:
+        rows = df.select(own[0].alias("f"), own[1].alias("l"), F.col(k).alias("k"), F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon")).dropna(subset=["f", "l", "_lat", "_lon"])
+        once = rows.groupBy("f", "l", "_lat", "_lon").agg(F.min("k").alias("k"), F.count("*").alias("m"))
+        return settled(once.select("f", "l", "k", "_lat", "_lon", "m", *xyz).withColumn("code", _code([F.col(c) for c in "xyz"])))
+
+    here, there = places(left, key), places(right, right_key)
+    g = F.col("f") if each_fold else F.lit(0)
+    there = there.withColumn("g", g)
+    levels = F.explode(F.sequence(F.lit(TOP), F.lit(DEEPEST)))
+    # the most places of a cell on each level: a row for each level
+    crowds = {r["level"]: r["n"] for r in there.groupBy("code").count().select(levels.alias("level"), "code", "count").groupBy("level", F.expr(f"shiftright(code, cast(3 * ({DEEPEST} - level) as int))").alias("c")).agg(F.sum("count").alias("n")).groupBy("level").agg(F.max("n").alias("n")).collect()}
+    last = next((lv for lv in range(TOP, DEEPEST + 1) if crowds.get(lv, 0) <= CROWD), DEEPEST)
+
+    def held(level: int) -> DataFrame:
+        """Right cells: for each label the least and the largest fold."""
+        by_label = _nodes(there, level, ["g", "l"], [F.min("f").alias("f0"), F.max("f").alias("f1")])
+        box = [f(f"{side}{c}").alias(f"r_{side}{c}") for c in "xyz" for side, f in (("lo_", F.min), ("hi_", F.max))]
+        return by_label.groupBy(F.col("cell").alias("r_cell"), "g").agg(*box, F.collect_list(F.struct("l", "f0", "f1")).alias("holds"))
+
+    def fits(x: Column) -> Column:
+        out = F.lit(True)
+        if fold:
+            out = out & ((x["f0"] != F.col("f")) | (x["f1"] != F.col("f")))
+        if label:
+            out = out & ((x["l"] == F.col("l")) == F.lit(bool(alike)))
+        return out
+
+    cut = F.lit(float("inf")) if within_km is None else F.lit((2 * math.sin(min(within_km / (2 * S.EARTH_RADIUS_KM), math.pi / 2))) ** 2)
+    least, most = _bounds("", "r_")
+    pairs: DataFrame | None = None
+    for level in range(TOP, last + 1):
+        mine, theirs = _nodes(here, level, ["f", "l"]), held(level)
+        if pairs is None:
+            met = mine.join(F.broadcast(theirs), F.exists("holds", fits))  # at most 8 ** TOP cells, by fold with each_fold
+        else:
+            up = pairs.select(F.col("cell").alias("_up"), "f", "l", F.col("r_cell").alias("_r_up"), "g")
+            met = up.join(mine.withColumn("_up", F.shiftright("cell", 3)), ["_up", "f", "l"]).join(theirs.withColumn("_r_up", F.shiftright("r_cell", 3)), ["_r_up", "g"]).where(F.exists("holds", fits))
+        met = met.withColumns({"_least": least, "_most": most})
+        bound = F.least(F.min("_most").over(Window.partitionBy("cell", "f", "l", "g")), cut)
+        # a margin of some millimetres above rounding
+        pairs = settled(met.withColumn("_bound", bound).where(F.sqrt("_least") <= F.sqrt("_bound") + 1e-9).select("cell", "f", "l", "r_cell", "g"))
+    others = there.select(F.col("f").alias("r_f"), F.col("l").alias("r_l"), "g", F.col("k").alias("r_k"), F.col("_lat").alias("r_lat"), F.col("_lon").alias("r_lon"), _at(last).alias("r_cell"))
+    # cells meet by the fold and label of the partner, so that rows that may not meet never do
+    kinds = others.select("r_cell", "g", "r_f", "r_l").distinct()
+    may = F.lit(True)
+    may = may & (F.col("r_f") != F.col("f")) if fold else may
+    may = may & ((F.col("r_l") == F.col("l")) == F.lit(bool(alike))) if label else may
+    open_ = pairs.join(kinds, ["r_cell", "g"]).where(may)
+    rows = here.select("f", "l", "k", "_lat", "_lon", _at(last).alias("cell")).join(open_, ["cell", "f", "l"]).join(others, ["r_cell", "g", "r_f", "r_l"])
+    km = S.haversine_km(F.col("_lat"), F.col("_lon"), F.col("r_lat"), F.col("r_lon"))
+    best = rows.withColumn("km", km).groupBy("f", "l", "_lat", "_lon", "g").agg(F.min(F.struct("km", "r_k")).alias("b"))
+    best = best.where(F.col("b.km") <= within_km) if within_km is not None else best
+    best = settled(best.select("f", "l", "_lat", "_lon", "g", F.col("b.km").alias("km_apart"), F.col("b.r_k").alias(f"r_{right_key}")))
+    asked = left.select(own[0].alias("f"), own[1].alias("l"), F.col(key).alias("_k"), F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon"))
+    out = asked.join(best, ["f", "l", "_lat", "_lon"])
+    return out.select(*([F.col("f").alias(fold)] if fold else []), F.col("_k").alias(key), *([F.col("g").alias(f"r_{fold}")] if each_fold else []), f"r_{right_key}", "km_apart")
 
 
 def label_neighbours(df: DataFrame, fold: str, key: str, label: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -124,7 +205,7 @@ def remove_buffers(df: DataFrame, fold: str, key: str, km: float, lat: str = "la
     if km <= 0:
         return train
     points = df.select(fold, key, lat, lon)
-    close = within(points, points, km, lat, lon).where(F.col(fold) != F.col(f"r_{fold}")).select(F.col(f"r_{fold}").alias(fold), key).distinct()
+    close = nearest(points, points, key, key, lat, lon, fold=fold, each_fold=True, within_km=km).select(F.col(f"r_{fold}").alias(fold), key).distinct()
     return train.join(close, [fold, key], "left_anti")
 
 

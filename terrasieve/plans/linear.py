@@ -59,7 +59,7 @@ class FoldModels:
     def table(self, df: DataFrame) -> DataFrame:
         """One row for each fold: its medians and its models, a bounded catalogue."""
         rows = [(f, [m[c] for c in self.columns], [(n, b0, b) for n, of, b0, b in self.solved if of == f]) for f, m in self.medians.items()]
-        return df.sparkSession.createDataFrame(rows, f"_fold {dict(df.dtypes)[self.fold]}, _fill array<double>, _models array<struct<model:string,b0:double,b:array<double>>>")
+        return df.sparkSession.createDataFrame(rows, f"_fold {'string' if all(isinstance(f, str) for f in self.medians) else dict(df.dtypes)[self.fold]}, _fill array<double>, _models array<struct<model:string,b0:double,b:array<double>>>")
 
     def score(self, df: DataFrame, keep: Sequence[str], values: Mapping[str, Column] | None = None) -> DataFrame:
         """(model, keep..., p): every row by the models of its own fold, which
@@ -87,6 +87,26 @@ def fit_folds(df: DataFrame, columns: Sequence[str], label: str, fold: str = "fo
     return FoldModels(list(columns), label, fold, {f: fills.get((f,), dict.fromkeys(columns, 0.0)) for (f,) in products}, {f: g for (f,), g in products.items()})
 
 
+def fit_buffered(df: DataFrame, columns: Sequence[str], label: str, key: str, radii: Sequence[float], fold: str = "fold", lat: str = "lat", lon: str = "lon") -> FoldModels:
+    """Medians and products of each fold's training rows outside a buffer
+    around its test rows, for no buffer and all ``radii`` from one pass. Folds
+    are named <fold>/<radius>, as ``at_radii`` names the test rows."""
+    rows = df.where(F.col(label).isNotNull())
+    folds, radii = training.fold_names(rows, fold), sorted(map(float, radii))
+    parts = settled(training.buffered(rows, fold, folds, key, radii, lat, lon).select("_out", label, *columns))
+    sets = training.buffered_sets(folds, radii)
+    fills = training.medians_of_sets(parts, columns, sets)
+    products = training.grams_of_sets(parts, columns, label, sets, fills)
+    name = lambda s: f"{s[0]}/{s[1]:g}"
+    return FoldModels(list(columns), label, fold, {name(s): fills[s] for s in products}, {name(s): g for s, g in products.items()})
+
+
+def at_radii(df: DataFrame, radii: Sequence[float], fold: str = "fold") -> DataFrame:
+    """Each test row once for no buffer and for every radius."""
+    each = F.explode(F.array(*[F.lit(f"{r:g}") for r in (0.0, *sorted(map(float, radii)))]))
+    return df.withColumn("_radius", each).withColumn(fold, F.concat_ws("/", F.col(fold).cast("string"), F.col("_radius"))).drop("_radius")
+
+
 def ranked_pairs(df: DataFrame, targets: Sequence[str], climate: Sequence[str], fold: str = "fold") -> DataFrame:
     """Rank correlations of each fold's training rows, settled: screens and
     graphs both read them."""

@@ -10,14 +10,14 @@ catalogue of ``MOST_FOLDS`` at most.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import guards, ranges, stats
+from ..operators import guards, ranges, spatial, stats
 
 MOST_FOLDS = 256
 
@@ -67,13 +67,9 @@ def grams(df: DataFrame, columns: Sequence[str], label: str | None, fold: str, f
     they are missing, so that any filling is a linear map of the products."""
     rows = df if label is None else df.where(F.col(label).isNotNull())
     names = [*columns, *([label] if label else [])]
-    first = rows.agg(*[a for i, c in enumerate(names) for a in (F.avg(F.col(c).cast("double")).alias(f"m{i}"), F.count_if(F.col(c).isNull()).alias(f"z{i}"))]).first()
-    mean = np.array([first[f"m{i}"] or 0.0 for i in range(len(names))])
-    gaps = [i for i in range(len(names)) if first[f"z{i}"]]
-    values = [F.coalesce(F.col(c).cast("double") - F.lit(float(m)), F.lit(0.0)) for c, m in zip(names, mean)] + [F.col(names[i]).isNull().cast("double") for i in gaps]
-    own: dict[tuple, stats.Gram] = stats.gram_by(rows, [*by, fold], values, [str(i) for i in range(len(values))])
+    mean, gaps, values = _about_one_mean(rows, names)
     k, total = len(values), {}
-    raw = {key: (g.n, g.n * g.mean, g.n * (g.cov + np.outer(g.mean, g.mean))) for key, g in own.items()}
+    raw = {key: _raw(g) for key, g in stats.gram_by(rows, [*by, fold], values, [str(i) for i in range(k)]).items()}
     for (*group, _), part in raw.items():
         n, s, p = total.get(tuple(group), (0.0, np.zeros(k), np.zeros((k, k))))
         total[tuple(group)] = (n + part[0], s + part[1], p + part[2])
@@ -81,16 +77,99 @@ def grams(df: DataFrame, columns: Sequence[str], label: str | None, fold: str, f
     for group, (n_all, s_all, p_all) in total.items():
         for f in folds:
             n0, s0, p0 = raw.get((*group, f), (0.0, np.zeros(k), np.zeros((k, k))))
-            n, s, p = n_all - n0, s_all - s0, p_all - p0
-            if n <= 0:
-                continue
-            fill = fills.get((f, *group), {})
-            made = np.zeros((k, len(names)))
-            made[: len(names), : len(names)] = np.eye(len(names))
-            for j, i in enumerate(gaps):
-                made[len(names) + j, i] = fill.get(names[i], 0.0) - mean[i]
-            at = made.T @ s / n
-            out[(f, *group)] = stats.Gram(list(names), n, mean + at, made.T @ p @ made / n - np.outer(at, at))
+            if n_all > n0:
+                out[(f, *group)] = _filled(names, n_all - n0, s_all - s0, p_all - p0, mean, gaps, fills.get((f, *group), {}))
+    return out
+
+
+def _about_one_mean(rows: DataFrame, names: Sequence[str]) -> tuple[np.ndarray, list[int], list[Column]]:
+    """The means of the columns, those with gaps, and the values of a row:
+    differences from the means (0 in gaps) and whether each gap is one."""
+    first = rows.agg(*[a for i, c in enumerate(names) for a in (F.avg(F.col(c).cast("double")).alias(f"m{i}"), F.count_if(F.col(c).isNull()).alias(f"z{i}"))]).first()
+    mean = np.array([first[f"m{i}"] or 0.0 for i in range(len(names))])
+    gaps = [i for i in range(len(names)) if first[f"z{i}"]]
+    values = [F.coalesce(F.col(c).cast("double") - F.lit(float(m)), F.lit(0.0)) for c, m in zip(names, mean)] + [F.col(names[i]).isNull().cast("double") for i in gaps]
+    return mean, gaps, values
+
+
+def _raw(g: stats.Gram) -> tuple[float, np.ndarray, np.ndarray]:
+    return g.n, g.n * g.mean, g.n * (g.cov + np.outer(g.mean, g.mean))
+
+
+def _filled(names: Sequence[str], n: float, s: np.ndarray, p: np.ndarray, mean: np.ndarray, gaps: Sequence[int], fill: Mapping[str, float]) -> stats.Gram:
+    made = np.zeros((len(s), len(names)))
+    made[: len(names), : len(names)] = np.eye(len(names))
+    for j, i in enumerate(gaps):
+        made[len(names) + j, i] = fill.get(names[i], 0.0) - mean[i]
+    at = made.T @ s / n
+    return stats.Gram(list(names), n, mean + at, made.T @ p @ made / n - np.outer(at, at))
+
+
+def buffered(df: DataFrame, fold: str, folds: Sequence[Any], key: str, radii: Sequence[float], lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """``df`` with ``_out``, the parts that a row belongs to: part i * (n + 1)
+    is fold i itself, and part i * (n + 1) + j the rows of other folds whose
+    nearest row of fold i is within the j-th of the n growing ``radii``, but
+    not within the one before. ``key`` tells rows apart."""
+    n = len(radii)
+    points = df.select(fold, key, lat, lon)
+    near = spatial.nearest(points, points, key, key, lat, lon, fold=fold, each_fold=True, within_km=max(radii))
+    band = F.lit(1)
+    for r in radii[:-1]:
+        band = band + (F.col("km_apart") > r).cast("int")
+    at = lambda c: F.array_position(F.array(*[F.lit(f) for f in folds]), F.col(c)).cast("int") - 1
+    parts = near.select(F.col(key).alias("_k"), (at(f"r_{fold}") * (n + 1) + band).alias("_part")).groupBy("_k").agg(F.collect_list("_part").alias("_near"))  # one for each fold at most
+    own = F.when(F.col(fold).isNull(), F.array().cast("array<int>")).otherwise(F.array(at(fold) * (n + 1)))
+    return df.join(parts, df[key] == parts["_k"], "left").withColumn("_out", F.concat(own, F.coalesce("_near", F.array().cast("array<int>")))).drop("_k", "_near")
+
+
+def buffered_sets(folds: Sequence[Any], radii: Sequence[float]) -> dict[tuple, list[int]]:
+    """{(fold, radius): the parts of ``buffered`` that its training rows are
+    not in}, with a radius of 0 for no buffer."""
+    n = len(radii)
+    return {(f, float(r)): list(range(i * (n + 1), i * (n + 1) + j + 1)) for i, f in enumerate(folds) for j, r in enumerate((0.0, *radii))}
+
+
+def medians_of_sets(df: DataFrame, columns: Sequence[str], sets: Mapping[tuple, Sequence[int]]) -> dict[tuple, dict[str, float]]:
+    """{set: medians of the rows that are in none of its parts}, by counts of
+    different values in all rows and in each part (``_out`` of a row)."""
+    ids = sorted({i for parts in sets.values() for i in parts})
+    long = stats.long_form(df, ["_out"], columns).where("value is not null")
+    counts = [F.count("*").alias("_all"), *[F.count_if(F.array_contains("_out", F.lit(i))).alias(f"_own{i}") for i in ids]]
+    names = ["_all", *[f"_own{i}" for i in ids]]
+    cells = ranges.running_sums(long.groupBy("concept", "value").agg(*counts), ["concept"], ["value"], {n.replace("_", "_b", 1): n for n in names})
+    cells = ranges.join_groups(cells, cells.groupBy("concept").agg(*[F.sum(n).alias(n.replace("_", "_n", 1)) for n in names]), ["concept"])
+    left, named = {}, list(sets)
+    for x, name in enumerate(named):
+        for what in ("b", "", "n"):
+            value = F.col(f"_{what}all")
+            for i in sets[name]:
+                value = value - F.col(f"_{what}own{i}")
+            left[f"_s{what}_{x}"] = value
+    middle = [ranges.interpolated(f"_sb_{x}", f"_s_{x}", "value", F.col(f"_sn_{x}"), 0.5).alias(f"m{x}") for x in range(len(named))]
+    out: dict[tuple, dict[str, float]] = {name: dict.fromkeys(columns, 0.0) for name in named}
+    for r in cells.withColumns(left).groupBy("concept").agg(*middle).collect():
+        for x, name in enumerate(named):
+            out[name][r["concept"]] = float(r[f"m{x}"] or 0.0)
+    return out
+
+
+def grams_of_sets(df: DataFrame, columns: Sequence[str], label: str, sets: Mapping[tuple, Sequence[int]], fills: Mapping[tuple, dict[str, float]]) -> dict[tuple, stats.Gram]:
+    """{set: ``Gram`` of the rows that are in none of its parts}: the products
+    of all rows less those of the parts, each part's own rows read once."""
+    rows, names = df.where(F.col(label).isNotNull()), [*columns, label]
+    mean, gaps, values = _about_one_mean(rows, names)
+    k = len(values)
+    whole = stats.gram(rows, values, [str(i) for i in range(k)])
+    parts = stats.gram_by(rows.withColumn("_part", F.explode("_out")), ["_part"], values, whole.names)
+    raw = {key: _raw(g) for (key,), g in parts.items()}
+    out = {}
+    for name, excluded in sets.items():
+        n, s, p = _raw(whole)
+        for i in excluded:
+            if i in raw:
+                n, s, p = n - raw[i][0], s - raw[i][1], p - raw[i][2]
+        if n > 0:
+            out[name] = _filled(names, n, s, p, mean, gaps, fills.get(name, {}))
     return out
 
 

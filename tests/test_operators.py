@@ -220,7 +220,7 @@ def test_within_and_nearest_against_all_pairs(spark):
     got = [(r["id"], r["r_id"]) for r in spatial.within(df, df, 400.0).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     left, right = df.where("id < 30"), df.where("id >= 30")
-    near = {r["id"]: r["r_id"] for r in spatial.nearest(left, right, "id", "id", 100.0).collect()}
+    near = {r["id"]: r["r_id"] for r in spatial.nearest(left, right, "id", "id").collect()}
     assert near == {a.id: min((km(a, b), b.id) for b in pts if b.id >= 30)[1] for a in pts if a.id < 30}
     assert spatial.remove_buffer(left, right, "id", 0.0).count() == 30
 
