@@ -70,7 +70,7 @@ def test_a_crowd_of_one_fold_costs_its_cells(spark):
 
 def test_statistics_outside_buffers(spark):
     rng = np.random.default_rng(5)
-    n, radii = 250, (10.0, 25.0)
+    n, radii = 250, (2.0, 5.0)
     df = pd.DataFrame({"id": range(n), "lat": rng.uniform(40, 41, n), "lon": rng.uniform(0, 1, n), "fold": rng.integers(0, 3, n), "y": rng.integers(0, 2, n), "a": rng.normal(size=n), "b": rng.normal(size=n)})
     df.loc[rng.random(n) < 0.1, "a"] = np.nan
     sdf = spark.createDataFrame([tuple(None if v != v else v for v in r) for r in df.astype(object).itertuples(index=False, name=None)], "id long, lat double, lon double, fold long, y long, a double, b double")
