@@ -152,7 +152,7 @@ def near_duplicates(
     reps = common.settled(classes.select("rep", "n", "sk", "f1", "f2", "m"))
 
     entries = reps.select("rep", F.explode("sk").alias("value"))
-    met = entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    met = common.settled(entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"))  # read three times
     # a value of very many documents is met where its rows are
     told = common.join_by_class(entries, met.withColumn("m", F.col("df")), ["value"], "m", max(1, reps.count() * k))
     repeated = told.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
