@@ -34,10 +34,9 @@ class FoldModels:
     grams: dict[Any, stats.Gram]
     solved: list[tuple[str, Any, float, list[float]]] = field(default_factory=list)
 
-    def add(self, model: str, fold: Any, raw: Sequence[str], residual: Sequence[str] = (), climate: Sequence[str] = (), residual_alpha: float = 10.0, alpha: float = 10.0, label: str | None = None) -> None:
-        """Solve one model of one fold: a ridge of the label (or of another
-        column) on raw columns and on residuals of others on the climate
-        columns, all scaled by the training deviation."""
+    def made(self, fold: Any, raw: Sequence[str], residual: Sequence[str] = (), climate: Sequence[str] = (), residual_alpha: float = 10.0) -> np.ndarray:
+        """The map from the filled columns (and the label) to a fold's
+        features: raw ones, then residuals on the climate columns."""
         g = self.grams[fold]
         at = {c: i for i, c in enumerate(g.names)}
         made = np.zeros((len(g.names), len(raw) + len(residual)))
@@ -50,6 +49,15 @@ class FoldModels:
             for j, x in enumerate(t):
                 made[x, len(raw) + j] += 1.0
                 made[c, len(raw) + j] -= w[:, j] / s
+        return made
+
+    def add(self, model: str, fold: Any, raw: Sequence[str], residual: Sequence[str] = (), climate: Sequence[str] = (), residual_alpha: float = 10.0, alpha: float = 10.0, label: str | None = None) -> None:
+        """Solve one model of one fold: a ridge of the label (or of another
+        column) on raw columns and on residuals of others on the climate
+        columns, all scaled by the training deviation."""
+        g = self.grams[fold]
+        at = {c: i for i, c in enumerate(g.names)}
+        made = self.made(fold, raw, residual, climate, residual_alpha)
         cov = made.T @ g.cov @ made
         s, y = _scale(np.diag(cov)), at[label or self.label]
         w = np.linalg.solve(g.n * cov / np.outer(s, s) + alpha * np.eye(len(s)), g.n * (made.T @ g.cov[:, y]) / s)
