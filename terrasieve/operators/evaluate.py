@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settled
 from . import guards, ranges, stats
 
 FRACTIONS = (0.01, 0.05, 0.10, 0.20)
@@ -110,6 +116,133 @@ def cluster_bootstrap(scores: DataFrame, times: DataFrame, cluster: str, models:
     return classification_metrics(drawn, ["iteration", "model"], weight="w")
 
 
+#: Discounts of ranks that are held one by one; later ones are integrated.
+_HELD = 2**20
+#: What ``bootstrap_draws`` gives of each draw.
+DRAW_METRICS = ("roc_auc", "average_precision", "f1", "top05_f1", "top05_ndcg", "top10_f1", "top10_ndcg")
+
+
+def _discounts(upto: int) -> np.ndarray:
+    """Sums of 1 / log2(rank + 1) over the first 0, 1, ... ranks."""
+    return np.concatenate([[0.0], np.cumsum(1 / np.log2(np.arange(2, min(upto, _HELD) + 2)))])
+
+
+def _discount(table: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The sum over the first ranks; past the table an integral of the rest."""
+    ranks = np.asarray(ranks)
+    out = table[np.minimum(ranks, len(table) - 1)]
+    far = np.flatnonzero(ranks.ravel() > len(table) - 1)
+    if len(far):
+        x = np.geomspace(len(table) - 0.5, float(ranks.max()) + 0.5, 20_001)
+        y = 1 / np.log2(x + 1)
+        area = np.concatenate([[0.0], np.cumsum((y[1:] + y[:-1]) / 2 * np.diff(x))])
+        out.ravel()[far] += np.interp(ranks.ravel()[far] + 0.5, x, area)
+    return out
+
+
+def _by_ranges(rows: DataFrame, order: Sequence[Column | str], cluster: str, place: dict, sums: Sequence[str], work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, rows_per_range: int) -> DataFrame:
+    """``work`` on each range of a model's rows in ``order``, with the sums of
+    each cluster over the ranges before it, (clusters, sums)."""
+    ranges_ = max(1, math.ceil(rows.count() / rows_per_range))
+    dealt = settled(rows.repartitionByRange(ranges_, "model", *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.partitionBy("model", cluster).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("model", "_range", cluster).agg(*[F.sum(c).alias(c) for c in sums])
+    reached = dealt.select("model", "_range").distinct()  # a row for each range and model
+    grid = reached.join(dealt.select("model", cluster).distinct(), "model").join(totals, ["model", "_range", cluster], "left")
+    carried = settled(grid.select("model", "_range", cluster, *[F.coalesce(F.sum(F.coalesce(c, F.lit(0))).over(before), F.lit(0)).alias(c) for c in sums]))
+
+    def run(part: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        carry = np.zeros((len(place), len(sums)))
+        carry[above[cluster].map(place).to_numpy()] = above[list(sums)].to_numpy(float)
+        return work(part, carry)
+
+    keys = ["model", "_range"]
+    return dealt.groupBy(*keys).cogroup(carried.groupBy(*keys)).applyInPandas(run, schema)
+
+
+def bootstrap_draws(scores: DataFrame, cluster: str, times: np.ndarray, clusters: Sequence, order: str = "row_index", rows_per_range: int = 200_000, block: int = 1024) -> DataFrame:
+    """(iteration, model, ``DRAW_METRICS``) of every model of ``scores``
+    (model, cluster, y, p, ``order``) in each resample of clusters;
+    ``times`` (iterations, clusters) says how often each is drawn, as
+    ``splits.drawn_times`` gives it.
+
+    Scores are dealt into ranges; a task takes its rows block by block, as a
+    product of draws and clusters, and starts from the sums of the ranges
+    before. A row is met once for all draws and never repeated; a model and
+    draw without both classes has null for the first two."""
+    place, w = {c: i for i, c in enumerate(clusters)}, np.asarray(times, dtype=np.float64)
+    draws = len(w)
+    rows = settled(scores.where(F.col("y").isNotNull() & F.col("p").isNotNull() & F.col(cluster).isin(list(clusters))).select("model", cluster, F.col("y").cast("int").alias("y"), F.col("p").cast("double").alias("p"), F.col(order).alias("_o")))
+    cells = rows.groupBy("model", cluster, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    names = ("won", "ap", "tp", "fp")
+
+    def ranked(part: pd.DataFrame, carry: np.ndarray) -> pd.DataFrame:
+        part = part.sort_values("p", ascending=False, kind="stable")
+        p, pos, neg, at = part["p"].to_numpy(), part["pos"].to_numpy(float), part["neg"].to_numpy(float), part[cluster].map(place).to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+        above, out = w @ carry, np.zeros((len(names), draws))  # (draws, pos and neg)
+        i = 0
+        while i < len(starts):
+            j = int(max(np.searchsorted(starts, starts[i] + block, side="left"), i + 1))
+            a, b = starts[i], starts[j] if j < len(starts) else len(p)
+            weight, first = w[:, at[a:b]], starts[i:j] - a
+            dp, dn = np.add.reduceat(weight * pos[a:b], first, axis=1), np.add.reduceat(weight * neg[a:b], first, axis=1)
+            tp, fp = np.cumsum(dp, axis=1) + above[:, :1], np.cumsum(dn, axis=1) + above[:, 1:]
+            out[0] += (dn * (tp - dp / 2)).sum(axis=1)
+            out[1] += np.where(dp > 0, dp * tp / np.maximum(tp + fp, 1), 0).sum(axis=1)
+            hit = p[starts[i:j]] >= 0.5
+            out[2] += dp[:, hit].sum(axis=1)
+            out[3] += dn[:, hit].sum(axis=1)
+            above, i = np.stack([tp[:, -1], fp[:, -1]], axis=1), j
+        return pd.DataFrame({"model": part["model"].iloc[0], "part": names, "v": list(out)})
+
+    sizes = rows.groupBy("model", cluster).agg(F.count("*").alias("n"), F.sum("y").alias("pos")).collect()  # models x clusters
+    totals: dict[str, np.ndarray] = {}
+    for r in sizes:
+        totals[r["model"]] = totals.get(r["model"], np.zeros((draws, 2))) + np.outer(w[:, place[r[cluster]]], [r["n"], r["pos"]])
+    shares = (0.05, 0.10)
+    size = {m: [np.maximum(1, np.ceil(t[:, 0] * f)) for f in shares] for m, t in totals.items()}
+    table = _discounts(int(max((k.max() for ks in size.values() for k in ks), default=1)))
+
+    def topped(part: pd.DataFrame, carry: np.ndarray) -> pd.DataFrame:
+        part = part.sort_values(["p", "_o", "y", cluster], ascending=[False, True, True, True], kind="stable")
+        model, y, at = part["model"].iloc[0], part["y"].to_numpy(float), part[cluster].map(place).to_numpy()
+        above, out = w @ carry[:, 0], np.zeros((2 * len(shares), draws))
+        for a in range(0, len(y), block):
+            if (above >= np.max(size[model], axis=0)).all():
+                break
+            weight = w[:, at[a : a + block]]
+            begin = np.cumsum(weight, axis=1) - weight + above[:, None]
+            for x, k in enumerate(size[model]):
+                taken = np.clip(k[:, None] - begin, 0, weight) * y[None, a : a + block]
+                out[2 * x] += taken.sum(axis=1)
+                at_rank = np.minimum(begin, k[:, None]).astype(np.int64)
+                out[2 * x + 1] += (_discount(table, at_rank + taken.astype(np.int64)) - _discount(table, at_rank)).sum(axis=1)
+            above = above + weight.sum(axis=1)
+        return pd.DataFrame({"model": model, "part": ["hits05", "dcg05", "hits10", "dcg10"], "v": list(out)})
+
+    schema = "model string, part string, v array<double>"
+    sums = _by_ranges(cells, [F.desc("p")], cluster, place, ["pos", "neg"], ranked, schema, rows_per_range)
+    sums = sums.unionByName(_by_ranges(rows.withColumn("n", F.lit(1)), [F.desc("p"), "_o"], cluster, place, ["n"], topped, schema, rows_per_range))
+    added = sums.select("model", "part", array_to_vector("v").alias("v")).groupBy("model", "part").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("v"))
+    found = {(r["model"], r["part"]): np.array(r["v"]) for r in added.collect()}  # a few rows of numbers for each model
+    out = []
+    for m, t in totals.items():
+        n, pos = t.T
+        neg, tp, fp = n - pos, found[m, "tp"], found[m, "fp"]
+        both = (pos > 0) & (neg > 0)
+        value = {"roc_auc": np.where(both, found[m, "won"] / np.maximum(pos * neg, 1), np.nan), "average_precision": np.where(both, found[m, "ap"] / np.maximum(pos, 1), np.nan), "f1": 2 * tp / np.maximum(tp + fp + pos, 1)}
+        for name, k in zip(("05", "10"), size[m]):
+            hits = found[m, f"hits{name}"]
+            value[f"top{name}_f1"] = np.where(hits > 0, 2 * hits / np.maximum(k + pos, 1), 0.0)
+            ideal = _discount(table, np.minimum(k, pos).astype(np.int64))
+            value[f"top{name}_ndcg"] = np.where(ideal > 0, found[m, f"dcg{name}"] / np.where(ideal > 0, ideal, 1), np.nan)
+        out += [(i, m, *(None if np.isnan(value[c][i]) else float(value[c][i]) for c in DRAW_METRICS)) for i in range(draws)]
+    return scores.sparkSession.createDataFrame(out, "iteration int, model string, " + ", ".join(f"{c} double" for c in DRAW_METRICS))
+
+
 def bootstrap_interval(metrics: DataFrame, baseline: str, candidate: str, column: str) -> DataFrame:
     """Mean, 2.5 and 97.5 % points and the share above 0 of paired differences."""
     of = lambda name: F.max(F.when(F.col("model") == name, F.col(column)))

@@ -247,6 +247,38 @@ def eps_components(df: DataFrame, key: str, km: float, lat: str = "lat", lon: st
     return df.select(key).join(placed, F.col(key) == F.col("_id"), "left").select(key, F.coalesce("cluster", key).alias("cluster"))
 
 
+def linkage(df: DataFrame, key: str, radii: Sequence[float], lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Single-linkage clusters at all ``radii`` (km, above 0) from one minimum
+    spanning forest: (key, cluster_<radius>...), each the smallest key of its
+    cluster; a row without a place is a cluster of its own.
+
+    Places within the least radius are one cluster to begin with. In each
+    round every cluster takes its shortest edge to another one (ties by the
+    keys at its ends, so that no round closes a circle), up to the largest
+    radius; clusters halve at least, and rows of one never meet. A cut of the
+    forest at a radius leaves that radius's clusters."""
+    spark, radii = df.sparkSession, sorted(map(float, radii))
+    base = settled(eps_components(df, key, radii[0], lat, lon).join(df.select(F.col(key).alias("_k"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon")), F.col(key) == F.col("_k")).select(F.col(key).alias("id"), F.col("cluster").alias("base"), "lat", "lon"))
+    kind = dict(base.dtypes)["base"]
+    forest, now = spark.createDataFrame([], f"a {kind}, b {kind}, km double"), base.withColumn("part", F.col("base"))
+    while True:
+        near = nearest(now, now, "id", "id", fold="part", within_km=radii[-1])
+        ends = F.struct("km_apart", F.least("id", "r_id").alias("lo"), F.greatest("id", "r_id").alias("hi"))
+        taken = settled(near.groupBy("part").agg(F.min(ends).alias("e")).select(F.col("e.lo").alias("lo"), F.col("e.hi").alias("hi"), F.col("e.km_apart").alias("km")).distinct())
+        if taken.isEmpty():
+            break
+        end = lambda c: now.select(F.col("id").alias(c), F.col("base").alias(f"base_{c}"), F.col("part").alias(f"part_{c}"))
+        named = settled(taken.join(end("lo"), "lo").join(end("hi"), "hi"))
+        forest = settled(forest.unionByName(named.select(F.col("base_lo").alias("a"), F.col("base_hi").alias("b"), "km")))
+        merged = connected(named.select(F.col("part_lo").alias("a"), F.col("part_hi").alias("b")))
+        now = settled(now.join(merged, now["part"] == merged["node"], "left").select("id", "base", "lat", "lon", F.coalesce("component", "part").alias("part")))
+    out = base.select("id", "base")
+    for r in radii:
+        cut = connected(forest.where(F.col("km") <= r)).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        out = out.join(cut, F.col("base") == F.col("_n"), "left").withColumn(f"cluster_{r:g}", F.coalesce("_c", "base")).drop("_n", "_c")
+    return out.withColumnRenamed("id", key).drop("base")
+
+
 def grid_cell(points: DataFrame, cells: DataFrame, key: str, half: float = 0.25, slack: float = 1e-6, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """The nearest cell centre of each point and whether its box holds the
     point: key, cell, in_cell. Cells (cell, lat, lon) are met by 1-degree

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settled
 from . import guards
 
 
@@ -102,12 +106,82 @@ def matched_columns(catalog: DataFrame, selected: Sequence[str], order: Column,
 
 def draws(df: DataFrame, cluster: str, iterations: int, seed: int) -> DataFrame:
     """Clusters drawn with replacement: (iteration, cluster, times), as many
-    draws an iteration as there are clusters. Clusters are a small catalogue."""
-    import numpy as np
-
-    names = sorted(r[cluster] for r in df.select(cluster).distinct().collect())
-    rng, rows = np.random.default_rng(seed), []
-    for i in range(iterations):
-        times = np.bincount(rng.integers(0, len(names), len(names)), minlength=len(names))
-        rows += [(i, names[j], int(t)) for j, t in enumerate(times) if t]
+    draws an iteration as there are clusters, ``MOST_DRAWN`` at most."""
+    names = sorted(r[cluster] for r in df.select(cluster).distinct().limit(MOST_DRAWN + 1).collect() if r[cluster] is not None)
+    if len(names) > MOST_DRAWN:
+        raise guards.ContractError(f"more than {MOST_DRAWN} clusters")
+    times = drawn_times(len(names), iterations, seed)
+    rows = [(int(i), names[j], int(times[i, j])) for i, j in zip(*np.nonzero(times))]
     return df.sparkSession.createDataFrame(rows, f"iteration int, {cluster} {dict(df.dtypes)[cluster]}, times int")
+
+
+def drawn_times(n: int, iterations: int, seed: int) -> np.ndarray:
+    """(iterations, n): how often each of n clusters is drawn in n draws."""
+    rng = np.random.default_rng(seed)
+    return np.stack([np.bincount(rng.integers(0, n, n), minlength=n) for _ in range(iterations)]) if n else np.zeros((iterations, 0), dtype=np.int64)
+
+
+#: Clusters whose draws reach the driver.
+MOST_DRAWN = 100_000
+#: Rows that a task shares draws out to, and parts that a group is cut in first.
+ROWS_PER_PART, FIRST_PARTS = 2048, 256
+
+
+def _shared_out(totals: np.ndarray, sizes: np.ndarray, seeds: Sequence[Any]) -> np.ndarray:
+    """(iterations, parts): each iteration's draws shared out over parts of
+    the given sizes, one binomial after another, by a seed of its own."""
+    out = np.zeros((len(totals), len(sizes)), dtype=np.int64)
+    for i, total in enumerate(totals):
+        out[i] = np.random.default_rng([i, *seeds]).multinomial(int(total), sizes / sizes.sum())
+    return out
+
+
+def resampled(df: DataFrame, by: Sequence[str], key: Sequence[str], iterations: int = 100, seed: int = 0, times: str = "times") -> DataFrame:
+    """``df`` with ``times``, an array of how often each row is drawn in each
+    of ``iterations`` resamples of its group of ``by``: with replacement, and
+    in all exactly as often as the group has rows.
+
+    The draws of a group go down a tree: to parts by a hash of the row, to
+    smaller parts of about ``ROWS_PER_PART`` rows, and to rows. Every share is
+    a multinomial with a seed made of the place in the tree, so the same rows
+    are drawn however the table is partitioned. ``key`` tells rows of a group
+    apart; rows that are equal in all columns are dealt alike. Only counts of
+    a group's first parts meet in one task."""
+    mark = F.xxhash64(F.lit(seed), *key)
+    digest = F.xxhash64(F.lit("group"), *by)
+    rows = df.withColumns({"_h": mark, "_g": digest, "_row": F.xxhash64(*df.columns)})
+    sizes = rows.groupBy("_g").agg(F.count("*").alias("_n"))
+    # a bounded catalogue of groups tells how finely each is cut
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / (FIRST_PARTS * ROWS_PER_PART))).cast("long")
+    cut = settled(rows.join(F.broadcast(settled(sizes)), "_g").withColumns({"_first": F.pmod("_h", F.lit(FIRST_PARTS)).cast("int"), "_second": F.pmod(F.floor(F.col("_h") / FIRST_PARTS), parts)}))
+    counts = settled(cut.groupBy("_g", "_first", "_second").agg(F.count("*").alias("_m")))
+
+    def first(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_first")
+        group, m = int(part["_g"].iloc[0]), part["_m"].to_numpy()
+        got = _shared_out(np.full(iterations, m.sum()), m, [seed, group & 0xFFFFFFFF, (group >> 32) & 0xFFFFFFFF])
+        return part[["_g", "_first"]].assign(_t=list(got.T))
+
+    def second(key_: tuple, part: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(above):
+            return pd.DataFrame({"_g": [], "_first": [], "_second": [], "_t": []})
+        part = part.sort_values("_second")
+        group = int(key_[0])
+        got = _shared_out(np.asarray(above["_t"].iloc[0]), part["_m"].to_numpy(), [seed, group & 0xFFFFFFFF, (group >> 32) & 0xFFFFFFFF, int(key_[1])])
+        return part[["_g", "_first", "_second"]].assign(_t=list(got.T))
+
+    def last(key_: tuple, part: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(above):
+            return pd.DataFrame({"_id": [], times: []})
+        part = part.sort_values(["_h", "_row", "_id"])
+        group = int(key_[0])
+        got = _shared_out(np.asarray(above["_t"].iloc[0]), np.ones(len(part)), [seed, group & 0xFFFFFFFF, (group >> 32) & 0xFFFFFFFF, int(key_[1]), int(key_[2]) + 1])
+        return part[["_id"]].assign(**{times: list(got.T.astype(np.int32))})
+
+    one = counts.groupBy("_g", "_first").agg(F.sum("_m").alias("_m")).groupBy("_g").applyInPandas(first, "_g long, _first int, _t array<long>")
+    keys = ["_g", "_first"]
+    two = counts.groupBy(*keys).cogroup(one.groupBy(*keys)).applyInPandas(second, "_g long, _first int, _second long, _t array<long>")
+    keys = [*keys, "_second"]
+    numbered = settled(cut.withColumn("_id", F.monotonically_increasing_id()))
+    three = numbered.select(*keys, "_h", "_row", "_id").groupBy(*keys).cogroup(two.groupBy(*keys)).applyInPandas(last, f"_id long, {times} array<int>")
+    return numbered.join(three, "_id").select(*df.columns, times)

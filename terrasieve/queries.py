@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -294,6 +295,49 @@ def cluster_bootstrap_all_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.bootstrap_interval(m, "base", "candidate", "roc_auc"))
 
 
+def state_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two scores of every item, with its state."""
+    two = F.array(F.struct(F.lit("base").alias("model"), (F.col("qty") / 50.0).alias("p")), F.struct(F.lit("candidate").alias("model"), (F.coalesce("disc", F.lit(0.05)) * 10).alias("p")))
+    return items(spark, sf_dir).select("row_index", "state", "y", F.inline(two))
+
+
+def intervals(drawn: DataFrame, names) -> DataFrame:
+    held = settled(drawn)
+    return rounded(guards.union_all([evaluate.bootstrap_interval(held, "base", "candidate", m) for m in names]))
+
+
+MANY = 2000
+RANKED = ("roc_auc", "average_precision", "f1")
+
+
+@query(
+    f"""WITH {ITEMS}, {ALL_DRAWS.replace('range(20)', f'range({MANY})')}, ce AS (
+  SELECT state, model, p, sum(y) AS a, sum(1 - y) AS b FROM (SELECT state, y, 'base' AS model, qty / 50.0::DOUBLE AS p FROM it UNION ALL SELECT state, y, 'candidate', coalesce(disc, 0.05::DOUBLE) * 10 FROM it) GROUP BY ALL
+), wc AS (SELECT iteration, model, p, sum(a * times) AS a, sum(b * times) AS b FROM ce JOIN dr USING (state) GROUP BY ALL
+), cu AS (SELECT *, sum(a) OVER w AS tp, sum(b) OVER w AS fp FROM wc WINDOW w AS (PARTITION BY iteration, model ORDER BY p DESC ROWS UNBOUNDED PRECEDING)
+), ms AS (SELECT iteration, model, sum(b * (tp - a / 2)) / (sum(a) * sum(b)) AS roc_auc, sum(CASE WHEN a > 0 THEN a * tp / (tp + fp) ELSE 0 END) / sum(a) AS average_precision,
+    2 * sum(CASE WHEN p >= 0.5 THEN a ELSE 0 END) / (sum(CASE WHEN p >= 0.5 THEN a + b ELSE 0 END) + sum(a)) AS f1 FROM cu GROUP BY iteration, model
+), df AS ({' UNION ALL '.join(f"SELECT '{m}' AS metric, iteration, max(CASE WHEN model = 'candidate' THEN {m} END) - max(CASE WHEN model = 'base' THEN {m} END) AS d FROM ms GROUP BY iteration" for m in RANKED)})
+SELECT metric, {r('avg(d)', 'mean_delta')}, {r('quantile_cont(d, 0.025)', 'low')}, {r('quantile_cont(d, 0.975)', 'high')}, {r('avg((d > 0)::INT)', 'share_above_0')}, count(d) AS iterations FROM df GROUP BY metric"""
+)
+def cluster_bootstrap_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired differences over 2,000 resamples of all states, by a table of
+    draws that SQL can make too."""
+    i, k = np.arange(MANY)[:, None], np.arange(25)[None]
+    drawn = ((i * i + 3 * i + 7) * k * k * k + (5 * i + 1) * k * k + 11 * k + i) % 101 * 7 % 25
+    times = np.stack([np.bincount(d, minlength=25) for d in drawn])
+    return intervals(evaluate.bootstrap_draws(state_scores(spark, sf_dir), "state", times, range(25)), RANKED)
+
+
+@query()
+def cluster_bootstrap_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All seven metrics in 2,000 seeded resamples of all states. Seeded draws
+    and top shares of repeated rows are beyond SQL; tests hold both."""
+    scores = settled(state_scores(spark, sf_dir))
+    states = sorted(r["state"] for r in scores.select("state").distinct().collect())  # nations
+    return intervals(evaluate.bootstrap_draws(scores, "state", splits.drawn_times(len(states), MANY, 20260622), states), evaluate.DRAW_METRICS)
+
+
 @query(
     f"""WITH {ITEMS}, cc AS (SELECT row_index % 97 AS repeat, avg(qty) AS v FROM it GROUP BY 1), ob AS (SELECT avg(qty) + 0.05 AS o FROM it)
 SELECT {r('max(o)', 'observed')}, count(*) AS repeats, {r('avg(v)', 'control_mean')}, {r('quantile_cont(v, 0.95)', 'control_p95')}, {r('(1.0 + count(*) FILTER (v >= o)) / (1.0 + count(*))', 'empirical_p')}, {r('avg((v < o)::INT)', 'percentile')} FROM cc, ob"""
@@ -536,6 +580,38 @@ def distance_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.eps_components(points(spark, sf_dir), "id", 25.0)
 
 
+LINKS = (10, 15, 20, 25)
+
+
+@query(
+    f"""WITH RECURSIVE {POINTS}, e AS (SELECT a.id AS a, b.id AS b, {km_sql('a', 'b')} AS km FROM pt a, pt b WHERE a.id <> b.id AND abs(a.lat - b.lat) < 0.3 AND abs(a.lon - b.lon) < 0.5), r AS (SELECT unnest([{', '.join(map(str, LINKS))}]) AS eps),
+rc(eps, id, c) AS (SELECT eps, id, id FROM pt, r UNION SELECT rc.eps, e.b, rc.c FROM rc JOIN e ON rc.id = e.a AND e.km <= rc.eps WHERE rc.c < e.b), m AS (SELECT eps, id, min(c) AS cluster FROM rc GROUP BY eps, id)
+SELECT id, {', '.join(f"max(cluster) FILTER (eps = {x}) AS cluster_{x}" for x in LINKS)} FROM m GROUP BY id"""
+)
+def linkage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of customers at four distances from one spanning forest."""
+    return spatial.linkage(points(spark, sf_dir), "id", LINKS)
+
+
+@query(
+    f"""WITH {ITEMS} SELECT env, y, i::INT AS iteration, count(*) AS drawn FROM it, range(100) a(i) GROUP BY env, y, i"""
+)
+def resample_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows drawn of each class of each region in 100 resamples: exactly as
+    many as there are. Tests hold the draws themselves."""
+    drawn = splits.resampled(items(spark, sf_dir), ["env", "y"], ["row_index"])
+    sums = drawn.groupBy("env", "y").agg(*[F.sum(F.get("times", F.lit(i))).alias(f"t{i}") for i in range(100)])
+    return sums.select("env", "y", F.posexplode(F.array(*[f"t{i}" for i in range(100)])).alias("iteration", "drawn"))
+
+
+@query()
+def resampled_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selection rates over 100 resamples within class; the draws are random,
+    so tests hold them, and ``selection_rates_of_100`` the rates."""
+    drawn = splits.resampled(items(spark, sf_dir), ["env", "y"], ["row_index"])
+    return rounded(stats.selection_rates(drawn, "env", "y", ["qty", "price", "disc", "tax"], lambda i: F.get("times", F.lit(i)), top_k=2))
+
+
 @query(
     f"""WITH {POINTS}, cl AS (SELECT i * 100 + j AS cell, 31.25 + i * 0.5 AS lat, -124.75 + j * 0.5 AS lon FROM range(30) a(i), range(40) b(j)),
 d AS (SELECT p.id, c.cell, abs(p.lat - c.lat) <= 0.250001 AND abs(p.lon - c.lon) <= 0.250001 AS inside, row_number() OVER (PARTITION BY p.id ORDER BY round(pow(p.lat - c.lat, 2) + pow(p.lon - c.lon, 2), 9), c.cell) AS nth
