@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.lineage import settled
 from .operators import catalog, evaluate, guards, spatial, splits, stats
-from .plans import boosting, fold_graph, linear, recipe
+from .plans import boosting, experiments, fold_graph, linear, logistic, recipe
 from .queries import ITEMS, METRICS, POINTS, Z_COLUMNS, Z_SQL, items, km_sql, metrics_sql, points, query, r, rounded
 
 FEATURES = ("qty", "price", "disc", "tax")
@@ -273,7 +273,7 @@ def recipe_perturbation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(linear.perturbation_report(moved, ["row_index", "state"]))
 
 
-REPEATS = 25
+REPEATS = 100
 
 def random_modes_sql() -> dict[str, tuple[str, ...]]:
     """Random controls that residualise one column, which (fold, repeat) tells."""
@@ -303,11 +303,11 @@ UNION ALL SELECT 'background_only', row_index, y, fold, state, qty, price, disc,
 UNION ALL SELECT 'mixed', row_index, y, fold, state, qty, price, disc, tax FROM (SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY y, fold, state % 2) AS n FROM b WINDOW w AS (PARTITION BY y, fold, state % 2 ORDER BY row_index * 31 % 10007, row_index, state, qty, tax)) WHERE y = 1 OR rn <= n // 2"""
 
 
-def scheme_models_sql() -> str:
+def scheme_models_sql(schemes: str = SCHEME_SQL) -> str:
     """The recipes' SQL with every row set and statistic by scheme too."""
     base = BASE.replace(" b AS (SELECT row_index", " all_b AS (SELECT row_index")
     head, rest = base.split(",\ntr AS (", 1)
-    schemes = SCHEME_SQL.replace("FROM b", "FROM all_b b")
+    schemes = schemes.replace("FROM b", "FROM all_b b")
     text = head + f",\nb AS (SELECT row_index, y, scheme || '/' || fold AS fold, state, qty, price, disc, tax, scheme, fold AS own FROM ({schemes})),\ntr AS (" + rest
     text = text.replace("(SELECT f.fold AS tf, b.* FROM b, (SELECT DISTINCT fold FROM b) f WHERE b.fold <> f.fold)", "(SELECT f.fold AS tf, b.* FROM b JOIN (SELECT DISTINCT fold, scheme FROM b) f ON b.scheme = f.scheme WHERE b.fold <> f.fold)")
     return text
@@ -333,6 +333,34 @@ def negative_source_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(guards.union_all(parts))
 
 
+RATIOS = (5, 10, 20)
+RATIO_ROWS = "(SELECT row_index, (y = 1 AND row_index % 8 = 7)::INT AS y, fold, state, qty, price, disc, tax FROM b) x"
+RATIO_SQL = " UNION ALL ".join(
+    f"""SELECT '{k}' AS scheme, row_index, y, fold, state, qty, price, disc, tax FROM (
+  SELECT *, row_number() OVER (PARTITION BY fold, y ORDER BY row_index * 31 % 10007, row_index, state, qty, tax) AS rn, sum(y) OVER (PARTITION BY fold) AS np FROM {RATIO_ROWS}) WHERE y = 1 OR rn <= {k} * np"""
+    for k in RATIOS
+)
+RATIO_RECIPES = ("NoClimate", "M4_Spearman")
+
+
+@query(
+    f"""WITH {scheme_models_sql(RATIO_SQL)}, {models_sql({k: RECIPE_MODES[k] for k in RATIO_RECIPES})}, {metrics_sql('of_', 'model, fold')}
+SELECT model, split_part(fold, '/', 1)::INT AS ratio, split_part(fold, '/', 2)::INT AS fold, n_pos, n_neg, {metric_columns(SHOWN)} FROM mx"""
+)
+def ratio_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two recipes with five, ten and twenty negatives for every positive of a
+    fold; returned seventh lines of an order are the rare positives."""
+    rare = settled(samples(spark, sf_dir).withColumn("y", ((F.col("y") == 1) & (F.col("row_index") % 8 == 7)).cast("int")))
+    parts = []
+    for k in RATIOS:
+        own = settled(splits.with_ratio(rare, "y", k, ["fold"], [F.col("row_index") * 31 % 10007, "row_index", "state", "qty", "tax"]))
+        own, models, sensitive, _ = fitted(spark, sf_dir, own)
+        linear.with_recipes(models, SETS, RATIO_RECIPES, sensitive)
+        m = evaluate.classification_metrics(scored(models, own), ["model", "fold"])
+        parts.append(m.select("model", F.lit(k).alias("ratio"), "fold", "n_pos", "n_neg", *SHOWN))
+    return rounded(guards.union_all(parts))
+
+
 @query(
     f"""WITH {BASE}, sd AS (SELECT tf, stddev_pop(qty) AS dq, stddev_pop(price) AS dp, avg(qty) AS mq, avg(price) AS mp FROM fl GROUP BY tf),
 z AS (SELECT tf, (qty - mq) / dq AS u, (price - mp) / dp AS v, disc - a_disc AS d, tax - a_tax AS t FROM fl JOIN sd USING (tf) JOIN st USING (tf)),
@@ -376,7 +404,7 @@ def contamination_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {GRAPH_BASE}, {models_sql({k: RECIPE_MODES[k] for k in ('NoClimate', 'M4_GraphGuided')}, choices='se2')}, {metrics_sql('of_', 'model, fold')}, d AS (
   SELECT fold, max(CASE WHEN model = 'M4_GraphGuided' THEN roc_auc END) - max(CASE WHEN model = 'NoClimate' THEN roc_auc END) AS d FROM mx GROUP BY fold),
-dr AS (SELECT i, (i * i * 7 + k * k * (i + 3) + k * 5 + i) % 101 % 5 AS fold FROM range(400) a(i), range(5) b(k)), m AS (SELECT i, avg(d) AS m FROM dr JOIN d USING (fold) GROUP BY i)
+dr AS (SELECT i, (i * i * 7 + k * k * (i + 3) + k * 5 + i) % 101 % 5 AS fold FROM range(10000) a(i), range(5) b(k)), m AS (SELECT i, avg(d) AS m FROM dr JOIN d USING (fold) GROUP BY i)
 SELECT {r('avg(m)', 'mean_delta')}, {r('quantile_cont(m, 0.025)', 'low')}, {r('quantile_cont(m, 0.975)', 'high')} FROM m"""
 )
 def replayed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,7 +422,7 @@ def replayed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda name: F.max(F.when(F.col("model") == name, F.col("roc_auc")))
     deltas = m.groupBy("fold").agg((of("M4_GraphGuided") - of("NoClimate")).alias("delta"))
     i, k = F.col("iteration"), F.col("k")
-    grid = spark.range(400).select(F.col("id").alias("iteration"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    grid = spark.range(10_000).select(F.col("id").alias("iteration"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
     times = grid.groupBy("iteration", ((i * i * 7 + k * k * (i + 3) + k * 5 + i) % 101 % 5).cast("int").alias("fold")).agg(F.count("*").alias("times"))
     return rounded(evaluate.fold_bootstrap(deltas, times))
 
@@ -585,12 +613,20 @@ def boosted_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def baseline_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dummy and a linear learner in stratified and in grouped folds. The
-    learners are those of ``pyspark.ml``, so there is no SQL; tests hold
-    coverage, the dummy's rate and the linear one's penalty."""
-    from .plans import experiments
-
-    pt = points(spark, sf_dir).select("id", "y", "state", "lat", "lon", "bal")
+    """All four plain learners in stratified and in grouped folds: a dummy, a
+    logistic model with a ridge, boosted trees and a forest. Trees are few (8
+    of 200, 20 of 300), and beyond SQL; tests hold the learners against plain
+    versions, coverage and the dummy's rate."""
+    features = ["lat", "lon", "bal"]
+    pt = points(spark, sf_dir).select("id", "y", "state", "lat", "lon", F.col("bal").cast("double").alias("bal"))
     schemes = {"stratified": splits.stratified_kfold(pt, "y", [F.col("id") * 7919 % 10007, "id"], splits.usable_splits(pt, "y")), "grouped": splits.group_kfold(pt, "state", 5)}
-    parts = [experiments.baselines(settled(f), ["lat", "lon", "bal"], "y", "id", ("dummy", "logistic_l2")).withColumn("cv", F.lit(name)) for name, f in schemes.items()]
+    parts = []
+    for name, rows in schemes.items():
+        rows = settled(rows)
+        plain = experiments.baselines(rows, features, "y", "id", ("dummy", "forest"), trees=20)
+        linear_ = logistic.score_folds(logistic.fit_all(rows, features, "y", "fold", penalty="l2"), rows, "fold", ["fold", F.col("y").cast("int").alias("y")])
+        models = linear.fit_folds(rows, features, "y")
+        trees = boosting.boost(models, rows, "id", {"hist_boosted": {f: (features, []) for f in models.grams}}, [], boosting.Settings(trees=8, rate=0.05, depth=4, rows=1.0, columns=1.0, ridge=0.0, least_weight=1e-3))
+        scores = trees.select("model", "fold", "y", "p").unionByName(linear_.select(F.lit("logistic_l2").alias("model"), "fold", "y", "p"))
+        parts += [p.withColumn("cv", F.lit(name)) for p in (plain, evaluate.classification_metrics(scores, ["model", "fold"]))]
     return rounded(guards.union_all(parts))

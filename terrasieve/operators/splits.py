@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import settled
-from . import guards
+from . import guards, ranges
 
 
 #: Groups that a split may have.
@@ -121,6 +121,31 @@ def drawn_times(n: int, iterations: int, seed: int) -> np.ndarray:
     return np.stack([np.bincount(rng.integers(0, n, n), minlength=n) for _ in range(iterations)]) if n else np.zeros((iterations, 0), dtype=np.int64)
 
 
+def matched_repeats(catalog: DataFrame, chosen: DataFrame, repeats: int, order: Column, others_only: bool = False) -> DataFrame:
+    """``matched_columns`` for the chosen columns (fold, column) of all folds,
+    ``repeats`` times each, in one window: (fold, repeat, column, quartile).
+    ``order`` may use fold, repeat and the columns of the catalogue, which are
+    a bounded table, as folds are."""
+    q = catalog.agg(F.percentile("missing_rate", F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)])).alias("_q"))
+    placed = catalog.crossJoin(F.broadcast(q)).withColumn("quartile", F.size(F.filter("_q", lambda x: x < F.col("missing_rate")))).drop("_q")
+    taken = chosen.join(placed.select("column", "quartile"), "column")
+    wanted = taken.groupBy("fold", "quartile").agg(F.count("*").alias("_wanted"))
+    pool = placed.join(F.broadcast(wanted), "quartile").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    if others_only:
+        pool = pool.join(F.broadcast(chosen), ["fold", "column"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("fold", "repeat", "quartile").orderBy("_order", "column"))
+    return pool.withColumn("_order", order).withColumn("_nth", place).where("_nth <= _wanted").select("fold", "repeat", "column", "quartile")
+
+
+def with_ratio(df: DataFrame, label: str, ratio: int, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """All positives, and of each stratum's negatives the first ``ratio`` for
+    every positive of the stratum in a pseudo-random order (all, if fewer)."""
+    positives, negatives = df.where(F.col(label) == 1), df.where(F.col(label) == 0)
+    sizes = positives.groupBy(*by).agg((F.count("*") * ratio).alias("_most"))
+    numbered = ranges.join_groups(guards.number_within(negatives, by, order, "_nth"), sizes, by)
+    return guards.union_all([positives, numbered.where(F.col("_nth") < F.col("_most")).select(*df.columns)])
+
+
 #: Clusters whose draws reach the driver.
 MOST_DRAWN = 100_000
 #: Rows that a task shares draws out to, and parts that a group is cut in first.

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import settled
-from ..operators import evaluate, splits, stats
+from ..operators import evaluate, stats
 from . import recipe, training
 
 
@@ -203,16 +203,3 @@ def held_out_predictability(df: DataFrame, sources: Sequence[str], targets: Sequ
     scored = models.score(df, [fold, *targets]).join(F.broadcast(table), F.col(fold) == F.col("_fold"))
     sums = scored.select(fold, "model", "p", observed.alias("o")).groupBy(fold, "model").agg(F.sum(F.pow(F.col("o") - F.col("p"), 2)).alias("e"), (F.var_pop("o") * F.count("o")).alias("t"))
     return sums.groupBy(fold).agg((1 - F.try_divide(F.sum("e"), F.sum("t"))).alias("r2"))
-
-
-def quartile_controls(catalog: DataFrame, chosen: Mapping[Any, set[str]], repeats: int, order) -> dict[tuple[Any, int], list[str]]:
-    """Random columns for each (fold, repeat), as many as were chosen and from
-    the same quartiles of missing rate; ``order(fold, repeat)`` is the
-    pseudo-random order. The catalogue of columns is small."""
-    out = {}
-    for f, columns in chosen.items():
-        for i in range(repeats):
-            rows = splits.matched_columns(catalog, sorted(columns), order(f, i)).collect() if columns else []
-            out[f, i] = sorted(r["column"] for r in rows)
-    return out
-

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from .functions import files
 from .functions import scalars as S
-from .functions.lineage import scratch
+from .functions.lineage import scratch, settled
 from .operators import catalog, evaluate, graph, guards, spatial, splits, stats
 from .plans import recipe
-from .queries import EFFECTS_SQL, ITEMS, POINTS, items, km_sql, points, query, r, rounded, table
+from .queries import EDGES_SQL, EFFECTS_SQL, ITEMS, POINTS, SPEARMAN_SQL, fusion_sql, items, km_sql, points, query, r, region_edges, rounded, table
 from .sources import audit, readers, sinks
 
 
@@ -222,51 +222,89 @@ def frozen_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.train_test(folds, range(4), "frozen").select("id", F.lit(splits.usable_splits(pt, "y")).cast("long").alias("n_splits"), "frozen", "test_fold", "is_test")
 
 
+#: Columns of the line items, their role, and every how many orders lack it.
+GAPPED = (
+    ("l_orderkey", "geo_structure", 0), ("l_partkey", "geo_structure", 3), ("l_suppkey", "geo_structure", 13), ("l_linenumber", "geo_structure", 4), ("l_quantity", "geochemistry", 7),
+    ("l_extendedprice", "geochemistry", 11), ("l_discount", "climate", 5), ("l_tax", "climate", 9), ("l_shipdate", "geochemistry", 6), ("l_returnflag", "geochemistry", 8), ("l_linestatus", "geochemistry", 0),
+)
+
+
+def gapped_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The role catalogue of line items of which some orders lack columns."""
+    li = table(spark, sf_dir, "lineitem")
+    gaps = [F.when(F.col("l_orderkey") % n != 0, F.col(c)).alias(c) if n else F.col(c) for c, _, n in GAPPED]
+    return catalog.role_catalog(li.select(*gaps), tuple(catalog.RoleRule("exact", c, role) for c, role, _ in GAPPED))
+
+
+GAPPED_SQL = "gc AS (" + " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS col, '{role}' AS role, avg(({c} IS NULL{f' OR l_orderkey % {n} = 0' if n else ''})::INT)::DOUBLE AS missing_rate, count(DISTINCT {f'CASE WHEN l_orderkey % {n} <> 0 THEN {c} END' if n else c}) AS n_unique FROM lineitem"
+    for i, (c, role, n) in enumerate(GAPPED)
+) + ")"
+
+
 @query(
-    """WITH c(column_name, missing_rate) AS (SELECT 'c' || i, i / 40.0::DOUBLE FROM range(40) t(i)), q AS (SELECT quantile_cont(missing_rate, 0.25) AS a, quantile_cont(missing_rate, 0.5) AS b, quantile_cont(missing_rate, 0.75) AS d FROM c),
-p AS (SELECT column_name, (missing_rate > a)::INT + (missing_rate > b)::INT + (missing_rate > d)::INT AS quartile FROM c, q), w AS (SELECT quartile, count(*) AS n FROM p WHERE column_name IN ('c1', 'c2', 'c15', 'c39') GROUP BY quartile),
-o AS (SELECT column_name, quartile, row_number() OVER (PARTITION BY quartile ORDER BY substr(column_name, 2)::INT * 13 % 41, column_name) AS rn FROM p)
-SELECT column_name AS "column", quartile FROM o JOIN w USING (quartile) WHERE rn <= n"""
+    f"""WITH {GAPPED_SQL}, q AS (SELECT quantile_cont(missing_rate, 0.25) AS a, quantile_cont(missing_rate, 0.5) AS b, quantile_cont(missing_rate, 0.75) AS d FROM gc),
+p AS (SELECT *, (missing_rate > a)::INT + (missing_rate > b)::INT + (missing_rate > d)::INT AS quartile FROM gc, q), f AS (SELECT unnest(range(5))::INT AS fold),
+ch AS (SELECT fold, col, quartile FROM p, f WHERE role = 'geochemistry' AND n_unique > fold AND (missing_rate * 100)::INT % 5 <> fold), w AS (SELECT fold, quartile, count(*) AS n FROM ch GROUP BY ALL),
+o AS (SELECT fold, rp.i::INT AS repeat, col, quartile, n, row_number() OVER (PARTITION BY fold, rp.i, quartile ORDER BY (position * (2 * rp.i + 7) + fold * 5 + rp.i * rp.i) % 101, col) AS rn FROM p JOIN w USING (quartile), range(100) rp(i))
+SELECT fold, repeat, col AS "column", quartile FROM o WHERE rn <= n"""
 )
 def matched_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random columns of the same quartiles of missing rate as chosen ones."""
-    cat = spark.range(40).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("column"), (F.col("id") / 40.0).alias("missing_rate"))
-    return splits.matched_columns(cat, ["c1", "c2", "c15", "c39"], F.substring("column", 2, 5).cast("int") * 13 % 41)
+    """For the columns that each fold chose, 100 times as many random ones of
+    the same quartiles of missing rate, from the catalogue of a table."""
+    cat = settled(gapped_catalog(spark, sf_dir))
+    chosen = cat.where("role = 'geochemistry'").crossJoin(spark.range(5).select(F.col("id").cast("int").alias("fold")))
+    chosen = chosen.where((F.col("n_unique") > F.col("fold")) & (F.round(F.col("missing_rate") * 100).cast("int") % 5 != F.col("fold"))).select("fold", "column")
+    i = F.col("repeat")
+    return splits.matched_repeats(cat, settled(chosen), 100, (F.col("position") * (2 * i + 7) + F.col("fold") * 5 + i * i) % 101)
 
 
 @query(
-    """SELECT climate, target, max(s) AS causal_score FROM (VALUES ('rain', 'copper', 0.4), ('rain', 'copper', 0.9), ('heat', 'gold', 0.2)) v(climate, target, s) GROUP BY ALL"""
+    f"""WITH {EDGES_SQL} SELECT CASE WHEN source_group = 'climate' THEN source ELSE target END AS climate, CASE WHEN source_group = 'climate' THEN target ELSE source END AS target, {r('max(stable_edge_score)', 'causal_score')}
+FROM cs WHERE (source_group = 'climate') <> (target_group = 'climate') GROUP BY ALL"""
 )
 def climate_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges with one climate end, whichever it is, the strongest of a pair."""
-    rows = [("rain", "copper", "climate", "geochemistry", 0.4), ("copper", "rain", "geochemistry", "climate", 0.9), ("gold", "heat", "geochemistry", "climate", 0.2), ("rain", "heat", "climate", "climate", 0.7), ("gold", "copper", "geochemistry", "geochemistry", 0.8)]
-    return graph.climate_projection(spark.createDataFrame(rows, "source string, target string, source_group string, target_group string, stable_edge_score double"))
+    """Edges of the regions with one climate end, the strongest of a pair."""
+    return rounded(graph.climate_projection(graph.edge_consensus(region_edges(spark, sf_dir), 5)))
+
+
+CONCEPTS = {"l_quantity": "qty", "l_linenumber": "qty", "l_extendedprice": "price", "l_returnflag": "price", "l_discount": "disc", "l_tax": "tax"}
 
 
 @query(
-    """WITH c(feature_name, concept, role, position, n_unique) AS (VALUES ('geochem_a', 'copper', 'geochemistry', 0, 9), ('geochem_b', 'copper', 'geochemistry', 1, 2), ('fault_c', 'faults', 'geo_structure', 2, 5), ('climate_d', 'copper', 'climate', 3, 9))
-SELECT feature_name, concept, role, position FROM c WHERE n_unique > 2 AND role IN ('geochemistry', 'geo_structure') AND concept = 'copper'"""
+    f"""WITH {SPEARMAN_SQL}, {EDGES_SQL.removeprefix(ITEMS + ", ")}, {GAPPED_SQL}, cp AS (SELECT source AS covariate, target, max(stable_edge_score) AS c FROM cs WHERE source_group = 'climate' AND target_group <> 'climate' GROUP BY ALL),
+j AS (SELECT sp.covariate AS climate, sp.target, abs(spearman) AS g, (abs(spearman) >= 0.002)::INT AS m, c FROM sp LEFT JOIN cp ON cp.covariate = sp.covariate AND cp.target = sp.target), f AS ({'WITH ' + fusion_sql()}),
+mp(feature_name, concept) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in CONCEPTS.items())})
+SELECT feature_name, concept, role, position FROM mp JOIN gc ON feature_name = col WHERE n_unique > 2 AND role IN ('geochemistry', 'geo_structure') AND concept IN (SELECT target FROM f WHERE selected)"""
 )
 def graph_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw features that selected edges reach and that can be residualised."""
-    cat = spark.createDataFrame([("geochem_a", "geochemistry", 0, 9), ("geochem_b", "geochemistry", 1, 2), ("fault_c", "geo_structure", 2, 5), ("climate_d", "climate", 3, 9)], "column string, role string, position int, n_unique long")
-    mapping = spark.createDataFrame([("geochem_a", "copper"), ("geochem_b", "copper"), ("fault_c", "faults"), ("climate_d", "copper")], "feature_name string, concept string")
-    fused = spark.createDataFrame([("copper", True), ("copper", False), ("faults", False)], "target string, selected boolean")
-    return graph.graph_targets(fused, mapping, cat)
+    """Raw columns of the line items that the selected edges of their graph
+    reach and that can be residualised."""
+    pairs = stats.spearman_pairs(items(spark, sf_dir), ["price", "qty"], ["disc", "tax"]).select(F.col("covariate").alias("climate"), "target", F.abs("spearman").alias("global_abs"))
+    pairs = settled(pairs)
+    m4 = pairs.select("climate", "target", (F.col("global_abs") >= 0.002).cast("int").alias("sensitive_rate"))
+    fused = graph.fuse_sensitivity(pairs, m4, graph.climate_projection(graph.edge_consensus(region_edges(spark, sf_dir), 5)))
+    mapping = spark.createDataFrame(list(CONCEPTS.items()), "feature_name string, concept string")
+    return graph.graph_targets(fused, mapping, gapped_catalog(spark, sf_dir))
 
 
 @query(
-    """SELECT name, string_agg(c, ',' ORDER BY i) AS columns FROM (VALUES ('full', 'l_quantity', 0), ('full', 'l_extendedprice', 1), ('full', 'l_discount', 2), ('full', 'l_tax', 3), ('no_climate', 'l_quantity', 0), ('no_climate', 'l_extendedprice', 1), ('core_geo', 'l_quantity', 0), ('core_geo', 'l_extendedprice', 1), ('geochemistry', 'l_quantity', 0), ('geochemistry', 'l_extendedprice', 1),
-  ('M4_GraphUnion raw', 'l_quantity', 0), ('M4_GraphUnion residual', 'l_extendedprice', 0)) v(name, c, i) GROUP BY name"""
+    f"""WITH {SPEARMAN_SQL}, se AS (SELECT CASE target WHEN 'qty' THEN 'l_quantity' ELSE 'l_extendedprice' END AS col, max(abs(spearman)) >= 0.004 AS hot FROM sp GROUP BY target),
+v(name, col, i) AS (VALUES ('full', 'l_quantity', 0), ('full', 'l_extendedprice', 1), ('full', 'l_discount', 2), ('full', 'l_tax', 3), ('no_climate', 'l_quantity', 0), ('no_climate', 'l_extendedprice', 1), ('core_geo', 'l_quantity', 0), ('core_geo', 'l_extendedprice', 1), ('geochemistry', 'l_quantity', 0), ('geochemistry', 'l_extendedprice', 1)),
+a AS (SELECT * FROM v UNION ALL SELECT CASE WHEN hot THEN 'M4_Spearman residual' ELSE 'M4_Spearman raw' END, col, (col <> 'l_quantity')::INT FROM se)
+SELECT name, string_agg(col, ',' ORDER BY i) AS columns FROM a GROUP BY name"""
 )
 def role_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature sets of a role catalogue, in its order, and a recipe of them."""
+    """Feature sets of a role catalogue, in its order, and the recipe that the
+    rank screen of the rows makes of them."""
     rule = catalog.RoleRule
     rules = (rule("contains", "price", "geochemistry"), rule("exact", "l_quantity", "geochemistry"), rule("prefix", "l_disc", "climate"), rule("exact", "l_tax", "climate"))
     cat = catalog.role_catalog(table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax"), rules)
     sets = catalog.feature_sets(cat)
-    raw, residual = recipe.columns_of("M4_GraphUnion", sets, {"l_extendedprice"}, {"l_extendedprice"})
-    named = {k: v for k, v in sets.items() if v} | {"M4_GraphUnion raw": raw, "M4_GraphUnion residual": residual}
+    names = {"qty": "l_quantity", "price": "l_extendedprice"}
+    found = {names[c] for c in recipe.sensitive_columns(items(spark, sf_dir), ["qty", "price"], ["disc", "tax"], 0.004)}
+    raw, residual = recipe.columns_of("M4_Spearman", sets, found)
+    named = {k: v for k, v in (sets | {"M4_Spearman raw": raw, "M4_Spearman residual": residual}).items() if v}
     return spark.createDataFrame([(k, ",".join(v)) for k, v in named.items()], "name string, columns string")
 
 
