@@ -401,6 +401,48 @@ def contamination_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sums.select(F.inline(F.array(*[F.struct(F.lit(g).alias("gamma"), F.col(f"a{i}").alias("raw_rmse"), F.col(f"b{i}").alias("recovered_rmse")) for i, g in enumerate(GAMMAS)]))))
 
 
+SPREAD_MODES = {k: RECIPE_MODES[k] for k in ("NoClimate", "M3_Broad")}
+
+
+def spread_sql() -> str:
+    """The recipes' SQL with quantity contaminated at each strength: the
+    filled rows and what follows from them by fold/strength."""
+    shifted = "qty + g * s_qty * ((disc - a_disc) / s_disc + CASE WHEN rho >= 0 THEN 1 ELSE -1 END * (tax - a_tax) / s_tax) / sqrt(2.0) / sqrt(1 + abs(rho)) AS qty, price, disc, tax"
+    tail = BASE[BASE.index("st AS (") : BASE.index("pr AS (")].rstrip().rstrip(",")
+    for name in ("st", "cg", "cw"):
+        tail = tail.replace(f"{name} AS (", f"{name}2 AS (").replace(f"FROM {name} ", f"FROM {name}2 ").replace(f"JOIN {name} ", f"JOIN {name}2 ")
+    test = "SELECT 'original' AS scenario, tf || '/' || g AS tf, row_index, y, state, " + shifted + " FROM tq"
+    models = models_sql(SPREAD_MODES, test, "s2")
+    for a, b in (("FROM fl x", "FROM fl2 x"), ("JOIN st ", "JOIN st2 "), ("JOIN cw ", "JOIN cw2 "), ("JOIN md ", "JOIN md2 ")):
+        models = models.replace(a, b)
+    return f"""{BASE}, gm2 AS (SELECT unnest([0.0, 0.5, 1.0, 2.0])::DOUBLE AS g), rh AS (SELECT tf, corr(disc, tax) AS rho FROM fl GROUP BY tf),
+fl2 AS (SELECT tf || '/' || g AS tf, y, {shifted} FROM fl JOIN st USING (tf) JOIN rh USING (tf), gm2), {tail.replace('FROM fl ', 'FROM fl2 ')},
+md2 AS (SELECT tf || '/' || g AS tf, {', '.join(f'm_{c}' for c in FEATURES)} FROM md, gm2), s2 AS (SELECT DISTINCT tf FROM fl2),
+tq AS (SELECT b.fold AS tf, row_index, y, state, {', '.join(f'coalesce({c}, m_{c}) AS {c}' for c in FEATURES)}, {', '.join(f'a_{c}, s_{c}' for c in FEATURES)}, rho, g FROM b JOIN md ON md.tf = b.fold JOIN st ON st.tf = b.fold JOIN rh ON rh.tf = b.fold, gm2), {models}"""
+
+
+@query(
+    f"""WITH {spread_sql()}, {metrics_sql('of_', 'model, fold')},
+rr AS (SELECT q.tf || '/' || q.g AS fold, q.qty AS clean, q.s_qty, {'x.' + 'qty AS raw, '}x.qty - t.a_qty - (x.disc - t.a_disc) / t.s_disc * wq_u - (x.tax - t.a_tax) / t.s_tax * wq_v AS resid
+  FROM (SELECT *, row_number() OVER (ORDER BY tf, g, row_index, state, qty, price, disc, tax) AS rn FROM tq) q JOIN (SELECT *, row_number() OVER (ORDER BY tf, g, row_index, state, clean, price, disc, tax) AS rn FROM (SELECT tf, g, row_index, state, qty AS clean, qty + g * s_qty * ((disc - a_disc) / s_disc + CASE WHEN rho >= 0 THEN 1 ELSE -1 END * (tax - a_tax) / s_tax) / sqrt(2.0) / sqrt(1 + abs(rho)) AS qty, price, disc, tax FROM tq)) x USING (rn)
+  JOIN st2 t ON t.tf = q.tf || '/' || q.g JOIN cw2 w ON w.tf = t.tf),
+rv AS (SELECT fold, sqrt(avg(pow((raw - clean) / s_qty, 2))) AS raw, sqrt(avg(pow((resid - clean) / s_qty, 2))) AS resid FROM rr GROUP BY fold)
+SELECT split_part(mx.fold, '/', 2)::DOUBLE AS gamma, model, split_part(mx.fold, '/', 1)::INT AS fold, {metric_columns(SHOWN)}, round(CASE WHEN model = 'M3_Broad' THEN resid ELSE raw END, 6) + 0.0 AS recovery FROM mx JOIN rv USING (fold)"""
+)
+def contaminated_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two recipes with quantity, which lacks no value, contaminated by the
+    climate score at four strengths, and how far it is from the clean one in
+    the held-out rows; every strength from one table of products."""
+    rows, models, *_ = fitted(spark, sf_dir)
+    sets = {"NoClimate": (["qty", "price"], []), "M3_Broad": ([], ["qty", "price"])}
+    told = linear.contamination(models, linear.own_grams(rows, models), ["qty"], SETS["climate_adjusters"], GAMMAS, sets)
+    m = evaluate.classification_metrics(scored(models, rows), ["model", "fold"])
+    part = lambda i: F.split("model", "/")[i]
+    m = m.select(part(0).alias("model"), part(1).cast("double").alias("gamma"), "fold", *SHOWN)
+    found = spark.createDataFrame([(g, n, f, a) for g, n, f, a, _, _ in told], f"gamma double, model string, fold {dict(rows.dtypes)['fold']}, recovery double")
+    return rounded(m.join(F.broadcast(found), ["gamma", "model", "fold"]).select("gamma", "model", "fold", *SHOWN, "recovery"))
+
+
 @query(
     f"""WITH {GRAPH_BASE}, {models_sql({k: RECIPE_MODES[k] for k in ('NoClimate', 'M4_GraphGuided')}, choices='se2')}, {metrics_sql('of_', 'model, fold')}, d AS (
   SELECT fold, max(CASE WHEN model = 'M4_GraphGuided' THEN roc_auc END) - max(CASE WHEN model = 'NoClimate' THEN roc_auc END) AS d FROM mx GROUP BY fold),

@@ -34,10 +34,10 @@ class FoldModels:
     grams: dict[Any, stats.Gram]
     solved: list[tuple[str, Any, float, list[float]]] = field(default_factory=list)
 
-    def made(self, fold: Any, raw: Sequence[str], residual: Sequence[str] = (), climate: Sequence[str] = (), residual_alpha: float = 10.0) -> np.ndarray:
+    def made(self, fold: Any, raw: Sequence[str], residual: Sequence[str] = (), climate: Sequence[str] = (), residual_alpha: float = 10.0, g: stats.Gram | None = None) -> np.ndarray:
         """The map from the filled columns (and the label) to a fold's
         features: raw ones, then residuals on the climate columns."""
-        g = self.grams[fold]
+        g = g or self.grams[fold]
         at = {c: i for i, c in enumerate(g.names)}
         made = np.zeros((len(g.names), len(raw) + len(residual)))
         for j, c in enumerate(raw):
@@ -51,19 +51,48 @@ class FoldModels:
                 made[c, len(raw) + j] -= w[:, j] / s
         return made
 
-    def add(self, model: str, fold: Any, raw: Sequence[str], residual: Sequence[str] = (), climate: Sequence[str] = (), residual_alpha: float = 10.0, alpha: float = 10.0, label: str | None = None) -> None:
+    def add(self, model: str, fold: Any, raw: Sequence[str], residual: Sequence[str] = (), climate: Sequence[str] = (), residual_alpha: float = 10.0, alpha: float = 10.0, label: str | None = None, mix: np.ndarray | None = None) -> None:
         """Solve one model of one fold: a ridge of the label (or of another
         column) on raw columns and on residuals of others on the climate
-        columns, all scaled by the training deviation."""
+        columns, all scaled by the training deviation. ``mix`` makes columns
+        of columns first, about their means."""
         g = self.grams[fold]
         at = {c: i for i, c in enumerate(g.names)}
-        made = self.made(fold, raw, residual, climate, residual_alpha)
+        if mix is not None:
+            g = stats.Gram(g.names, g.n, g.mean, mix.T @ g.cov @ mix)
+        made = self.made(fold, raw, residual, climate, residual_alpha, g)
         cov = made.T @ g.cov @ made
         s, y = _scale(np.diag(cov)), at[label or self.label]
         w = np.linalg.solve(g.n * cov / np.outer(s, s) + alpha * np.eye(len(s)), g.n * (made.T @ g.cov[:, y]) / s)
         b = made @ (w / s)
+        b = b if mix is None else mix @ b
         self.solved.append((model, fold, float(g.mean[y] - b @ g.mean), [float(b[at[c]]) for c in self.columns]))
 
+    def climate_axis(self, fold: Any, climate: Sequence[str]) -> np.ndarray:
+        """Weights of the columns in a fold's climate score: the first
+        component of the scaled climate columns, of deviation 1 among the
+        training rows (its sign as ``stats.ClimateScore`` has it)."""
+        g = self.grams[fold]
+        at = [g.names.index(c) for c in climate]
+        s = _scale(np.diag(g.cov)[at])
+        values, vectors = np.linalg.eigh(g.cov[np.ix_(at, at)] / np.outer(s, s))
+        v = vectors[:, -1]
+        v = v * np.sign(v[np.argmax(np.abs(v) >= np.abs(v).max() - 1e-9)])
+        out = np.zeros(len(g.names))
+        out[at] = v / s / (np.sqrt(max(values[-1], 0.0)) or 1.0)
+        return out
+
+    def contaminated(self, fold: Any, columns: Sequence[str], climate: Sequence[str], gamma: float) -> np.ndarray:
+        """The ``mix`` that adds ``gamma`` training deviations of the climate
+        score to each of the columns. They must lack no value, as one that is
+        missing would stay missing."""
+        g, axis = self.grams[fold], self.climate_axis(fold, climate)
+        mix = np.eye(len(g.names))
+        for c in columns:
+            i = g.names.index(c)
+            mix[:, i] += gamma * _scale(np.diag(g.cov)[[i]])[0] * axis
+        return mix
+
     def table(self, df: DataFrame) -> DataFrame:
         """One row for each fold: its medians and its models, a bounded catalogue."""
         rows = [(f, [m[c] for c in self.columns], [(n, b0, b) for n, of, b0, b in self.solved if of == f]) for f, m in self.medians.items()]
@@ -115,6 +144,56 @@ def at_radii(df: DataFrame, radii: Sequence[float], fold: str = "fold") -> DataF
     return df.withColumn("_radius", each).withColumn(fold, F.concat_ws("/", F.col(fold).cast("string"), F.col("_radius"))).drop("_radius")
 
 
+def own_grams(df: DataFrame, models: FoldModels) -> dict[Any, stats.Gram]:
+    """Products of each fold's own rows, filled with its training medians."""
+    rows = df.where(F.col(models.label).isNotNull()).select(models.fold, models.label, *models.columns)
+    fills = {(f,): m for f, m in models.medians.items()}
+    return {f: g for (f,), g in training.grams(rows, models.columns, models.label, models.fold, list(models.medians), fills, own=True).items()}
+
+
+def contamination(models: FoldModels, own: Mapping[Any, stats.Gram], columns: Sequence[str], climate: Sequence[str], gammas: Sequence[float], recipes: Mapping[str, tuple[Sequence[str], Sequence[str]]]) -> list[tuple]:
+    """Add every recipe (raw and residualised columns) at every strength of
+    contamination to the models, as <recipe>/<gamma>, and measure the columns
+    in the held-out rows: (gamma, model, fold, recovery, damage, climate_r2).
+
+    ``recovery`` is the root mean square of the columns' distance from the
+    clean ones in training deviations, ``damage`` that of the residualised
+    columns that were not contaminated (null without any), ``climate_r2`` how
+    well a ridge on the climate foretells the contaminated columns. All of it
+    follows from the products of the clean columns: no pass for a strength."""
+    out = []
+    for f, g in models.grams.items():
+        test, at = own.get(f), {c: i for i, c in enumerate(g.names)}
+        moment = None if test is None else test.cov + np.outer(test.mean - g.mean, test.mean - g.mean)  # about the training means
+        for gamma in gammas:
+            mix = models.contaminated(f, columns, climate, gamma)
+            mixed = stats.Gram(g.names, g.n, g.mean, mix.T @ g.cov @ mix)
+            for name, (raw, residual) in recipes.items():
+                models.add(f"{name}/{gamma:g}", f, raw, residual, climate, mix=mix)
+                if test is None:
+                    continue
+                made = mix @ models.made(f, raw, residual, climate, g=mixed)  # of the clean columns, about their means
+                place = {c: j for j, c in enumerate([*raw, *residual])}
+
+                def distance(names: Sequence[str]) -> float | None:
+                    errors = []
+                    for c in (c for c in names if c in place):
+                        e = made[:, place[c]].copy()
+                        e[at[c]] -= 1.0
+                        shift = -g.mean[at[c]] if c in residual else 0.0  # residuals are about 0
+                        errors.append((e @ moment @ e + 2 * shift * (e @ (test.mean - g.mean)) + shift**2) / _scale(np.diag(g.cov)[[at[c]]])[0] ** 2)
+                    return float(np.sqrt(max(np.mean(errors), 0.0))) if errors else None
+
+                t, c = made[:, [place[x] for x in columns if x in place]], [at[x] for x in climate]
+                s = _scale(np.diag(g.cov)[c])
+                w = np.linalg.solve(g.n * g.cov[np.ix_(c, c)] / np.outer(s, s) + 10.0 * np.eye(len(c)), g.n * (g.cov @ t)[c] / s[:, None]) / s[:, None]
+                e = t.copy()
+                e[c] -= w
+                sse, sst = np.einsum("ij,ik,kj->", e, moment, e), np.einsum("ij,ik,kj->", t, test.cov, t)
+                out.append((float(gamma), name, f, distance(columns), distance([x for x in residual if x not in columns]), float(1 - sse / sst) if sst > 0 else None))
+    return out
+
+
 def ranked_pairs(df: DataFrame, targets: Sequence[str], climate: Sequence[str], fold: str = "fold") -> DataFrame:
     """Rank correlations of each fold's training rows, settled: screens and
     graphs both read them."""

@@ -59,9 +59,10 @@ def medians(df: DataFrame, columns: Sequence[str], fold: str, folds: Sequence[An
     return out
 
 
-def grams(df: DataFrame, columns: Sequence[str], label: str | None, fold: str, folds: Sequence[Any], fills: dict[tuple, dict[str, float]], by: Sequence[str] = ()) -> dict[tuple, stats.Gram]:
-    """{(fold, *by): ``Gram`` of its training rows}, nulls of ``columns``
-    filled from ``fills``; rows without ``label`` are left out.
+def grams(df: DataFrame, columns: Sequence[str], label: str | None, fold: str, folds: Sequence[Any], fills: dict[tuple, dict[str, float]], by: Sequence[str] = (), own: bool = False) -> dict[tuple, stats.Gram]:
+    """{(fold, *by): ``Gram`` of its training rows, or of its ``own`` rows},
+    nulls of ``columns`` filled from ``fills``; rows without ``label`` are left
+    out.
 
     Values enter about one mean of all rows, with a column that tells where
     they are missing, so that any filling is a linear map of the products."""
@@ -77,8 +78,9 @@ def grams(df: DataFrame, columns: Sequence[str], label: str | None, fold: str, f
     for group, (n_all, s_all, p_all) in total.items():
         for f in folds:
             n0, s0, p0 = raw.get((*group, f), (0.0, np.zeros(k), np.zeros((k, k))))
-            if n_all > n0:
-                out[(f, *group)] = _filled(names, n_all - n0, s_all - s0, p_all - p0, mean, gaps, fills.get((f, *group), {}))
+            n, s, p = (n0, s0, p0) if own else (n_all - n0, s_all - s0, p_all - p0)
+            if n > 0:
+                out[(f, *group)] = _filled(names, n, s, p, mean, gaps, fills.get((f, *group), {}))
     return out
 
 
