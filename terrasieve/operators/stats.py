@@ -527,13 +527,6 @@ def standardized_rmse(pairs: Sequence[tuple[Column, Column, Column]]) -> Column:
     return F.sqrt(F.try_divide(total, count))
 
 
-def held_out_r2(pairs: Sequence[tuple[Column, Column]]) -> Column:
-    """Aggregate over (observed, predicted): 1 - summed SSE / summed SST."""
-    sse = sum((F.sum(F.pow(y - p, 2)) for y, p in pairs), F.lit(0.0))
-    sst = sum((F.var_pop(y) * F.count(y) for y, _ in pairs), F.lit(0.0))
-    return 1 - F.try_divide(sse, sst)
-
-
 def min_max_scaled(df: DataFrame, columns: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
     """``df`` with {name: column} scaled to 0..1 over all rows of a group: 0 where no row
     has a value, 1 where all values are alike (to 9 digits); a missing value

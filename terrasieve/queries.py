@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .functions.lineage import settled
 from .operators import catalog, evaluate, graph, guards, series, spatial, splits, stats
-from .plans import experiments, learners
+from .plans import experiments, learners, logistic
 from .sources import audit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -657,6 +657,39 @@ def perturbation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.perturbation_effect(scored, "o", {"plus": "plus", "minus": "minus"}))
 
 
+@query(
+    f"""WITH {ITEMS}, s AS (SELECT 1 / (1 + exp(-(tax * 100 - qty / 10))) AS o, 1 / (1 + exp(-(tax * 100 + 1 - qty * 1.1::DOUBLE / 10))) AS p, 1 / (1 + exp(-(tax * 100 - 1 - qty * 0.9::DOUBLE / 10))) AS m FROM it), l AS (SELECT 'plus' AS scenario, p - o AS d FROM s UNION ALL SELECT 'minus', m - o FROM s)
+SELECT scenario, {r('avg(d)', 'mean_delta')}, {r('avg(abs(d))', 'mean_abs_delta')}, {r('median(abs(d))', 'median_abs_delta')}, {r('quantile_cont(abs(d), 0.95)', 'p95_abs_delta')}, {r('max(abs(d))', 'max_abs_delta')}, {r('avg((abs(d) > 0.05)::INT)', 'share_over_005')} FROM l GROUP BY scenario"""
+)
+def perturbation_of_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column named as a temperature moves by a degree, another by a tenth."""
+    it = items(spark, sf_dir).select((F.col("tax") * 100).alias("env_Temperature_annual_mean"), F.col("qty").alias("env_rain_annual_sum"))
+    p = lambda of: S.sigmoid(of["env_Temperature_annual_mean"] - of["env_rain_annual_sum"] / 10)
+    scored = it.select(*[p(evaluate.perturbed(it.columns, s, {})).alias(s) for s in evaluate.SHIFTS])
+    return rounded(evaluate.perturbation_effect(scored, "original", {"plus": "plus", "minus": "minus"}))
+
+
+@query()
+def environment_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of all four kinds of evidence, each from the rows: AUC, selection
+    rates over 100 exact resamples, the importances of a forest, and the sparse
+    logistic models of all regions. Draws and learners are beyond SQL; tests
+    hold each of them. 20 of the 500 trees, to stay short."""
+    columns = ["qty", "price", "disc", "tax"]
+    it = settled(items(spark, sf_dir))
+    rates = stats.selection_rates(splits.resampled(it, ["env", "y"], ["row_index"]), "env", "y", columns, lambda i: F.get("times", F.lit(i)), top_k=2)
+    sparse = spark.createDataFrame([(e, c, b) for e, _, c, b in logistic.coefficients(logistic.fit_all(it, columns, "y", by=["env"]))], f"env {dict(it.dtypes)['env']}, concept string, coefficient double")
+    forests = []
+    for e in sorted(r["env"] for r in it.select("env").distinct().collect()):  # five regions
+        model = learners.fit(it.where(F.col("env") == e), columns, "y", "forest", trees=20)
+        forests += [(e, c, v) for c, v in learners.importances(model, columns)]
+    forest = spark.createDataFrame(forests, f"env {dict(it.dtypes)['env']}, concept string, importance double")
+    votes = stats.feature_effects(it, "env", "y", columns)
+    for evidence in (rates.select("env", "concept", F.col("selection_rate").alias("rate")), forest, sparse.withColumn("coefficient", F.when(F.abs("coefficient") > 1e-9, F.col("coefficient")).otherwise(0.0))):
+        votes = votes.join(F.broadcast(settled(evidence)), ["env", "concept"], "left")  # regions x columns
+    return rounded(graph.vote_signals(votes, 5, top_rank=1, rate="rate", importance="importance", coefficient="coefficient"))
+
+
 @query(
     f"""WITH {ITEMS}, s AS (SELECT stddev_pop(price) AS sp, avg(tax) AS mt, stddev_pop(tax) AS st FROM it), c AS (SELECT g, price AS x, price + g * sp * (tax - mt) / st AS y, sp FROM it, s, (SELECT unnest([0.0, 0.5, 1.0, 2.0])::DOUBLE AS g))
 SELECT g AS gamma, {r('sqrt(avg(pow((y - x) / sp, 2)))', 'standardized_rmse')} FROM c GROUP BY g"""

@@ -105,12 +105,6 @@ def read_fixed_grid(spark: SparkSession, path: str, sentinel: float = -99.999) -
     ).select("year", "cell", F.nullif(F.col("v").try_cast("double"), F.lit(float(sentinel))).alias("value"))
 
 
-def melt_years(df: DataFrame, year: str = "year") -> DataFrame:
-    """A year x cell table in long form: (year, cell, value)."""
-    cells = [c for c in df.columns if c != year]
-    return df.unpivot([year], cells, "cell", "value")
-
-
 def datasets_below(spark: SparkSession, root: str, suffix: str) -> list[str]:
     """Files of a suffix below a folder; a table that is a folder counts once."""
     found = [m[1] for f in files.files_below(spark, root) if (m := re.match(rf"(.*?{re.escape(suffix)})(/|$)", f))]
