@@ -73,8 +73,8 @@ def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
 
 def centroids_for(n_rows: int) -> int:
     """Centroids a half: they grow with the table, so that the pairs' lists
-    do not; 512 at most (262,144 pairs)."""
-    return int(min(512, max(4, math.sqrt(n_rows) / 8)))
+    do not; 1,024 at most, as the counts of all pairs (8 MB) are held."""
+    return int(min(1024, max(4, math.sqrt(n_rows) / 8)))
 
 
 def fit_index(unit: np.ndarray, n_rows: int, seed: int = 4) -> MultiIndex:
@@ -190,6 +190,7 @@ def search(
     sample: int = 8192,
     measured: int = 256,
     block: int = 16_384,
+    query_block: int = 65_536,
 ) -> DataFrame:
     """The ``neighbours`` nearest rows by cosine of the rows that ``queries``
     picks, without the query's own id: query_id, rank, vec_id and score.
@@ -201,8 +202,8 @@ def search(
     visited for ``recall``. A query visits centroid pairs by summed distance
     from a heap until they hold that share, and reranks what they list by
     exact cosine. Work is dealt by first-half centroid, blocks of its rows and
-    blocks of the queries that visit it, so a crowded list is split, and a
-    list that few queries visit is not sent out again and again.
+    larger blocks of the queries that visit it, so a crowded list is split,
+    and a list is sent out once for each ``query_block`` queries.
 
     Vectors null, zero, empty, with null or non-finite components, or of
     another length than most have no part, nor have rows without id. Ties go
@@ -230,7 +231,7 @@ def search(
         return pd.DataFrame({"first": a, "second": b})
 
     coded = common.settled(data.withColumn("code", encode("vector")).select("vec_id", "vector", "asked", "code.first", "code.second"))
-    counted = coded.groupBy("first", "second").count().toPandas()  # at most 512 x 512 pairs
+    counted = coded.groupBy("first", "second").count().toPandas()  # at most 1,024 x 1,024 pairs
     index.counts[counted["first"], counted["second"]] = counted["count"]
     ids, at = np.unique([r["vec_id"] for r in chosen[: 4 * measured]], return_index=True)
     ids, unit = ids[:measured], known[at[:measured]]
@@ -255,7 +256,7 @@ def search(
     for r in wanted.groupBy("q_first").count().collect():  # a row for each centroid of the first half
         visitors[r["q_first"]] = r["count"]
     of = lambda numbers, c: F.get(F.array(*[F.lit(int(x)) for x in numbers]), c)
-    query_blocks = np.ceil(visitors / block).astype(int)  # none where no query comes
+    query_blocks = np.ceil(visitors / query_block).astype(int)  # none where no query comes
     wanted = wanted.withColumn("q_block", F.pmod(F.xxhash64("query_id"), of(query_blocks, F.col("q_first"))).cast("int")).withColumn(
         "q_row_block", F.explode(F.sequence(F.lit(0), of(row_blocks, F.col("q_first")) - 1))
     )

@@ -9,14 +9,6 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def length_bin(length: Column) -> Column:
-    """Upper edge of a length's bin: exact below 128, else 64 to 128 bins an
-    octave. One rule for all sizes, so a histogram has at most some 4,000 rows
-    however many documents there are. ``pack`` does not use it."""
-    width = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double"))) - 6, F.lit(0))).cast("long")
-    return (F.ceil(length / width) * width).cast("long")
-
-
 def best_boundaries(longest: np.ndarray, counts: np.ndarray, sums: np.ndarray, n_buckets: int) -> tuple[list[int], int]:
     """Boundaries (bucket maxima, ascending) of least total padding, and it.
 

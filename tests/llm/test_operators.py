@@ -383,8 +383,6 @@ def test_packing_of_odd_rows(spark, odd):
     out = packing.pack_documents(odd, n_buckets=3, token_budget=1000).toPandas()
     assert len(out) == 11 and out.length.min() == 1 and out[out.length > 1000].groupby("batch").size().max() == 1
     assert packing.pack_documents(empty(odd)).count() == 0
-    bins = spark.createDataFrame([(x,) for x in (0, 1, 127, 128, 129, 255, 256, 257, 10**6)], "x long").select("x", packing.length_bin(F.col("x")).alias("b")).collect()
-    assert all(r["b"] >= r["x"] and r["b"] - r["x"] <= r["x"] / 64 for r in bins) and all(r["b"] == r["x"] for r in bins if r["x"] < 128)
 
 
 # --- language ---------------------------------------------------------------
