@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from .guards import ContractError
 
 
 @dataclass(frozen=True)
@@ -115,10 +116,16 @@ def rules_frame(spark: SparkSession, rules: Sequence[tuple], columns: str) -> Da
     return spark.createDataFrame([(i, *r) for i, r in enumerate(rules)], f"rule_no int, {columns}")
 
 
+#: Rules that a catalogue may have: they are broadcast.
+MOST_RULES = 10_000
+
+
 def resolve_first_match(features: DataFrame, rules: DataFrame, feature: str = "feature_name") -> DataFrame:
     """Each feature with the columns of the first rule that matches it, nulls
     where none does, and ``mapped``. Rules (rule_no, match_type, pattern, ...)
-    are a bounded catalogue and are broadcast."""
+    are ``MOST_RULES`` at most and are broadcast."""
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ContractError(f"more than {MOST_RULES} rules")
     test = matches(F.col(feature), F.col("match_type"), F.col("pattern"))
     hit = features.select(feature).distinct().join(F.broadcast(rules), test)
     w = Window.partitionBy(feature).orderBy("rule_no")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, graph, guards, spatial
-from . import learners, recipe
+from . import learners, recipe, training
 
 
 def out_of_fold(
@@ -29,7 +29,7 @@ def out_of_fold(
     the training rows of each fold; with ``buffer_km``, training rows near a
     test row are left out (columns lat, lon)."""
     parts = []
-    for f in [r[fold] for r in df.select(fold).distinct().orderBy(fold).collect()]:
+    for f in training.fold_names(df, fold):
         train, test = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
         train = spatial.remove_buffer(train, test, key, buffer_km)
         if train.select(label).distinct().count() < 2:
@@ -46,7 +46,7 @@ def baselines(df: DataFrame, features: Sequence[str], label: str, key: str, name
     """Metrics of plain learners by fold: (model, fold, ...). The dummy draws
     1 with the training rate."""
     parts = []
-    for f in [r[fold] for r in df.select(fold).distinct().orderBy(fold).collect()]:
+    for f in training.fold_names(df, fold):
         train, test = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
         rate = train.agg(F.avg(F.col(label).cast("double"))).first()[0]
         if rate is None or not 0 < rate < 1:
@@ -82,7 +82,7 @@ def discover_edges(df: DataFrame, env: str, label: str, columns: Sequence[str],
     columns that a sparse logistic model of the label selects. Environments
     are a bounded catalogue."""
     names, chosen = [*columns, label], {}
-    for value in [r[env] for r in df.select(env).distinct().orderBy(env).collect()] if sparse else []:
+    for value in training.fold_names(df, env) if sparse else []:
         part = df.where(F.col(env).eqNullSafe(F.lit(value)))
         if part.select(label).distinct().count() == 2:
             chosen[value] = set(learners.l1_selected(learners.fit(part, columns, label, "logistic_l1"), columns))

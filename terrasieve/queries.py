@@ -246,24 +246,25 @@ def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.summarize(m, ["model"], ["roc_auc", "f1"]))
 
 
-DRAWS = "dr AS (SELECT i AS iteration, (i * 7 + k * 13) % 25 AS state, count(*) AS times FROM range(20) a(i), range(25) b(k) GROUP BY ALL)"
+REGION_DRAWS = "dr AS (SELECT i AS iteration, ((i * i + 3) * k * k + (2 * i + 1) * k + i * 3) % 11 % 5 AS env, count(*) AS times FROM range(20) a(i), range(5) b(k) GROUP BY ALL)"
 
 
 @query(
-    f"""WITH {ITEMS}, {DRAWS}, sc AS (
-  SELECT iteration, model, y, p, times FROM dr JOIN (SELECT state, 'base' AS model, y, qty / 50.0::DOUBLE AS p FROM it UNION ALL SELECT state, 'candidate', y, coalesce(disc, 0.05::DOUBLE) * 10 FROM it) s ON s.state = dr.state % 7 * 3
+    f"""WITH {ITEMS}, {REGION_DRAWS}, sc AS (
+  SELECT iteration, model, y, p, times FROM dr JOIN (SELECT env, 'base' AS model, y, qty / 50.0::DOUBLE AS p FROM it UNION ALL SELECT env, 'candidate', y, coalesce(disc, 0.05::DOUBLE) * 10 FROM it) s USING (env)
 ), rp AS (SELECT iteration, model, y, p FROM sc, range(times)), {metrics_sql('rp', 'iteration, model')}, df AS (
   SELECT iteration, max(CASE WHEN model = 'candidate' THEN roc_auc END) - max(CASE WHEN model = 'base' THEN roc_auc END) AS d FROM mx GROUP BY iteration
 )
 SELECT 'roc_auc' AS metric, {r('avg(d)', 'mean_delta')}, {r('quantile_cont(d, 0.025)', 'low')}, {r('quantile_cont(d, 0.975)', 'high')}, {r('avg((d > 0)::INT)', 'share_above_0')}, count(d) AS iterations FROM df"""
 )
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paired differences over resampled states, with a fixed table of draws."""
+    """Paired differences over resamples of all regions, with a table of draws."""
     it = items(spark, sf_dir)
-    scores = it.select("state", "y", F.inline(F.array(F.struct(F.lit("base").alias("model"), (F.col("qty") / 50.0).alias("p")), F.struct(F.lit("candidate").alias("model"), (F.coalesce("disc", F.lit(0.05)) * 10).alias("p")))))
-    grid = spark.range(20).select(F.col("id").alias("iteration"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("k"))
-    times = grid.groupBy("iteration", ((F.col("iteration") * 7 + F.col("k") * 13) % 25 % 7 * 3).cast("int").alias("state")).agg(F.count("*").alias("times"))
-    m = evaluate.cluster_bootstrap(scores, times, "state", ["base", "candidate"])
+    scores = it.select("env", "y", F.inline(F.array(F.struct(F.lit("base").alias("model"), (F.col("qty") / 50.0).alias("p")), F.struct(F.lit("candidate").alias("model"), (F.coalesce("disc", F.lit(0.05)) * 10).alias("p")))))
+    i, k = F.col("iteration"), F.col("k")
+    grid = spark.range(20).select(F.col("id").alias("iteration"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k"))
+    times = grid.groupBy("iteration", (((i * i + 3) * k * k + (2 * i + 1) * k + i * 3) % 11 % 5).cast(dict(it.dtypes)["env"]).alias("env")).agg(F.count("*").alias("times"))
+    m = evaluate.cluster_bootstrap(scores, times, "env", ["base", "candidate"])
     return rounded(evaluate.bootstrap_interval(m, "base", "candidate", "roc_auc"))
 
 
@@ -287,8 +288,7 @@ def state_draws(spark: SparkSession) -> DataFrame:
 SELECT 'roc_auc' AS metric, {r('avg(d)', 'mean_delta')}, {r('quantile_cont(d, 0.025)', 'low')}, {r('quantile_cont(d, 0.975)', 'high')}, {r('avg((d > 0)::INT)', 'share_above_0')}, count(d) AS iterations FROM df"""
 )
 def cluster_bootstrap_all_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paired differences over resamples of all states. ``cluster_bootstrap``
-    and its SQL draw 7 of them, alike in every iteration."""
+    """Paired differences over resamples of all states."""
     it = items(spark, sf_dir)
     scores = it.select("state", "y", F.inline(F.array(F.struct(F.lit("base").alias("model"), (F.col("qty") / 50.0).alias("p")), F.struct(F.lit("candidate").alias("model"), (F.coalesce("disc", F.lit(0.05)) * 10).alias("p")))))
     m = evaluate.cluster_bootstrap(scores, state_draws(spark), "state", ["base", "candidate"])
@@ -530,18 +530,26 @@ def grid_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {POINTS}, d AS (SELECT a.id, b.id AS r_id, {km_sql('a', 'b')} AS km FROM pt a, pt b WHERE a.state % 5 = 0 AND b.state % 5 <> 0), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, r_id) AS nth FROM d)
-SELECT id, r_id, round(km, 4) + 0.0 AS km_apart FROM n WHERE nth = 1"""
+    f"""WITH {POINTS}, d AS (SELECT a.id, b.state AS r_state, b.id AS r_id, {km_sql('a', 'b')} AS km FROM pt a JOIN pt b ON a.state <> b.state)
+SELECT id, r_state, min_by(r_id, (round(km, 9), r_id)) AS r_id, round(min(km), 4) + 0.0 AS km_apart FROM d GROUP BY id, r_state HAVING min(km) <= 150"""
 )
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest customer of every other state within 150 km of each."""
     pt = points(spark, sf_dir)
-    return rounded(spatial.nearest(pt.where("state % 5 = 0"), pt.where("state % 5 <> 0"), "id", "id"), 4)
+    return rounded(spatial.nearest(pt, pt, "id", "id", fold="state", each_fold=True, within_km=150.0).select("id", "r_state", "r_id", "km_apart"), 4)
 
 
-@query(f"WITH {POINTS} SELECT a.id FROM pt a WHERE a.state % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM pt b WHERE b.state % 5 = 0 AND {km_sql('a', 'b')} <= 20)")
+@query(
+    f"""WITH {POINTS}, f AS (SELECT DISTINCT state FROM pt WHERE state IS NOT NULL), n AS (SELECT count(*) AS n FROM pt),
+c AS (SELECT f.state, count(*) AS n FROM pt a JOIN f ON a.state <> f.state WHERE EXISTS (SELECT 1 FROM pt b WHERE b.state = f.state AND abs(a.lat - b.lat) < 0.2 AND {km_sql('a', 'b')} <= 20) GROUP BY f.state)
+SELECT f.state, count(*) AS own, any_value(n.n) - count(*) - coalesce(any_value(c.n), 0) AS n_train FROM pt JOIN f USING (state) LEFT JOIN c USING (state), n GROUP BY f.state"""
+)
 def buffer_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each state as the test fold, its rows and the training rows that a
+    buffer of 20 km around them leaves."""
     pt = points(spark, sf_dir)
-    return spatial.remove_buffer(pt.where("state % 5 <> 0"), pt.where("state % 5 = 0"), "id", 20.0).select("id")
+    left = spatial.remove_buffers(pt, "state", "id", 20.0).groupBy("state").agg(F.count("*").alias("n_train"))
+    return pt.groupBy("state").agg(F.count("*").alias("own")).join(left, "state")
 
 
 def folded_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -879,6 +887,23 @@ def row_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guards.with_row_index(o, ["o_orderdate", "o_orderkey"], rows_per_range=5000).select("o_orderkey", F.col("row_index").cast("long").alias("row_index"))
 
 
+@query(
+    f"""WITH {POINTS}, o AS (SELECT id, CASE WHEN id % 50 = 0 THEN 1 - y ELSE y END AS y, lat + CASE WHEN id % 70 = 0 THEN 0.01 ELSE 0 END AS lat, CASE WHEN id % 90 <> 0 THEN lon END AS lon, state FROM pt WHERE id % 40 <> 0),
+j AS (SELECT pt.id AS a, o.id AS b, pt.y AS y, o.y AS y2, pt.lat, o.lat AS lat2, pt.lon, o.lon AS lon2, pt.state, o.state AS state2 FROM pt FULL JOIN o ON pt.id = o.id)
+SELECT count(*) AS n_keys, count(*) FILTER (b IS NULL) AS left_only, count(*) FILTER (a IS NULL) AS right_only, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL AND y IS DISTINCT FROM y2) AS differ_y,
+  count(*) FILTER (a IS NOT NULL AND b IS NOT NULL AND state IS DISTINCT FROM state2) AS differ_state, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL AND coalesce(abs(lat - lat2) > 1e-6, (lat IS NULL) <> (lat2 IS NULL))) AS differ_lat,
+  count(*) FILTER (a IS NOT NULL AND b IS NOT NULL AND coalesce(abs(lon - lon2) > 1e-6, (lon IS NULL) <> (lon2 IS NULL))) AS differ_lon FROM j"""
+)
+def metadata_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers against a copy that lacks some and changes labels and places."""
+    pt = points(spark, sf_dir)
+    k = F.col("id")
+    other = pt.where(k % 40 != 0).select(
+        "id", F.when(k % 50 == 0, 1 - F.col("y")).otherwise(F.col("y")).alias("y"), (F.col("lat") + F.when(k % 70 == 0, 0.01).otherwise(0.0)).alias("lat"), F.when(k % 90 != 0, F.col("lon")).alias("lon"), "state"
+    )
+    return audit.metadata_mismatches(pt, other, ["id"], ["y", "state"], ["lat", "lon"])
+
+
 @query(
     """WITH m AS (SELECT 'labels' AS "table", count(*) AS n_rows, count(*) FILTER (quality = 1) AS n_positive, 9::BIGINT AS want FROM labels)
 SELECT "table", 'n_rows' AS field, '9' AS expected, n_rows::VARCHAR AS measured FROM m WHERE n_rows <> 9 UNION ALL SELECT "table", 'n_positive', '7', n_positive::VARCHAR FROM m WHERE n_positive <> 7"""
@@ -912,7 +937,7 @@ def dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {ITEMS}, dr AS (SELECT it.*, i, (row_index * 7 + i * 13) % 3 AS times FROM it, range(4) a(i)), rp AS (SELECT dr.* FROM dr, range(times)),
+    f"""WITH {ITEMS}, dr AS (SELECT it.*, i, (row_index * (2 * i + 3) + i * 13) % 3 AS times FROM it, range(12) a(i)), rp AS (SELECT dr.* FROM dr, range(times)),
 lg AS ({' UNION ALL '.join(f"SELECT env, i, y, '{c}' AS concept, {c}::DOUBLE AS v FROM rp WHERE {c} IS NOT NULL" for c in ('qty', 'price', 'disc', 'tax'))}),
 rk AS (SELECT env, i, concept, y, rank() OVER w + (count(*) OVER (PARTITION BY env, i, concept, v) - 1) / 2.0 AS rk FROM lg WINDOW w AS (PARTITION BY env, i, concept ORDER BY v)),
 au AS (SELECT env, i, concept, (sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) AS auc FROM rk GROUP BY env, i, concept),
@@ -921,8 +946,8 @@ SELECT env, concept, {r('avg((nth <= 2)::INT)', 'selection_rate')}, count(*) AS
 )
 def selection_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resamples by a fixed table of weights, so that both engines draw alike."""
-    times = lambda i: (F.col("row_index") * 7 + i * 13) % 3
-    return rounded(stats.selection_rates(items(spark, sf_dir), "env", "y", Z_COLUMNS, times, iterations=4, top_k=2))
+    times = lambda i: (F.col("row_index") * (2 * i + 3) + i * 13) % 3
+    return rounded(stats.selection_rates(items(spark, sf_dir), "env", "y", Z_COLUMNS, times, iterations=12, top_k=2))
 
 
 @query(

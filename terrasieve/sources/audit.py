@@ -43,6 +43,23 @@ def manifest_differences(measured: DataFrame, manifest: DataFrame, keys: list[st
     return both.select(*keys, F.explode(fields).alias("f")).select(*keys, "f.*").where(~F.col("expected").eqNullSafe(F.col("measured")))
 
 
+def metadata_mismatches(left: DataFrame, right: DataFrame, keys: list[str], exact: list[str], near: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """One row: how two tables of the same samples agree. Keys of either side
+    alone, and for shared keys how many differ in each ``exact`` column (a
+    null equals a null) and in each ``near`` one by more than ``tolerance``."""
+    side = lambda df, p: df.select(*keys, *[F.col(c).alias(f"{p}{c}") for c in (*exact, *near)], F.lit(True).alias(f"{p}here"))
+    both = side(left, "_l_").join(side(right, "_r_"), keys, "full")
+    shared = F.col("_l_here").isNotNull() & F.col("_r_here").isNotNull()
+    apart = {c: ~F.col(f"_l_{c}").eqNullSafe(F.col(f"_r_{c}")) for c in exact}
+    for c in near:
+        a, b = F.col(f"_l_{c}"), F.col(f"_r_{c}")
+        apart[c] = F.coalesce(F.abs(a - b) > tolerance, a.isNull() != b.isNull())
+    return both.agg(
+        F.count("*").alias("n_keys"), F.count_if(F.col("_r_here").isNull()).alias("left_only"), F.count_if(F.col("_l_here").isNull()).alias("right_only"),
+        *[F.count_if(shared & x).alias(f"differ_{c}") for c, x in apart.items()],
+    )
+
+
 def lines_matching(spark: SparkSession, path: str, patterns: list[str], glob: str = "*") -> DataFrame:
     """Lines of text files that match a forbidden pattern: path, pattern, line."""
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("line"))
