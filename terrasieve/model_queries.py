@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.lineage import settled
-from .operators import catalog, evaluate, guards, spatial, splits, stats
+from .operators import catalog, evaluate, guards, series, spatial, splits, stats
 from .plans import boosting, experiments, fold_graph, linear, logistic, recipe
-from .queries import ITEMS, METRICS, POINTS, Z_COLUMNS, Z_SQL, items, km_sql, metrics_sql, points, query, r, rounded
+from .queries import ITEMS, METRICS, POINTS, Z_COLUMNS, Z_SQL, items, km_sql, metrics_sql, points, query, r, rounded, table
 
 FEATURES = ("qty", "price", "disc", "tax")
 SETS = {"full": ["qty", "price", "disc", "tax"], "no_climate": ["qty", "price"], "core_geo": ["qty", "price"], "climate_adjusters": ["disc", "tax"], "geochemistry": ["qty", "price"]}
@@ -367,8 +367,10 @@ z AS (SELECT tf, (qty - mq) / dq AS u, (price - mp) / dp AS v, disc - a_disc AS
 e AS (SELECT tf, sum(u * u) + 10 AS g_0_0, sum(u * v) AS g_0_1, sum(u * v) AS g_1_0, sum(v * v) + 10 AS g_1_1, sum(u * d) AS hd0, sum(v * d) AS hd1, sum(u * t) AS ht0, sum(v * t) AS ht1 FROM z GROUP BY tf),
 ed AS (SELECT tf, g_0_0, g_0_1, g_1_0, g_1_1, hd0 AS g_0_2, hd1 AS g_1_2 FROM e), et AS (SELECT tf, g_0_0, g_0_1, g_1_0, g_1_1, ht0 AS g_0_2, ht1 AS g_1_2 FROM e), {solved_sql('ed', 'tf', 2, 'wd')}, {solved_sql('et', 'tf', 2, 'wt')},
 te AS (SELECT b.fold AS tf, (coalesce(qty, m_qty) - mq) / dq AS u, (coalesce(price, m_price) - mp) / dp AS v, coalesce(disc, m_disc) AS d, coalesce(tax, m_tax) AS t FROM b JOIN md ON b.fold = md.tf JOIN sd ON b.fold = sd.tf),
-ss AS (SELECT te.tf AS fold, sum(pow(d - a_disc - u * wd.w0 - v * wd.w1, 2)) + sum(pow(t - a_tax - u * wt.w0 - v * wt.w1, 2)) AS sse, var_pop(d) * count(*) + var_pop(t) * count(*) AS sst FROM te JOIN st ON te.tf = st.tf JOIN wd ON te.tf = wd.tf JOIN wt ON te.tf = wt.tf GROUP BY te.tf)
-SELECT fold, {r('1 - sse / sst', 'r2')} FROM ss"""
+fo AS (SELECT te.tf, d, t, round(a_disc + u * wd.w0 + v * wd.w1, 9) AS pd, round(a_tax + u * wt.w0 + v * wt.w1, 9) AS pt FROM te JOIN st ON te.tf = st.tf JOIN wd ON te.tf = wd.tf JOIN wt ON te.tf = wt.tf),
+ro AS (SELECT *, {', '.join(f"rank() OVER (PARTITION BY tf ORDER BY {c}) + (count(*) OVER (PARTITION BY tf, {c}) - 1) / 2.0 AS r_{c}" for c in ('d', 't', 'pd', 'pt'))} FROM fo),
+ss AS (SELECT tf AS fold, sum(pow(d - pd, 2)) + sum(pow(t - pt, 2)) AS sse, var_pop(d) * count(*) + var_pop(t) * count(*) AS sst, (corr(r_d, r_pd) + corr(r_t, r_pt)) / 2 AS rho FROM ro GROUP BY tf)
+SELECT fold, {r('1 - sse / sst', 'r2')}, {r('rho', 'mean_spearman')} FROM ss"""
 )
 def held_out_predictability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the climate columns are foretold by the others in held-out folds."""
@@ -553,6 +555,34 @@ def climate_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contrasts(evaluate.classification_metrics(scored(with_climate_sets(models, rows, pairs), rows), ["model", "fold"]), CLIMATE_CONTRASTS)
 
 
+#: Customers with the mean of a band of cells, by the nearest cell that holds
+#: them, over half a year of events.
+ALIGNED_ROWS = f"""{POINTS}, cl AS (SELECT i * 100 + j AS cell, 31.25 + i * 0.5 AS lat, -124.75 + j * 0.5 AS lon FROM range(36) a(i), range(46) b(j)),
+gd AS (SELECT p.id, c.cell, abs(p.lat - c.lat) <= 0.250001 AND abs(p.lon - c.lon) <= 0.250001 AS inside, row_number() OVER (PARTITION BY p.id ORDER BY round(pow(p.lat - c.lat, 2) + pow(p.lon - c.lon, 2), 9), c.cell) AS nth FROM pt p, cl c WHERE abs(p.lat - c.lat) < 2.5 AND abs(p.lon - c.lon) < 2.5),
+bv AS (SELECT user_id % 36 AS band, avg(value) AS mean FROM events WHERE dayofyear(ts) BETWEEN 1 AND 180 GROUP BY band),
+b AS (SELECT pt.id AS row_index, y, (state % 5)::INT AS fold, state, bal::DOUBLE AS qty, (pt.id % 53)::DOUBLE AS price, pt.lon AS disc, mean::DOUBLE AS tax FROM pt JOIN gd ON gd.id = pt.id AND nth = 1 AND inside JOIN bv ON band = cell // 100 WHERE mean IS NOT NULL)"""
+
+
+@query(f"WITH {folds_sql(ALIGNED_ROWS)}, {models_sql(CLIMATE_MODES)}, {metrics_sql('of_', 'model, fold')} SELECT model, fold, n_pos, n_neg, {metric_columns(SHOWN)} FROM mx")
+def aligned_climate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models of samples aligned with a grid: each takes the past climate of
+    the cell that holds it, a mean over a window of the cells' series; those
+    without one are left out. Today's climate, the past one, or both adjust."""
+    pt = points(spark, sf_dir)
+    steps = lambda n: spark.range(n).select(F.col("id"))
+    cells = steps(36).select(F.col("id").alias("i")).crossJoin(F.broadcast(steps(46).select(F.col("id").alias("j"))))  # a grid of fixed size
+    cells = cells.select((F.col("i") * 100 + F.col("j")).alias("cell"), (31.25 + F.col("i") * 0.5).alias("lat"), (-124.75 + F.col("j") * 0.5).alias("lon"))
+    placed = spatial.grid_cell(pt, cells, "id").where("in_cell").select(F.col("id").alias("_id"), F.floor(F.col("cell") / 100).alias("band"))
+    values = table(spark, sf_dir, "events").select((F.col("user_id") % 36).alias("band"), F.dayofyear("ts").alias("year"), "value")
+    past = series.period_summary(values, [(1, 180)], by=("band",)).where("mean is not null").select("band", F.col("mean").alias("tax"))
+    aligned = pt.join(placed, pt["id"] == placed["_id"]).join(F.broadcast(past), "band")  # a row for each band
+    named = {"qty": F.col("bal").cast("double"), "price": (F.col("id") % 53).cast("double"), "disc": F.col("lon"), "tax": F.col("tax")}
+    rows = settled(aligned.select(F.col("id").alias("row_index"), "y", (F.col("state") % 5).cast("int").alias("fold"), "state", *[c.alias(k) for k, c in named.items()]))
+    rows, models, _, pairs = fitted(spark, sf_dir, rows)
+    m = evaluate.classification_metrics(scored(with_climate_sets(models, rows, pairs), rows), ["model", "fold"])
+    return rounded(m.select("model", "fold", "n_pos", "n_neg", *SHOWN))
+
+
 #: The tax is a block of further features, discount the climate.
 ENHANCED_MODES = {f"{m}{plus}": (q, p, "0", "1" if plus else "0") for m, (q, p) in {"M2": ("1", "1"), "M3": ("3", "3"), "M4": chosen("_d", 3)[:2]}.items() for plus in ("", "+block")}
 ENHANCED_CONTRASTS = tuple((f"{m}: block", m, f"{m}+block") for m in ("M2", "M3", "M4")) + (("M4 - M2 with block", "M2+block", "M4+block"),)

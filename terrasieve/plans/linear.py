@@ -270,8 +270,9 @@ def perturbation_report(scores: DataFrame, keys: Sequence[str], by: Sequence[str
 
 def held_out_predictability(df: DataFrame, sources: Sequence[str], targets: Sequence[str], fold: str = "fold") -> DataFrame:
     """How well a ridge on ``sources`` foretells ``targets`` in rows that it
-    did not see: (fold, r2), weighted by the targets' variances. Missing
-    values take the training medians on both sides."""
+    did not see: (fold, r2, mean_spearman), the first weighted by the targets'
+    variances, the second the mean rank correlation of a target with its
+    forecast. Missing values take the training medians on both sides."""
     columns = [*sources, *targets]
     models = fit_folds(df.withColumn("_one", F.lit(1)), columns, "_one", fold)
     for f in models.grams:
@@ -280,5 +281,9 @@ def held_out_predictability(df: DataFrame, sources: Sequence[str], targets: Sequ
     table = models.table(df).select("_fold", F.slice("_fill", len(sources) + 1, len(targets)).alias("_t"))
     observed = F.element_at(F.create_map(*[x for i, t in enumerate(targets) for x in (F.lit(t), F.coalesce(F.col(t).cast("double"), F.get("_t", F.lit(i))))]), F.col("model"))
     scored = models.score(df, [fold, *targets]).join(F.broadcast(table), F.col(fold) == F.col("_fold"))
-    sums = scored.select(fold, "model", "p", observed.alias("o")).groupBy(fold, "model").agg(F.sum(F.pow(F.col("o") - F.col("p"), 2)).alias("e"), (F.var_pop("o") * F.count("o")).alias("t"))
-    return sums.groupBy(fold).agg((1 - F.try_divide(F.sum("e"), F.sum("t"))).alias("r2"))
+    # forecasts to nine digits, so that equal rows tie
+    seen = settled(scored.select(fold, "model", F.round("p", 9).alias("p"), observed.alias("o")))
+    sums = seen.groupBy(fold, "model").agg(F.sum(F.pow(F.col("o") - F.col("p"), 2)).alias("e"), (F.var_pop("o") * F.count("o")).alias("t"))
+    ranks = stats.spearman_pairs(seen, ["o"], ["p"], 2, by=[fold, "model"]).groupBy(F.col(fold).alias("_f")).agg(F.avg("spearman").alias("mean_spearman"))
+    out = sums.groupBy(fold).agg((1 - F.try_divide(F.sum("e"), F.sum("t"))).alias("r2"))
+    return out.join(ranks, F.col(fold).eqNullSafe(F.col("_f")), "left").select(fold, "r2", "mean_spearman")
