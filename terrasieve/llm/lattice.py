@@ -69,7 +69,6 @@ class Units:
         self.maybe = np.zeros(1 << 20, dtype=bool)
         self.maybe[self.keys >> np.uint64(44)] = True
         self.lengths = sorted({len(p) for p in self.pieces})
-        self.by_piece = None
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The unit of each hash, or -1."""
@@ -127,11 +126,11 @@ def backward(edges: list, m: int, n: int) -> np.ndarray:
     return beta
 
 
-def _by_length(words: list[bytes], most_cells: int = 40_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(indices, rows of bytes) of words of one length each, in slices."""
-    sizes = np.array([len(w) for w in words])
+def _by_length(words: list[bytes], chosen: np.ndarray, most_cells: int = 40_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(indices, rows of bytes) of the chosen words of one length each, in slices."""
+    sizes = np.array([len(words[k]) for k in chosen], dtype=np.int64)
     for n in np.unique(sizes):
-        at = np.flatnonzero(sizes == n)
+        at = chosen[sizes == n]
         for i in range(0, len(at), step := max(1, most_cells // int(n))):
             part = at[i : i + step]
             yield part, np.frombuffer(b"".join(words[k] for k in part), dtype=np.uint8).reshape(len(part), n)
@@ -140,106 +139,124 @@ def _by_length(words: list[bytes], most_cells: int = 40_000) -> Iterator[tuple[n
 def word_log_probs(words: list[bytes], units: Units) -> np.ndarray:
     """Natural log of each word's marginal probability (without the mark)."""
     marked = [WORD_MARK + w for w in words]
-    out = np.zeros(len(words))
-    for at, rows in _by_length(marked):
+    sizes = np.array([len(w) for w in marked], dtype=np.int64)
+    out, long = np.zeros(len(words)), np.flatnonzero(sizes > _SHORT)
+    for at, rows in _by_length(marked, np.flatnonzero(sizes <= _SHORT)):
         n = rows.shape[1]
-        out[at] = forward(units.edges(rows), len(at), n)[n] if n <= _SHORT else [_long_word(marked[k], units) for k in at]
+        out[at] = forward(units.edges(rows), len(at), n)[n]
+    for part in _alike(sizes[long]):
+        out[long[part]] = _long_forward([marked[k] for k in long[part]], units)[2]
     return out
 
 
-def _long_word(word: bytes, units: Units) -> float:
-    """The forward recursion of one long word with a window of past values."""
-    if units.by_piece is None:
-        units.by_piece = dict(zip(units.pieces, units.logp.tolist()))
-    table, longest = units.by_piece, units.lengths[-1]
-    alpha = [0.0]
-    for j in range(1, len(word) + 1):
-        terms = []
-        for size in range(1, min(longest, j, len(alpha)) + 1):
-            p = table.get(word[j - size : j])
-            if p is not None:
-                terms.append(alpha[-size] + p)
-        top = max(terms)
-        alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
-        if len(alpha) > longest + 1:
-            alpha.pop(0)
-    return alpha[-1]
-
-
-def _steps(word: bytes, a: int, b: int, units: Units) -> list[list[tuple[int, int, float]]]:
-    """For each end a + 1 to b the (size, unit, log-probability) of the pieces
-    that stop there, shortest first."""
-    start = max(0, a - units.lengths[-1])
-    out: list[list[tuple[int, int, float]]] = [[] for _ in range(b - a)]
-    for size, unit, logp in units.edges(np.frombuffer(word, dtype=np.uint8)[start:b][None, :]):
-        for i in np.flatnonzero(unit[0] >= 0).tolist():
-            if (end := start + i + size) > a:
-                out[end - a - 1].append((size, int(unit[0, i]), float(logp[0, i])))
+def _alike(sizes: np.ndarray, most: int = 64, spread: float = 1.25) -> Iterator[np.ndarray]:
+    """Indices of words in batches of ``most`` of about the same length."""
+    order, i = np.argsort(sizes, kind="stable"), 0
+    while i < len(order):
+        j = i + 1
+        while j < min(len(order), i + most) and sizes[order[j]] <= spread * sizes[order[i]]:
+            j += 1
+        yield order[i:j]
+        i = j
+
+
+def _padded(words: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(words), max(map(len, words))), dtype=np.uint8)
+    for row, w in zip(out, words):
+        row[: len(w)] = np.frombuffer(w, dtype=np.uint8)
     return out
 
 
-def _extend(alpha: list[float], steps: list[list[tuple[int, int, float]]]) -> None:
-    """Add the forward value of each end to ``alpha``."""
-    for here in steps:
-        if len(here) == 1:
-            size, _, p = here[0]
-            alpha.append(alpha[-size] + p)
-            continue
-        terms = [alpha[-size] + p for size, _, p in here]
-        top = max(terms)
-        alpha.append(top + math.log(sum([math.exp(t - top) for t in terms])))
+def _ending(rows: np.ndarray, a: int, b: int, units: Units) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probability and unit (-1: none) of the pieces of each length that
+    end after a + 1 to b bytes: (ends, lengths, words)."""
+    start = max(0, a - units.lengths[-1])
+    logs = np.full((b - a, len(units.lengths), len(rows)), -np.inf)
+    found = np.full(logs.shape, -1, dtype=np.int32)
+    place = {size: k for k, size in enumerate(units.lengths)}
+    for size, unit, logp in units.edges(rows[:, start:b]):
+        first = max(0, a + 1 - size - start)
+        ends = slice(start + first + size - a - 1, b - a)
+        logs[ends, place[size]], found[ends, place[size]] = logp[:, first:].T, unit[:, first:].T
+    return logs, found
+
+
+def _forward_block(window: np.ndarray, logs: np.ndarray, units: Units) -> np.ndarray:
+    """The forward values of the block behind those before it (the window)."""
+    held, back = len(window), np.array(units.lengths)
+    alpha = np.concatenate([window, np.empty((len(logs), window.shape[1]))])
+    for t, here in enumerate(logs):
+        x = alpha[held + t - back] + here
+        top = x.max(axis=0)
+        x -= top
+        np.exp(x, out=x)
+        alpha[held + t] = top + np.log(x.sum(axis=0))
+    return alpha
+
+
+def _long_forward(words: list[bytes], units: Units, block: int = 512) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """The rows of bytes of a batch of words, the window before each block and
+    the log of each word's probability. Every byte is a piece, so that no
+    value before a word's end is minus infinity."""
+    rows, sizes, longest = _padded(words), np.array([len(w) for w in words]), units.lengths[-1]
+    window = np.full((longest, len(words)), -np.inf)
+    window[-1] = 0
+    windows, whole = [], np.zeros(len(words))
+    for a in range(0, rows.shape[1], block):
+        b = min(rows.shape[1], a + block)
+        windows.append(window)
+        alpha = _forward_block(window, _ending(rows, a, b, units)[0], units)
+        done = np.flatnonzero((sizes > a) & (sizes <= b))
+        whole[done] = alpha[longest + sizes[done] - a - 1, done]
+        window = alpha[-longest:]
+    return rows, windows, whole
 
 
-def _long_counts(word: bytes, weight: float, units: Units, total: np.ndarray, block: int = 8192) -> None:
-    """Add the expected uses of each unit in one long word to ``total``.
+def _long_counts(words: list[bytes], weights: np.ndarray, units: Units, total: np.ndarray, block: int = 512) -> None:
+    """Add the expected uses of each unit in a batch of long words to ``total``.
 
     Forward by blocks of which only the last values are kept, then backward
     from the last block, whose forward values are found again from those."""
-    n, longest = len(word), units.lengths[-1]
-    cuts = list(range(0, n, block))
-    before, alpha, steps = [], [0.0], []
-    for a in cuts:
-        before.append(alpha[-longest:])
-        alpha = list(before[-1])
-        steps = _steps(word, a, min(n, a + block), units)
-        _extend(alpha, steps)
-    whole = alpha[-1]
-    beta = {n: 0.0}  # by start; those before the block are yet partial
-    for k in range(len(cuts) - 1, -1, -1):
-        a, b = cuts[k], min(n, cuts[k] + block)
-        if k < len(cuts) - 1:
-            steps, alpha = _steps(word, a, b, units), list(before[k])
-            _extend(alpha, steps)
-        offset = a - len(before[k]) + 1  # alpha[j - offset] is that of j bytes
-        hits, shares = [], []
-        for j in range(b, a, -1):
-            after = beta.pop(j)
-            for size, unit, p in steps[j - a - 1]:
-                i = j - size
-                hits.append(unit)
-                shares.append(alpha[i - offset] + p + after - whole)
-                old, t = beta.get(i), p + after
-                beta[i] = t if old is None else max(old, t) + math.log1p(math.exp(-abs(old - t)))
-        total += np.bincount(hits, weights=weight * np.exp(shares), minlength=len(total))
+    longest, sizes, back = units.lengths[-1], np.array([len(w) for w in words]), np.array(units.lengths)
+    block = max(block, longest)
+    rows, windows, whole = _long_forward(words, units, block)
+    n = rows.shape[1]
+    carried = np.full((longest + 1, len(words)), -np.inf)  # backward values of the block's end and the places before it
+    for k in range(len(windows) - 1, -1, -1):
+        a, b = k * block, min(n, (k + 1) * block)
+        logs, found = _ending(rows, a, b, units)
+        alpha = _forward_block(windows[k], logs, units)
+        beta = np.full((longest + b - a + 1, len(words)), -np.inf)  # from longest places before a to b
+        beta[-longest - 1 :] = carried
+        ends = np.flatnonzero((sizes > a) & (sizes <= b))
+        beta[longest + sizes[ends] - a, ends] = 0
+        for t in range(b - a - 1, -1, -1):
+            j = longest + t + 1
+            beta[j - back] = np.logaddexp(beta[j - back], logs[t] + beta[j])
+        place = longest + np.arange(b - a)
+        share = alpha[place[:, None] - back[None]] + logs + beta[place + 1][:, None] - whole
+        hit = (found >= 0) & (share > -745)
+        total += np.bincount(found[hit], weights=(np.exp(share) * weights)[hit], minlength=len(total))
+        carried = beta[: longest + 1]
 
 
 def expected_counts(words: list[bytes], weights: np.ndarray, units: Units) -> np.ndarray:
-    """Expected uses of each unit over the weighted words (E step). Words
-    beyond the bound for batches are taken one at a time."""
+    """Expected uses of each unit over the weighted words (E step). Words up
+    to a bound are taken by length, longer ones in blocks of bytes."""
     total = np.zeros(len(units.pieces))
     marked = [WORD_MARK + w for w in words]
-    for at, rows in _by_length(marked):
+    sizes = np.array([len(w) for w in marked], dtype=np.int64)
+    long = np.flatnonzero(sizes > _SHORT)
+    for at, rows in _by_length(marked, np.flatnonzero(sizes <= _SHORT)):
         m, n = rows.shape
-        if n > _SHORT:
-            for k in at:
-                _long_counts(marked[k], float(weights[k]), units, total)
-            continue
         edges = units.edges(rows)
         alpha, beta = forward(edges, m, n), backward(edges, m, n)
         for size, unit, logp in edges:
             share = alpha[: n + 1 - size].T + logp + beta[size:].T - alpha[n][:, None]
             hit = unit >= 0
             total += np.bincount(unit[hit], weights=(np.exp(share) * weights[at][:, None])[hit], minlength=len(total))
+    for part in _alike(sizes[long]):
+        _long_counts([marked[k] for k in long[part]], np.asarray(weights, dtype=float)[long[part]], units, total)
     return total
 
 

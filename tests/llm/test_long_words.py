@@ -30,11 +30,22 @@ def test_long_words_count_all_segmentations(units, monkeypatch):
     assert got[256:].sum() > got[:256].sum()
 
 
+def test_long_words_score_as_short_ones(units, monkeypatch):
+    rng = np.random.default_rng(0)
+    words = [*WORDS, *[bytes(rng.integers(33, 127, int(n)).astype(np.uint8)) for n in rng.integers(70, 3000, 90)], b"", b"a"]
+    monkeypatch.setattr(lattice, "_SHORT", 10**6)
+    want = lattice.word_log_probs(words, units)
+    monkeypatch.undo()
+    assert lattice.word_log_probs(words, units) == pytest.approx(want, rel=1e-12)
+    weights = rng.random(len(words))
+    assert np.allclose(sum(lattice.expected_counts([w], np.array([x]), units) for w, x in zip(words[:20], weights)), lattice.expected_counts(words[:20], weights[:20], units), rtol=1e-9, atol=1e-12)
+
+
 @pytest.mark.parametrize("block", [64, 100, 8192])
 def test_blocks_join(units, block):
     word = lattice.WORD_MARK + WORDS[0]
     total = np.zeros(len(units.pieces))
-    lattice._long_counts(word, 1.0, units, total, block=block)
+    lattice._long_counts([word], np.ones(1), units, total, block=block)
     sizes = np.array([len(p) for p in units.pieces])
     assert (total * sizes).sum() == pytest.approx(len(word))
     edges = units.edges(np.frombuffer(word, dtype=np.uint8)[None, :])
