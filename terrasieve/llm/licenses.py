@@ -105,9 +105,13 @@ class Scanner:
                 # from the word where the match can begin to the one where it can end
                 low = max(0, start - notice.edits)
                 high = min(len(normal), start + len(notice.phrase) + notice.edits)
-                low = normal.rfind(" ", 0, low) + 1
-                high = normal.find(" ", high) if high < len(normal) and normal[high] != " " else high
-                high = len(normal) if high < 0 else high
+                # (a word that reaches past ``reach`` more is too long to be part of a match, and is cut there)
+                reach = len(notice.phrase) + notice.edits + 2
+                word = normal.rfind(" ", max(0, low - reach), low)
+                low = word + 1 if word >= 0 else max(0, low - reach)
+                if high < len(normal) and normal[high] != " ":
+                    word = normal.find(" ", high, high + reach)
+                    high = word if word >= 0 else min(len(normal), high + reach)
                 exact_at = start if start >= 0 and normal.startswith(notice.phrase, start) else -1
                 if exact_at >= 0 and (start == 0 or normal[start - 1] == " ") and normal[start + len(notice.phrase) : start + len(notice.phrase) + 1] in ("", " "):
                     found[n, start] = (0, start + len(notice.phrase))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from terrasieve.llm import ann, common, crf, mixing, neardup
+from terrasieve.llm import ann, common, crf, licenses, mixing, neardup
 
 from .test_operators import odd  # noqa: F401
 
@@ -94,3 +95,15 @@ def test_stages_take_odd_rows(spark, odd, tmp_path):  # noqa: F811
             docs = spark.read.parquet(str(tmp_path / str(i)))
     assert pipeline.near_dedup(spark, odd, SF).where("doc_id is null").count() == 1
     assert pipeline.length_packing(spark, odd, SF).count() == odd.count()
+
+
+def test_licences_in_texts_without_spaces():
+    """Seeds inside words of any length cost a bounded window, and notices
+    beside such words are found."""
+    scanner = licenses.Scanner(licenses.NOTICES)
+    long_word = "mitlicense" * 40_000 + "gnugeneral" * 10_000
+    began = time.perf_counter()
+    n, found = scanner.scan(f"{long_word} mit license {long_word} gnu genral public license {long_word}")
+    assert time.perf_counter() - began < 60 and n == 9
+    assert [(m[1], m[2], m[4]) for m in found if m[1] in ("mit", "gpl")] == [("mit", 1, 0), ("gpl", 4, 1)]
+    assert scanner.verify.cache_info().currsize <= 20_000
