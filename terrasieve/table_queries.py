@@ -36,12 +36,14 @@ def csv_and_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sniffed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A CSV of unknown encoding and delimiter, written in both of two, of
     which the second comes back; heads alone are sniffed."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), F.concat("c_mktsegment", F.lit("名")).alias("segment"))
+    rows = table(spark, sf_dir, "customer").select(F.concat_ws(";", F.col("c_custkey").cast("string"), F.concat("c_mktsegment", F.lit("名"))).alias("value"))
     found, path = [], ""
-    text = "c_custkey;segment\n" + "".join(f"{row['c_custkey']};{row['segment']}\n" for row in rows.collect())
+    lines = spark.createDataFrame([("c_custkey;segment",)], "value string").unionByName(rows).coalesce(1)  # one file, its header first
     for encoding in ("utf-8", "gb18030"):
-        path = scratch(spark, "sniff") + ".csv"
-        files.write_text(spark, path, text, encoding)
+        folder = scratch(spark, "sniff")
+        coded = F.pandas_udf(lambda col, e=encoding: col.map(lambda v: v.encode(e)), "binary")
+        lines.select(coded("value").cast("string").alias("value")).write.text(folder)
+        path = next(f for f in files.files_below(spark, folder) if "part-" in f)
         found.append(readers.sniff_csv(spark, path))
     back = readers.read_sniffed_csv(spark, path)
     n = readers.count_csv_rows(spark, path)
