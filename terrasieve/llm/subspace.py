@@ -34,7 +34,7 @@ _HOME, _GUESTS = 4096, 32_768
 #: and the members that a ball keeps at least.
 _PATTERNS, _CROWD, _LEAST = 4, 16, 8
 #: Numbers (8 bytes each) of the sample that places the boxes.
-_SAMPLE = 2**21
+_SAMPLE = 2**20
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
