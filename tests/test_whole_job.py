@@ -41,5 +41,7 @@ def test_neighbours_and_buffers_of_every_fold(spark):
     want = {(f, int(i)) for f in range(5) for i in ids[(fold != f) & (km[:, fold == f].min(axis=1) > 20)]}
     rows = [tuple(r) for r in q.buffer_removal_by_fold(spark, SF).select("fold", "id").collect()]
     assert len(rows) == len(want) and set(rows) == want
-    one = {r["id"] for r in q.buffer_removal(spark, SF).collect()}
-    assert one == {i for f, i in want if f == 0}
+
+    state = q.points(spark, SF).select("id", "state").toPandas().set_index("id").loc[ids, "state"].to_numpy()
+    left = {r["state"]: (r["own"], r["n_train"]) for r in q.buffer_removal(spark, SF).collect()}
+    assert left == {x: (int((state == x).sum()), int(((state != x) & (km[:, state == x].min(axis=1) > 20)).sum())) for x in set(state)}
