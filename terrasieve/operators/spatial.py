@@ -123,9 +123,11 @@ def nearest(
     g = F.col("f") if each_fold else F.lit(0)
     there = there.withColumn("g", g)
     levels = F.explode(F.sequence(F.lit(TOP), F.lit(DEEPEST)))
-    # the most places of a cell on each level: a row for each level
-    crowds = {r["level"]: r["n"] for r in there.groupBy("code").count().select(levels.alias("level"), "code", "count").groupBy("level", F.expr(f"shiftright(code, cast(3 * ({DEEPEST} - level) as int))").alias("c")).agg(F.sum("count").alias("n")).groupBy("level").agg(F.max("n").alias("n")).collect()}
-    last = next((lv for lv in range(TOP, DEEPEST + 1) if crowds.get(lv, 0) <= CROWD), DEEPEST)
+    # the most places of a cell, and the cells, on each level: a row for each level
+    crowds = {r["level"]: (r["n"], r["cells"]) for r in there.groupBy("code").count().select(levels.alias("level"), "code", "count").groupBy("level", F.expr(f"shiftright(code, cast(3 * ({DEEPEST} - level) as int))").alias("c")).agg(F.sum("count").alias("n")).groupBy("level").agg(F.max("n").alias("n"), F.count("*").alias("cells")).collect()}
+    last = next((lv for lv in range(TOP, DEEPEST + 1) if crowds.get(lv, (0, 0))[0] <= CROWD), DEEPEST)
+    # the deepest level of no more cells than ``TOP`` may have
+    first = max([lv for lv in range(TOP, last + 1) if crowds.get(lv, (0, 0))[1] <= 8**TOP], default=TOP)
 
     def held(level: int) -> DataFrame:
         """Right cells: for each label the least and the largest fold."""
@@ -144,7 +146,7 @@ def nearest(
     cut = F.lit(float("inf")) if within_km is None else F.lit((2 * math.sin(min(within_km / (2 * S.EARTH_RADIUS_KM), math.pi / 2))) ** 2)
     least, most = _bounds("", "r_")
     pairs: DataFrame | None = None
-    for level in range(TOP, last + 1):
+    for level in range(first, last + 1):
         mine, theirs = _nodes(here, level, ["f", "l"]), held(level)
         if pairs is None:
             met = mine.join(F.broadcast(theirs), F.exists("holds", fits))  # at most 8 ** TOP cells, by fold with each_fold
