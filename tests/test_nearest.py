@@ -86,3 +86,25 @@ def test_statistics_outside_buffers(spark):
         assert fills[f, r] == pytest.approx(x[["a", "b"]].median().to_dict())
         x = x.fillna(x.median())
         assert g.n == len(x) and np.allclose(g.cov, np.cov(x.T, bias=True)) and np.allclose(g.mean, x.mean())
+
+
+def test_a_place_is_searched_once_for_all_its_folds(spark, monkeypatch):
+    """Rows of one place have the same nearest row of a fold, whatever theirs."""
+    written, settled = [], spatial.settled
+    monkeypatch.setattr(spatial, "settled", lambda df: written.append(settled(df)) or written[-1])
+    df = spark.range(20 * 12).select("id", (F.col("id") % 20 * 0.01 + 40).alias("lat"), F.lit(10.0).alias("lon"), F.floor(F.col("id") / 20).cast("int").alias("fold"))
+    got = spatial.nearest(df, df, "id", "id", fold="fold", each_fold=True, within_km=1.0).collect()
+    assert len(got) == 240 * 11 and all(r["km_apart"] == 0 and r["r_id"] == r["id"] % 20 + 20 * r["r_fold"] for r in got)
+    assert max(w.count() for w in written) <= 20 * 12 * 8  # 20 places, 12 folds, cells around
+
+
+def test_points_meet_lists_of_cells(spark, monkeypatch):
+    """No task sorts a point once for each cell around it; lists may be cut."""
+    points = spark.createDataFrame([(1, 40.2, 10.3), (2, 40.5, 10.0), (3, 80.0, 10.0), (4, None, 10.0)], "id int, lat double, lon double")
+    cells = spark.range(100).select(F.col("id").alias("cell"), (F.floor(F.col("id") / 10) * 0.5 + 38.25).alias("lat"), (F.col("id") % 10 * 0.5 + 8.25).alias("lon"))
+    want = {1: (44, True), 2: (43, True), 3: (None, False), 4: (None, False)}
+    for length in (1024, 3):
+        monkeypatch.setattr(spatial, "LIST", length, raising=False)
+        out = spatial.grid_cell(points, cells, "id")
+        assert {r["id"]: (r["cell"], r["in_cell"]) for r in out.collect()} == want
+    assert "_cells" in out._jdf.queryExecution().optimizedPlan().toString()
