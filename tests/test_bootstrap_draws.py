@@ -66,3 +66,18 @@ def test_no_rows_and_one_class(spark):
     one = spark.createDataFrame([("a", i % 3, 1, i / 10, i) for i in range(10)], "model string, c int, y int, p double, o int")
     got = evaluate.bootstrap_draws(one, "c", splits.drawn_times(3, 4, 1), range(3), order="o").collect()
     assert len(got) == 4 and all(r["roc_auc"] is None and r["top05_ndcg"] == pytest.approx(1) for r in got)
+
+
+def test_tops_of_many_rows_go_by_blocks():
+    rng = np.random.default_rng(8)
+    n, tops = 60_000, np.array([[30_000.0, 41_000.0, 70_000.0], [45_000.0, 80_000.0, 5.0]])
+    y, at, times = rng.random(n) < 0.3, rng.integers(0, 6, n), rng.integers(0, 4, (3, 6)).astype(float)
+    table = evaluate._discounts(200_000)
+    got = evaluate._top_sums(y, at, times, np.array([9000.0, 9100.0, 0.0]), tops, table, 512)
+    for d, above in enumerate((9000, 9100, 0)):
+        repeated = np.repeat(y, times[d][at].astype(int))
+        ranks = above + np.arange(len(repeated))
+        for x in range(2):
+            inside = repeated & (ranks < tops[x, d])
+            assert got[2 * x, d] == inside.sum()
+            assert got[2 * x + 1, d] == pytest.approx((1 / np.log2(ranks[inside] + 2)).sum(), rel=1e-7)
