@@ -81,3 +81,11 @@ def test_tops_of_many_rows_go_by_blocks():
             inside = repeated & (ranks < tops[x, d])
             assert got[2 * x, d] == inside.sum()
             assert got[2 * x + 1, d] == pytest.approx((1 / np.log2(ranks[inside] + 2)).sum(), rel=1e-7)
+
+
+def test_only_metrics_that_are_asked_for(spark):
+    df = spark.createDataFrame([("a", i % 3, i % 2, i / 10, i) for i in range(20)], "model string, c int, y int, p double, o int")
+    times = splits.drawn_times(3, 4, 1)
+    some, whole = (evaluate.bootstrap_draws(df, "c", times, range(3), order="o", **more) for more in ({"names": ("roc_auc", "f1")}, {}))
+    assert some.columns == ["iteration", "model", "roc_auc", "f1"]
+    assert sorted(some.collect()) == sorted(whole.select(some.columns).collect())
