@@ -96,13 +96,16 @@ def _bounds(left: str, right: str) -> tuple[Column, Column]:
 
 def nearest(
     left: DataFrame, right: DataFrame, key: str, right_key: str, lat: str = "lat", lon: str = "lon", fold: str | None = None, label: str | None = None, alike: bool | None = None,
-    each_fold: bool = False, within_km: float | None = None,
+    each_fold: bool = False, within_km: float | None = None, each_label: bool = False, by_place: bool = False,
 ) -> DataFrame:
     """For each left row the nearest right one: key, r_<right_key>, km_apart
     (ties to the smaller right key). With ``fold``, the nearest right row of
     another fold, and the left row's fold first; with ``each_fold`` that of
     every other fold, as r_<fold>. With ``label``, one of the same label
-    (``alike``) or of another. With ``within_km`` only those so near.
+    (``alike``) or of another; with ``each_label`` that of every label, as
+    r_<label>. With ``within_km`` only those so near. ``by_place`` leaves the
+    left keys out: one row for each place (lat, lon), and fold or label that
+    the search depends on.
 
     Cells of the sphere form a tree, whose nodes know their box and which
     folds and labels they hold. All levels are descended together: a left cell
@@ -117,6 +120,7 @@ def nearest(
     In the end cells meet as lists of their places, so that a place and a cell
     make one row, not one for each place of the cell."""
     own = [F.col(fold) if fold else F.lit(0), F.col(label) if label else F.lit(0)]
+    wanted, label = label, None if each_label else label  # the search of each label is that of no label, apart
     xyz = [c.alias(n) for c, n in zip(_cube(F.col("_lat"), F.col("_lon")), "xyz")]
     apart = bool(fold) and not each_fold  # whether the search depends on the left row's fold
 
@@ -127,9 +131,10 @@ def nearest(
         return settled(once.select("*", *xyz).withColumn("code", _code([F.col(c) for c in "xyz"])))
 
     asked = rows_of(left, key)
+    asked = asked.withColumn("_l", F.col("l")).withColumn("l", F.col("l") if label else F.lit(0))
     here = placed((asked if apart else asked.withColumn("f", F.lit(0))).select("f", "l", "_lat", "_lon").distinct())
     there = placed(rows_of(right, right_key).groupBy("f", "l", "_lat", "_lon").agg(F.min("k").alias("k")))
-    g = F.col("f") if each_fold else F.lit(0)
+    g = F.col("f") if each_fold else F.col("l") if each_label else F.lit(0)
     there = there.withColumn("g", g)
     levels = F.explode(F.sequence(F.lit(TOP), F.lit(DEEPEST)))
     # the most places of a cell, and the cells, on each level: a row for each level
@@ -182,9 +187,11 @@ def nearest(
     best = each.groupBy("cell", "f", "l", "_lat", "_lon", "g").agg(F.min("b").alias("b"))
     best = best.where(F.col("b.km") <= within_km) if within_km is not None else best
     best = settled(best.select("f", "l", "_lat", "_lon", "g", F.col("b.km").alias("km_apart"), F.col("b.r_k").alias("_r_k")))
+    if by_place:
+        return best.select(*([F.col("f").alias(fold)] if apart else []), *([F.col("l").alias(label)] if label else []), F.col("_lat").alias(lat), F.col("_lon").alias(lon), *([F.col("g").alias(f"r_{fold if each_fold else wanted}")] if each_fold or each_label else []), F.col("_r_k").alias(f"r_{right_key}"), "km_apart")
     found = asked.join(best, ["f", "l", "_lat", "_lon"]) if apart else asked.join(best.drop("f"), ["l", "_lat", "_lon"])
     found = found.where(F.col("g") != F.col("f")) if each_fold else found
-    return found.select(*([F.col("f").alias(fold)] if fold else []), F.col("k").alias(key), *([F.col("g").alias(f"r_{fold}")] if each_fold else []), F.col("_r_k").alias(f"r_{right_key}"), "km_apart")
+    return found.select(*([F.col("f").alias(fold)] if fold else []), F.col("k").alias(key), *([F.col("g").alias(f"r_{fold}")] if each_fold else [F.col("_l").alias(wanted), F.col("g").alias(f"r_{wanted}")] if each_label else []), F.col("_r_k").alias(f"r_{right_key}"), "km_apart")
 
 
 #: Places of a list at most, about; only the smallest cells hold more. Rows
@@ -205,11 +212,22 @@ def _listed(rows: DataFrame, by: Sequence[str], what: Sequence[str], name: str)
 
 def label_neighbours(df: DataFrame, fold: str, key: str, label: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Distances of each row to the nearest row of other folds: any_km, of the
-    same label and of the other; null where there is none."""
-    out = df.select(fold, key)
-    for name, options in (("any_km", {}), ("same_label_km", {"label": label, "alike": True}), ("opposite_label_km", {"label": label, "alike": False})):
-        out = out.join(nearest(df, df, key, key, lat=lat, lon=lon, fold=fold, **options).select(key, F.col("km_apart").alias(name)), key, "left")
-    return out
+    same label and of the other; null where there is none.
+
+    One search finds the nearest row of every label for each place and fold;
+    rows meet these as one list, not once for each distance."""
+    near = nearest(df, df, key, key, lat=lat, lon=lon, fold=fold, label=label, each_label=True, by_place=True)
+    # a row without a label has no same or other one, and is any row's neighbour
+    rest = df.where(F.col(label).isNull())
+    if not rest.isEmpty():
+        plain = nearest(df, df, key, key, lat=lat, lon=lon, fold=fold, by_place=True)
+        near = near.unionByName(plain.withColumn(f"r_{label}", F.lit(None).cast(dict(df.dtypes)[label])))
+    lists = near.groupBy(F.col(fold).alias("_f"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).agg(F.collect_list(F.struct(F.col(f"r_{label}").alias("l"), F.col("km_apart").alias("km"))).alias("_near"))
+    lists = settled(lists)  # of known size, so that few places are sent to the rows
+    met = df.select(fold, key, label, F.col(lat).cast("double").alias("_a"), F.col(lon).cast("double").alias("_o"))
+    met = met.join(lists, (F.col(fold) == F.col("_f")) & (F.col("_a") == F.col("_lat")) & (F.col("_o") == F.col("_lon")), "left")
+    least = lambda keep: F.array_min(F.transform(F.filter("_near", keep), lambda x: x["km"]))
+    return met.select(fold, key, least(lambda x: F.lit(True)).alias("any_km"), least(lambda x: x["l"] == F.col(label)).alias("same_label_km"), least(lambda x: x["l"] != F.col(label)).alias("opposite_label_km"))
 
 
 def remove_buffer(train: DataFrame, test: DataFrame, key: str, km: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -231,13 +249,22 @@ def remove_buffers(df: DataFrame, fold: str, key: str, km: float, lat: str = "la
     folds = [r[fold] for r in df.select(fold).distinct().limit(MOST_FOLDS + 1).collect() if r[fold] is not None]
     if len(folds) > MOST_FOLDS:
         raise ContractError(f"more than {MOST_FOLDS} folds")
-    tests = F.explode(F.array(*[F.lit(f) for f in folds]).cast(f"array<{dict(df.dtypes)[fold]}>"))
-    train = df.select(fold, key, tests.alias("_test")).where(F.col(fold) != F.col("_test")).select(F.col("_test").alias(fold), key)
-    if km <= 0:
-        return train
-    points = df.select(fold, key, lat, lon)
-    close = nearest(points, points, key, key, lat, lon, fold=fold, each_fold=True, within_km=km).select(F.col(f"r_{fold}").alias(fold), key).distinct()
-    return train.join(close, [fold, key], "left_anti")
+    kind = f"array<{dict(df.dtypes)[fold]}>"
+    tests, points = F.array(*[F.lit(f) for f in folds]).cast(kind), df.select(fold, key, lat, lon)
+    if km > 0:
+        points = with_near_folds(points, nearest(points, points, key, key, lat, lon, fold=fold, each_fold=True, within_km=km, by_place=True), F.col(f"r_{fold}"), lat, lon)
+        tests = F.array_except(tests, F.coalesce("_near", F.array().cast(kind)))
+    left = points.where(F.col(fold).isNotNull()).select(fold, key, F.explode(tests).alias("_test")).where(F.col(fold) != F.col("_test"))
+    return left.select(F.col("_test").alias(fold), key)
+
+
+def with_near_folds(df: DataFrame, near: DataFrame, what: Column, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """``df`` with ``_near``, the list of ``what`` over the rows of ``near`` (of
+    ``nearest``, by place) at the row's place, null without any: a row meets
+    its place once, whatever the folds."""
+    lists = near.groupBy(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).agg(F.collect_list(what).alias("_near"))  # one for each fold at most
+    lists = settled(lists)  # of known size, so that few places are sent to the rows
+    return df.join(lists, (F.col(lat).cast("double") == F.col("_lat")) & (F.col(lon).cast("double") == F.col("_lon")), "left").drop("_lat", "_lon")
 
 
 def _tight_cells(km: float, lat: str, lon: str) -> list[Column]:
