@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from terrasieve import model_queries
 from terrasieve.plans import boosting, linear
 
 SETTINGS = boosting.Settings(trees=5, rate=0.3, bins=8, columns=0.75, pending=3, block=40, depth=3)
@@ -44,3 +45,29 @@ def test_models_of_few_cells_take_no_pass_for_a_level(spark, monkeypatch):
     monkeypatch.setattr(boosting, "_level", lambda *a: pytest.fail("a pass for one level of one tree"))
     models, sdf, recipes = table(spark)
     assert len(scores(models, sdf, recipes)) == 4 * 500
+
+
+def test_the_query_grows_all_trees(monkeypatch):
+    class Stop(Exception):
+        pass
+
+    def boost(models, df, key, recipes, climate, settings=None):
+        raise Stop((settings or boosting.Settings()).trees)
+
+    class Models:
+        grams: dict = {}
+
+    class Rows:
+        def withColumn(self, *_):
+            return self
+
+    class Graphs:
+        def targets(self):
+            return {}
+
+    monkeypatch.setattr(model_queries, "fitted", lambda *_: (Rows(), Models(), {}, None))
+    monkeypatch.setattr(model_queries, "graphs", lambda *_, **__: Graphs())
+    monkeypatch.setattr(model_queries.F, "xxhash64", lambda *_: None)
+    monkeypatch.setattr(model_queries.boosting, "boost", boost)
+    with pytest.raises(Stop, match="^400$"):
+        model_queries.boosted_recipes(None, "")
