@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from terrasieve import queries as q
-from terrasieve.plans import forest
+from terrasieve.plans import forest, linear
 
 
 def plain(x, y, w, depth, least):
@@ -87,3 +87,31 @@ def test_environment_votes_grow_all_trees(spark, monkeypatch):
     monkeypatch.setattr(forest, "importances", importances)
     with pytest.raises(Stop, match="^500$"):
         q.environment_votes(spark, "")
+
+
+def test_every_row_by_forests_that_did_not_see_it(spark):
+    rng = np.random.default_rng(9)
+    n = 600
+    df = pd.DataFrame({"id": np.arange(n), "fold": rng.integers(0, 3, n), "a": rng.normal(size=n), "b": rng.normal(size=n), "c": rng.normal(size=n)})
+    df["b"] += df["c"]
+    df["y"] = (df.a + 0.5 * rng.normal(size=n) > 0).astype(int)
+
+    def scores(data):
+        sdf = spark.createDataFrame(data).repartition(3)
+        models = linear.fit_folds(sdf, ["a", "b", "c"], "y")
+        recipes = {"raw": dict.fromkeys(models.grams, (["a", "b"], [])), "same": dict.fromkeys(models.grams, (["b", "a"], [])), "mixed": dict.fromkeys(models.grams, (["a"], ["b"]))}
+        return forest.out_of_fold(models, sdf, "id", recipes, ["c"], forest.Settings(trees=60)).toPandas().pivot(index="id", columns="model", values="p").sort_index()
+
+    got = scores(df)
+    assert got.shape == (n, 3) and got.notna().all(axis=None) and (got["raw"] == got["same"]).all() and (got["raw"] != got["mixed"]).any()
+    pos, neg = got["raw"][df.y == 1].to_numpy(), got["raw"][df.y == 0].to_numpy()
+    assert (pos[:, None] > neg).mean() > 0.85
+    own = df.fold == 0
+    other = scores(df.assign(y=np.where(own, 1 - df.y, df.y)))  # labels that the fold's forests must not read
+    assert np.array_equal(got[own], other[own]) and not np.array_equal(got[~own], other[~own])
+
+
+def test_forest_out_of_fold_takes_no_pass_for_a_model(spark, monkeypatch):
+    monkeypatch.setattr(q.experiments, "out_of_fold", lambda *_, **__: pytest.fail("a pass over the rows for each fold and recipe"))
+    rows = q.forest_out_of_fold(spark, "/root/testdata/sf0.001").collect()
+    assert {r["model"] for r in rows} == {"Full", "NoClimate", "M3_Broad"} and all(r["n_missing"] == 0 and r["n_rows"] == r["n_pos"] + r["n_neg"] for r in rows)
